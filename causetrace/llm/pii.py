@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -39,9 +40,7 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0..size-1: eight Feistel rounds over two halves, walked until inside the range."""
     if size < 2:
         return x
-    half = 1
-    while half * half < size:
-        half += 1
+    half = math.isqrt(size - 1) + 1
     while True:
         left, right = divmod(x, half)
         for r in range(8):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causetrace.llm import decontam, exact_dedup, language, line_dedup, pii, sentencepieces, simhash, token_counts, toxicity
+from causetrace.llm import decontam, exact_dedup, language, line_dedup, pii, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
 from causetrace.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark, "op2"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_exact_dedup, op4_line_dedup, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_language_id, op9_decontamination, op10_sentencepiece)
+    for f in (op1_toxicity, op2_exact_dedup, op3_suffix_dedup, op4_line_dedup, op5_pii_pseudonyms, op6_simhash_near_dedup, op7_token_counts, op8_language_id, op9_decontamination, op10_sentencepiece)
 }
 
 ORACLE_SQL: dict[str, str] = {

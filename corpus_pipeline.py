@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causetrace.llm import decontam, sentencepieces, toxicity
+from causetrace.llm import decontam, line_dedup, sentencepieces, simhash, toxicity
 from causetrace.llm.common import stage, table
 from causetrace.llm.queries import piece_model
 
@@ -18,6 +18,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-equal lines the first stays; every document stays, with the lines that are left."""
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicate documents (five-word shingles, similarity 0.8) the one with the smallest doc_id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly benchmark go."""
     return decontam.remove_spans(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
@@ -30,6 +40,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", one_of_each_group),
     ("benchmark_decontamination", decontaminated),
     ("sentencepiece", encoded),
 ]

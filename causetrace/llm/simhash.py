@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import map_text, stage, unstage
+from causetrace.llm.common import map_text, stage, text_or_empty, unstage
 from causetrace.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -111,3 +111,61 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFram
 def report(docs: DataFrame) -> DataFrame:
     """The digest columns of the operator's result."""
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def jaccard(a: str | None, b: str | None, width: int) -> float:
+    """Similarity of the shingle sets of two texts; two texts without words are equal."""
+    x, y = set(shingle_hashes(a, width)), set(shingle_hashes(b, width))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the documents that repeat the first one of their group, all columns as they were.
+
+    Groups are those of ``simhash_groups`` over ``width``-word shingles; a document goes if its text equals that of the
+    group's smallest doc_id or their shingle sets have a Jaccard similarity of at least ``similarity``. Empty and null texts
+    are equal. Rows that repeat a doc_id and text share one decision; rows with a null doc_id always stay.
+    """
+    key = ["doc_id", "__th", "__tk"]
+    keyed = docs.withColumns({"__th": F.xxhash64(text_or_empty()), "__tk": F.xxhash64(F.lit(7), text_or_empty())})
+    fps = map_text(keyed, _fingerprinter(width), "fp bigint", keep=tuple(key))
+    fps = stage(fps.where("doc_id is not null"), "fps")
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    comp = connected_components(link_fingerprints(nodes, radius))
+    named = stage(nodes.join(comp.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("comp")), "named")
+    members = stage(fps.join(named.hint("merge"), "fp").select(*key, "comp"), "members")
+    first = members.groupBy("comp").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
+    first = stage(first, "firsts")
+    told = stage(members.join(first.hint("merge"), "comp").select(*key, "comp", "first"), "told")
+    same = (F.col("__th") == F.col("first.__th")) & (F.col("__tk") == F.col("first.__tk"))
+    equal = told.where(same & (F.col("doc_id") != F.col("first.doc_id"))).select(*key)
+    # texts that differ from the group's first: fetched once each, and compared in full
+    doubt = told.where(~same).select(*key, "comp")
+    texts = keyed.select(*key, "text")
+    mine = texts.join(doubt.distinct().hint("merge"), key).select(*key, "comp", "text")
+    heads = first.join(doubt.select("comp").distinct().hint("merge"), "comp").select("comp", "first.*")
+    heads = texts.join(heads.hint("merge"), key).select("comp", F.col("text").alias("head")).dropDuplicates(["comp"])
+    near = _similar(mine.join(heads.hint("merge"), "comp").select(*key, "text", "head"), width, similarity, key)
+    gone = stage(equal.unionByName(near).distinct(), "gone")
+    for x in (fps, nodes, named, members, first, told):
+        unstage(x)
+    left = keyed.join(gone.hint("merge"), key, "left_anti")
+    return left.select(*docs.columns)
+
+
+def _fingerprinter(width: int):
+    return lambda: lambda texts: {"fp": [fingerprint(shingle_hashes(t, width)) for t in texts]}
+
+
+def _similar(pairs: DataFrame, width: int, similarity: float, key: list[str]) -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ok = [jaccard(a, b, width) >= similarity for a, b in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(3)], names=key).filter(pa.array(ok, type=pa.bool_()))
+
+    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
+    return pairs.mapInArrow(run, schema)

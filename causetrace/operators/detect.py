@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.operators.prepare import KEYS, fit_minmax, sliding_windows
 
-_SERIES = Window.partitionBy(*KEYS)
-_ORDERED = _SERIES.orderBy("ts")
+
+def _series():
+    return Window.partitionBy(*KEYS)
+
+
+def _ordered():
+    return _series().orderBy("ts")
+
 TINY = 1e-8
 
 
@@ -49,9 +57,6 @@ def fit_reconstruction_model(normal: DataFrame, metrics: list[str], window: int
 
 def reconstruction_error(df: DataFrame, model: ReconstructionModel) -> DataFrame:
     """``entity, metric, ts, score``: mean squared error of each metric over each window, labelled with the window's end."""
-    import numpy as np
-    import pandas as pd
-
     mean, parts, metrics, window = np.array(model.mean), np.array(model.components), model.metrics, model.window
 
     @F.pandas_udf("array<double>")
@@ -114,18 +119,18 @@ def statistical_scores(df: DataFrame, baselines: DataFrame) -> DataFrame:
 
 def spike_score(df: DataFrame, window: int = 12) -> DataFrame:
     """``spike``: the last change against three rolling standard deviations of changes (three at least), back-filled at the start."""
-    frame = _ORDERED.rowsBetween(-(window - 1), 0)
-    got = df.withColumn("__r", F.col("value") - F.lag("value").over(_ORDERED))
+    frame = _ordered().rowsBetween(-(window - 1), 0)
+    got = df.withColumn("__r", F.col("value") - F.lag("value").over(_ordered()))
     got = got.withColumn("__s", F.when(F.count("__r").over(frame) >= 3, F.stddev_samp("__r").over(frame)))
-    got = got.withColumn("__s", F.first("__s", True).over(_ORDERED.rowsBetween(0, Window.unboundedFollowing)))
+    got = got.withColumn("__s", F.first("__s", True).over(_ordered().rowsBetween(0, Window.unboundedFollowing)))
     scale = F.when(F.col("__s") == 0, TINY).otherwise(F.col("__s"))
     return got.withColumn("spike", F.coalesce(F.least(F.abs("__r") / (3 * scale), F.lit(1.0)), F.lit(0.0))).drop("__r", "__s")
 
 
 def trend_r2(df: DataFrame, window: int = 12) -> DataFrame:
     """``trend``: R² of a line through exactly ``window`` values; constant or incomplete windows have 0."""
-    frame = _ORDERED.rowsBetween(-(window - 1), 0)
-    got = df.withColumn("__p", F.row_number().over(_ORDERED).cast("double"))
+    frame = _ordered().rowsBetween(-(window - 1), 0)
+    got = df.withColumn("__p", F.row_number().over(_ordered()).cast("double"))
     r2 = F.regr_r2("value", "__p").over(frame)
     flat = F.max("value").over(frame) == F.min("value").over(frame)
     return got.withColumn("trend", F.when((F.count("value").over(frame) < window) | flat, 0.0).otherwise(r2)).drop("__p")
@@ -169,10 +174,10 @@ def dampen_alerts(flags: DataFrame, required: int = 3, cooldown: int = 6) -> Dat
     During a cool-down rows are skipped; else flags in a row count up, and the ``required``-th raises an alert and starts
     the cool-down. Only runs of flags matter: the fold walks the runs of a series that are long enough, not its rows.
     """
-    numbered = flags.withColumn("__p", F.row_number().over(_ORDERED))
-    run = numbered.where("is_anomaly").withColumn("__g", F.col("__p") - F.row_number().over(_ORDERED))
+    numbered = flags.withColumn("__p", F.row_number().over(_ordered()))
+    run = numbered.where("is_anomaly").withColumn("__g", F.col("__p") - F.row_number().over(_ordered()))
     runs = run.groupBy(*KEYS, "__g").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi")).where(F.col("hi") - F.col("lo") + 1 >= required)
-    folded = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("long"), F.col("hi").cast("long")))).alias("runs"))
+    folded = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))).alias("runs"))
     # within a run that begins at lo with rows up to `free` skipped, alerts fall every required + cooldown rows
     period = required + cooldown
 

@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("entity", "metric")
-_SERIES = Window.partitionBy(*KEYS)
-_ORDERED = _SERIES.orderBy("ts")
+
+
+def _series():
+    return Window.partitionBy(*KEYS)
+
+
+def _ordered():
+    return _series().orderBy("ts")
 
 
 def dedupe_keep_last(df: DataFrame, seq: str = "seq") -> DataFrame:
@@ -36,7 +42,7 @@ def drop_sparse_metrics(grid: DataFrame, share: float = 0.5) -> DataFrame:
 
 def fill_gaps(grid: DataFrame, limit: int | None = 6) -> DataFrame:
     """Linear interpolation for at most ``limit`` places of a gap, then the value reached; edges take the nearest value, an empty series 0."""
-    before, after = _ORDERED.rowsBetween(Window.unboundedPreceding, 0), _ORDERED.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _ordered().rowsBetween(Window.unboundedPreceding, 0), _ordered().rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("value").isNotNull(), F.col("pos"))
     marks = grid.withColumns(
         {"vp": F.last("value", True).over(before), "pp": F.last(at, True).over(before), "vq": F.first("value", True).over(after), "pq": F.first(at, True).over(after)}
@@ -49,8 +55,8 @@ def fill_gaps(grid: DataFrame, limit: int | None = 6) -> DataFrame:
 def fill_edges(df: DataFrame, step: str) -> DataFrame:
     """Series aligned on the entity's grid; forward, then backward fill, then 0."""
     grid = reindex_grid(df, step)
-    ahead = F.last("value", True).over(_ORDERED.rowsBetween(Window.unboundedPreceding, 0))
-    back = F.first("value", True).over(_ORDERED.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("value", True).over(_ordered().rowsBetween(Window.unboundedPreceding, 0))
+    back = F.first("value", True).over(_ordered().rowsBetween(0, Window.unboundedFollowing))
     return grid.select(*KEYS, "ts", F.coalesce(ahead, back, F.lit(0.0)).alias("value"))
 
 
@@ -104,15 +110,15 @@ def apply_minmax(df: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def sliding_windows(df: DataFrame, size: int = 12, stride: int = 1) -> DataFrame:
     """P10: complete windows of ``size`` values every ``stride`` places, labelled with their last time: ``entity, metric, ts, k, values``."""
-    frame = _ORDERED.rowsBetween(-(size - 1), 0)
-    got = df.withColumns({"__p": F.row_number().over(_ORDERED) - 1, "values": F.collect_list("value").over(frame)})
+    frame = _ordered().rowsBetween(-(size - 1), 0)
+    got = df.withColumns({"__p": F.row_number().over(_ordered()) - 1, "values": F.collect_list("value").over(frame)})
     full = got.where((F.size("values") == size) & ((F.col("__p") - size + 1) % stride == 0))
     return full.select(*KEYS, "ts", ((F.col("__p") - size + 1) / stride).cast("long").alias("k"), "values")
 
 
 def time_split(windows: DataFrame, validation: float = 0.2) -> DataFrame:
     """``part``: train for the first int(n·(1 − validation)) windows in time order, else validation."""
-    k, n = F.row_number().over(_ORDERED), F.count(F.lit(1)).over(_SERIES)
+    k, n = F.row_number().over(_ordered()), F.count(F.lit(1)).over(_series())
     return windows.withColumn("part", F.when(k <= F.floor(n * (1 - validation)), "train").otherwise("validation"))
 
 
@@ -124,7 +130,7 @@ def drop_low_variance(df: DataFrame, least: float = 1e-5) -> DataFrame:
 
 def average_rank(df: DataFrame) -> DataFrame:
     """Rank of each value in its series, ties averaged, as ``value``."""
-    by_value = _SERIES.orderBy("value")
+    by_value = _series().orderBy("value")
     ties = F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "value"))
     return df.select(*KEYS, "ts", (F.rank().over(by_value) + (ties - 1) / 2).alias("value"))
 
@@ -192,4 +198,4 @@ def missingness_stats(grid: DataFrame) -> DataFrame:
 
 def split_normal(df: DataFrame, share: float = 0.7) -> Column:
     """Whether a row of a grid (with ``pos``) lies in the first ``share`` of its series."""
-    return F.col("pos") < share * F.count(F.lit(1)).over(_SERIES)
+    return F.col("pos") < share * F.count(F.lit(1)).over(_series())

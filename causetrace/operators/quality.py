@@ -9,16 +9,21 @@ from causetrace.operators.graph import _links, closure
 from causetrace.operators.prepare import KEYS, pair_correlation
 from causetrace.operators.rank import confidence_label
 
-_SERIES = Window.partitionBy(*KEYS)
-_ORDERED = _SERIES.orderBy("ts")
+
+def _series():
+    return Window.partitionBy(*KEYS)
+
+
+def _ordered():
+    return _series().orderBy("ts")
 
 
 def fill_by_gap_size(grid: DataFrame) -> DataFrame:
     """B1: gaps of one place are interpolated, up to 12 filled forward, up to 288 interpolated; longer ones stay null and are flagged ``long_gap``."""
-    before, after = _ORDERED.rowsBetween(Window.unboundedPreceding, 0), _ORDERED.rowsBetween(0, Window.unboundedFollowing)
+    before, after = _ordered().rowsBetween(Window.unboundedPreceding, 0), _ordered().rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("value").isNotNull(), F.col("pos"))
     m = grid.withColumns({"vp": F.last("value", True).over(before), "pp": F.last(at, True).over(before), "vq": F.first("value", True).over(after), "pq": F.first(at, True).over(after)})
-    last = F.max("pos").over(_SERIES)
+    last = F.max("pos").over(_series())
     size = F.when(F.col("value").isNull(), F.coalesce("pq", last + 1) - F.coalesce("pp", F.lit(-1)) - 1).otherwise(0)
     line = F.col("vp") + (F.col("vq") - F.col("vp")) * (F.col("pos") - F.col("pp")) / (F.col("pq") - F.col("pp"))
     linear = F.coalesce(line, F.col("vp"))
@@ -41,7 +46,7 @@ def select_by_correlation(df: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def gaussian_drift(df: DataFrame, recent: int = 100, threshold: float = 0.5) -> DataFrame:
     """Divergence of the last ``recent`` values from the history before them; ``drift`` beyond ``threshold``."""
-    back = F.row_number().over(_SERIES.orderBy(F.desc("ts")))
+    back = F.row_number().over(_series().orderBy(F.desc("ts")))
     got = df.where("value is not null").withColumn("new", back <= recent)
     part = lambda f, new: f(F.when(F.col("new") == new, F.col("value")))
     s = got.groupBy(*KEYS).agg(part(F.avg, False).alias("mh"), part(F.stddev_pop, False).alias("sh"), part(F.avg, True).alias("mr"), part(F.stddev_pop, True).alias("sr"))
@@ -80,8 +85,8 @@ def _paths(edges: DataFrame, depth: int, value: Column) -> DataFrame:
     now = e.select("incident_id", F.col("a").alias("root"), F.col("b").alias("node"), F.array("a", "b").alias("path"), F.col("v").alias("total"))
     out = now
     for _ in range(depth - 1):
-        now = now.join(e, (now["incident_id"] == e["incident_id"]) & (now["node"] == e["a"])).where(~F.array_contains(now["path"], e["b"]))
-        now = now.select(now["incident_id"], "root", F.col("b").alias("node"), F.array_append("path", F.col("b")).alias("path"), (F.col("total") + F.col("v")).alias("total"))
+        step = now.alias("p").join(e.alias("e"), (F.col("p.incident_id") == F.col("e.incident_id")) & (F.col("p.node") == F.col("e.a")) & ~F.array_contains("p.path", F.col("e.b")))
+        now = step.select("p.incident_id", "p.root", F.col("e.b").alias("node"), F.array_append("p.path", F.col("e.b")).alias("path"), (F.col("p.total") + F.col("e.v")).alias("total"))
         out = out.unionByName(now)
     return out
 
@@ -106,14 +111,14 @@ def symptom_times(edges: DataFrame, roots: DataFrame, step_seconds: int = 300, d
 
 def frozen_metrics(df: DataFrame, tail: int = 12) -> DataFrame:
     """``frozen``: at most one distinct value in the last ``tail`` rows."""
-    back = F.row_number().over(_SERIES.orderBy(F.desc("ts")))
+    back = F.row_number().over(_series().orderBy(F.desc("ts")))
     return df.withColumn("__b", back).where(F.col("__b") <= tail).groupBy(*KEYS).agg((F.countDistinct("value") <= 1).alias("frozen"))
 
 
 def discontinuities(df: DataFrame, tail: int = 12, factor: float = 5.0, more_than: int = 3) -> DataFrame:
     """``jumps`` among the last ``tail`` changes that exceed ``factor`` mean changes; ``discontinuous`` if over ``more_than``."""
-    d = df.withColumn("d", F.abs(F.col("value") - F.lag("value").over(_ORDERED))).withColumn("__b", F.row_number().over(_SERIES.orderBy(F.desc("ts"))))
-    d = d.withColumn("mean", F.avg("d").over(_SERIES)).where(F.col("__b") <= tail)
+    d = df.withColumn("d", F.abs(F.col("value") - F.lag("value").over(_ordered()))).withColumn("__b", F.row_number().over(_series().orderBy(F.desc("ts"))))
+    d = d.withColumn("mean", F.avg("d").over(_series())).where(F.col("__b") <= tail)
     got = d.groupBy(*KEYS).agg(F.coalesce(F.sum((F.col("d") > factor * F.col("mean")).cast("long")), F.lit(0)).alias("jumps"))
     return got.withColumn("discontinuous", F.col("jumps") > more_than)
 
@@ -218,7 +223,7 @@ def coverage(modes: DataFrame, present: DataFrame) -> DataFrame:
 
 def quality_report(samples: DataFrame, grid: DataFrame, seq: str = "seq") -> DataFrame:
     """Of each metric the missing share of the grid, repeated and out-of-order times, values beyond 5σ, and whether it has disappeared."""
-    arrival = _SERIES.orderBy(seq)
+    arrival = _series().orderBy(seq)
     stats = samples.groupBy(*KEYS).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     s = samples.withColumn("late", F.col("ts") < F.lag("ts").over(arrival)).join(stats, list(KEYS))
     n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))

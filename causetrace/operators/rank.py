@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from causetrace.operators.graph import _links, _settled, closure
 
-_INCIDENT = Window.partitionBy("incident_id")
 #: Factor weights of the two rankers, and their share against PageRank.
 WEIGHTS_A = {"causal_outflow": 0.40, "temporal_priority": 0.30, "causal_inflow": 0.20, "anomaly_severity": 0.05, "event_correlation": 0.05}
 WEIGHTS_B = {"causal_outflow": 0.30, "temporal_priority": 0.25, "causal_inflow": 0.15, "anomaly_severity": 0.15, "event_correlation": 0.15}
@@ -16,11 +15,15 @@ HEURISTIC_SHARE, DAMPING = 0.7, 0.85
 LABELS = (("Critical", 0.95), ("High", 0.85), ("Medium", 0.70), ("Low", 0.50))
 
 
+def _incident():
+    return Window.partitionBy("incident_id")
+
+
 def degree_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``causal_outflow`` (out-degree over the largest) and ``causal_inflow`` (1 − in-degree over the largest)."""
     n = lambda c, name: edges.groupBy("incident_id", F.col(c).alias("metric")).agg(F.count(F.lit(1)).alias(name))
     got = nodes.select("incident_id", "metric").join(n("cause", "o"), ["incident_id", "metric"], "left").join(n("effect", "i"), ["incident_id", "metric"], "left").fillna(0, ["o", "i"])
-    most = lambda c: F.greatest(F.max(c).over(_INCIDENT), F.lit(1))
+    most = lambda c: F.greatest(F.max(c).over(_incident()), F.lit(1))
     return got.select("incident_id", "metric", (F.col("o") / most("o")).alias("causal_outflow"), (1 - F.col("i") / most("i")).alias("causal_inflow"))
 
 
@@ -28,7 +31,7 @@ def temporal_priority(first_seen: DataFrame) -> DataFrame:
     """R2: 1 for the first metric of an incident, 0 for the last and for unknown times; equal times all have 1."""
     t = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("first_seen").cast("timestamp_ntz")) / 1e6
     got = first_seen.select("incident_id", "metric", t.alias("t"))
-    lo, hi = F.min("t").over(_INCIDENT), F.max("t").over(_INCIDENT)
+    lo, hi = F.min("t").over(_incident()), F.max("t").over(_incident())
     share = 1 - (F.col("t") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
     return got.withColumn("temporal_priority", F.coalesce(share, F.lit(0.0))).drop("t")
 
@@ -49,7 +52,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, weighted: bool = True, rounds:
     rank = _settled(rank.withColumn("links", F.coalesce("links", F.lit(False))))
     for k in range(rounds):
         got = rank.join(out, key).groupBy("incident_id", F.col("to").alias("metric")).agg(F.sum(F.col("r") * F.col("w")).alias("g"))
-        loose = F.sum(F.when(F.col("links"), 0.0).otherwise(F.col("r"))).over(_INCIDENT)
+        loose = F.sum(F.when(F.col("links"), 0.0).otherwise(F.col("r"))).over(_incident())
         new = rank.withColumn("loose", loose).join(got, key, "left")
         base = (1 - damping) / F.col("n") + damping * F.col("loose") / F.col("n")
         new = new.select(*key, "n", "links", (base + damping * F.coalesce("g", F.lit(0.0))).alias("r"), F.col("r").alias("was"))
@@ -115,18 +118,18 @@ def causal_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def rank_candidates(scored: DataFrame, score: str = "composite_score") -> DataFrame:
     """``rank`` from 1 by falling score, then metric name."""
-    return scored.withColumn("rank", F.row_number().over(_INCIDENT.orderBy(F.desc(score), "metric")))
+    return scored.withColumn("rank", F.row_number().over(_incident().orderBy(F.desc(score), "metric")).cast("long"))
 
 
 def edge_report(edges: DataFrame) -> DataFrame:
     """Edges by falling strength with rounded figures."""
-    place = F.row_number().over(_INCIDENT.orderBy(F.desc("strength"), "cause", "effect"))
+    place = F.row_number().over(_incident().orderBy(F.desc("strength"), "cause", "effect")).cast("long")
     return edges.select("incident_id", place.alias("place"), "cause", "effect", F.round("strength", 4).alias("strength"), F.round("p_value", 6).alias("p_value"), "lag")
 
 
 def top(rows: DataFrame, by: str, k: int = 5, tie: str = "metric") -> DataFrame:
     """The ``k`` rows of each incident with the largest ``by``."""
-    return rows.withColumn("place", F.row_number().over(_INCIDENT.orderBy(F.desc(by), tie))).where(F.col("place") <= k)
+    return rows.withColumn("place", F.row_number().over(_incident().orderBy(F.desc(by), tie)).cast("long")).where(F.col("place") <= k)
 
 
 def node_category(nodes: DataFrame, edges: DataFrame, ranked: DataFrame) -> DataFrame:

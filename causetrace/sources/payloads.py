@@ -23,10 +23,9 @@ def range_payload_samples(payloads: DataFrame) -> DataFrame:
     """``entity, query, metric, ts, value``: one row for each sample of a range-query payload."""
     series = payloads.select("entity", "query", F.explode("result").alias("r"))
     points = series.select("entity", "query", series_name(F.col("r.metric")).alias("metric"), F.explode("r.values").alias("p"))
-    seconds = F.try_element_at("p", F.lit(1)).try_cast("double") if hasattr(F.col("p"), "try_cast") else F.col("p")[0].cast("double")
-    value = F.try_element_at("p", F.lit(2))
-    value = value.try_cast("double") if hasattr(value, "try_cast") else value.cast("double")
-    return points.select("entity", "query", "metric", F.timestamp_micros((seconds * 1000000).cast("long")).alias("ts"), value.alias("value"))
+    micros = (F.try_element_at("p", F.lit(1)).try_cast("double") * 1000000).cast("long")
+    ts = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+    return points.select("entity", "query", "metric", ts.alias("ts"), F.try_element_at("p", F.lit(2)).try_cast("double").alias("value"))
 
 
 def range_payload_to_metrics(payloads: DataFrame, step: str = "5 minutes") -> DataFrame:

@@ -154,7 +154,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
         index = ngram_index(rows, window)
         shared = docs.sparkSession.sparkContext.broadcast((index, _vocabularies(index)))
         out = map_text(out, _cutter(shared, drop_share), "__new string, __drop boolean", keep=tuple(out.columns)).where(~F.col("__drop"))
-        out = out.withColumn("text", F.col("__new")).drop("__new", "__drop")
+        out = out.withColumn("text", F.col("__new")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -171,6 +171,17 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
     return map_text(docs, make, "score double, predicted int", keep=keep)
 
 
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = shared.value.scorer()
+        return lambda texts: {"__toxic": [score(t) >= 0.5 for t in texts]}
+
+    return map_text(docs, make, "__toxic boolean", keep=tuple(docs.columns)).where(~F.col("__toxic")).drop("__toxic")
+
+
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest columns of the operator's result."""
     return scores(docs, fit(docs, labels)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

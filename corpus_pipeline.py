@@ -15,12 +15,12 @@ from causetrace.llm.queries import piece_model
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier does not call toxic (score below 0.5), all columns as they were."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-equal lines the first stays; every document stays, with the lines that are left."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, counts=False)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly benchmark go."""
-    return decontam.remove_spans(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontam.remove_spans(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

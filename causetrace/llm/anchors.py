@@ -19,33 +19,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes hashed at once; longer texts are cut into overlapping chunks.
+BUFFER = 1 << 19
+_POWER = np.cumprod(np.concatenate(([np.uint64(1)], np.full(BUFFER, _BASE, dtype=np.uint64))))
+_INVERSE = np.cumprod(np.concatenate(([np.uint64(1)], np.full(BUFFER, np.uint64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64))))
+
+
 class Spans:
     """Hashes of any byte range of a buffer in constant time (polynomial over randomised byte values, modulo 2^64, mixed)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.power = np.cumprod(np.full(n + 1, _BASE, dtype=np.uint64))
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * self.power[:n], out=self.sums[1:])
+        np.cumsum(_BYTE[data] * _POWER[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Equal ranges get equal values wherever they stand: the sum is brought to the power of a common place."""
-        n = len(self.power) - 1
-        return _mix((self.sums[end] - self.sums[start]) * self.power[n - start])
-
-    # the factor base^(n - start) depends on the buffer's length, so buffers of one job share a length: see BUFFER
-
-
-#: All buffers are padded to this many bytes so that hashes agree between them.
-BUFFER = 1 << 19
+        """Equal ranges get equal values wherever they stand: the base is odd, so its powers can be divided out."""
+        return _mix((self.sums[end] - self.sums[start]) * _INVERSE[start])
 
 
 def buffer_of(data: bytes) -> np.ndarray:
     if len(data) > BUFFER:
         raise ValueError("longer than a buffer")
-    out = np.zeros(BUFFER, dtype=np.uint8)
-    out[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    return out
+    return np.frombuffer(data, dtype=np.uint8)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -68,7 +64,7 @@ def runs(spans: Spans, bounds: list[tuple[int, int]], window: int, q: int) -> tu
         return e, e, e
     end = max(b for _, b in bounds)
     at = np.arange(end - q + 1, dtype=np.int64)
-    if not len(at) or end < window:
+    if end < window:
         e = np.zeros(0, dtype=np.int64)
         return e, e, e
     key = spans.of(at, at + q)

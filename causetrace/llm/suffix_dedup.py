@@ -10,14 +10,12 @@ buckets that the one before left open, so the work falls off quickly and no step
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causetrace.llm import anchors
-from causetrace.llm.common import map_text, stage, unstage
+from causetrace.llm.common import map_text, release, stage, unstage
 
 WINDOW = 200
 GRAM = 64
@@ -107,12 +105,6 @@ def _next_pieces(window: int, width: int):
     return f
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _settle(pieces: DataFrame, window: int, final: bool) -> tuple[DataFrame, DataFrame | None]:
     """(repeated byte ranges, pieces still open) of staged ``pieces(doc_id, th, b, f, s, n, a)``.
 
@@ -159,11 +151,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, q: int = GRAM) -> Data
         arrays = _cut_open(_with_text(keyed, todo, "inner"), window, width)
         pieces = stage(arrays.select("doc_id", "th", F.explode(F.arrays_zip("b", "f", "s", "n", "a")).alias("x")).select("doc_id", "th", "x.*"), "pieces")
         unstage(rest)
-        _release(spark)
+        release(spark)
         repeats, rest = _settle(pieces, window, final=width == 1)
         unstage(pieces)
         parts.append(repeats)
-        _release(spark)
+        release(spark)
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

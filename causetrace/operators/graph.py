@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,32 +43,73 @@ def _links(edges: DataFrame) -> DataFrame:
     return edges.select("incident_id", F.col("cause").alias("src"), F.col("effect").alias("dst"))
 
 
-def break_cycles(edges: DataFrame, first_seen: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
-    """Edges without cycles. In each strongly connected set one edge goes per round: first one whose cause was seen after
-    its effect, else the weakest (by strength, cause, effect). Sets and incidents advance together.
+def reached(links: dict[str, set[str]]) -> dict[str, set[str]]:
+    """All nodes that each node of a small graph reaches by one step or more."""
+    out = {}
+    for start in links:
+        seen: set[str] = set()
+        stack = list(links[start])
+        while stack:
+            node = stack.pop()
+            if node not in seen:
+                seen.add(node)
+                stack.extend(links.get(node, ()))
+        out[start] = seen
+    return out
+
+
+def incident_closure(edges: DataFrame) -> DataFrame:
+    """``incident_id, src, dst`` of every causal path. An incident's graph has at most its metrics as nodes, so each
+    is walked whole in one task, all incidents in parallel after one shuffle."""
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        links: dict[str, set[str]] = {}
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            links.setdefault(a, set()).add(b)
+        rows = [(*key, a, b) for a, bs in reached(links).items() for b in sorted(bs)]
+        return pd.DataFrame(rows, columns=["incident_id", "src", "dst"])
+
+    return _links(edges).groupBy("incident_id").applyInPandas(one, "incident_id string, src string, dst string")
+
+
+def _acyclic(edges: list[tuple[bool, float, str, str]]) -> set[tuple[str, str]]:
+    """The edges to drop: while a set of nodes reaches itself, its first edge in order (violators, then the weakest) goes."""
+    left, gone = sorted((not late, s, a, b) for late, s, a, b in edges), set()
+    while True:
+        links: dict[str, set[str]] = {}
+        for _, _, a, b in left:
+            links.setdefault(a, set()).add(b)
+        far = reached(links)
+        first: dict[frozenset, tuple] = {}
+        for e in left:
+            a, b = e[2], e[3]
+            if a in far.get(b, ()):
+                first.setdefault(frozenset(x for x in far[a] if a in far.get(x, ())), e)
+        if not first:
+            return gone
+        drop = set(first.values())
+        gone |= {(a, b) for _, _, a, b in drop}
+        left = [e for e in left if e not in drop]
+
+
+def break_cycles(edges: DataFrame, first_seen: DataFrame | None = None) -> DataFrame:
+    """Edges without cycles. In each strongly connected set one edge goes at a time: first one whose cause was seen after
+    its effect, else the weakest (by strength, cause, effect). One incident's graph is one group.
     """
-    now = _settled(edges)
+    now = edges
     if first_seen is not None:
-        seen = first_seen.select("incident_id", "metric", "first_seen")
-        t = lambda c: seen.select("incident_id", F.col("metric").alias(c), F.col("first_seen").alias(f"__{c}"))
+        t = lambda c: first_seen.select("incident_id", F.col("metric").alias(c), F.col("first_seen").alias(f"__{c}"))
         now = now.join(t("cause"), ["incident_id", "cause"], "left").join(t("effect"), ["incident_id", "effect"], "left")
-        now = _settled(now.withColumn("__late", F.coalesce(F.col("__cause") > F.col("__effect"), F.lit(False))).drop("__cause", "__effect"))
+        now = now.withColumn("__late", F.coalesce(F.col("__cause") > F.col("__effect"), F.lit(False))).select(*edges.columns, "__late")
     else:
         now = now.withColumn("__late", F.lit(False))
-    for _ in range(max_rounds):
-        paths = closure(_links(now))
-        back = paths.select("incident_id", F.col("src").alias("effect"), F.col("dst").alias("cause"))
-        cyclic = now.join(back, ["incident_id", "cause", "effect"], "left_semi")
-        # a strongly connected set is named by the smallest node that the cause reaches and that reaches it
-        both = paths.join(paths.select("incident_id", F.col("dst").alias("src"), F.col("src").alias("dst")), ["incident_id", "src", "dst"])
-        name = both.groupBy("incident_id", F.col("src").alias("cause")).agg(F.min("dst").alias("set"))
-        order = F.struct((~F.col("__late")).alias("o"), "strength", "cause", "effect")
-        drop = cyclic.join(name, ["incident_id", "cause"]).groupBy("incident_id", "set").agg(F.min(order).alias("x")).select("incident_id", F.col("x.cause").alias("cause"), F.col("x.effect").alias("effect"))
-        drop = _settled(drop)
-        if not drop.limit(1).count():
-            break
-        now = _settled(now.join(drop, ["incident_id", "cause", "effect"], "left_anti"))
-    return now.select(*edges.columns)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone = _acyclic(list(zip(pdf["__late"], pdf["strength"], pdf["cause"], pdf["effect"], strict=True)))
+        keep = [(a, b) not in gone for a, b in zip(pdf["cause"], pdf["effect"], strict=True)]
+        return pdf[keep].drop(columns="__late")
+
+    return now.groupBy("incident_id").applyInPandas(one, edges.schema)
 
 
 def break_cycles_weakest(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causetrace.operators.graph import _links, closure
+from causetrace.operators.graph import incident_closure
 from causetrace.operators.prepare import KEYS, pair_correlation
 from causetrace.operators.rank import confidence_label
 
@@ -68,7 +68,7 @@ def evaluate_rankings(ranked: DataFrame, truth: DataFrame) -> DataFrame:
 def closure_scorer(nodes: DataFrame, edges: DataFrame, first_seen: DataFrame, step_seconds: int = 300, least: float = 0.5) -> DataFrame:
     """Nodes of severity ``least`` or more, scored by descendants, ancestors, how early they appear, and severity."""
     key = ["incident_id", "metric"]
-    paths = closure(_links(edges)).where("src <> dst")
+    paths = incident_closure(edges).where("src <> dst")
     n = lambda c, name: paths.groupBy("incident_id", F.col(c).alias("metric")).agg(F.count(F.lit(1)).alias(name))
     w = Window.partitionBy("incident_id")
     got = nodes.withColumn("size", F.count(F.lit(1)).over(w)).join(first_seen.select(*key, "first_seen"), key, "left")
@@ -152,7 +152,7 @@ def hidden_confounders(df: DataFrame, edges: DataFrame, threshold: float = 0.7)
 def explanation_gap(nodes: DataFrame, edges: DataFrame, ranked: DataFrame) -> DataFrame:
     """How many anomalies the top cause doesn't reach."""
     top = ranked.where("rank = 1").select("incident_id", F.col("metric").alias("src"))
-    reach = closure(_links(edges)).join(top, ["incident_id", "src"], "left_semi").select("incident_id", F.col("dst").alias("metric"))
+    reach = incident_closure(edges).join(top, ["incident_id", "src"], "left_semi").select("incident_id", F.col("dst").alias("metric"))
     reach = reach.union(top.select("incident_id", F.col("src").alias("metric"))).distinct().withColumn("told", F.lit(True))
     got = nodes.join(reach, ["incident_id", "metric"], "left")
     return got.groupBy("incident_id").agg(F.count(F.lit(1)).alias("anomalies"), F.sum(F.col("told").isNull().cast("long")).alias("unexplained"))

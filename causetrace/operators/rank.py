@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causetrace.operators.graph import _links, _settled, closure
+from causetrace.operators.graph import incident_closure
 
 #: Factor weights of the two rankers, and their share against PageRank.
 WEIGHTS_A = {"causal_outflow": 0.40, "temporal_priority": 0.30, "causal_inflow": 0.20, "anomaly_severity": 0.05, "event_correlation": 0.05}
@@ -42,28 +44,34 @@ def event_factor(correlations: DataFrame) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, weighted: bool = True, rounds: int = 100, tolerance: float = 1e-6, damping: float = DAMPING) -> DataFrame:
-    """``incident_id, metric, pagerank`` on the reversed graph; all incidents advance together until the slowest settles."""
-    key = ["incident_id", "metric"]
-    size = nodes.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
-    w = F.col("strength").cast("double") if weighted else F.lit(1.0)
-    out = edges.select("incident_id", F.col("effect").alias("metric"), F.col("cause").alias("to"), w.alias("w"))
-    out = _settled(out.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy(*key))))
-    rank = nodes.select(*key).join(size, "incident_id").withColumn("r", 1 / F.col("n")).join(out.select(*key).distinct().withColumn("links", F.lit(True)), key, "left")
-    rank = _settled(rank.withColumn("links", F.coalesce("links", F.lit(False))))
-    for k in range(rounds):
-        got = rank.join(out, key).groupBy("incident_id", F.col("to").alias("metric")).agg(F.sum(F.col("r") * F.col("w")).alias("g"))
-        loose = F.sum(F.when(F.col("links"), 0.0).otherwise(F.col("r"))).over(_incident())
-        new = rank.withColumn("loose", loose).join(got, key, "left")
-        base = (1 - damping) / F.col("n") + damping * F.col("loose") / F.col("n")
-        new = new.select(*key, "n", "links", (base + damping * F.coalesce("g", F.lit(0.0))).alias("r"), F.col("r").alias("was"))
-        new = _settled(new) if k % 5 == 4 or k == rounds - 1 else new
-        if k % 5 == 4:
-            moving = new.groupBy("incident_id").agg(F.sum(F.abs(F.col("r") - F.col("was"))).alias("d"), F.max("n").alias("n")).where(F.col("d") >= F.col("n") * tolerance)
-            if not moving.limit(1).count():
-                rank = new
+    """``incident_id, metric, pagerank`` on the reversed graph, by power iteration within each incident.
+
+    An incident's graph is small (its metrics), so one shuffle brings it together and all incidents run in parallel.
+    """
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(left["metric"])
+        if not names:
+            return pd.DataFrame({"incident_id": [], "metric": [], "pagerank": []})
+        at, n = {m: k for k, m in enumerate(names)}, len(names)
+        move = np.zeros((n, n))
+        for cause, effect, w in zip(right["cause"], right["effect"], right["w"], strict=True):
+            if cause in at and effect in at:
+                move[at[cause], at[effect]] += w
+        out = move.sum(axis=0)
+        move /= np.where(out > 0, out, 1)
+        r = np.full(n, 1 / n)
+        for _ in range(rounds):
+            was = r
+            r = (1 - damping) / n + damping * (r[out == 0].sum() / n + move @ r)
+            if abs(r - was).sum() < n * tolerance:
                 break
-        rank = new.drop("was")
-    return rank.select(*key, F.col("r").alias("pagerank"))
+        return pd.DataFrame({"incident_id": key[0], "metric": names, "pagerank": r})
+
+    w = F.col("strength").cast("double") if weighted else F.lit(1.0)
+    left = nodes.select("incident_id", "metric").groupBy("incident_id")
+    right = edges.select("incident_id", "cause", "effect", w.alias("w")).groupBy("incident_id")
+    return left.cogroup(right).applyInPandas(one, "incident_id string, metric string, pagerank double").where("metric is not null")
 
 
 def factors(nodes: DataFrame, edges: DataFrame, first_seen: DataFrame, correlations: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -111,7 +119,7 @@ def upstream_causes(edges: DataFrame) -> DataFrame:
 
 def causal_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Each metric, then all it reaches, by name."""
-    reach = closure(_links(edges)).where("src <> dst").groupBy("incident_id", F.col("src").alias("metric")).agg(F.array_sort(F.collect_set("dst")).alias("rest"))
+    reach = incident_closure(edges).where("src <> dst").groupBy("incident_id", F.col("src").alias("metric")).agg(F.array_sort(F.collect_set("dst")).alias("rest"))
     got = nodes.select("incident_id", "metric").join(reach, ["incident_id", "metric"], "left")
     return got.select("incident_id", "metric", F.concat(F.array("metric"), F.coalesce("rest", F.array().cast("array<string>"))).alias("causal_chain"))
 

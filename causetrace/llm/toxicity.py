@@ -15,7 +15,9 @@ from causetrace.llm.common import map_text
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Ends both dictionaries and begins every window, so the cost of a block header is the same for both.
-LEAD = b" 0@1#2%3^4&5*6~ "
+LEAD = b" 0@1#2%3^4&5*6~"
+#: Ends every window: the compressor looks for no match in the last eight bytes of its input.
+TAIL = b" =9-8_7+6"
 MEMO_WORDS = 400_000
 
 
@@ -65,7 +67,7 @@ def _compressor(content: bytes):
 
 
 def _lengths(word: bytes, toxic, ordinary) -> tuple[int, int]:
-    w = LEAD + word + b" "
+    w = LEAD + b" " + word + TAIL
     return len(toxic(w)), len(ordinary(w))
 
 
@@ -77,7 +79,7 @@ def features(hits: int, words: int) -> list[float]:
 def train(rows: list[tuple[str, int]], least_share: float = 0.01, least_odds: float = 20.0) -> Model:
     """Dictionaries, thresholds and weights from labelled texts.
 
-    The toxic dictionary takes the words that recur in at least ``least_share`` of the toxic texts
+    The toxic dictionary takes the words that recur in at least ``least_share`` of the toxic texts, in as many contexts,
     and are at least ``least_odds`` times likelier there; the ordinary one as many bytes of words likelier
     there; both then hold the commonest words of all, at equal distances. Thresholds on the compressed length of a
     window and on its gain are those that best separate the training texts; a logistic regression turns
@@ -86,7 +88,14 @@ def train(rows: list[tuple[str, int]], least_share: float = 0.01, least_odds: fl
     of = [[windows(t) for t, y in rows if y == k] for k in (0, 1)]
     n = [len(x) for x in of]
     df = [Counter(w for x in xs for w in set(x)) for xs in of]
-    odds = {w: ((c + 0.5) / (n[1] + 1)) / ((df[0][w] + 0.5) / (n[0] + 1)) for w, c in df[1].items() if c >= max(2, least_share * n[1])}
+    # copies of a text repeat a word in one context; only words that stand in that many contexts recur
+    around: dict[bytes, set] = {w: set() for w, c in df[1].items() if c >= max(2, least_share * n[1])}
+    for x in of[1]:
+        for before, w, after in zip([b"", *x], x, [*x[1:], b""], strict=False):
+            if w in around:
+                around[w].add((before, after))
+    seen = {w: min(df[1][w], len(c)) for w, c in around.items() if len(c) >= max(2, least_share * n[1])}
+    odds = {w: ((c + 0.5) / (n[1] + 1)) / ((df[0][w] + 0.5) / (n[0] + 1)) for w, c in seen.items()}
     toxic = sorted((w for w, o in odds.items() if o >= min(least_odds, (n[0] + 1) / 4)), key=lambda w: (df[1][w], w))[-4000:]
     size, ordinary = sum(len(w) + 1 for w in toxic), []
     for w, c in sorted(df[0].items(), key=lambda x: (-x[1], x[0])):
@@ -96,18 +105,18 @@ def train(rows: list[tuple[str, int]], least_share: float = 0.01, least_odds: fl
             ordinary.append(w)
             size -= len(w) + 1
     common = b" ".join(w for w, _ in sorted((df[0] + df[1]).items(), key=lambda x: (x[1], x[0]))[-600:] if w not in set(toxic))
-    made = [b" " + b" ".join(ws) + b" " + common + LEAD for ws in (toxic, ordinary[::-1])]
+    made = [b" " + b" ".join(ws) + b" " + common + b" " + LEAD for ws in (toxic, ordinary[::-1])]
     a, b = map(_compressor, made)
     memo = {w: _lengths(w, a, b) for xs in of for x in xs for w in x}
     if not n[0] or not n[1]:  # nothing to tell apart
         return Model(*made, 0, 0, [-3.0 if n[0] else 3.0 if n[1] else 0.0, 0, 0, 0])
     # each text's distinct cells (compressed length, gain), for a search over thresholds that is linear in the texts
     cells = [[{(memo[w][0], memo[w][1] - memo[w][0]) for w in x} for x in xs] for xs in of]
-    lows = sorted({c[0] for xs in cells for x in xs for c in x})[:12]
+    lows = sorted({c[0] for xs in cells for x in xs for c in x})[:24]
     best = max(
         (sum(any(p <= t and q >= g for p, q in x) for x in cells[1]) / n[1] - sum(any(p <= t and q >= g for p, q in x) for x in cells[0]) / n[0], g, -t)
         for t in lows
-        for g in range(2, 9)
+        for g in range(1, 9)
     )
     t, g = -best[2], best[1]
     hit = {w for w, (p, q) in memo.items() if p <= t and q - p >= g}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.llm.common import map_text
@@ -128,12 +128,17 @@ def fit(docs: DataFrame, per_language: int = 500, languages: int = 200, longest:
     """Train on a bounded sample outside the held-out fold: at most ``per_language`` texts of each of the at most
     ``languages`` commonest non-null languages, whole texts of at most ``longest`` characters, in hash order of doc_id."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.length("text") <= longest).where(~F.coalesce(held_out(), F.lit(False)))
-    seen = sorted(r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    sample = []
-    for code in seen:
-        part = rows.where(F.col("lang") == code).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language)
-        sample += [(r["text"], code) for r in part.toLocalIterator()]
-    return train(sample)
+    commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    seen = [r["lang"] for r in commonest.collect()]
+    # ids are chosen first: they are small, and each task keeps at most per_language of them for a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = rows.where(F.col("lang").isin(seen)).select("doc_id", "lang", place.alias("__k")).where(F.col("__k") <= per_language).select("doc_id", "lang").distinct()
+    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"])
+    sample: dict[str, list] = {}
+    for r in chosen.toLocalIterator():
+        if len(sample.setdefault(r["lang"], [])) < per_language:
+            sample[r["lang"]].append((str(r["doc_id"]), r["text"]))
+    return train([(t, code) for code in sorted(sample) for _, t in sorted(sample[code])])
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -158,7 +158,9 @@ def _drained(spark, stream, mode):
     import uuid
 
     name = f"causetrace_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)  # state and offsets where all executors see them
+    q = (writer.option("checkpointLocation", f"{folder}/{name}") if folder else writer).start()
     q.awaitTermination()
     return spark.table(name)
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import map_text
+from causetrace.llm.common import SLICE_ROWS, map_text
 
 WINDOW = 10
 #: Broadcast at most so many bytes of benchmark text at once; a larger benchmark is scanned in blocks.
@@ -78,22 +78,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     most ``block_bytes`` of benchmark text; a larger benchmark takes one scan for each block, and
     the hits of the blocks are merged by document.
     """
-    spark, out, n = docs.sparkSession, docs.select("doc_id", "text"), 0
+    out = _hits(docs.select("doc_id", "text"), benchmark, window, block_bytes, ("doc_id",))
+    out = out.select("doc_id", F.col("__words").alias("n_words"), F.col("__starts").alias("starts"), F.col("__ends").alias("ends"), F.col("__items").alias("items"))
+    hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return out.withColumn("n_hit", hit)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` with ``__words, __starts, __ends, __items``: the hits of all blocks in the uncut text, merged."""
+    spark, out, n = docs.sparkSession, docs, 0
     for n_blocks, rows in _blocks(benchmark, block_bytes):
         index = ngram_index(rows, window)
         shared = spark.sparkContext.broadcast((index, _vocabularies(index), [str(i) for i, _ in rows]))
-        found = map_text(out, _scanner(shared), "n_words bigint, __s array<bigint>, __e array<bigint>, __i array<string>", keep=tuple(c for c in out.columns if n_blocks > 1 or c != "text"))
-        out = found.withColumnsRenamed({"__s": f"__s{n}", "__e": f"__e{n}", "__i": f"__i{n}"})
-        out, n = out.drop("n_words") if n < n_blocks - 1 else out, n + 1
+        kept = keep if n == n_blocks - 1 else (*keep, *(c for c in ("text",) if c not in keep))
+        before = tuple(f"__{c}{k}" for k in range(n) for c in "sei")
+        found = map_text(out, _scanner(shared), "n_words__ bigint, __s array<bigint>, __e array<bigint>, __i array<string>", keep=(*kept, *before))
+        out = found.withColumnsRenamed({"__s": f"__s{n}", "__e": f"__e{n}", "__i": f"__i{n}", "n_words__": "__words"})
+        out, n = out.drop("__words") if n < n_blocks - 1 else out, n + 1
+    kept = [F.col(f"`{c}`") for c in keep]
     if n == 1:
-        out = out.select("doc_id", "n_words", F.col("__s0").alias("starts"), F.col("__e0").alias("ends"), F.col("__i0").alias("items"))
-    else:
-        spans = F.array_sort(F.concat(*[F.arrays_zip(F.col(f"__s{k}").alias("starts"), F.col(f"__e{k}").alias("ends")) for k in range(n)]))
-        merged = F.aggregate(spans, F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"), _merge_span)
-        items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__i{k}") for k in range(n)])))
-        out = out.select("doc_id", "n_words", merged.alias("m"), items.alias("items")).select("doc_id", "n_words", F.col("m.starts").alias("starts"), F.col("m.ends").alias("ends"), "items")
-    hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    return out.withColumn("n_hit", hit)
+        return out.select(*kept, "__words", F.col("__s0").alias("__starts"), F.col("__e0").alias("__ends"), F.col("__i0").alias("__items"))
+    spans = F.array_sort(F.concat(*[F.arrays_zip(F.col(f"__s{k}").alias("starts"), F.col(f"__e{k}").alias("ends")) for k in range(n)]))
+    merged = F.aggregate(spans, F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"), _merge_span)
+    items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"__i{k}") for k in range(n)])))
+    out = out.select(*kept, "__words", merged.alias("__m"), items.alias("__items"))
+    return out.select(*kept, "__words", F.col("__m.starts").alias("__starts"), F.col("__m.ends").alias("__ends"), "__items")
 
 
 def _merge_span(acc, x):
@@ -112,11 +121,11 @@ def _scanner(shared):
         index, vocabularies, ids = shared.value
 
         def f(texts: list) -> dict[str, list]:
-            out: dict[str, list] = {"n_words": [], "__s": [], "__e": [], "__i": []}
+            out: dict[str, list] = {"n_words__": [], "__s": [], "__e": [], "__i": []}
             for text in texts:
                 words = words_of(text)
                 spans, found = scan(words, index, vocabularies)
-                out["n_words"].append(len(words))
+                out["n_words__"].append(len(words))
                 out["__s"].append([a for a, _ in spans])
                 out["__e"].append([b for _, b in spans])
                 out["__i"].append(sorted({ids[k] for k in found}))
@@ -144,38 +153,32 @@ def cut_spans(text: str, starts: list[int], ends: list[int]) -> str:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without benchmark passages: hit spans are cut out, and a document of which more than
-    ``drop_share`` of the words are hit is dropped. Needs one scan when the benchmark fits one block;
-    all columns of ``docs`` remain, ``n_chars`` follows the text when present. Null texts stay null."""
-    blocks = list(_blocks(benchmark, BLOCK_BYTES))
-    out = docs
-    for _, rows in blocks:
-        index = ngram_index(rows, window)
-        shared = docs.sparkSession.sparkContext.broadcast((index, _vocabularies(index)))
-        out = map_text(out, _cutter(shared, drop_share), "__new string, __drop boolean", keep=tuple(out.columns)).where(~F.col("__drop"))
-        out = out.withColumn("text", F.col("__new")).select(*docs.columns)
+    ``drop_share`` of the words are hit is dropped. One scan for each block of the benchmark; the hits of all blocks
+    are merged before anything is cut or judged. All columns of ``docs`` remain, ``n_chars`` follows the text when
+    present. Null texts stay null."""
+    import pyarrow as pa
+
+    hits = _hits(docs, benchmark, window, block_bytes, tuple(docs.columns))
+    share = F.aggregate(F.zip_with("__starts", "__ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    left = hits.where(share <= drop_share * F.col("__words"))
+
+    def cut(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(k, SLICE_ROWS)
+                old, starts, ends = (part.column(c).to_pylist() for c in (at, part.num_columns - 2, part.num_columns - 1))
+                new = [cut_spans(t, a, b) if a else t for t, a, b in zip(old, starts, ends, strict=True)]
+                cols = [pa.array(new, type=pa.string()) if c == at else part.column(c) for c in range(part.num_columns - 2)]
+                yield pa.RecordBatch.from_arrays(cols, names=docs_columns)
+
+    docs_columns = docs.columns
+    out = left.select(*[F.col(f"`{c}`") for c in docs_columns], "__starts", "__ends").mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
-def _cutter(shared, drop_share: float):
-    def make():
-        index, vocabularies = shared.value
-
-        def f(texts: list) -> dict[str, list]:
-            new, drop = [], []
-            for text in texts:
-                words = words_of(text)
-                spans, _ = scan(words, index, vocabularies)
-                drop.append(sum(b - a for a, b in spans) > drop_share * len(words))
-                new.append(cut_spans(text, [a for a, _ in spans], [b for _, b in spans]) if spans else text)
-            return {"__new": new, "__drop": drop}
-
-        return f
-
-    return make
-
-
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the operator's result."""
     hits = decontaminate(docs, benchmark)

@@ -366,3 +366,17 @@ def test_pipeline(spark, tmp_path, rows):
     step = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, f in corpus_pipeline.STAGES[:-1]:
         assert f(spark, step, str(tmp_path)).columns == step.columns
+
+
+def test_spans_of_several_blocks(spark):
+    """What is cut and dropped doesn't depend on how the benchmark is split."""
+    rng = random.Random(24)
+    items = [(k, words(rng, 30)) for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(1, items[0][1] + " " + items[1][1] + " " + words(rng, 40)), (2, " ".join(x for _, x in items[2:5]) + " " + words(rng, 40)), (3, words(rng, 50)), (4, None)]
+    texts.append((5, items[0][1] + " " + words(rng, 200) + " " + " ".join(items[0][1].split()[:9] + items[5][1].split())))
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("__starts0", F.lit("mine"))
+    key = lambda d: sorted(map(str, d.collect()))
+    one, many = decontam.remove_spans(df, bench), decontam.remove_spans(df, bench, block_bytes=100)
+    assert many.columns == df.columns and key(one) == key(many)
+    assert {r.doc_id for r in many.collect()} == {3, 4, 5}

@@ -6,6 +6,7 @@ import datetime as dt
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,20 @@ DEMO_KEY = b"causetrace demonstration key"
 FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 #: How each kind is written.
-PATTERN = re.compile(
-    r"(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b)"
-    r"|(?P<isodate>(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-]))"
-    r"|(?P<dmydate>(?<![0-9./])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9./]))"
-    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
-    r"|(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
-    r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))"
-)
+KINDS = {
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b",
+    "isodate": r"(?<![0-9])(?<![0-9][./-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|[./-][0-9])",
+    "dmydate": r"(?<![0-9])(?<![0-9][./-])[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}(?![0-9]|[./-][0-9])",
+    "ssn": r"(?<![0-9])(?<![0-9][./-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|[./-][0-9])",
+    "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+    r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])(?<![0-9][./-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]|[./-][0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in KINDS.items()))
+SINGLE = {k: re.compile(p) for k, p in KINDS.items()}
+#: Fewest characters of the kinds that are tried at shorter ends when the check fails.
+LEAST = {"iban": 15, "card": 13}
 DOMAIN = re.compile(r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 #: The longest local part of an address (RFC 5321).
@@ -155,15 +160,16 @@ def pseudonymise_text(text: str, key: bytes, memo: dict) -> tuple[str, list[str]
     done = at = 0
     while spark := SPARK.search(text, at):
         i = spark.start()
-        kind, start, end = _found(text, i, done)
         new = None
-        if kind:
+        for kind, start, end in _candidates(text, i, done):
             value = text[start:end]
             new = memo.get((kind, value), "")
             if new == "":
                 if len(memo) > 200_000:
                     memo.clear()
                 new = memo[kind, value] = pseudonym(kind, value, key)
+            if new is not None:
+                break
         if new is None:
             at = i + 1 if text[i] == "@" else DIGITS.match(text, i).end()
             continue
@@ -173,8 +179,8 @@ def pseudonymise_text(text: str, key: bytes, memo: dict) -> tuple[str, list[str]
     return ("".join(out) + text[done:] if kinds else text), kinds
 
 
-def _found(text: str, i: int, done: int) -> tuple[str | None, int, int]:
-    """The kind and place of a candidate whose first digit or @ is at ``i``; nothing before ``done`` is touched."""
+def _candidates(text: str, i: int, done: int) -> Iterator[tuple[str, int, int]]:
+    """The kinds and places of what may begin with the first digit or @ at ``i``, best first; nothing before ``done`` is touched."""
     start = i
     m = DOMAIN.match(text, i)
     if not m and text[i] != "@":
@@ -186,12 +192,24 @@ def _found(text: str, i: int, done: int) -> tuple[str | None, int, int]:
         while start > done and i - start <= LOCAL_CHARS and text[start - 1] in LOCAL:
             start -= 1
         if start < m.start() <= start + LOCAL_CHARS:
-            return "email", start, m.end()
+            yield "email", start, m.end()
     for start in range(max(done, i - 2), i + 1):
         m = PATTERN.match(text, start)
         if m:
-            return m.lastgroup, m.start(), m.end()
-    return None, i, i
+            yield from _ends(m.lastgroup, m)
+            for kind, pattern in SINGLE.items():
+                if kind != m.lastgroup and (other := pattern.match(text, start)):
+                    yield from _ends(kind, other)
+
+
+def _ends(kind: str, m: re.Match) -> Iterator[tuple[str, int, int]]:
+    """A match, then for cards and IBANs its beginnings up to each separator, longest first."""
+    yield kind, m.start(), m.end()
+    if kind in LEAST:
+        value = m[0]
+        for at in range(len(value) - 1, 0, -1):
+            if value[at] in " -" and sum(c.isalnum() for c in value[:at]) >= LEAST[kind]:
+                yield kind, m.start(), m.start() + at
 
 
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:

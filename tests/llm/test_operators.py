@@ -380,3 +380,19 @@ def test_spans_of_several_blocks(spark):
     one, many = decontam.remove_spans(df, bench), decontam.remove_spans(df, bench, block_bytes=100)
     assert many.columns == df.columns and key(one) == key(many)
     assert {r.doc_id for r in many.collect()} == {3, 4, 5}
+
+
+def test_values_at_borders():
+    f = lambda t: pii.pseudonymise_text(t, b"secret", {})
+    for text, kinds in {
+        "call 555-123-4567.": ["phone"],
+        "born 12.03.1980.": ["dmydate"],
+        "on 1984-02-29. Or 123-45-6789.": ["isodate", "ssn"],
+        "4111 1111 1111 1111 12/27": ["card"],
+        "4111 1111 1111 1111 123": ["card"],
+        "DE89 3704 0044 0532 0130 00 BIC COBADEFF": ["iban"],
+    }.items():
+        new, got = f(text)
+        assert got == kinds and new != text, text
+    assert f("4111 1111 1111 1111 12/27")[0].endswith(" 12/27") and f("DE89 3704 0044 0532 0130 00 BIC COBADEFF")[0].endswith(" BIC COBADEFF")
+    assert f("version 1.12.03.1980.7 and 1555-123-4567-8 stay")[1] == []

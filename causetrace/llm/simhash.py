@@ -9,12 +9,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causetrace.llm.buckets import band_keys, verified_components
 from causetrace.llm.common import map_text, stage, text_or_empty, unstage
 from causetrace.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Buckets of more members are linked through one-bit neighbourhoods instead of pairs; both ways are exact.
 PAIR_LIMIT = 8
+#: MinHash bands of the pipeline's stage, values in a band, and how many of all values a candidate pair must agree in (0.8: probability 0.998).
+BANDS, ROWS, AGREE = 12, 4, 30
+_RANDOM = np.random.default_rng(20240101)
+FACTORS = _RANDOM.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TERMS = _RANDOM.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
 
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
@@ -120,52 +126,76 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that repeat the first one of their group, all columns as they were.
+    """``docs`` with one document of each group of near duplicates, all columns as they were.
 
-    Groups are those of ``simhash_groups`` over ``width``-word shingles; a document goes if its text equals that of the
-    group's smallest doc_id or their shingle sets have a Jaccard similarity of at least ``similarity``. Empty and null texts
-    are equal. Rows that repeat a doc_id and text share one decision; rows with a null doc_id always stay.
+    Candidates are the fingerprints within ``radius`` bits over ``width``-word shingles and, as two texts of similarity 0.8 differ in
+    ten bits or so, the texts that share a MinHash band (probability 0.998 at 0.8, 0.99998 at 0.9). Candidates are linked if their
+    shingle sets have a Jaccard similarity of at least ``similarity``; of each component of links the smallest doc_id stays.
+    Empty and null texts are equal. Rows that repeat a doc_id and text share one decision; rows with a null doc_id always stay.
     """
     key = ["doc_id", "__th", "__tk"]
     keyed = docs.withColumns({"__th": F.xxhash64(text_or_empty()), "__tk": F.xxhash64(F.lit(7), text_or_empty())})
-    fps = map_text(keyed, _fingerprinter(width), "fp bigint", keep=tuple(key))
-    fps = stage(fps.where("doc_id is not null"), "fps")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    comp = connected_components(link_fingerprints(nodes, radius))
-    named = stage(nodes.join(comp.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("comp")), "named")
-    members = stage(fps.join(named.hint("merge"), "fp").select(*key, "comp"), "members")
-    first = members.groupBy("comp").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
-    first = stage(first, "firsts")
-    told = stage(members.join(first.hint("merge"), "comp").select(*key, "comp", "first"), "told")
-    same = (F.col("__th") == F.col("first.__th")) & (F.col("__tk") == F.col("first.__tk"))
-    equal = told.where(same & (F.col("doc_id") != F.col("first.doc_id"))).select(*key)
-    # texts that differ from the group's first: fetched once each, and compared in full
-    doubt = told.where(~same).select(*key, "comp")
-    texts = keyed.select(*key, "text")
-    mine = texts.join(doubt.distinct().hint("merge"), key).select(*key, "comp", "text")
-    heads = first.join(doubt.select("comp").distinct().hint("merge"), "comp").select("comp", "first.*")
-    heads = texts.join(heads.hint("merge"), key).select("comp", F.col("text").alias("head")).dropDuplicates(["comp"])
-    near = _similar(mine.join(heads.hint("merge"), "comp").select(*key, "text", "head"), width, similarity, key)
-    gone = stage(equal.unionByName(near).distinct(), "gone")
-    for x in (fps, nodes, named, members, first, told):
+    told = map_text(keyed, _signer(width), "fp bigint, h1 bigint, h2 bigint, m array<int>", keep=tuple(key))
+    told = stage(told.where("doc_id is not null").select(*key, "fp", F.struct("h1", "h2").alias("id"), "m"), "fps")
+    # each run of words once; any row that has it lends its text
+    nodes = stage(told.groupBy("id").agg(F.min(F.struct(*key)).alias("k"), F.first("fp").alias("fp"), F.first("m").alias("m")), "nodes")
+    banded = nodes.where(F.size("m") > 0).select(F.struct("id", "m").alias("x"), F.explode(F.array(*band_keys(F.col("m"), BANDS, ROWS))).alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = stage(banded.join(shared.hint("merge"), "key"), "members")
+    prints = stage(nodes.groupBy("fp").agg(F.min("id").alias("node")), "prints")
+    close = link_fingerprints(prints, radius).select("a", "b")
+    heads = nodes.join(prints.select("fp", "node").hint("merge"), "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    close = stage(close.unionByName(heads), "close")
+    wanted = members.select("x.id").unionByName(close.select(F.col("a").alias("id"))).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    wanted = nodes.join(wanted.hint("merge"), "id").select("id", "k.*")
+    texts = stage(keyed.select(*key, "text").join(wanted.hint("merge"), key).select("id", "text").dropDuplicates(["id"]), "texts")
+    verify = lambda pairs: _verified(pairs, texts, width, similarity)
+    comp = verified_components(members, BANDS * ROWS, BANDS, AGREE, verify, verify(close))
+    named = stage(told.select(*key, "id").join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(*key, F.coalesce("component", "id").alias("comp")), "named")
+    first = named.groupBy("comp").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
+    gone = stage(named.join(first.hint("merge"), "comp").where(F.struct(*key) != F.col("first")).select(*key).distinct(), "gone")
+    for x in (told, nodes, members, prints, close, texts, comp, named):
         unstage(x)
     left = keyed.join(gone.hint("merge"), key, "left_anti")
     return left.select(*docs.columns)
 
 
-def _fingerprinter(width: int):
-    return lambda: lambda texts: {"fp": [fingerprint(shingle_hashes(t, width)) for t in texts]}
-
-
-def _similar(pairs: DataFrame, width: int, similarity: float, key: list[str]) -> DataFrame:
+def minhash(hashes: list[int]) -> list[int]:
+    """``BANDS * ROWS`` MinHash values of a list of shingle hashes; none give none."""
+    if not hashes:
+        return []
+    h, low = np.array(hashes, dtype=np.uint64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(h), 4096):
+        low = np.minimum(low, (h[None, at : at + 4096] * FACTORS[:, None] + TERMS[:, None]).min(axis=1))
+    return (low >> np.uint64(32)).astype(np.uint32).view(np.int32).tolist()
+
+
+def _signer(width: int):
+    def f(texts: list) -> dict[str, list]:
+        out: dict[str, list] = {"fp": [], "h1": [], "h2": [], "m": []}
+        for text in texts:
+            hashes = shingle_hashes(text, width)
+            whole = xxhash.xxh3_128_intdigest(b" ".join((text or "").encode().translate(LOWER).split()))
+            out["fp"].append(fingerprint(hashes))
+            out["h1"].append(_signed(whole >> 64))
+            out["h2"].append(_signed(whole & (1 << 64) - 1))
+            out["m"].append(minhash(hashes))
+        return out
+
+    return lambda: f
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts have a Jaccard similarity of at least ``similarity``."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ok = [jaccard(a, b, width) >= similarity for a, b in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(3)], names=key).filter(pa.array(ok, type=pa.bool_()))
+                ok = [jaccard(a, b, width) >= similarity for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(2)], names=["a", "b"]).filter(pa.array(ok, type=pa.bool_()))
 
-    schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in key)
-    return pairs.mapInArrow(run, schema)
+    of = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")).hint("merge")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+    return stage(both.mapInArrow(run, pairs.select("a", "b").schema), "links")

@@ -396,3 +396,25 @@ def test_values_at_borders():
         assert got == kinds and new != text, text
     assert f("4111 1111 1111 1111 12/27")[0].endswith(" 12/27") and f("DE89 3704 0044 0532 0130 00 BIC COBADEFF")[0].endswith(" BIC COBADEFF")
     assert f("version 1.12.03.1980.7 and 1555-123-4567-8 stay")[1] == []
+
+
+def edited(rng, text, share):
+    """The text with about ``share`` of its words replaced, each at a place of its own."""
+    return " ".join(words(rng, 1) if rng.random() < share else w for w in text.split(" "))
+
+
+def test_scattered_edits_are_near_duplicates(spark):
+    """All pairs of similarity 0.8 or more, by brute force: far beyond two bits of a fingerprint."""
+    rng = random.Random(21)
+    base = [words(rng, 300) for _ in range(60)]
+    texts = base + [edited(rng, t, 0.005 + 0.02 * rng.random()) for t in base]
+    parent, find = union_find(len(texts))
+    for a in range(len(texts)):
+        for b in range(a):
+            if simhash.jaccard(texts[a], texts[b], 5) >= 0.8:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    want = {find(k) for k in range(len(texts))}
+    assert len(want) < 100
+    got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want

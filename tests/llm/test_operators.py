@@ -418,3 +418,12 @@ def test_scattered_edits_are_near_duplicates(spark):
     assert len(want) < 100
     got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_links_not_to_the_first(spark, monkeypatch):
+    """Two near copies both go to one, though the first of their chain of fingerprints is like neither."""
+    rng = random.Random(22)
+    a, b = words(rng, 300), words(rng, 300)
+    df = spark.createDataFrame([(1, a), (2, b), (3, b + " end")], "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes: 5)
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {1, 2}

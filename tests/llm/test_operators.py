@@ -427,3 +427,24 @@ def test_links_not_to_the_first(spark, monkeypatch):
     df = spark.createDataFrame([(1, a), (2, b), (3, b + " end")], "doc_id long, text string")
     monkeypatch.setattr(simhash, "fingerprint", lambda hashes: 5)
     assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == {1, 2}
+
+
+def test_lines_of_one_template(spark):
+    """Near copies within a large bucket of lines that share most of a template."""
+    rng = random.Random(23)
+    frame = words(rng, 60).split()
+    lines = []
+    for _ in range(150):
+        own = list(frame)
+        for k in rng.sample(range(len(frame)), 5):
+            own[k] = words(rng, 1)
+        lines += [" ".join(own), " ".join(own) + "x"]
+    sets = [{x[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    parent, find = union_find(len(lines))
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    want = len(lines) - len({find(k) for k in range(len(lines))})
+    got = line_dedup.dedup_lines(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string"))
+    assert 0.99 * want <= got.agg(F.sum("n_removed")).first()[0] <= want

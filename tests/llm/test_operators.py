@@ -448,3 +448,33 @@ def test_lines_of_one_template(spark):
     want = len(lines) - len({find(k) for k in range(len(lines))})
     got = line_dedup.dedup_lines(spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string"))
     assert 0.99 * want <= got.agg(F.sum("n_removed")).first()[0] <= want
+
+
+def test_long_tokens_differ_in_lines(spark):
+    """What stands beyond the first 12 characters of a token counts."""
+    rows = [(1, "sha 9f86d081884c7d65"), (2, "sha 9f86d081884cffff"), (3, "Donaudampfschifffahrt"), (4, "Donaudampfschiffsmotor"), (5, "202401011200004711"), (6, "202401011200000815")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == dict(rows)
+
+
+def test_line_dedup_with_all_shingles(docs, rows):
+    """Against brute force over every overlapping run of 12 characters."""
+    got = line_dedup.dedup_lines(docs).collect()
+    first = defaultdict(set)
+    for i, t in dict.fromkeys(rows):
+        for n, line in enumerate((t or "").split("\n")):
+            if line.strip(" "):
+                first[line].add(((i is not None, i or 0), n))
+    lines = list(first)
+    sets = [{x.lower()[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    parent, find = union_find(len(lines))
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for k, x in enumerate(lines):
+        groups[find(k)] |= first[x]
+    want = sum(len(g) - 1 for g in groups.values())
+    removed = sum({(r.doc_id, r.text): r.n_removed for r in got}.values())
+    assert want * 0.97 <= removed <= want

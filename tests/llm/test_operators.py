@@ -466,7 +466,7 @@ def test_line_dedup_with_all_shingles(docs, rows):
             if line.strip(" "):
                 first[line].add(((i is not None, i or 0), n))
     lines = list(first)
-    sets = [{x.lower()[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in map(str.lower, lines)]
     parent, find = union_find(len(lines))
     for a in range(len(lines)):
         for b in range(a):

@@ -1,10 +1,10 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and ordinary text, compared window by window."""
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text, compared window by window."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,42 +14,38 @@ from pyspark.sql import functions as F
 from causetrace.llm.common import map_text
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-#: Ends both dictionaries and begins every window, so the cost of a block header is the same for both.
-LEAD = b" 0@1#2%3^4&5*6~"
-#: Ends every window: the compressor looks for no match in the last eight bytes of its input.
-TAIL = b" =9-8_7+6"
-MEMO_WORDS = 400_000
+#: Words of a window.
+WINDOW_WORDS = 16
+#: Bytes of each trained dictionary; of the ordinary text behind both (together within the compressor's chain of 2 MB); and of the samples that the dictionary builder gets.
+DICTIONARY, BACKGROUND, SAMPLE = 32 << 10, (2 << 20) - (128 << 10), 400
+#: The dictionary builder's segment and d-mer lengths: runs of 8 bytes that recur in many samples, in segments of 16.
+SEGMENT, DMER = 16, 8
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The windows of a text: its lower-cased words, each between spaces when compressed."""
-    return WORD.findall((text or "").lower().encode())
+    """The windows of a text: ``WINDOW_WORDS`` lower-cased words each, the last one shorter; without words there is none."""
+    words = WORD.findall((text or "").lower().encode())
+    return [b" %b " % b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
 
 
 @dataclass
 class Model:
     toxic: bytes
     ordinary: bytes
-    most_toxic_bytes: int
+    background: bytes
     least_gain: int
     weights: list[float]
 
-    def scorer(self):
-        toxic, ordinary, memo = _compressor(self.toxic), _compressor(self.ordinary), {}
+    def measure(self):
+        """text -> by how many bytes the toxic dictionary compresses each window better than the ordinary one."""
+        toxic, ordinary = (_compressor(d + self.background) for d in (self.toxic, self.ordinary))
+        return lambda text: [len(ordinary(w)) - len(toxic(w)) for w in windows(text)]
 
-        def hit(word: bytes) -> bool:
-            got = memo.get(word)
-            if got is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                a, b = _lengths(word, toxic, ordinary)
-                got = memo[word] = a <= self.most_toxic_bytes and b - a >= self.least_gain
-            return got
+    def scorer(self):
+        gains = self.measure()
 
         def score(text: str | None) -> float:
-            words = windows(text)
-            x = features(sum(map(hit, words)), len(words))
-            z = sum(w * v for w, v in zip(self.weights, x, strict=True))
+            z = sum(w * v for w, v in zip(self.weights, features(gains(text), self.least_gain), strict=True))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
         return score
@@ -59,70 +55,63 @@ def _compressor(content: bytes):
     import zstandard as zs
 
     p = zs.ZstdCompressionParameters.from_level(
-        19, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS, min_match=4, strategy=zs.STRATEGY_LAZY, search_log=6, target_length=32
-    )
+        19, write_content_size=False, write_checksum=False, write_dict_id=False, format=zs.FORMAT_ZSTD1_MAGICLESS,
+        window_log=23, hash_log=21, chain_log=21, min_match=6, strategy=zs.STRATEGY_GREEDY, search_log=5, target_length=32,
+    )
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return zs.ZstdCompressor(dict_data=d, compression_params=p).compress
 
 
-def _lengths(word: bytes, toxic, ordinary) -> tuple[int, int]:
-    w = LEAD + b" " + word + TAIL
-    return len(toxic(w)), len(ordinary(w))
+def _dictionary(texts: list[str]) -> bytes:
+    """A zstandard dictionary trained on whole texts, cut into samples; texts too few to train on are taken as they are."""
+    import zstandard as zs
 
+    joined = [b"".join(windows(t)) for t in texts]
+    samples = [t[i : i + SAMPLE] for t in joined for i in range(0, len(t), SAMPLE)]
+    try:
+        return zs.train_dictionary(DICTIONARY, samples, k=SEGMENT, d=DMER).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[:DICTIONARY]
 
-def features(hits: int, words: int) -> list[float]:
-    """Intercept, any hit, log of the hits, hits among a thousand words."""
-    return [1.0, float(hits > 0), math.log1p(hits), min(100.0, 1000 * hits / max(words, 1)) / 10]
 
+def features(gains: list[int], least: int) -> list[float]:
+    """Intercept; log of how many windows gain ``least`` bytes or more, and of how many lose as much; shares of both; log of the greatest gain; mean gain."""
+    n, hits, losses = max(len(gains), 1), sum(g >= least for g in gains), sum(g <= -least for g in gains)
+    return [1.0, math.log1p(hits), math.log1p(losses), 10 * hits / n, 10 * losses / n, math.log1p(max([0, *gains])), max(-5.0, min(5.0, sum(gains) / n))]
 
-def train(rows: list[tuple[str, int]], least_share: float = 0.01, least_odds: float = 20.0) -> Model:
-    """Dictionaries, thresholds and weights from labelled texts.
 
-    The toxic dictionary takes the words that recur in at least ``least_share`` of the toxic texts, in as many contexts,
-    and are at least ``least_odds`` times likelier there; the ordinary one as many bytes of words likelier
-    there; both then hold the commonest words of all, at equal distances. Thresholds on the compressed length of a
-    window and on its gain are those that best separate the training texts; a logistic regression turns
-    the hits of a text into its score.
+def train(rows: list[tuple[str, int]]) -> Model:
+    """Dictionaries, the threshold on a window's gain, and weights, from labelled texts.
+
+    Two thirds of each class train its dictionary; some of the ordinary ones stand, the same, behind both dictionaries, so that what
+    is common costs both alike. The last third calibrates: the threshold that best separates its texts, and a logistic
+    regression, in which the classes weigh the same, from the gains of a text to its score. Distinct texts count once.
     """
-    of = [[windows(t) for t, y in rows if y == k] for k in (0, 1)]
+    of = [sorted({t for t, y in rows if y == k}, key=lambda t: hash_of(t)) for k in (0, 1)]
     n = [len(x) for x in of]
-    df = [Counter(w for x in xs for w in set(x)) for xs in of]
-    # copies of a text repeat a word in one context; only words that stand in that many contexts recur
-    around: dict[bytes, set] = {w: set() for w, c in df[1].items() if c >= max(2, least_share * n[1])}
-    for x in of[1]:
-        for before, w, after in zip([b"", *x], x, [*x[1:], b""], strict=False):
-            if w in around:
-                around[w].add((before, after))
-    seen = {w: min(df[1][w], len(c)) for w, c in around.items() if len(c) >= max(2, least_share * n[1])}
-    odds = {w: ((c + 0.5) / (n[1] + 1)) / ((df[0][w] + 0.5) / (n[0] + 1)) for w, c in seen.items()}
-    toxic = sorted((w for w, o in odds.items() if o >= min(least_odds, (n[0] + 1) / 4)), key=lambda w: (df[1][w], w))[-4000:]
-    size, ordinary = sum(len(w) + 1 for w in toxic), []
-    for w, c in sorted(df[0].items(), key=lambda x: (-x[1], x[0])):
-        if size <= 0:
-            break
-        if c / max(n[0], 1) > 1.5 * (df[1][w] + 0.5) / max(n[1], 1):
-            ordinary.append(w)
-            size -= len(w) + 1
-    common = b" ".join(w for w, _ in sorted((df[0] + df[1]).items(), key=lambda x: (x[1], x[0]))[-600:] if w not in set(toxic))
-    made = [b" " + b" ".join(ws) + b" " + common + b" " + LEAD for ws in (toxic, ordinary[::-1])]
-    a, b = map(_compressor, made)
-    memo = {w: _lengths(w, a, b) for xs in of for x in xs for w in x}
     if not n[0] or not n[1]:  # nothing to tell apart
-        return Model(*made, 0, 0, [-3.0 if n[0] else 3.0 if n[1] else 0.0, 0, 0, 0])
-    # each text's distinct cells (compressed length, gain), for a search over thresholds that is linear in the texts
-    cells = [[{(memo[w][0], memo[w][1] - memo[w][0]) for w in x} for x in xs] for xs in of]
-    lows = sorted({c[0] for xs in cells for x in xs for c in x})[:24]
-    best = max(
-        (sum(any(p <= t and q >= g for p, q in x) for x in cells[1]) / n[1] - sum(any(p <= t and q >= g for p, q in x) for x in cells[0]) / n[0], g, -t)
-        for t in lows
-        for g in range(1, 9)
-    )
-    t, g = -best[2], best[1]
-    hit = {w for w, (p, q) in memo.items() if p <= t and q - p >= g}
-    x = np.array([features(sum(w in hit for w in ws), len(ws)) for k in (0, 1) for ws in of[k]])
-    y = np.repeat([0.0, 1.0], n)
-    return Model(*made, t, g, _logistic(x, y, np.where(y == 1, 0.5 / n[1], 0.5 / n[0])).tolist())
+        return Model(b" ", b" ", b" ", 1, [-3.0 if n[0] else 3.0 if n[1] else 0.0, 0, 0, 0, 0, 0, 0])
+    fit, rest = [x[: max(1, 2 * len(x) // 3)] for x in of], [x[2 * len(x) // 3 :] for x in of]
+    made = [_dictionary(x) for x in fit]
+    size, background = min(map(len, made)), b"".join(w for t in fit[0] for w in windows(t))[:BACKGROUND]
+    model = Model(made[1][-size:], made[0][-size:], background, 1, [])
+    gains = [list(map(model.measure(), x)) for x in rest]
+    y = np.repeat([0.0, 1.0], [len(g) for g in gains])
+    each, best = np.where(y == 1, 0.5 / len(gains[1]), 0.5 / len(gains[0])), None
+    for least in range(1, 9):
+        x = np.array([features(w, least) for k in (0, 1) for w in gains[k]])
+        weights = _logistic(x, y, each)
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        loss = -(np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-9)) * each).sum()
+        if best is None or loss < best[0]:
+            best = (loss, least, weights.tolist())
+    return Model(model.toxic, model.ordinary, background, best[1], best[2])
+
+
+def hash_of(text: str) -> bytes:
+    """Order of the training texts that has nothing to do with their place in the table."""
+    return hashlib.blake2b(text.encode(), digest_size=8).digest()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> np.ndarray:
@@ -181,7 +170,8 @@ def scores(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, all columns as they were."""
+    """The rows of ``docs`` that score below 0.5, all columns as they were. A null or empty text has no window and stays
+    unless nearly all training texts were toxic; repeated rows get the same score and stay or go together; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -192,5 +182,5 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The digest columns of the operator's result."""
+    """``doc_id, held_out, score, predicted`` of every row, repeated ones too; a null doc_id is not held out, a null text counts as empty."""
     return scores(docs, fit(docs, labels)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows that one task turns into Python objects at once.
 SLICE_ROWS = 256
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +41,16 @@ def stage(df: DataFrame, tag: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage so that later steps survive lost executors without recomputing, and
-    computes expensive rows once. The files go when the application ends.
+    computes expensive rows once. Shuffle files of the write go with its end, the written files when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/causetrace-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was) if was else spark.conf.unset(_CLEANUP)
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
     back = spark.read.schema(df.schema).parquet(path)
@@ -62,12 +67,6 @@ def unstage(df: DataFrame | None) -> None:
             fs.delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps, so that long jobs don't pile them up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -89,7 +88,8 @@ def map_text(
     named in ``keep`` pass through. Null texts arrive as None.
     """
     names = [x.split()[0] for x in schema.split(",")]
-    kept = docs.select(*keep)
+    keep_cols = [F.col(f"`{c}`") for c in keep]
+    kept = docs.select(*keep_cols)
     full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [schema])
     arrow_kept = list(keep)
 
@@ -103,7 +103,7 @@ def map_text(
                 yield pa.RecordBatch.from_arrays(cols, names=[*arrow_kept, *names])
 
     types = {n: _arrow_type(x.split(None, 1)[1]) for n, x in zip(names, schema.split(","), strict=True)}
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, full)
+    return docs.select(*keep_cols, F.col(text).alias("__text")).mapInArrow(run, full)
 
 
 def _arrow_type(sql: str) -> pa.DataType:

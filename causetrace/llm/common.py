@@ -62,9 +62,26 @@ def unstage(df: DataFrame | None) -> None:
     """Delete the files of a ``stage()`` result that nothing reads any more."""
     path = getattr(df, "_staged_path", None)
     if path:
-        p, fs = _hadoop_path(df.sparkSession, path)
-        with contextlib.suppress(Exception):
-            fs.delete(p, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _hadoop_path(spark, path)
+    with contextlib.suppress(Exception):
+        fs.delete(p, True)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs`` by name, whatever characters the names have."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def text_or_empty(col: str = "text") -> Column:
@@ -88,10 +105,10 @@ def map_text(
     named in ``keep`` pass through. Null texts arrive as None.
     """
     names = [x.split()[0] for x in schema.split(",")]
-    keep_cols = [F.col(f"`{c}`") for c in keep]
-    kept = docs.select(*keep_cols)
-    full = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [schema])
-    arrow_kept = list(keep)
+    # plain names inside, as any name may come in: dots, blanks, those used here
+    arrow_kept = [f"__k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, arrow_kept, strict=True)], F.col(text).alias("__text"))
+    full = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
@@ -103,7 +120,7 @@ def map_text(
                 yield pa.RecordBatch.from_arrays(cols, names=[*arrow_kept, *names])
 
     types = {n: _arrow_type(x.split(None, 1)[1]) for n, x in zip(names, schema.split(","), strict=True)}
-    return docs.select(*keep_cols, F.col(text).alias("__text")).mapInArrow(run, full)
+    return rows.mapInArrow(run, full).toDF(*keep, *names)
 
 
 def _arrow_type(sql: str) -> pa.DataType:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causetrace.llm.buckets import band_keys, verified_components
-from causetrace.llm.common import map_text, stage, text_or_empty, unstage
+from causetrace.llm.common import columns_of, fresh, map_text, stage, text_or_empty, unstage
 from causetrace.llm.components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -133,8 +133,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, simil
     shingle sets have a Jaccard similarity of at least ``similarity``; of each component of links the smallest doc_id stays.
     Empty and null texts are equal. Rows that repeat a doc_id and text share one decision; rows with a null doc_id always stay.
     """
-    key = ["doc_id", "__th", "__tk"]
-    keyed = docs.withColumns({"__th": F.xxhash64(text_or_empty()), "__tk": F.xxhash64(F.lit(7), text_or_empty())})
+    key = ["doc_id", fresh(docs, "__th"), fresh(docs, "__tk")]
+    keyed = docs.withColumns({key[1]: F.xxhash64(text_or_empty()), key[2]: F.xxhash64(F.lit(7), text_or_empty())})
     told = map_text(keyed, _signer(width), "fp bigint, h1 bigint, h2 bigint, m array<int>", keep=tuple(key))
     told = stage(told.where("doc_id is not null").select(*key, "fp", F.struct("h1", "h2").alias("id"), "m"), "fps")
     # each run of words once; any row that has it lends its text
@@ -157,7 +157,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, simil
     for x in (told, nodes, members, prints, close, texts, comp, named):
         unstage(x)
     left = keyed.join(gone.hint("merge"), key, "left_anti")
-    return left.select(*docs.columns)
+    return left.select(*columns_of(docs))
 
 
 def minhash(hashes: list[int]) -> list[int]:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import map_text
+from causetrace.llm.common import fresh, map_text
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words of a window.
@@ -174,11 +174,13 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     unless nearly all training texts were toxic; repeated rows get the same score and stay or go together; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    toxic = fresh(docs, "__toxic")
+
     def make():
         score = shared.value.scorer()
-        return lambda texts: {"__toxic": [score(t) >= 0.5 for t in texts]}
+        return lambda texts: {toxic: [score(t) >= 0.5 for t in texts]}
 
-    return map_text(docs, make, "__toxic boolean", keep=tuple(docs.columns)).where(~F.col("__toxic")).drop("__toxic")
+    return map_text(docs, make, f"{toxic} boolean", keep=tuple(docs.columns)).where(~F.col(toxic)).drop(toxic)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
+import functools
 import hashlib
 import math
 import re
@@ -11,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import map_text
+from causetrace.llm.common import fresh, map_text
 
 #: Used when no key is given; pass a secret of your own in production.
 DEMO_KEY = b"causetrace demonstration key"
@@ -46,16 +48,28 @@ def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     if size < 2:
         return x
     half = math.isqrt(size - 1) + 1
+    width = half.bit_length() // 8 + 9  # bytes of a round's output: 64 bits more than the half, so that every part of it changes
     while True:
         left, right = divmod(x, half)
         for r in range(8):
-            h = hashlib.blake2b(f"{tweak}|{size}|{r}|{right}".encode(), key=key[:64], digest_size=16).digest()
-            left, right = right, (left + int.from_bytes(h, "big")) % half
+            left, right = right, (left + _round(f"{tweak}|{size}|{r}|{right}".encode(), key, width)) % half
         x = left * half + right
         if x < size:
             return x
 
 
+def _round(message: bytes, key: bytes, width: int) -> int:
+    """A keyed digest of ``width`` bytes, from as many blocks as it takes."""
+    blocks = [hashlib.blake2b(b"%d|%b" % (k, message), key=key[:64], digest_size=64).digest() for k in range(-(-width // 64))]
+    return int.from_bytes(b"".join(blocks)[:width], "big")
+
+
+@functools.cache
+def _late_days() -> list[int]:
+    """The days of the range that fall after the 12th of a month, in order."""
+    return [k for k in range(DAYS) if dt.date.fromordinal(FIRST_DAY + k).day > 12]
+
+
 def digits_in_place(value: str, new: str) -> str:
     """``value`` with its digits replaced one by one, all other characters as they are."""
     it = iter(new)
@@ -118,7 +132,11 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         at = _day(int(y), int(a), int(b)) if swap else at
         if at is None or sep != sep2:
             return None
-        new = dt.date.fromordinal(FIRST_DAY + permute(at, DAYS, key, "date"))
+        if swap:  # month first shows by a day over 12, and does so in the pseudonym, which no day-first date can equal then
+            late = _late_days()
+            new = dt.date.fromordinal(FIRST_DAY + late[permute(bisect.bisect_left(late, at), len(late), key, "late date")])
+        else:
+            new = dt.date.fromordinal(FIRST_DAY + permute(at, DAYS, key, "date"))
         first, second = (new.month, new.day) if swap else (new.day, new.month)
         return f"{first:0{len(a)}d}{sep}{second:0{len(b)}d}{sep}{new.year}"
     if kind == "iban":
@@ -126,17 +144,12 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         number = lambda s: int("".join(str(int(c, 36)) for c in s))
         if not 15 <= len(flat) <= 34 or number(flat[4:] + flat[:4]) % 97 != 1:
             return None
-        body = "".join(_character(c, key, f"iban{i}{flat[4:]}") for i, c in enumerate(flat[4:]))
+        body = _letters(flat[4:], key, f"iban{flat[:2]}")
         check = 98 - number(body + flat[:2] + "00") % 97
         it = iter(flat[:2] + f"{check:02d}" + body)
         return "".join(c if c == " " else next(it) for c in value)
     local, _, domain = value.partition("@")
-    return _letters(local, key, domain.lower()) + "@" + domain
-
-
-def _character(c: str, key: bytes, tweak: str) -> str:
-    first, n = ("0", 10) if c.isdigit() else ("A", 26) if c.isupper() else ("a", 26)
-    return chr(ord(first) + permute(ord(c) - ord(first), n, key, tweak))
+    return _letters(local, key, f"email{domain.lower()}") + "@" + domain
 
 
 def _letters(s: str, key: bytes, tweak: str) -> str:
@@ -145,7 +158,7 @@ def _letters(s: str, key: bytes, tweak: str) -> str:
     value, size = 0, 1
     for c, (first, n) in zip(s, kinds, strict=True):
         value, size = value * n + ord(c) - first, size * n
-    value = permute(value, size, key, f"email{tweak}{[n for _, n in kinds]}")
+    value = permute(value, size, key, f"{tweak}{[(first, n) for first, n in kinds]}")
     out = []
     for first, n in reversed(kinds):
         value, r = divmod(value, n)
@@ -221,18 +234,20 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     pass through; there is no shuffle.
     """
 
+    new = fresh(docs, "__new")
+
     def make():
         memo: dict = {}
 
         def f(texts: list) -> dict[str, list]:
             got = [(None, []) if t is None else pseudonymise_text(t, key, memo) for t in texts]
-            return {"__new": [g[0] for g in got], "pii_kinds": [g[1] for g in got]}
+            return {new: [g[0] for g in got], "pii_kinds": [g[1] for g in got]}
 
         return f
 
     rest = tuple(c for c in docs.columns if c not in ("text", "pii_kinds"))
-    out = map_text(docs, make, "__new string, pii_kinds array<string>", keep=rest)
-    return out.select(*[F.col("__new").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "pii_kinds"], "pii_kinds")
+    out = map_text(docs, make, f"{new} string, pii_kinds array<string>", keep=rest)
+    return out.select(*[F.col(new).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "pii_kinds"], "pii_kinds")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import shared_dir, stage
+from causetrace.llm.common import remove, shared_dir, stage, unstage
 
 #: Fixed value: the white space of the equality rule.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,13 +22,14 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """A Parquet table ``(digest, keep_id)``, bucketed and sorted by digest, that outlives a session.
 
-    Opening an existing location registers it again: the bucket layout is in the file names, so
-    later anti-joins read it without a shuffle or a sort of the index side.
+    Opening an existing location registers it again under a name made from the whole location: the bucket layout is in the
+    file names, so later anti-joins read the index without a shuffle. Every append adds a file to each bucket it touches;
+    with several files a bucket is sorted again on reading, until ``compact()`` leaves one.
     """
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
         self.spark, self.location, self.buckets = spark, location, buckets
-        self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in location.rsplit("/", 1)[-1].lower())
+        self.table = "digest_index_" + hashlib.sha256(location.rstrip("/").encode()).hexdigest()[:32]
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING PARQUET "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{location}'"
@@ -42,6 +46,17 @@ class DigestIndex:
         new = groups.select("digest", "keep_id").repartition(self.buckets, "digest").join(self.read().hint("merge"), "digest", "left_anti")
         new.select("digest", "keep_id").write.insertInto(self.table)
 
+    def compact(self) -> None:
+        """One sorted file for each bucket. The rows are staged first, so that a failed rewrite loses nothing and can be repeated."""
+        rows = stage(self.read(), "index")
+        rows.repartition(self.buckets, "digest").write.insertInto(self.table, overwrite=True)
+        unstage(rows)
+
+    def drop(self) -> None:
+        """Remove the table and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        remove(self.spark, self.location)
+
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Deduplicate a batch against the index and itself, then append its new digests.
@@ -79,6 +94,4 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def fresh_index(spark: SparkSession, tag: str) -> DigestIndex:
     """An empty index in the shared folder, as many buckets as the session shuffles into."""
-    import uuid
-
     return DigestIndex(spark, f"{shared_dir(spark)}/{tag}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions")))

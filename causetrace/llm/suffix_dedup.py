@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, q: int = GRAM) -> Data
     unstage(pieces)
     parts = [repeats]
     for width in PIECES:
-        todo = rest.groupBy(*_KEYS).agg(F.collect_list(F.struct("b", "s", "n", "a")).alias("todo"))
+        todo = rest.groupBy(*_KEYS).agg(F.collect_set(F.struct("b", "s", "n", "a")).alias("todo"))
         arrays = _cut_open(_with_text(keyed, todo, "inner"), window, width)
         pieces = stage(arrays.select("doc_id", "th", F.explode(F.arrays_zip("b", "f", "s", "n", "a")).alias("x")).select("doc_id", "th", "x.*"), "pieces")
         unstage(rest)
@@ -195,8 +195,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, q: int = GRAM) -> Dat
     import pyarrow as pa
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    # rows that repeat both share their ranges, so those are distinct here
-    ranges = repeated_spans(docs, window, q).groupBy(*_KEYS).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # rows that repeat both share their ranges; each range is listed once, however many such rows there are
+    ranges = repeated_spans(docs, window, q).groupBy(*_KEYS).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     rows = _with_text(keyed, ranges, "left")
 
     def run(batches):

@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
 from causetrace.llm.common import map_text
+from causetrace.llm.sentencepieces import ChunkTable
 
 MARK = "▁"
 #: Characters of a text that form one block; block maps compose to the map of the text.
 BLOCK_CHARS = 1 << 16
-#: States before compilation starts afresh, and words remembered with their counts.
-MAX_STATES, MEMO_WORDS, MEMO_CHARS = 200_000, 400_000, 64
+#: States before compilation starts afresh (looked at after every piece of so many characters), and words remembered with their counts.
+MAX_STATES, PIECE_CHARS, MEMO_WORDS, MEMO_CHARS = 200_000, 1 << 12, 400_000, 64
 WORD_START = re.compile(f"(?<=[^{MARK}]){MARK}")
 
 
+#: The state before anything is read.
+START = ((0, None, 0),)
+
+
+@dataclass(frozen=True)
+class StateMap:
+    """What a block does to any state that comes in: ``head`` is read from it; then, unless ``state`` is None (no word start in the
+    block), the transducer is in ``state``, whatever came in, and ``count`` tokens are added: no piece crosses into a marker."""
+
+    head: tuple[str, ...]
+    count: int
+    state: tuple | None
+
+
 class CountTransducer:
     """Deterministic transducer of a merge-based (BPE) piece model, compiled as states are met.
 
@@ -49,7 +64,7 @@ class CountTransducer:
         self._restart()
 
     def _restart(self) -> None:
-        self.states: list[tuple] = [((0, None, 0),)]
+        self.states: list[tuple] = [START]
         self.number = {self.states[0]: 0}
         self.next: list[dict[str, tuple[int, int]]] = [{}]
         self.memo: dict[str, int] = {}
@@ -110,36 +125,63 @@ class CountTransducer:
             count += got[1]
         return state, count
 
+    def read(self, state: tuple, text: str) -> tuple[tuple, int]:
+        """As ``run``, between states given by what they stand for; compilation starts afresh between pieces of text when it has grown too far."""
+        count = 0
+        for i in range(0, len(text), PIECE_CHARS):
+            if len(self.states) > MAX_STATES:
+                self._restart()
+            at, more = self.run(self._at(state), text[i : i + PIECE_CHARS])
+            state, count = self.states[at], count + more
+        return state, count
+
+    def _at(self, state: tuple) -> int:
+        at = self.number.get(state)
+        if at is None:
+            at = self.number[state] = len(self.states)
+            self.states.append(state)
+            self.next.append({})
+        return at
+
     def word(self, word: str) -> int:
         n = self.memo.get(word)
         if n is None:
-            n = self.run(0, word)[1]
+            n = self.read(START, word)[1]
             if len(word) <= MEMO_CHARS:
                 if len(self.memo) >= MEMO_WORDS:
                     self.memo.clear()
                 self.memo[word] = n
         return n
 
-    def block_map(self, block: str) -> tuple[str, int, int | None]:
-        """The state map of a block: (head, count, state).
-
-        From state s it leads to ``run(s, head)`` if the block has no word start (state None), else to
-        ``state`` with the count of the head plus ``count``: pieces never cross into a marker, so
-        what follows the first word start does not depend on s.
-        """
+    def block_map(self, block: str) -> StateMap:
+        """The state map of a block: what is before its first word start is read from whatever state comes in, the rest once."""
         m = WORD_START.search(block)
         if m is None:
-            return block, 0, None
+            return StateMap((block,), 0, None)
         words = re.split(f"(?<=[^{MARK}])(?={MARK})", block[m.start() :])
-        state, tail = self.run(0, words[-1])
-        return block[: m.start()], sum(map(self.word, words[:-1])) + tail, state
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
+        state, tail = self.read(START, words[-1])
+        return StateMap((block[: m.start()],), sum(map(self.word, words[:-1])) + tail, state)
+
+    def apply(self, f: StateMap, state: tuple) -> tuple[tuple, int]:
+        """(state, count) after the block of ``f``, entered in ``state``."""
+        count = 0
+        for part in f.head:
+            state, more = self.read(state, part)
+            count += more
+        return (state if f.state is None else f.state), count + f.count
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """The map of two neighbouring blocks; associative, so blocks may be combined in any grouping."""
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        state, more = self.run(a[2], b[0])
-        return a[0], a[1] + more + b[1], state if b[2] is None else b[2]
+        if a.state is None:
+            return StateMap(a.head + b.head, b.count, b.state)
+        state, more = self.apply(b, a.state)
+        return StateMap(a.head, a.count + more, state)
+
+    def scan(self, maps: list[StateMap]) -> StateMap:
+        """All maps composed in pairs, level by level: the up-sweep of a parallel prefix scan."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def count(self, text: str) -> int:
         if not text:
@@ -150,20 +192,18 @@ class CountTransducer:
         if len(marked) <= BLOCK_CHARS:
             return sum(map(self.word, re.split(f"(?<=[^{MARK}])(?={MARK})", marked)))
         maps = [self.block_map(marked[i : i + BLOCK_CHARS]) for i in range(0, len(marked), BLOCK_CHARS)]
-        head, count, _ = reduce(self.compose, maps)
-        return self.run(0, head)[1] + count
+        return self.apply(self.scan(maps), START)[1]
 
 
 def piece_scores(model_file: str) -> dict[str, float]:
     """Normal pieces of the model with their merge scores; the model must be of the plain kind handled here."""
     import sentencepiece
 
+    if not ChunkTable(model_file).independent:
+        raise ValueError("the model's normaliser does more than mark spaces, or a piece crosses into a marker")
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    scores = {sp.id_to_piece(i): sp.get_score(i) for i in ids}
-    if any(MARK in p.lstrip(MARK) for p in scores):
-        raise ValueError("a piece crosses into a white-space marker")
-    return scores
+    return {sp.id_to_piece(i): sp.get_score(i) for i in ids}
 
 
 _COMPILED: dict[str, CountTransducer] = {}

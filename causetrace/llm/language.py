@@ -23,39 +23,47 @@ BITS = 13
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed byte 2- and 3-grams of the lower-cased text: their numbers, and the square roots of their counts scaled to length 1."""
+    b = np.frombuffer(b"  " + text.lower().encode() + b" ", dtype=np.uint8).astype(np.uint32)
+    two = b[1:] * np.uint32(257) + b[:-1]
+    three = two[1:] * np.uint32(65599) + b[:-2]
+    mix = np.uint32(2654435761)
+    n = np.bincount((two * mix) >> np.uint32(33 - BITS), minlength=1 << BITS)[: 1 << BITS].astype(np.float32)
+    n += np.bincount((three * mix) >> np.uint32(32 - BITS), minlength=1 << BITS)
+    at = np.flatnonzero(n)
+    v = np.sqrt(n[at])
+    return at.astype(np.uint16), v / max(1e-9, float(np.linalg.norm(v)))
+
+
 def features(texts: list[str]) -> np.ndarray:
-    """Row-normalised square roots of hashed byte 1-, 2- and 3-gram counts of the lower-cased text, plus 1."""
-    dim = 1 << BITS
-    out = np.zeros((len(texts), dim + 1), dtype=np.float32)
+    """One dense row for each text, plus 1."""
+    out = np.zeros((len(texts), (1 << BITS) + 1), dtype=np.float32)
     for k, t in enumerate(texts):
-        b = np.frombuffer(b"  " + t.lower().encode() + b" ", dtype=np.uint8).astype(np.uint32)
-        two = b[1:] * np.uint32(257) + b[:-1]
-        three = two[1:] * np.uint32(65599) + b[:-2]
-        mix = np.uint32(2654435761)
-        n = np.bincount((two * mix) >> np.uint32(33 - BITS), minlength=dim)[:dim].astype(np.float32)
-        n += np.bincount((three * mix) >> np.uint32(32 - BITS), minlength=dim)
-        np.sqrt(n, out=n)
-        out[k, :dim] = n / max(1e-9, float(np.linalg.norm(n)))
-        out[k, dim] = 1
+        at, v = grams(t)
+        out[k, at], out[k, -1] = v, 1
     return out
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 30.0, epochs: int = 40) -> np.ndarray:
-    """Linear L2-loss support vector machine by dual coordinate descent; y is -1 or 1, the classes weigh the same."""
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: float = 30.0, epochs: int = 40) -> np.ndarray:
+    """Linear L2-loss support vector machine by dual coordinate descent over sparse rows; y is -1 or 1, the classes weigh the same."""
     n = len(y)
     cost = np.where(y > 0, c * n / (2 * max(1, (y > 0).sum())), c * n / (2 * max(1, (y < 0).sum())))
-    alpha, w = np.zeros(n), np.zeros(x.shape[1])
-    q = (x.astype(np.float64) ** 2).sum(axis=1) + 0.5 / cost
+    alpha, w = np.zeros(n), np.zeros((1 << BITS) + 1)
+    q = np.array([float(v @ v) + 1 for _, v in rows]) + 0.5 / cost
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(n):
-            g = y[i] * (w @ x[i]) - 1 + 0.5 / cost[i] * alpha[i]
+            at, v = rows[i]
+            g = y[i] * (w[at] @ v + w[-1]) - 1 + 0.5 / cost[i] * alpha[i]
             if alpha[i] == 0 and g >= 0:
                 continue
             new = max(alpha[i] - g / q[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * v
+                w[-1] += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
         if most < 1e-3:
@@ -106,12 +114,12 @@ def train(rows: list[tuple[str, str]]) -> Model:
     families: dict[str, list[str]] = {}
     for code in langs:
         families.setdefault(FAMILY_OF.get(code, f"only {code}"), []).append(code)
-    x, lang = features([t for t, _ in rows]), np.array([c for _, c in rows])
+    x, lang = [grams(t) for t, _ in rows], np.array([c for _, c in rows])
     family = np.array([FAMILY_OF.get(c, f"only {c}") for _, c in rows])
 
     def duel(of: np.ndarray, a: str, b: str) -> np.ndarray:
-        at = (of == a) | (of == b)
-        return svm(x[at], np.where(of[at] == a, 1.0, -1.0))
+        at = np.flatnonzero((of == a) | (of == b))
+        return svm([x[i] for i in at], np.where(of[at] == a, 1.0, -1.0))
 
     return Model(
         families,
@@ -124,19 +132,30 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, per_language: int = 500, languages: int = 200, longest: int = 100_000) -> Model:
-    """Train on a bounded sample outside the held-out fold: at most ``per_language`` texts of each of the at most
-    ``languages`` commonest non-null languages, whole texts of at most ``longest`` characters, in hash order of doc_id."""
-    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(F.length("text") <= longest).where(~F.coalesce(held_out(), F.lit(False)))
-    commonest = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    seen = [r["lang"] for r in commonest.collect()]
-    # ids are chosen first: they are small, and each task keeps at most per_language of them for a language
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.where(F.col("lang").isin(seen)).select("doc_id", "lang", place.alias("__k")).where(F.col("__k") <= per_language).select("doc_id", "lang").distinct()
-    chosen = rows.join(F.broadcast(ids), ["doc_id", "lang"])
+def fit(docs: DataFrame, per_language: int = 500, most_texts: int = 20_000, most_chars: int = 30_000_000, longest: int = 100_000) -> Model:
+    """Train on a bounded sample outside the held-out fold, in hash order of doc_id: at most ``per_language`` texts of each non-null language,
+    fewer if ``most_texts`` or ``most_chars`` would be passed in all; whole texts of at most ``longest`` characters, of rows with a doc_id.
+
+    Every language is learned; more languages than ``most_texts`` are an error. The sample and its sparse rows (about 10 KB a text) are all that reaches
+    the driver. Ids are first thinned by their hash, at a rate that follows from the language's count, so that a common language costs no task more than
+    a few times its sample.
+    """
+    rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null").where(F.length("text") <= longest).where(~held_out())
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    counts = {r["lang"]: r["__n"] for r in sizes.limit(most_texts + 1).collect()}
+    if len(counts) > most_texts:
+        raise ValueError("more languages than texts to learn from")
+    quota = min(per_language, most_texts // max(1, len(counts)))
+    share = docs.sparkSession.createDataFrame([(c, 1.0 if n <= 8 * quota else 8 * quota / n) for c, n in counts.items()], "lang string, __share double")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    thin = rows.select("doc_id", "lang", at.alias("__at")).join(F.broadcast(share), "lang").where(F.col("__at") < F.col("__share") * (1 << 40))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("__at", "doc_id"))
+    ids = thin.select("doc_id", "lang", place.alias("__k")).where(F.col("__k") <= quota).select("doc_id", "lang").distinct()
     sample: dict[str, list] = {}
-    for r in chosen.toLocalIterator():
-        if len(sample.setdefault(r["lang"], [])) < per_language:
+    room = {c: most_chars // max(1, len(counts)) for c in counts}
+    for r in rows.join(F.broadcast(ids), ["doc_id", "lang"]).toLocalIterator():
+        room[r["lang"]] -= len(r["text"])
+        if len(sample.setdefault(r["lang"], [])) < quota and (room[r["lang"]] >= 0 or not sample[r["lang"]]):
             sample[r["lang"]].append((str(r["doc_id"]), r["text"]))
     return train([(t, code) for code in sorted(sample) for _, t in sorted(sample[code])])
 
@@ -158,5 +177,5 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the operator's result."""
+    """``doc_id, held_out, lang_pred, score`` of every row, repeated ones too; a null doc_id is neither held out nor learned from."""
     return predict(docs, fit(docs)).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
+import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import SLICE_ROWS, map_text
+from causetrace.llm.common import SLICE_ROWS, columns_of, map_text
 
 WINDOW = 10
-#: Broadcast at most so many bytes of benchmark text at once; a larger benchmark is scanned in blocks.
+#: Broadcast the windows of at most so many bytes of benchmark text at once (five times that in each task); a larger benchmark takes
+#: one scan for each block, with the same result.
 BLOCK_BYTES = 32 << 20
 #: Fixed value: bytes that separate words after A-Z are lower-cased (00-2F, 3A-60, 7B-7F become a space).
 FOLD = bytes(b + 32 if 65 <= b <= 90 else (32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b) for b in range(256))
@@ -21,31 +25,66 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-def ngram_index(items: list[tuple], window: int = WINDOW) -> dict[int, dict[bytes, list[int]]]:
-    """Window length -> joined window -> positions of the items in ``items`` that hold it."""
-    index: dict[int, dict[bytes, list[int]]] = {}
-    for k, (_, text) in enumerate(items):
-        words = words_of(text)
-        if not words:
-            continue
-        n = min(window, len(words))
-        for w in {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)}:
-            index.setdefault(n, {}).setdefault(w, []).append(k)
-    return index
+@dataclass
+class Index:
+    """A hash set of the windows of some benchmark items, by window length, and what is needed to verify a hit.
 
+    A window takes 16 bytes: its hash, in order, and its place (item and first byte) in the items' normalised texts.
+    """
 
-def scan(words: list[bytes], index: dict, vocabularies: dict) -> tuple[list[tuple[int, int]], set[int]]:
+    ids: list[str | None]
+    texts: list[bytes]
+    hashes: dict[int, np.ndarray]
+    places: dict[int, np.ndarray]
+    words: dict[int, set[bytes]]
+
+    def items(self, n: int, window: bytes) -> list[int]:
+        """The items in which the window of ``n`` words occurs: those of its hash, each verified."""
+        h = np.uint64(xxhash.xxh3_64_intdigest(window))
+        lo = int(np.searchsorted(self.hashes[n], h))
+        out = []
+        while lo < len(self.hashes[n]) and self.hashes[n][lo] == h:
+            item, at = divmod(int(self.places[n][lo]), 1 << 32)
+            if self.texts[item][at : at + len(window)] == window:
+                out.append(item)
+            lo += 1
+        return out
+
+
+def ngram_index(items: list[tuple], window: int = WINDOW) -> Index:
+    """The index of ``items`` (id, text). A null id is never listed, but its windows hit."""
+    texts = [words_of(t) for _, t in items]
+    found: dict[int, tuple[list, list]] = {}
+    for k, words in enumerate(texts):
+        n, seen, at = min(window, len(words)), set(), 0
+        for i in range(len(words) - n + 1 if n else 0):
+            h = xxhash.xxh3_64_intdigest(b" ".join(words[i : i + n]))
+            if h not in seen:
+                seen.add(h)
+                hashes, places = found.setdefault(n, ([], []))
+                hashes.append(h)
+                places.append(k << 32 | at)
+            at += len(words[i]) + 1
+    hashes, places = {}, {}
+    for n, (h, p) in found.items():
+        h, p = np.array(h, dtype=np.uint64), np.array(p, dtype=np.int64)
+        order = np.argsort(h, kind="stable")
+        hashes[n], places[n] = h[order], p[order]
+    words = {n: {w for ws in texts if min(window, len(ws)) == n for w in ws} for n in hashes}
+    return Index([None if i is None else str(i) for i, _ in items], [b" ".join(ws) for ws in texts], hashes, places, words)
+
+
+def scan(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[int]]:
     """Hit word ranges (start, end), merged, and the items with an occurring window.
 
-    Only runs of at least n words that all occur in n-word windows can hold one, so the exact
-    look-up runs over those alone.
+    Only runs of at least n words that all occur in n-word windows can hold one, so the look-up runs over those alone.
     """
     spans, found = [], set()
-    for n, grams in index.items():
-        inside = bytes(map(vocabularies[n].__contains__, words))
+    for n in index.hashes:
+        inside = bytes(map(index.words[n].__contains__, words))
         for run in re.finditer(b"\x01{%d,}" % n, inside):
             for i in range(run.start(), run.end() - n + 1):
-                items = grams.get(b" ".join(words[i : i + n]))
+                items = index.items(n, b" ".join(words[i : i + n]))
                 if items:
                     spans.append((i, i + n))
                     found.update(items)
@@ -88,8 +127,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int,
     """The columns ``keep`` with ``__words, __starts, __ends, __items``: the hits of all blocks in the uncut text, merged."""
     spark, out, n = docs.sparkSession, docs, 0
     for n_blocks, rows in _blocks(benchmark, block_bytes):
-        index = ngram_index(rows, window)
-        shared = spark.sparkContext.broadcast((index, _vocabularies(index), [str(i) for i, _ in rows]))
+        shared = spark.sparkContext.broadcast(ngram_index(rows, window))
         kept = keep if n == n_blocks - 1 else (*keep, *(c for c in ("text",) if c not in keep))
         before = tuple(f"__{c}{k}" for k in range(n) for c in "sei")
         found = map_text(out, _scanner(shared), "n_words__ bigint, __s array<bigint>, __e array<bigint>, __i array<string>", keep=(*kept, *before))
@@ -112,23 +150,19 @@ def _merge_span(acc, x):
     return F.when(touches, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(x)))
 
 
-def _vocabularies(index: dict) -> dict[int, set[bytes]]:
-    return {n: {w for g in grams for w in g.split(b" ")} for n, grams in index.items()}
-
-
 def _scanner(shared):
     def make():
-        index, vocabularies, ids = shared.value
+        index = shared.value
 
         def f(texts: list) -> dict[str, list]:
             out: dict[str, list] = {"n_words__": [], "__s": [], "__e": [], "__i": []}
             for text in texts:
                 words = words_of(text)
-                spans, found = scan(words, index, vocabularies)
+                spans, found = scan(words, index)
                 out["n_words__"].append(len(words))
                 out["__s"].append([a for a, _ in spans])
                 out["__e"].append([b for _, b in spans])
-                out["__i"].append(sorted({ids[k] for k in found}))
+                out["__i"].append(sorted({index.ids[k] for k in found} - {None}))
             return out
 
         return f
@@ -157,7 +191,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
     """Documents without benchmark passages: hit spans are cut out, and a document of which more than
     ``drop_share`` of the words are hit is dropped. One scan for each block of the benchmark; the hits of all blocks
     are merged before anything is cut or judged. All columns of ``docs`` remain, ``n_chars`` follows the text when
-    present. Null texts stay null."""
+    present. Null texts stay null, empty texts empty; repeated rows are treated alike; empty tables are allowed."""
     import pyarrow as pa
 
     hits = _hits(docs, benchmark, window, block_bytes, tuple(docs.columns))
@@ -174,13 +208,14 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
                 cols = [pa.array(new, type=pa.string()) if c == at else part.column(c) for c in range(part.num_columns - 2)]
                 yield pa.RecordBatch.from_arrays(cols, names=docs_columns)
 
-    docs_columns = docs.columns
-    out = left.select(*[F.col(f"`{c}`") for c in docs_columns], "__starts", "__ends").mapInArrow(cut, docs.schema)
+    docs_columns = ["text" if c == "text" else f"__c{i}" for i, c in enumerate(docs.columns)]  # plain names inside
+    plain = left.select(*[c.alias(n) for c, n in zip(columns_of(docs), docs_columns, strict=True)], "__starts", "__ends")
+    out = plain.mapInArrow(cut, plain.drop("__starts", "__ends").schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest columns of the operator's result."""
+    """Per row ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``; a null text has no words, repeated rows get equal rows."""
     hits = decontaminate(docs, benchmark)
     return hits.select(
         "doc_id",

@@ -1,6 +1,7 @@
 """Operators against brute force on a small fixture with nulls, empty and very long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -91,6 +92,32 @@ def test_exact_dedup(spark, docs, none, rows, tmp_path):
     assert exact_dedup.exact_dedup(none, exact_dedup.fresh_index(spark, "t2")).count() == 0
 
 
+def test_indexes_are_apart(spark, tmp_path):
+    """Two indexes whose folders have one name; one of them compacted, then dropped."""
+    a, b = (exact_dedup.DigestIndex(spark, str(tmp_path / d / "idx"), 2) for d in "ab")
+    df = spark.createDataFrame([(1, "x", 0), (2, "x ", 0), (3, None, 0), (3, None, 0)], "doc_id long, text string, digest int")
+    for k in range(3):
+        exact_dedup.exact_dedup(df.where(f"doc_id <> {k}"), a).collect()
+    assert a.read().count() == 3 and b.read().count() == 0
+    before = sorted(map(str, a.read().collect()))
+    a.compact()
+    assert sorted(map(str, a.read().collect())) == before and len(list((tmp_path / "a" / "idx").glob("*.parquet"))) <= 2
+    assert {r.keep_id for r in exact_dedup.exact_dedup(df.where("doc_id = 3"), a).collect()} == {3}
+    a.drop()
+    assert not (tmp_path / "a" / "idx").exists() and b.read().count() == 0
+
+
+def test_rows_repeated_often(spark):
+    """Rows that repeat one id and text: their ranges are listed once, and all is as with different ids."""
+    rng = random.Random(8)
+    part = words(rng, 120)
+    rows = [(None, part)] * 40 + [(1, words(rng, 60) + part[:300]), (2, words(rng, 90))]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_removed, r.n_spans) for r in got.collect()) == {(None, len(part.encode()), 1): 40, (1, len(part[:300].encode()), 1): 1, (2, 0, 0): 1}
+    spans = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert spans.groupBy("doc_id").count().where("doc_id is null").first()["count"] <= 40 * 60
+
+
 def test_repeated_strings(docs, none, rows):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.without_repeats(docs).collect())
     raw = [(t or "").encode() for _, t in rows]
@@ -280,9 +307,19 @@ def test_block_maps_compose(library):
         left = maps[0]
         for m in maps[1:]:
             left = t.compose(left, m)
-        while len(maps) > 1:  # in pairs
-            maps = [t.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        assert left == maps[0]
+        pairs, n = t.scan(maps), t.read(token_counts.START, text)[1]
+        assert t.apply(left, token_counts.START) == t.apply(pairs, token_counts.START) and t.apply(left, token_counts.START)[1] == n
+        assert n == len(library.encode(text.replace("▁", " ")[1:]))
+
+
+def test_transducer_is_bounded(library, monkeypatch):
+    """A long text without a word start, over many blocks, with compilation starting afresh again and again."""
+    rng = random.Random(12)
+    t = token_counts.CountTransducer(token_counts.piece_scores(piece_model()))
+    for name, n in (("MAX_STATES", 60), ("PIECE_CHARS", 16), ("BLOCK_CHARS", 64)):
+        monkeypatch.setattr(token_counts, name, n)
+    x = "".join(rng.choice("abcdefghinorst") for _ in range(3000))
+    assert t.count(x) == len(library.encode(x)) and len(t.states) < 200
 
 
 BENCH = [(1, None), (2, "Alpha beta, gamma; delta"), (3, "one two three four five six seven eight nine ten eleven twelve"), (30, "one two three four five six seven eight nine ten"), (4, ""), (5, "ALPHA-beta gamma delta")]
@@ -323,6 +360,17 @@ def test_decontamination(spark, docs, none):
     assert decontam.report(none, bench).count() == 0 and decontam.report(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_odd_items(spark):
+    """Windows of an item without an id hit but aren't listed; windows of equal hash are told apart by their words."""
+    bench = spark.createDataFrame([(None, "alpha beta gamma delta"), (4, "one two three four")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "so alpha beta gamma delta"), (1, "so alpha beta gamma delta"), (2, "one two three four five")], "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in decontam.report(df, bench).collect())
+    assert got == [(1, 5, 4, 0), (1, 5, 4, 0), (2, 5, 4, 1)]
+    index = decontam.ngram_index([(1, "a b c"), (2, "d e f")])
+    index.hashes[3][:] = 7
+    assert index.items(3, b"a b c") == [] and len(index.places[3]) == 2
+
+
 def test_language(spark, none, docs):
     rng = random.Random(2)
     parts = {"en": ["the", "th", "ing", "and", "of"], "de": ["ich", "sch", "und", "der", "ung"], "fr": ["eau", "les", "que", "é", "ou"], "es": ["ción", "os", "la", "ñ", "ado"]}
@@ -334,6 +382,11 @@ def test_language(spark, none, docs):
     assert [got[k].lang_pred for k in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "en"]
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.report(none).count() == 0
+    odd = language.predict(docs.withColumnsRenamed({"source": "lang_pred.x"}), language.fit(df), keep=("doc_id", "lang_pred.x")).collect()
+    assert Counter(r.doc_id for r in odd) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    assert {r.lang_pred for r in odd if r.doc_id in (200, 201, 202, 205)} == {"und"} and len({(r.lang_pred, r.score) for r in odd if r.doc_id == 3}) == 1
+    few = language.fit(df, per_language=3, most_chars=1000)
+    assert sorted(c for f in few.families.values() for c in f) == ["de", "en", "es", "fr"]
 
 
 def test_toxicity(spark, none, docs):
@@ -356,6 +409,11 @@ def test_toxicity(spark, none, docs):
     model = toxicity.fit(df, lab)
     left = toxicity.drop_toxic(df.withColumn("score", F.lit("mine")), model)
     assert left.columns == ["doc_id", "text", "score"] and {r.doc_id for r in left.collect()} == {k for k, r in got.items() if not r.predicted}
+    odd = toxicity.scores(docs, model).collect()
+    assert Counter(r.doc_id for r in odd) == Counter(r.doc_id for r in docs.select("doc_id").collect()) and len({r.score for r in odd if r.doc_id == 3}) == 1
+    assert [len(x) for x in map(toxicity.windows, ("", " \n", None))] == [0, 0, 0] and len(toxicity.windows("a b " * 20)) == 3
+    gains = model.measure()
+    assert max(gains(" ".join(rows[4][1].split()))) > max([0, *gains(rows[5][1])])
     assert toxicity.report(none, lab).count() == 0 and toxicity.report(df, lab.limit(0)).count() == len(got)
 
 
@@ -383,11 +441,39 @@ def test_spans_of_several_blocks(spark):
     texts.append((5, items[0][1] + " " + words(rng, 200) + " " + " ".join(items[0][1].split()[:9] + items[5][1].split())))
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("__starts0", F.lit("mine"))
     key = lambda d: sorted(map(str, d.collect()))
+    df = df.withColumn("a.b", F.lit(1))
     one, many = decontam.remove_spans(df, bench), decontam.remove_spans(df, bench, block_bytes=100)
     assert many.columns == df.columns and key(one) == key(many)
     assert {r.doc_id for r in many.collect()} == {3, 4, 5}
 
 
+def test_pseudonyms_are_permutations():
+    """Each kind over its whole format, or all of a slice of it: different values stay different, and every pseudonym is valid."""
+    key = b"secret"
+    of = lambda kind, values: [pii.pseudonym(kind, v, key) for v in values]
+    days = [pii.dt.date.fromordinal(pii.FIRST_DAY + k) for k in range(pii.DAYS)]
+    iso = of("isodate", [d.isoformat() for d in days])
+    assert sorted(iso) == sorted(d.isoformat() for d in days)
+    dmy = of("dmydate", [f"{d.day:02d}/{d.month:02d}/{d.year}" for d in days[::5]])
+    mdy = of("dmydate", [f"{d.month:02d}/{d.day:02d}/{d.year}" for d in days[::5] if d.day > 12])
+    assert len(set(dmy) | set(mdy)) == len(dmy) + len(mdy)
+    assert sorted(pii._numbers(f"{k:03d}", key, "card") for k in range(1000)) == [f"{k:03d}" for k in range(1000)]
+    cards = of("card", [b + str(pii.luhn(b)) for b in (f"4{k:014d}" for k in range(3000))])
+    assert len(set(cards)) == 3000 and all(pii.luhn(c[:-1]) == int(c[-1]) for c in cards)
+    number = lambda x: int("".join(str(int(c, 36)) for c in x))
+    banks = [(c, f"AB{k:03d}CDEF{k:03d}") for c in ("GB", "DE") for k in range(1000)]
+    flat = [f"{c}{98 - number(b + c + '00') % 97:02d}{b}" for c, b in banks]
+    new = of("iban", flat)
+    assert len(set(new)) == len(flat) and all(number(x[4:] + x[:4]) % 97 == 1 and x[:2] == f[:2] for x, f in zip(new, flat, strict=True))
+    small = ["".join(x) for x in itertools.product("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")]
+    assert sorted(pii._letters(x, key, "t") for x in small) == sorted(small)
+    assert len(set(of("ip", [f"10.{a}.{b}.7" for a in range(60) for b in range(60)]))) == 3600
+    assert len(set(of("ssn", [f"123-45-{k:04d}" for k in range(1, 3000)]))) == 2999
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(64)) for _ in range(1000)]
+    assert sum(pii._letters(x, key, "email")[:3] == x[:3] for x in long) < 3
+
+
 def test_values_at_borders():
     f = lambda t: pii.pseudonymise_text(t, b"secret", {})
     for text, kinds in {

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from causetrace.functions import stats
 
-#: Rows of an aligned pair whose cross products one task forms at once.
-BLOCK = 4096
+#: Metrics of an incident that one group tests as effects.
+EFFECTS = 16
 
 
 def make_stationary(series: DataFrame) -> DataFrame:
@@ -62,58 +62,56 @@ def _pairs(series: DataFrame) -> DataFrame:
     return x.join(y, ["incident_id", "ts"]).where("cause <> effect").withColumn("i", at)
 
 
-def _grams(pairs: DataFrame, max_lag: int) -> DataFrame:
-    """Cross products of (y, its lags, the cause's lags, 1) for every lag order, in blocks of rows that are summed later."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        i, x, y = (pdf[c].to_numpy() for c in ("i", "x", "y"))
-        own = np.flatnonzero(i // BLOCK == key[3])
-        out = []
+def _lag_test(x: np.ndarray, y: np.ndarray, max_lag: int) -> tuple[float, int | None]:
+    """(smallest p, its lag order) of the F-tests of x's lags in a regression of y; (1, None) where the algebra fails."""
+    best, at = 1.0, None
+    n = len(y)
+    try:
         for lag in range(1, max_lag + 1):
-            rows = own[i[own] >= lag]
-            v = np.column_stack([y[rows], *[y[rows - k] for k in range(1, lag + 1)], *[x[rows - k] for k in range(1, lag + 1)], np.ones(len(rows))])
-            out.append((v.T @ v).ravel())
-        return pd.DataFrame([(*key[:3], len(own), np.concatenate(out))], columns=["incident_id", "cause", "effect", "n", "gram"])
-
-    # the last rows of a block are history for the next
-    b = F.floor(F.col("i") / BLOCK)
-    after = F.floor((F.col("i") + max_lag) / BLOCK)
-    placed = pairs.select("*", F.explode(F.array_distinct(F.array(b, after))).alias("block"))
-    return placed.groupBy("incident_id", "cause", "effect", "block").applyInPandas(one, "incident_id string, cause string, effect string, n long, gram array<double>")
+            v = np.column_stack([y[lag:], *[y[lag - k : n - k] for k in range(1, lag + 1)], *[x[lag - k : n - k] for k in range(1, lag + 1)], np.ones(n - lag)])
+            g = v.T @ v
+            own = stats.residual(g, 0, [*range(1, lag + 1), 2 * lag + 1])
+            joint = stats.residual(g, 0, [*range(1, 2 * lag + 2)])
+            df = n - lag - (2 * lag + 1)
+            p = stats.f_tail((own - joint) / joint / lag * df, lag, df)
+            if p < best:
+                best, at = p, lag
+    except (np.linalg.LinAlgError, ZeroDivisionError, FloatingPointError, ValueError):
+        return 1.0, None
+    return best, at
 
 
 def granger(series: DataFrame, max_lag: int = 10, alpha: float = 0.05, stationary: bool = True, rounded: bool = True) -> DataFrame:
     """Significant ordered pairs: ``incident_id, cause, effect, p_value, optimal_lag, strength``.
 
     For each lag order the F-test of the cause's lags; the smallest p wins, the first on ties. Pairs with fewer than
-    3·max_lag common rows, and pairs that a numerical failure stops, are left out.
+    3·max_lag common rows, and pairs that a numerical failure stops, are left out. An incident's series come together once for every
+    ``EFFECTS`` of its metrics, and each such group tests all causes of its effects; a series is as long as its incident's window.
     """
-    ready = make_stationary(series) if stationary else series
-    grams = _grams(_pairs(ready), max_lag)
+    ready = make_stationary(series) if stationary else series.select("incident_id", "metric", "ts", F.col("value").cast("double").alias("value"))
+    ready = ready.where("value is not null")
+    names = ready.select("incident_id", "metric").distinct()
+    place = F.row_number().over(Window.partitionBy("incident_id").orderBy("metric")) - 1
+    named = names.select("incident_id", "metric", F.floor(place / EFFECTS).cast("int").alias("own"))
+    parts = named.groupBy("incident_id").agg((F.max("own") + 1).alias("parts"))
+    placed = ready.join(named, ["incident_id", "metric"]).join(parts, "incident_id")
+    placed = placed.select("incident_id", "metric", "ts", "value", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        n, gram = int(pdf["n"].sum()), np.sum(np.stack(pdf["gram"].to_list()), axis=0)
-        best, at = 1.0, None
-        if n >= 3 * max_lag:
-            begin = 0
-            try:
-                for lag in range(1, max_lag + 1):
-                    m = 2 * lag + 2
-                    g = gram[begin : begin + m * m].reshape(m, m)
-                    begin += m * m
-                    own = stats.residual(g, 0, [*range(1, lag + 1), m - 1])
-                    joint = stats.residual(g, 0, [*range(1, m)])
-                    df = n - lag - (2 * lag + 1)
-                    p = stats.f_tail((own - joint) / joint / lag * df, lag, df)
-                    if p < best:
-                        best, at = p, lag
-            except (np.linalg.LinAlgError, ZeroDivisionError, FloatingPointError, ValueError):
-                at = None
-        rows = [(*key, best, at, round(1 - best, 6) if rounded else 1 - best)] if at is not None and best < alpha else []
+        wide = pdf.pivot_table(index="ts", columns="metric", values="value", aggfunc="last").sort_index()
+        values = {m: wide[m].to_numpy() - np.nanmean(wide[m].to_numpy()) for m in wide.columns}
+        rows = []
+        for effect in sorted(pdf.loc[pdf["own"] == key[1], "metric"].unique()):
+            for cause in values:
+                both = np.isfinite(values[cause]) & np.isfinite(values[effect])
+                if cause == effect or both.sum() < 3 * max_lag:
+                    continue
+                best, at = _lag_test(values[cause][both], values[effect][both], max_lag)
+                if at is not None and best < alpha:
+                    rows.append((key[0], cause, effect, best, at, round(1 - best, 6) if rounded else 1 - best))
         return pd.DataFrame(rows, columns=["incident_id", "cause", "effect", "p_value", "optimal_lag", "strength"])
 
-    return grams.groupBy("incident_id", "cause", "effect").applyInPandas(one, "incident_id string, cause string, effect string, p_value double, optimal_lag int, strength double")
+    return placed.groupBy("incident_id", "part").applyInPandas(one, "incident_id string, cause string, effect string, p_value double, optimal_lag int, strength double")
 
 
 def granger_raw(series: DataFrame, max_lag: int = 10, alpha: float = 0.05) -> DataFrame:

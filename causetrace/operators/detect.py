@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causetrace.operators.prepare import KEYS, fit_minmax, sliding_windows
+from causetrace.operators.prepare import KEYS, apply_minmax, fit_minmax, to_wide
 
 
 def _series():
@@ -22,6 +22,11 @@ def _ordered():
 TINY = 1e-8
 
 
+def _at_most_one(x: Column) -> Column:
+    """``x``, 1 at most; null stays null, which ``least`` alone would turn into 1."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(1.0)))
+
+
 @dataclass
 class ReconstructionModel:
     """A linear autoencoder: the windows of an entity's metrics, projected to their main components and back."""
@@ -33,10 +38,15 @@ class ReconstructionModel:
 
 
 def wide_windows(df: DataFrame, metrics: list[str], window: int, stride: int = 1) -> DataFrame:
-    """``entity, ts, k, x``: complete windows over all metrics, one flat array each (metric by metric)."""
-    each = sliding_windows(df.where(F.col("metric").isin(metrics)), window, stride)
-    wide = each.groupBy("entity", "ts", "k").pivot("metric", metrics).agg(F.first("values"))
-    return wide.dropna(subset=metrics).select("entity", "ts", "k", F.concat(*[F.col(f"`{m}`") for m in metrics]).alias("x"))
+    """``entity, ts, k, x``: complete windows over the times that have all metrics, one flat array each (metric by metric)."""
+    # side by side first: one row for each time, so that a value is shuffled once and windows are collected after that
+    wide = to_wide(df.where(F.col("metric").isin(metrics)), metrics).dropna(subset=metrics)
+    order = Window.partitionBy("entity").orderBy("ts")
+    rows = F.collect_list(F.array(*[F.col(f"`{m}`") for m in metrics])).over(order.rowsBetween(-(window - 1), 0))
+    place = F.row_number().over(order) - window
+    got = wide.select("entity", "ts", place.alias("__p"), rows.alias("__x")).where((F.col("__p") >= 0) & (F.col("__p") % stride == 0))
+    flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(metrics) - 1)), lambda m: F.transform("__x", lambda row: row[m])))
+    return got.select("entity", "ts", (F.col("__p") / stride).cast("long").alias("k"), flat.alias("x"))
 
 
 def fit_reconstruction_model(normal: DataFrame, metrics: list[str], window: int = 12, stride: int = 5, latent: int = 32) -> ReconstructionModel:
@@ -92,13 +102,13 @@ def fit_baselines(normal: DataFrame) -> DataFrame:
 
 
 def zscore_anomaly() -> Column:
-    """D6"""
-    return F.least(F.abs(F.col("value") - F.col("mean")) / F.col("std") / 3, F.lit(1.0))
+    """D6; null if the value or its baseline is."""
+    return _at_most_one(F.abs(F.col("value") - F.col("mean")) / F.col("std") / 3)
 
 
 def mad_anomaly() -> Column:
-    """D7"""
-    return F.least(F.abs(F.col("value") - F.col("median")) / (1.4826 * F.col("mad")) / 3.5, F.lit(1.0))
+    """D7; null if the value or its baseline is."""
+    return _at_most_one(F.abs(F.col("value") - F.col("median")) / (1.4826 * F.col("mad")) / 3.5)
 
 
 def iqr_anomaly() -> Column:
@@ -110,7 +120,7 @@ def iqr_anomaly() -> Column:
 
 
 def statistical_scores(df: DataFrame, baselines: DataFrame) -> DataFrame:
-    """``zscore, mad_score, iqr_score, stat``; a metric without a baseline scores 0."""
+    """``zscore, mad_score, iqr_score, stat``; a metric without a baseline scores 0, and so does a null value."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     got = df.join(baselines, list(KEYS), "left")
     got = got.withColumns({"zscore": zero(zscore_anomaly()), "mad_score": zero(mad_anomaly()), "iqr_score": F.when(F.col("q1").isNull(), 0.0).otherwise(iqr_anomaly())})
@@ -118,13 +128,13 @@ def statistical_scores(df: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def spike_score(df: DataFrame, window: int = 12) -> DataFrame:
-    """``spike``: the last change against three rolling standard deviations of changes (three at least), back-filled at the start."""
+    """``spike``: the last change against three rolling standard deviations of changes (three at least), back-filled at the start; 0 where there is no change to judge."""
     frame = _ordered().rowsBetween(-(window - 1), 0)
     got = df.withColumn("__r", F.col("value") - F.lag("value").over(_ordered()))
     got = got.withColumn("__s", F.when(F.count("__r").over(frame) >= 3, F.stddev_samp("__r").over(frame)))
     got = got.withColumn("__s", F.first("__s", True).over(_ordered().rowsBetween(0, Window.unboundedFollowing)))
     scale = F.when(F.col("__s") == 0, TINY).otherwise(F.col("__s"))
-    return got.withColumn("spike", F.coalesce(F.least(F.abs("__r") / (3 * scale), F.lit(1.0)), F.lit(0.0))).drop("__r", "__s")
+    return got.withColumn("spike", F.coalesce(_at_most_one(F.abs("__r") / (3 * scale)), F.lit(0.0))).drop("__r", "__s")
 
 
 def trend_r2(df: DataFrame, window: int = 12) -> DataFrame:
@@ -153,9 +163,9 @@ def ensemble_flag(rule: str = "reconstruction") -> Column:
 
 
 def ensemble_scores(reconstruction: DataFrame, statistical: DataFrame, temporal: DataFrame, rule: str = "reconstruction") -> DataFrame:
-    """D13 to D15 for the times that have a reconstruction score (already over its threshold)."""
+    """D13 to D15 for the times that have a reconstruction score (already over its threshold), not null."""
     at = [*KEYS, "ts"]
-    got = reconstruction.select(*at, (F.greatest(F.least("score", F.lit(1.5)), F.lit(0.0)) / 1.5).alias("l"))
+    got = reconstruction.where("score is not null").select(*at, (F.greatest(F.least("score", F.lit(1.5)), F.lit(0.0)) / 1.5).alias("l"))
     got = got.join(statistical.select(*at, "stat"), at).join(temporal.select(*at, "temporal"), at)
     got = got.withColumn("ensemble", 0.40 * F.col("l") + 0.35 * F.col("stat") + 0.25 * F.col("temporal"))
     return got.withColumns({"confidence": agreement_confidence(), "is_anomaly": ensemble_flag(rule)})
@@ -209,5 +219,17 @@ def rebaseline_due(events: DataFrame, as_of: Column, soak_hours: int = 2) -> Dat
 
 def rebaseline(metrics: DataFrame, due: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Baselines and ranges of the entities that are due, from their data since the deployment."""
-    since = metrics.join(due.where("due").select("entity", "deployed"), "entity").where("ts >= deployed")
+    since = since_deployment(metrics, due)
     return fit_baselines(since), fit_minmax(since)
+
+
+def since_deployment(metrics: DataFrame, due: DataFrame) -> DataFrame:
+    return metrics.join(due.where("due").select("entity", "deployed"), "entity").where("ts >= deployed").drop("deployed")
+
+
+def rebaseline_model(metrics: DataFrame, due: DataFrame, names: list[str], window: int = 12, stride: int = 5, latent: int = 32) -> tuple[ReconstructionModel, DataFrame]:
+    """The reconstruction model and its thresholds, refitted on the scaled data since the deployment of the entities that are due."""
+    since = since_deployment(metrics, due)
+    scaled = apply_minmax(since, fit_minmax(since))
+    model = fit_reconstruction_model(scaled, names, window, stride, latent)
+    return model, calibrate_thresholds(reconstruction_error(scaled, model))

@@ -6,18 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration through the checkpoint folder that all executors share."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="causetrace-"))
-    return df.checkpoint()
+from causetrace.functions.shared import settled
 
 
 def build_causal_graph(incidents: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,17 +15,17 @@ def build_causal_graph(incidents: DataFrame, pairs: DataFrame) -> tuple[DataFram
     return nodes, pairs.select("incident_id", "cause", "effect", "strength", "p_value", "lag")
 
 
-def closure(edges: DataFrame, max_rounds: int = 30) -> DataFrame:
+def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """All ``incident_id, src, dst`` joined by a directed path of one step or more; paths double each round."""
-    paths = _settled(edges.select("incident_id", "src", "dst").distinct())
+    paths = settled(edges.select("incident_id", "src", "dst").distinct())
     n = paths.count()
     for _ in range(max_rounds):
         more = paths.alias("p").join(paths.alias("q"), (F.col("p.incident_id") == F.col("q.incident_id")) & (F.col("p.dst") == F.col("q.src")))
-        grown = _settled(paths.union(more.select("p.incident_id", "p.src", "q.dst")).distinct())
+        grown = settled(paths.union(more.select("p.incident_id", "p.src", "q.dst")).distinct())
         was, n, paths = n, grown.count(), grown
         if n == was:
-            break
-    return paths
+            return paths
+    raise RuntimeError("paths did not settle")
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -131,6 +120,28 @@ def reachability(topology: DataFrame) -> DataFrame:
     return paths.union(paths.select("dst", "src")).union(known).distinct()
 
 
+def reachable_pairs(topology: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """Those of the distinct ``pairs(src, dst)`` that a directed path joins, either way.
+
+    A search from the services that occur in ``pairs`` alone: each round adds the services one call further; services that no pair starts from are
+    never expanded, so nothing of the size of the whole closure is made.
+    """
+    calls = settled(topology.select("src", "dst").where("src <> dst").distinct(), "calls")
+    want = settled(pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
+    seen = front = settled(want.select("src", F.col("src").alias("at")).distinct(), "front")
+    for _ in range(max_rounds):
+        step = front.join(calls.select(F.col("src").alias("at"), "dst"), "at").select("src", F.col("dst").alias("at")).distinct()
+        front = settled(step.join(seen, ["src", "at"], "left_anti"), "front")
+        if front.isEmpty():
+            break
+        seen = settled(seen.unionByName(front), "seen")
+    else:
+        raise RuntimeError("paths did not settle")
+    hit = want.join(seen.withColumnRenamed("at", "dst"), ["src", "dst"], "left_semi")
+    hit = hit.unionByName(hit.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return pairs.join(hit, ["src", "dst"], "left_semi")
+
+
 def service_of_metric(metric: Column) -> Column:
     """The first two name parts; a name of one part belongs to ``unknown_service``."""
     parts = F.split(metric, "_")
@@ -141,8 +152,8 @@ def refine_by_topology(edges: DataFrame, topology: DataFrame, cause_service: Col
     """C11: without edges between known services that no path joins; an empty topology changes nothing."""
     a, b = cause_service if cause_service is not None else service_of_metric(F.col("cause")), effect_service if effect_service is not None else service_of_metric(F.col("effect"))
     known = topology.select(F.explode(F.array("src", "dst")).alias("s")).distinct()
-    joined = reachability(topology)
     got = edges.withColumns({"__a": a, "__b": b})
+    joined = reachable_pairs(topology, got.select("__a", "__b").where("__a <> __b").distinct().toDF("src", "dst")).unionByName(known.select(F.col("s").alias("src"), F.col("s").alias("dst")))
     got = got.join(known.select(F.col("s").alias("__a"), F.lit(True).alias("__ka")), "__a", "left").join(known.select(F.col("s").alias("__b"), F.lit(True).alias("__kb")), "__b", "left")
     got = got.join(joined.select(F.col("src").alias("__a"), F.col("dst").alias("__b"), F.lit(True).alias("__path")), ["__a", "__b"], "left")
     return got.where("__ka is null or __kb is null or __path").select(*edges.columns)

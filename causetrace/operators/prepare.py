@@ -61,10 +61,10 @@ def fill_edges(df: DataFrame, step: str) -> DataFrame:
 
 
 def cap_outliers(df: DataFrame, z: float = 5.0) -> DataFrame:
-    """P5: values clipped to mean ± ``z`` standard deviations of their metric."""
+    """P5: values clipped to mean ± ``z`` standard deviations of their metric; null stays null."""
     stats = df.groupBy(*KEYS).agg(F.avg("value").alias("__m"), F.stddev_samp("value").alias("__s"))
     lo, hi = F.col("__m") - z * F.col("__s"), F.col("__m") + z * F.col("__s")
-    capped = F.when(F.col("__s") > 0, F.greatest(F.least("value", hi), lo)).otherwise(F.col("value"))
+    capped = F.when((F.col("__s") > 0) & F.col("value").isNotNull(), F.greatest(F.least("value", hi), lo)).otherwise(F.col("value"))
     return df.join(stats, list(KEYS)).withColumn("value", capped).drop("__m", "__s")
 
 
@@ -102,10 +102,18 @@ def fit_minmax(normal: DataFrame) -> DataFrame:
     return normal.groupBy(*KEYS).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
+def fill_incident(df: DataFrame) -> DataFrame:
+    """Gaps of an incident take the last value before them, at the start the first one after; an empty series stays null."""
+    ahead = F.last("value", True).over(_ordered().rowsBetween(Window.unboundedPreceding, 0))
+    back = F.first("value", True).over(_ordered().rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn("value", F.coalesce(ahead, back))
+
+
 def apply_minmax(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Values scaled to the fitted range and clipped to [0, 1]; a constant metric has scale 1."""
+    """Values scaled to the fitted range and clipped to [0, 1]; a constant metric has scale 1. Null stays null (see ``fill_incident``)."""
     scaled = (F.col("value") - F.col("lo")) / F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
-    return df.join(bounds, list(KEYS)).withColumn("value", F.greatest(F.least(scaled, F.lit(1.0)), F.lit(0.0))).drop("lo", "hi")
+    clipped = F.when(scaled.isNotNull(), F.greatest(F.least(scaled, F.lit(1.0)), F.lit(0.0)))
+    return df.join(bounds, list(KEYS)).withColumn("value", clipped).drop("lo", "hi")
 
 
 def sliding_windows(df: DataFrame, size: int = 12, stride: int = 1) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import settled
 from causetrace.operators.graph import incident_closure
 from causetrace.operators.prepare import KEYS, pair_correlation
 from causetrace.operators.rank import confidence_label
@@ -79,34 +83,51 @@ def closure_scorer(nodes: DataFrame, edges: DataFrame, first_seen: DataFrame, st
     return got.select(*key, score.alias("score"))
 
 
-def _paths(edges: DataFrame, depth: int, value: Column) -> DataFrame:
-    """Every simple path of at most ``depth`` edges: ``incident_id, root, node, path, total``."""
-    e = edges.select("incident_id", F.col("cause").alias("a"), F.col("effect").alias("b"), value.alias("v"))
-    now = e.select("incident_id", F.col("a").alias("root"), F.col("b").alias("node"), F.array("a", "b").alias("path"), F.col("v").alias("total"))
-    out = now
-    for _ in range(depth - 1):
+def paths_to_leaves(edges: DataFrame) -> DataFrame:
+    """Every simple path from a node to a node without successors, joined by arrows; paths grow by an edge each round until none does."""
+    e = edges.select("incident_id", F.col("cause").alias("a"), F.col("effect").alias("b")).distinct()
+    inner = e.select("incident_id", F.col("a").alias("node")).distinct()
+    now, out = e.select("incident_id", F.col("a").alias("root"), F.col("b").alias("node"), F.array("a", "b").alias("path")), None
+    while out is None or not now.isEmpty():
+        ended = now.join(inner, ["incident_id", "node"], "left_anti").select("incident_id", "root", F.array_join("path", " → ").alias("path"))
+        out = ended if out is None else out.unionByName(ended)
         step = now.alias("p").join(e.alias("e"), (F.col("p.incident_id") == F.col("e.incident_id")) & (F.col("p.node") == F.col("e.a")) & ~F.array_contains("p.path", F.col("e.b")))
-        now = step.select("p.incident_id", "p.root", F.col("e.b").alias("node"), F.array_append("p.path", F.col("e.b")).alias("path"), (F.col("p.total") + F.col("e.v")).alias("total"))
-        out = out.unionByName(now)
+        now = settled(step.select("p.incident_id", "p.root", F.col("e.b").alias("node"), F.array_append("p.path", F.col("e.b")).alias("path")))
     return out
 
 
-def paths_to_leaves(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """Every path from a node to a node without successors, joined by arrows."""
-    inner = edges.select("incident_id", F.col("cause").alias("node")).distinct()
-    return _paths(edges, depth, F.lit(0)).join(inner, ["incident_id", "node"], "left_anti").select("incident_id", "root", F.array_join("path", " → ").alias("path"))
-
-
 def edge_weight_log_p() -> Column:
     """B7"""
     return -F.log10(F.col("p_value") + 1e-10)
 
 
-def symptom_times(edges: DataFrame, roots: DataFrame, step_seconds: int = 300, depth: int = 8) -> DataFrame:
-    """When each metric below a root (``incident_id, root, started``) should show: its start plus the lags along the shortest path."""
-    reach = _paths(edges, depth, F.col("lag").cast("long")).join(roots, ["incident_id", "root"])
-    first = reach.groupBy("incident_id", "root", F.col("node").alias("metric"), "started").agg(F.min("total").alias("lag"))
-    return first.select("incident_id", "root", "metric", "lag", F.timestamp_add("SECOND", F.col("lag") * step_seconds, F.col("started")).alias("expected"))
+def symptom_times(edges: DataFrame, roots: DataFrame, step_seconds: int = 300) -> DataFrame:
+    """When each metric below a root (``incident_id, root, started``) should show: its start plus the least sum of lags along a path.
+
+    An incident's graph is small and is walked whole in one group, however far its metrics lie from the root.
+    """
+
+    def one(key: tuple, links: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list] = {}
+        for a, b, lag in zip(links["cause"], links["effect"], links["lag"], strict=True):
+            after.setdefault(a, []).append((b, int(lag)))
+        rows = []
+        for root in sorted(set(starts["root"])):
+            least, heap = {}, [(lag, b) for b, lag in after.get(root, ())]
+            heapq.heapify(heap)
+            while heap:
+                total, at = heapq.heappop(heap)
+                if at != root and at not in least:
+                    least[at] = total
+                    for b, lag in after.get(at, ()):
+                        heapq.heappush(heap, (total + lag, b))
+            rows += [(*key, root, m, t) for m, t in least.items()]
+        return pd.DataFrame(rows, columns=["incident_id", "root", "metric", "lag"])
+
+    links = edges.select("incident_id", "cause", "effect", F.col("lag").cast("long").alias("lag")).groupBy("incident_id")
+    reach = links.cogroup(roots.select("incident_id", "root").groupBy("incident_id")).applyInPandas(one, "incident_id string, root string, metric string, lag long")
+    got = reach.join(roots, ["incident_id", "root"])
+    return got.select("incident_id", "root", "metric", "lag", F.timestamp_add("SECOND", F.col("lag") * step_seconds, F.col("started")).alias("expected"))
 
 
 def frozen_metrics(df: DataFrame, tail: int = 12) -> DataFrame:

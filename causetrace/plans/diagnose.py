@@ -5,41 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import settled
 from causetrace.operators import causal, detect, graph, prepare, rank
 
 
-def diagnose(series: DataFrame, incidents: DataFrame, events: DataFrame, topology: DataFrame | None = None, max_lag: int = 10, alpha: float = 0.05) -> dict[str, DataFrame]:
+def diagnose(series: DataFrame, incidents: DataFrame, events: DataFrame, topology: DataFrame | None = None, max_lag: int = 10, alpha: float = 0.05, prune: str = "before") -> dict[str, DataFrame]:
     """``ranked, nodes, edges, correlations`` of every incident at once.
 
     ``series``: ``incident_id, metric, ts, value``; ``incidents``: ``incident_id, metric, max_score, first_seen``. Only anomalous
-    metrics are tested. With a topology, edges it contradicts go before anything is ranked.
+    metrics are tested. With a topology, edges it contradicts go before anything is ranked, or with ``prune="after"`` only from the
+    edges, effects and chains that are reported, so that they still count for the ranking.
     """
+    if prune not in ("before", "after"):
+        raise ValueError("prune is before or after")
+    incidents = settled(incidents, "incidents")  # used by every step below
     active = series.join(incidents.select("incident_id", "metric"), ["incident_id", "metric"], "left_semi")
     pairs = causal.granger(active, max_lag, alpha).withColumnRenamed("optimal_lag", "lag")
     nodes, edges = graph.build_causal_graph(incidents, pairs)
-    if topology is not None:
+    if topology is not None and prune == "before":
         edges = graph.refine_by_topology(edges, topology)
-    edges = graph._settled(graph.break_cycles(edges, incidents))
+    edges = settled(graph.break_cycles(edges, incidents))
     correlations = graph.correlate_events(incidents, events)
     ranks = rank.pagerank(nodes, edges)
     scored = rank.factors(nodes, edges, incidents, correlations, ranks)
     scored = scored.withColumn("composite_score", rank.composite_score_a())
     ranked = rank.rank_candidates(scored).withColumn("confidence", rank.confidence_label(F.col("composite_score")))
+    if topology is not None and prune == "after":
+        edges = settled(graph.refine_by_topology(edges, topology))
     key = ["incident_id", "metric"]
-    ranked = ranked.join(rank.downstream_effects(edges), key, "left").join(rank.causal_chain(nodes, edges), key, "left")
+    ranked = settled(ranked, "ranked").join(rank.downstream_effects(edges), key, "left").join(rank.causal_chain(nodes, edges), key, "left")
     return {"ranked": ranked, "nodes": nodes, "edges": edges, "correlations": correlations}
 
 
 def run_pipeline(normal: DataFrame, incident: DataFrame, metrics: list[str], events: DataFrame, window: int = 12) -> dict[str, DataFrame]:
     """Scaling, reconstruction model, thresholds, ensemble scores, incident summary, diagnosis and report. Tables are ``entity, metric, ts, value``."""
     bounds = prepare.fit_minmax(normal)
-    a, b = prepare.apply_minmax(normal, bounds), prepare.apply_minmax(incident, bounds)
+    a = settled(prepare.apply_minmax(normal, bounds), "normal")
+    b = settled(prepare.apply_minmax(prepare.fill_incident(incident), bounds), "incident")
     model = detect.fit_reconstruction_model(a, metrics, window)
     thresholds = detect.calibrate_thresholds(detect.reconstruction_error(a, model))
     reconstruction = detect.flag_scores(detect.reconstruction_error(b, model), thresholds)
     statistical = detect.statistical_scores(b, detect.fit_baselines(a))
     scores = detect.ensemble_scores(reconstruction, statistical, detect.temporal_scores(b), "weighted")
-    scores = graph._settled(scores.withColumn("score", F.col("ensemble")))
+    scores = settled(scores.withColumn("score", F.col("ensemble")))
     incidents = detect.summarise_incident(scores)
     series = b.select(F.col("entity").alias("incident_id"), "metric", "ts", "value")
     out = diagnose(series, incidents, events)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import new_path
 from causetrace.operators import causal, graph, rank
 from causetrace.plans.diagnose import diagnose, run_pipeline
 from causetrace.plans.queries_prepare import METRICS
-from causetrace.plans.registry import CLOSED, DAG, DEPLOY, EDGES, GRAPH, INCIDENTS, NODES, SEEN, SERIES, STAT, TOPOLOGY, dag_edges, deployments, first_seen, incidents, lagged_edges, nodes, parts, query, series, table, traces
+from causetrace.plans.registry import CLOSED, DEPLOY, EDGES, GRAPH, INCIDENTS, NODES, SEEN, SERIES, STAT, TOPOLOGY, deployments, first_seen, incidents, lagged_edges, nodes, parts, query, series, table, traces
 from causetrace.sources import events as ev
+from causetrace.sources import sinks
 
 
 def _daily(spark, d):
@@ -42,7 +44,7 @@ def c3_granger_raw(spark, d):
 @query(f"WITH {GRAPH} SELECT incident_id, metric AS a, NULL AS b, anomaly_score AS weight FROM nodes UNION ALL SELECT incident_id, cause, effect, strength FROM edges")
 def c4_build_causal_graph(spark, d):
     seen = nodes(spark, d).withColumnRenamed("anomaly_score", "max_score")
-    n, e = graph.build_causal_graph(seen, dag_edges(spark, d))
+    n, e = graph.build_causal_graph(seen, lagged_edges(spark, d))
     a = n.select("incident_id", F.col("metric").alias("a"), F.lit(None).cast("string").alias("b"), F.col("anomaly_score").alias("weight"))
     return a.unionByName(e.select("incident_id", F.col("cause").alias("a"), F.col("effect").alias("b"), F.col("strength").alias("weight")))
 
@@ -67,12 +69,17 @@ def c8_temporal_precedence_filter(spark, d):
     return graph.temporal_precedence_filter(lagged_edges(spark, d), first_seen(spark, d)).select("incident_id", "cause", "effect", "strength")
 
 
+def _flat(c):
+    """A nation's name as one part of a service's name."""
+    return F.replace(c, F.lit("_"), F.lit(""))
+
+
 def _topology(spark, d):
-    """Calls between nations that are rarer than most, so that not everything is joined."""
-    return ev.traces_to_topology(traces(spark, d)).where("substring(src, -1) < substring(dst, -1)")
+    """Calls from shops to warehouses: the services of one side never call each other."""
+    return ev.traces_to_topology(traces(spark, d)).select(F.concat(F.lit("st_"), _flat("src")).alias("src"), F.concat(F.lit("wh_"), _flat("dst")).alias("dst"))
 
 
-_TOPO = TOPOLOGY + ", topo AS (SELECT * FROM topology WHERE right(src, 1) < right(dst, 1))"
+_TOPO = TOPOLOGY + ", topo AS (SELECT 'st_' || replace(src, '_', '') AS src, 'wh_' || replace(dst, '_', '') AS dst FROM topology)"
 _REACH = ", path AS (SELECT src, dst FROM topo UNION SELECT p.src, t.dst FROM path p JOIN topo t ON p.dst = t.src), reach AS (SELECT src, dst FROM path UNION SELECT dst, src FROM path UNION SELECT src, src FROM topo UNION SELECT dst, dst FROM topo)"
 
 
@@ -81,20 +88,26 @@ def c9_reachability(spark, d):
     return graph.reachability(_topology(spark, d))
 
 
-@query("SELECT DISTINCT n_name || '_' || lower(r_name) || '_load' AS metric, n_name || '' AS service FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT r_name, 'unknown_service' FROM region")
+@query("SELECT 'shop_' || s_suppkey || '_load' AS metric, 'shop_' || s_suppkey AS service FROM supplier UNION SELECT DISTINCT replace(c_name, '_', ' '), 'unknown_service' FROM customer")
 def c10_service_of_metric(spark, d):
-    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    names = n.select(F.concat("n_name", F.lit("_"), F.lower("r_name"), F.lit("_load")).alias("metric")).union(n.select("r_name")).distinct()
+    shops = table(spark, d, "supplier").select(F.concat_ws("_", F.lit("shop"), "s_suppkey", F.lit("load")).alias("metric"))
+    names = shops.union(table(spark, d, "customer").select(F.replace("c_name", F.lit("_"), F.lit(" ")))).distinct()
     return names.withColumn("service", graph.service_of_metric(F.col("metric")))
 
 
-@query(f"""WITH RECURSIVE {_TOPO}{_REACH}, pairs AS (SELECT h.n_name AS cs, t.n_name AS es FROM nation h, nation t WHERE h.n_name <> t.n_name), known AS (SELECT src AS s FROM topo UNION SELECT dst FROM topo)
-SELECT 'i' AS incident_id, cs || '_load' AS cause, es || '_load' AS effect FROM pairs WHERE cs NOT IN (SELECT s FROM known) OR es NOT IN (SELECT s FROM known) OR (cs, es) IN (SELECT (src, dst) FROM reach)""")
+@query(f"""WITH RECURSIVE {_TOPO}{_REACH}, pairs AS (SELECT DISTINCT c_mktsegment AS incident_id, replace(h.n_name, '_', '') AS a, replace(t.n_name, '_', '') AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation h ON c_nationkey = h.n_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation t ON s_nationkey = t.n_nationkey),
+edges AS (SELECT incident_id, 'st_' || a || '_load' AS cause, 'wh_' || b || '_load' AS effect, 'st_' || a AS cs, 'wh_' || b AS es FROM pairs UNION SELECT incident_id, 'st_' || a || '_load', 'st_' || b || '_load', 'st_' || a, 'st_' || b FROM pairs UNION SELECT incident_id, 'wh_' || b || '_load', a, 'wh_' || b, 'unknown_service' FROM pairs),
+known AS (SELECT src AS s FROM topo UNION SELECT dst FROM topo)
+SELECT incident_id, cause, effect FROM edges WHERE cs NOT IN (SELECT s FROM known) OR es NOT IN (SELECT s FROM known) OR (cs, es) IN (SELECT (src, dst) FROM reach)""")
 def c11_refine_by_topology(spark, d):
-    n = table(spark, d, "nation").select("n_name")
-    pairs = n.select(F.col("n_name").alias("a")).crossJoin(n.select(F.col("n_name").alias("b"))).where("a <> b")
-    edges = pairs.select(F.lit("i").alias("incident_id"), F.concat("a", F.lit("_load")).alias("cause"), F.concat("b", F.lit("_load")).alias("effect"))
-    return graph.refine_by_topology(edges, _topology(spark, d))
+    """Edges along calls, between shops (no call joins them), and to a metric of an unknown service."""
+    nation = lambda side: table(spark, d, "nation").select(F.col("n_nationkey").alias(f"{side}k"), _flat("n_name").alias(side))
+    calls = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(nation("a"), F.col("c_nationkey") == F.col("ak"))
+    calls = calls.join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(nation("b"), F.col("s_nationkey") == F.col("bk"))
+    pairs = calls.select(F.col("c_mktsegment").alias("incident_id"), "a", "b").distinct()
+    load = lambda side, c: F.concat(F.lit(f"{side}_"), c, F.lit("_load"))
+    ends = F.array(F.struct(load("st", "a").alias("cause"), load("wh", "b").alias("effect")), F.struct(load("st", "a").alias("cause"), load("st", "b").alias("effect")), F.struct(load("wh", "b").alias("cause"), F.col("a").alias("effect")))
+    return graph.refine_by_topology(pairs.select("incident_id", F.inline(ends)).distinct(), _topology(spark, d))
 
 
 _CORR = f"""{INCIDENTS}, {DEPLOY}, h AS (SELECT i.incident_id, i.metric, e.description AS event_description, e.ts AS event_time, e.type AS event_type, i.first_seen AS anomaly_time, date_diff('microsecond', e.ts, i.first_seen) / 3.6e9 AS h FROM incidents i JOIN deployments e ON true),
@@ -116,7 +129,7 @@ degrees AS (SELECT incident_id, metric, o / greatest(max(o) OVER w, 1) AS causal
 
 @query(f"WITH {_DEGREES} SELECT incident_id, metric, round(causal_outflow, 6) AS causal_outflow, round(causal_inflow, 6) AS causal_inflow FROM degrees")
 def r1_degree_scores(spark, d):
-    g = rank.degree_scores(nodes(spark, d), dag_edges(spark, d))
+    g = rank.degree_scores(nodes(spark, d), lagged_edges(spark, d))
     return g.select("incident_id", "metric", F.round("causal_outflow", 6).alias("causal_outflow"), F.round("causal_inflow", 6).alias("causal_inflow"))
 
 
@@ -138,7 +151,7 @@ _NO_RANKS = "incident_id string, metric string, pagerank double"
 
 def _factors(spark, d, ranks=None):
     none = spark.createDataFrame([], _NO_RANKS)
-    return rank.factors(nodes(spark, d), dag_edges(spark, d), _seen_nodes(spark, d), _correlations(spark, d), ranks if ranks is not None else none)
+    return rank.factors(nodes(spark, d), lagged_edges(spark, d), _seen_nodes(spark, d), _correlations(spark, d), ranks if ranks is not None else none)
 
 
 @query(f"WITH {GRAPH} SELECT incident_id, metric, anomaly_score AS anomaly_severity FROM nodes")
@@ -166,12 +179,12 @@ def _rank_sql(rounds):
 
 @query(f"WITH {GRAPH}{_rank_sql(4)} SELECT incident_id, metric, round(r, 6) AS pagerank FROM pr4")
 def r5_pagerank_rounds(spark, d):
-    return rank.pagerank(nodes(spark, d), dag_edges(spark, d), rounds=4).withColumn("pagerank", F.round("pagerank", 6))
+    return rank.pagerank(nodes(spark, d), lagged_edges(spark, d), rounds=4).withColumn("pagerank", F.round("pagerank", 6))
 
 
 @query()
 def r5_pagerank(spark, d):
-    return rank.pagerank(nodes(spark, d), dag_edges(spark, d))
+    return rank.pagerank(nodes(spark, d), lagged_edges(spark, d))
 
 
 
@@ -215,19 +228,19 @@ def r8_confidence_label(spark, d):
     return _ranked(spark, d).select("incident_id", "metric", rank.confidence_label(2 * F.col("composite_score")).alias("confidence"))
 
 
-@query(f"WITH {DAG} SELECT incident_id, cause AS metric, string_agg(effect, ',' ORDER BY effect) AS downstream_effects FROM edges GROUP BY 1, 2")
+@query(f"WITH {EDGES} SELECT incident_id, cause AS metric, string_agg(effect, ',' ORDER BY effect) AS downstream_effects FROM edges GROUP BY 1, 2")
 def r9_downstream_effects(spark, d):
-    return rank.downstream_effects(dag_edges(spark, d)).withColumn("downstream_effects", F.array_join("downstream_effects", ","))
+    return rank.downstream_effects(lagged_edges(spark, d)).withColumn("downstream_effects", F.array_join("downstream_effects", ","))
 
 
-@query(f"WITH {DAG} SELECT incident_id, effect AS metric, string_agg(cause, ',' ORDER BY cause) AS upstream_causes FROM edges GROUP BY 1, 2")
+@query(f"WITH {EDGES} SELECT incident_id, effect AS metric, string_agg(cause, ',' ORDER BY cause) AS upstream_causes FROM edges GROUP BY 1, 2")
 def r9_upstream_causes(spark, d):
-    return rank.upstream_causes(dag_edges(spark, d)).withColumn("upstream_causes", F.array_join("upstream_causes", ","))
+    return rank.upstream_causes(lagged_edges(spark, d)).withColumn("upstream_causes", F.array_join("upstream_causes", ","))
 
 
 @query(f"WITH RECURSIVE {GRAPH}{CLOSED} SELECT n.incident_id, n.metric, concat_ws(',', n.metric, string_agg(c.dst, ',' ORDER BY c.dst)) AS causal_chain FROM nodes n LEFT JOIN closure c ON c.incident_id = n.incident_id AND c.src = n.metric AND c.dst <> c.src GROUP BY 1, 2")
 def r10_causal_chain(spark, d):
-    return rank.causal_chain(nodes(spark, d), dag_edges(spark, d)).withColumn("causal_chain", F.array_join("causal_chain", ","))
+    return rank.causal_chain(nodes(spark, d), lagged_edges(spark, d)).withColumn("causal_chain", F.array_join("causal_chain", ","))
 
 
 @query(f"WITH {_RANKED} SELECT incident_id, rank, metric, composite_score FROM ranked")
@@ -258,7 +271,7 @@ def r13_top_causes(spark, d):
 
 @query(f"WITH {_RANKED} SELECT r.incident_id, r.metric, CASE WHEN rank = 1 THEN 'root cause' WHEN NOT EXISTS (SELECT 1 FROM edges e WHERE e.incident_id = r.incident_id AND e.effect = r.metric) THEN 'source' ELSE 'intermediate' END AS category FROM ranked r")
 def r14_node_category(spark, d):
-    return rank.node_category(nodes(spark, d), dag_edges(spark, d), _ranked(spark, d))
+    return rank.node_category(nodes(spark, d), lagged_edges(spark, d), _ranked(spark, d))
 
 
 def _truth(spark, d):
@@ -285,15 +298,51 @@ def r16_benchmark_accuracy(spark, d):
 
 def _reported(spark, d):
     r = _ranked(spark, d).withColumn("confidence", rank.confidence_label(F.col("composite_score")))
-    return r.join(rank.downstream_effects(dag_edges(spark, d)), ["incident_id", "metric"], "left")
+    return r.join(rank.downstream_effects(lagged_edges(spark, d)), ["incident_id", "metric"], "left")
 
 
-@query()
+_EFF = ", eff AS (SELECT incident_id, cause AS metric, list(effect ORDER BY effect) AS e FROM edges GROUP BY 1, 2)"
+_PCT = "format('{{:.1f}}%', least({0}composite_score * 100, 100.0))"
+
+
+@query(f"""WITH {_RANKED}{_EFF}, t AS (SELECT r.*, {_LABEL.format("composite_score")} AS confidence, coalesce(e, []) AS e FROM ranked r LEFT JOIN eff USING (incident_id, metric)),
+o AS (SELECT incident_id, string_agg('- `' || metric || '`: ' || {_PCT.format("")}, chr(10) ORDER BY rank) AS others FROM t WHERE rank BETWEEN 2 AND 4 GROUP BY 1)
+SELECT incident_id, concat_ws(chr(10), '# Incident report', 'Most likely root cause: `' || metric || '` (' || confidence || ', ' || {_PCT.format("t.")} || ')',
+CASE len(e) WHEN 0 THEN 'It shows no downstream effect.' WHEN 1 THEN 'It affects `' || e[1] || '`.' ELSE 'It affects ' || len(e) || ' metrics: ' || array_to_string(e, ', ') || '.' END, '## Evidence',
+format('- causal outflow: {{:.2f}}', causal_outflow), format('- temporal priority: {{:.2f}}', temporal_priority), format('- causal inflow: {{:.2f}}', causal_inflow), format('- event correlation: {{:.2f}}', event_correlation), '## Alternatives' || chr(10) || others) AS report
+FROM t LEFT JOIN o USING (incident_id) WHERE rank = 1""")
 def r17_markdown_report(spark, d):
     return rank.markdown_report(_reported(spark, d))
 
 
-@query(f"""WITH {_RANKED}, eff AS (SELECT incident_id, cause AS metric, list(effect ORDER BY effect) AS e FROM edges GROUP BY 1, 2)
+def _report_documents(spark, d):
+    r = _reported(spark, d)
+    truth = _truth(spark, d).withColumn("failure_type", F.concat(F.lit("slow "), F.col("root_cause")))
+    return sinks.report_documents(r, lagged_edges(spark, d), _correlations(spark, d), first_seen(spark, d), truth, "2024-02-01T00:00:00Z")
+
+
+@query(f"""WITH {_RANKED}{_TRUTH}, e AS (SELECT incident_id, count(*) AS n_edges, round(sum(round(strength, 4)), 3) AS strength FROM edges GROUP BY 1), c AS (SELECT incident_id, count(*) AS n_events FROM correlations GROUP BY 1), seen2 AS (SELECT incident_id, string_agg(metric || strftime(first_seen, '%H'), ',' ORDER BY metric) AS seen FROM seen GROUP BY 1),
+x AS (SELECT incident_id, count(*) AS n, string_agg(metric, ',' ORDER BY metric) AS nodes, max(CASE WHEN rank = 1 THEN metric END) AS top, round(max(composite_score), 6) AS score FROM ranked GROUP BY 1)
+SELECT incident_id, '2024-02-01T00:00:00Z' AS timestamp, 'slow ' || root_cause AS failure_type, root_cause, x.n AS n_causes, nodes, top, score, coalesce(n_edges, 0) AS n_edges, strength, coalesce(n_events, 0) AS n_events, seen FROM x JOIN truth USING (incident_id) LEFT JOIN e USING (incident_id) LEFT JOIN c USING (incident_id) LEFT JOIN seen2 USING (incident_id)""")
+def s12_report_documents(spark, d):
+    """The documents that ``write_report`` wrote, read back as JSON, with figures of every field."""
+    path = new_path(spark, "reports")
+    sinks.write_report(_report_documents(spark, d), path)
+    cause = "struct<rank:bigint,metric:string,composite_score:double>"
+    j = spark.read.schema(
+        f"incident_id string, timestamp string, failure_type string, ground_truth struct<root_cause:string>, root_causes array<{cause}>, causal_graph struct<nodes:array<string>,edges:array<struct<strength:double>>>, "
+        "event_correlations array<struct<metric:string>>, anomaly_detection_times map<string,string>"
+    ).json(path)
+    n = lambda c: F.size(c).cast("long")
+    seen = F.array_sort(F.transform(F.map_entries("anomaly_detection_times"), lambda x: F.concat(x["key"], F.substring(x["value"], 12, 2))))
+    strength = F.aggregate("causal_graph.edges", F.lit(0.0), lambda a, e: a + e["strength"])
+    return j.select(
+        "incident_id", "timestamp", "failure_type", "ground_truth.root_cause", n("root_causes").alias("n_causes"), F.array_join("causal_graph.nodes", ",").alias("nodes"), F.col("root_causes")[0]["metric"].alias("top"), F.col("root_causes")[0]["composite_score"].alias("score"),
+        n("causal_graph.edges").alias("n_edges"), F.when(F.size("causal_graph.edges") > 0, F.round(strength, 3)).alias("strength"), n("event_correlations").alias("n_events"), F.array_join(seen, ",").alias("seen"),
+    )
+
+
+@query(f"""WITH {_RANKED}{_EFF}
 SELECT incident_id, rank, metric, composite_score, {_LABEL.format("composite_score")} AS confidence, round(causal_outflow, 6) AS causal_outflow, round(temporal_priority, 6) AS temporal_priority, round(causal_inflow, 6) AS causal_inflow, anomaly_severity, event_correlation,
 coalesce(array_to_string(e[1:3], ', '), '') || CASE WHEN len(e) > 3 THEN ' (+' || (len(e) - 3) || ' more)' ELSE '' END AS downstream FROM ranked LEFT JOIN eff USING (incident_id, metric)""")
 def r18_ranking_table(spark, d):

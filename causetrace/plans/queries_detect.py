@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import new_path
 from causetrace.operators import detect
 from causetrace.plans.registry import BASE, DEPLOY, FILLED, INCIDENTS, PARTS, S, STAT, deployments, filled, incidents, parts, query, samples, scored
 from causetrace.plans.queries_prepare import METRICS
 
 _SPIKE = """d0 AS (SELECT *, value - lag(value) OVER (PARTITION BY entity, metric ORDER BY ts) AS r FROM filled), d1 AS (SELECT *, CASE WHEN count(r) OVER f >= 3 THEN stddev_samp(r) OVER f END AS sd FROM d0 WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING)),
 d2 AS (SELECT *, first_value(sd IGNORE NULLS) OVER (PARTITION BY entity, metric ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s2 FROM d1),
-spike AS (SELECT entity, metric, ts, pos, value, coalesce(least(abs(r) / (3 * CASE WHEN s2 = 0 THEN 1e-8 ELSE s2 END), 1), 0) AS spike FROM d2),
+spike AS (SELECT entity, metric, ts, pos, value, CASE WHEN r IS NULL OR s2 IS NULL THEN 0 ELSE least(abs(r) / (3 * CASE WHEN s2 = 0 THEN 1e-8 ELSE s2 END), 1) END AS spike FROM d2),
 temporal AS (SELECT entity, metric, ts, pos, spike, CASE WHEN count(*) OVER f < 12 OR max(value) OVER f = min(value) OVER f THEN 0 ELSE regr_r2(value, pos) OVER f END AS trend FROM spike WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING))"""
 _FLAGS = "flags AS (SELECT entity, metric, ts, pos, value > 55 AS is_anomaly FROM filled)"
 
@@ -154,15 +155,16 @@ def d20_rebaseline(spark, d):
 
 
 def _drained(spark, stream, mode):
-    """A stream over the files that are there, run to its end into a Parquet or memory table."""
-    import uuid
+    """A stream over the files that are there, run to its end; state, offsets and results lie in the shared folder, results as Parquet."""
+    out = new_path(spark, "stream")
 
-    name = f"causetrace_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    folder = spark.conf.get("spark.checkpoint.dir", None)  # state and offsets where all executors see them
-    q = (writer.option("checkpointLocation", f"{folder}/{name}") if folder else writer).start()
+    def keep(batch, number):  # in complete mode each batch is the whole result
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(stream.schema)
+    return rows.parquet(out) if mode == "complete" else rows.option("basePath", out).parquet(out).select(*stream.columns)
 
 
 def _events_stream(spark, d):
@@ -181,10 +183,16 @@ def t1_stream_log_counts(spark, d):
     return _drained(spark, stream_log_counts(rows, "6 hours"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+_T2 = """o AS (SELECT 'e' || (user_id // 75) AS entity, event_type AS metric, ts, value > 40 AS is_anomaly, row_number() OVER (PARTITION BY user_id // 75, event_type ORDER BY ts, event_id) - 1 AS pos FROM events),
+steps AS (SELECT entity, metric, 0::BIGINT AS pos, CASE WHEN is_anomaly THEN 1 ELSE 0 END AS run, 0 AS wait, false AS hard FROM o WHERE pos = 0
+UNION ALL SELECT f.entity, f.metric, f.pos, CASE WHEN s.wait > 0 OR NOT f.is_anomaly THEN 0 WHEN s.run + 1 >= 3 THEN 0 ELSE s.run + 1 END, CASE WHEN s.wait > 0 THEN s.wait - 1 WHEN f.is_anomaly AND s.run + 1 >= 3 THEN 6 ELSE 0 END,
+s.wait = 0 AND f.is_anomaly AND s.run + 1 >= 3 FROM steps s JOIN o f ON f.entity = s.entity AND f.metric = s.metric AND f.pos = s.pos + 1)"""
+
+
+@query(f"WITH RECURSIVE {_T2} SELECT entity, metric, ts FROM o JOIN steps USING (entity, metric, pos) WHERE hard")
 def t2_stream_dampen_alerts(spark, d):
     from causetrace.plans.registry import entity
     from causetrace.streaming.twins import stream_dampen_alerts
 
     rows = _events_stream(spark, d).select(entity().alias("entity"), F.col("event_type").alias("metric"), "ts", (F.col("value") > 40).alias("is_anomaly"))
-    return _drained(spark, stream_dampen_alerts(rows), "append")
+    return _drained(spark, stream_dampen_alerts(rows), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

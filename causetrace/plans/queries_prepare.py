@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import new_path
 from causetrace.operators import prepare
-from causetrace.plans.registry import BINNED, DEPLOY, EDGES, FILL, FILLED, GRID, MARKS, PARTS, STEP, S, TOPOLOGY, binned, dag_edges, filled, grid, nodes, parts, query, samples, table, traces
+from causetrace.plans.registry import BINNED, DEPLOY, EDGES, FILL, FILLED, GRID, MARKS, NODES, PARTS, STEP, S, TOPOLOGY, binned, filled, grid, nodes, parts, query, samples, table, traces
 from causetrace.plans.registry import deployments as deployment_rows
 from causetrace.sources import events as ev
 from causetrace.sources import logs, payloads, sinks
@@ -130,9 +131,10 @@ def s9_webhook_payload_to_event(spark, d):
 @query(f"WITH {DEPLOY} SELECT entity, date_trunc('second', ts) AS ts, description, type FROM deployments WHERE date_trunc('second', ts) >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
 def s10_load_events(spark, d):
     lines = deployment_rows(spark, d).select("entity", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "description", "type")).alias("line"))
-    rows = lines.select("entity", F.from_json("line", ev.EVENT_SCHEMA).alias("e")).select("entity", "e.*")
-    as_of = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
-    return ev.recent_events(rows, as_of).select("entity", "ts", "description", "type")
+    path = new_path(spark, "events")
+    lines.select(F.regexp_replace("line", r'"description":"', F.concat(F.lit('"description":"'), F.col("entity"), F.lit(" "))).alias("value")).write.text(path)
+    got = ev.load_events(spark, path, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    return got.select(F.substring_index("description", " ", 1).alias("entity"), "ts", F.expr("substring(description, instr(description, ' ') + 1)").alias("description"), "type")
 
 
 @query(f"WITH {TOPOLOGY} SELECT src, dst, weight, round(avg_latency_ms, 6) AS avg_latency_ms FROM topology")
@@ -140,15 +142,7 @@ def s11_traces_to_topology(spark, d):
     return ev.traces_to_topology(traces(spark, d)).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
 
 
-@query()
-def s12_report_documents(spark, d):
-    e = dag_edges(spark, d)
-    ranked = nodes(spark, d).select("incident_id", "metric", F.col("anomaly_score").alias("composite_score"), F.lit("Low").alias("confidence"), F.lit(1).alias("rank"))
-    seen = nodes(spark, d).select("incident_id", "metric", F.lit("none").alias("event_description"), F.lit(0.0).alias("correlation_score"))
-    return sinks.report_documents(ranked, e, seen)
-
-
-@query()
+@query(f"WITH {EDGES}{NODES} SELECT incident_id, metric, anomaly_score FROM nodes")
 def s13_rankings_csv(spark, d):
     return _through_csv(spark, nodes(spark, d), "incident_id string, metric string, anomaly_score double")
 
@@ -160,13 +154,7 @@ def s14_metrics_csv(spark, d):
 
 def _through_csv(spark, rows, schema):
     """What the CSV sink wrote, read back."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{folder or tempfile.mkdtemp(prefix='causetrace-')}/csv-{uuid.uuid4().hex}"
+    path = new_path(spark, "csv")
     sinks.write_csv(rows, path)
     return spark.read.schema(schema).option("header", True).csv(path)
 
@@ -227,11 +215,16 @@ def p8_to_long(spark, d):
     return _rounded(prepare.to_long(prepare.to_wide(binned(spark, d), METRICS), METRICS))
 
 
-@query(f"""WITH {PARTS}, b AS (SELECT entity, metric, min(value) AS lo, max(value) AS hi FROM normal GROUP BY 1, 2)
-SELECT i.entity, i.metric, i.ts, round(greatest(least((value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 1), 0), 6) AS value FROM incident i JOIN b USING (entity, metric)""")
+@query(f"""WITH {PARTS}, b AS (SELECT entity, metric, min(value) AS lo, max(value) AS hi FROM normal GROUP BY 1, 2),
+open AS (SELECT g.entity, g.metric, g.ts, g.value FROM grid g JOIN halves h USING (entity, metric, ts) WHERE NOT h.is_normal),
+told AS (SELECT entity, metric, ts, coalesce(last_value(value IGNORE NULLS) OVER p, first_value(value IGNORE NULLS) OVER q) AS value FROM open
+WINDOW p AS (PARTITION BY entity, metric ORDER BY ts ROWS UNBOUNDED PRECEDING), q AS (PARTITION BY entity, metric ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT entity, metric, ts, CASE WHEN value IS NOT NULL THEN round(greatest(least((value - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 1), 0), 6) END AS value FROM told JOIN b USING (entity, metric)""")
 def p9_minmax(spark, d):
-    normal, incident = parts(spark, d)
-    return _rounded(prepare.apply_minmax(incident, prepare.fit_minmax(normal)))
+    """The incident with its gaps, filled and scaled to the range of the normal part."""
+    normal, _ = parts(spark, d)
+    incident = grid(spark, d).withColumn("__n", prepare.split_normal(F.col("pos"))).where("not __n")
+    return _rounded(prepare.apply_minmax(prepare.fill_incident(incident), prepare.fit_minmax(normal)))
 
 
 _WINDOWS = "w AS (SELECT entity, metric, ts, pos, count(*) OVER f AS n, sum(value) OVER f AS total FROM filled WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING)), win AS (SELECT entity, metric, ts, (pos - 11) // 5 AS k, total FROM w WHERE n = 12 AND (pos - 11) % 5 = 0)"

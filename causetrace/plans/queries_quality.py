@@ -44,11 +44,11 @@ def b4_evaluate_rankings(spark, d):
     return quality.evaluate_rankings(_ranked(spark, d), _truth(spark, d)).withColumn("mrr", F.round("mrr", 6))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}{CLOSED}, dn AS (SELECT incident_id, src AS metric, count(*) AS below FROM closure GROUP BY 1, 2), up AS (SELECT incident_id, dst AS metric, count(*) AS above FROM closure GROUP BY 1, 2),
+@query(f"""WITH RECURSIVE {GRAPH}{CLOSED}, dn AS (SELECT incident_id, src AS metric, count(*) AS below FROM closure WHERE src <> dst GROUP BY 1, 2), up AS (SELECT incident_id, dst AS metric, count(*) AS above FROM closure WHERE src <> dst GROUP BY 1, 2),
 j AS (SELECT n.*, count(*) OVER w AS size, coalesce(below, 0) AS below, coalesce(above, 0) AS above, coalesce(greatest(1 - floor(epoch(s.first_seen) - min(epoch(s.first_seen)) OVER w) / 300 / 1000, 0), 0) AS early FROM nodes n LEFT JOIN seen s USING (incident_id, metric) LEFT JOIN dn USING (incident_id, metric) LEFT JOIN up USING (incident_id, metric) WINDOW w AS (PARTITION BY n.incident_id))
 SELECT incident_id, metric, round(0.4 * below / size + 0.2 * (1 - above / size) + 0.3 * early + 0.1 * anomaly_score, 6) AS score FROM j WHERE anomaly_score >= 0.5""")
 def b5_closure_scorer(spark, d):
-    got = quality.closure_scorer(nodes(spark, d), dag_edges(spark, d), _seen_nodes(spark, d))
+    got = quality.closure_scorer(nodes(spark, d), lagged_edges(spark, d), _seen_nodes(spark, d))
     return got.withColumn("score", F.round("score", 6))
 
 
@@ -108,10 +108,10 @@ def b13_validate_ranges(spark, d):
     return quality.validate_ranges(samples(spark, d), rules)
 
 
-@query(f"WITH RECURSIVE {DAG}{_WALKS}, roots AS (SELECT incident_id, metric AS root, min(ts) AS started FROM series GROUP BY 1, 2) SELECT incident_id, root, node AS metric, CAST(min(total) AS BIGINT) AS lag, started + INTERVAL 300 SECOND * min(total) AS expected FROM walk JOIN roots USING (incident_id, root) GROUP BY 1, 2, 3, started")
+@query(f"WITH RECURSIVE {EDGES}{_WALKS}, roots AS (SELECT incident_id, metric AS root, min(ts) AS started FROM series GROUP BY 1, 2) SELECT incident_id, root, node AS metric, CAST(min(total) AS BIGINT) AS lag, started + INTERVAL 300 SECOND * min(total) AS expected FROM walk JOIN roots USING (incident_id, root) GROUP BY 1, 2, 3, started")
 def b14_symptom_times(spark, d):
     roots = series(spark, d).groupBy("incident_id", F.col("metric").alias("root")).agg(F.min("ts").alias("started"))
-    return quality.symptom_times(dag_edges(spark, d), roots)
+    return quality.symptom_times(lagged_edges(spark, d), roots)
 
 
 @query(f"WITH {EDGES}, r AS (SELECT x.incident_id AS entity, x.metric AS a, y.metric AS b, corr(x.value, y.value) AS r FROM series x JOIN series y ON x.incident_id = y.incident_id AND x.ts = y.ts AND x.metric < y.metric GROUP BY 1, 2, 3) SELECT entity, a, b, round(r, 6) AS r FROM r WHERE abs(r) > 0.02 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.incident_id = entity AND ((cause = a AND effect = b) OR (cause = b AND effect = a)))")
@@ -122,7 +122,7 @@ def b15_hidden_confounders(spark, d):
 @query(f"""WITH RECURSIVE {_RANKED}{CLOSED}, told AS (SELECT c.incident_id, dst AS metric FROM closure c JOIN ranked r ON r.incident_id = c.incident_id AND r.metric = c.src AND r.rank = 1 UNION SELECT incident_id, metric FROM ranked WHERE rank = 1)
 SELECT n.incident_id, count(*) AS anomalies, count(*) FILTER (t.metric IS NULL) AS unexplained FROM nodes n LEFT JOIN told t ON t.incident_id = n.incident_id AND t.metric = n.metric GROUP BY 1""")
 def b16_explanation_gap(spark, d):
-    return quality.explanation_gap(nodes(spark, d), dag_edges(spark, d), _ranked(spark, d))
+    return quality.explanation_gap(nodes(spark, d), lagged_edges(spark, d), _ranked(spark, d))
 
 
 @query(f"""WITH {FILLED}, rules(metric, op, threshold, minutes) AS (VALUES ('click', '>', 40.0, 360), ('view', '<', 60.0, 720)), p AS (SELECT f.*, op, threshold, minutes, row_number() OVER (PARTITION BY f.entity, f.metric ORDER BY ts) AS p FROM filled f JOIN rules USING (metric)),
@@ -149,7 +149,7 @@ def b19_adf_report(spark, d):
 FROM g LEFT JOIN pc USING (incident_id, cause, effect) LEFT JOIN a USING (incident_id, cause, effect) LEFT JOIN seen x ON x.incident_id = g.incident_id AND x.metric = g.cause LEFT JOIN seen y ON y.incident_id = g.incident_id AND y.metric = g.effect)
 SELECT incident_id, cause, effect, votes, CASE WHEN votes >= 4 THEN 'HIGH' WHEN votes = 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM v""")
 def b20_edge_votes(spark, d):
-    e = dag_edges(spark, d)
+    e = lagged_edges(spark, d)
     allowed = e.select("incident_id", "cause", "effect", (F.length("cause") != F.length("effect")).alias("ok"))
     return quality.edge_votes(e, e.where("strength > 0.1"), allowed, _seen_nodes(spark, d))
 

@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 STEP = "6 hours"
 #: Tables that several parts of the query being built use: each is computed once a query.
-_SHARED: dict[str, DataFrame] = {}
+_SHARED: dict[tuple, DataFrame] = {}
 
 
 def query(sql: str | None = None):
@@ -43,9 +43,10 @@ def once(f):
 
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if f.__name__ not in _SHARED:
-            _SHARED[f.__name__] = settled(f(spark, sf_dir), f.__name__)
-        return _SHARED[f.__name__]
+        key = (f.__name__, sf_dir, spark.sparkContext.applicationId)
+        if key not in _SHARED:
+            _SHARED[key] = settled(f(spark, sf_dir), f.__name__)
+        return _SHARED[key]
 
     return run
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causetrace.functions.shared import new_path
 from causetrace.operators import detect
-from causetrace.plans.registry import BASE, DEPLOY, FILLED, INCIDENTS, PARTS, S, STAT, deployments, filled, incidents, parts, query, samples, scored
+from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, PARTS, S, STAT, filled, incidents, major_releases, parts, query, samples, scored
 from causetrace.plans.queries_prepare import METRICS
 
 _SPIKE = """d0 AS (SELECT *, value - lag(value) OVER (PARTITION BY entity, metric ORDER BY ts) AS r FROM filled), d1 AS (SELECT *, CASE WHEN count(r) OVER f >= 3 THEN stddev_samp(r) OVER f END AS sd FROM d0 WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING)),
@@ -141,15 +141,15 @@ def d18_dampening_stats(spark, d):
     return detect.dampening_stats(detect.dampen_alerts(_flags(spark, d), 2, 6))
 
 
-@query(f"WITH {DEPLOY} SELECT entity, max(ts) AS deployed, max(ts) <= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 2 HOUR AS due FROM deployments WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts >= TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1")
+@query(f"WITH {MAJOR} SELECT entity, max(ts) AS deployed, max(ts) <= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 2 HOUR AS due FROM deployments WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts >= TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1")
 def d19_rebaseline_due(spark, d):
-    return detect.rebaseline_due(deployments(spark, d), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    return detect.rebaseline_due(major_releases(spark, d), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
 
 
-@query(f"""WITH {FILLED}, {DEPLOY}, due AS (SELECT entity, max(ts) AS deployed FROM deployments WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts >= TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1 HAVING max(ts) <= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 2 HOUR)
+@query(f"""WITH {FILLED}, {MAJOR}, due AS (SELECT entity, max(ts) AS deployed FROM deployments WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND ts >= TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1 HAVING max(ts) <= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 2 HOUR)
 SELECT entity, metric, round(median(value), 6) AS median, round(avg(value), 6) AS mean, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM filled JOIN due USING (entity) WHERE ts >= deployed GROUP BY 1, 2""")
 def d20_rebaseline(spark, d):
-    due = detect.rebaseline_due(deployments(spark, d), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    due = detect.rebaseline_due(major_releases(spark, d), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
     base, bounds = detect.rebaseline(filled(spark, d), due)
     return base.join(bounds, ["entity", "metric"]).select("entity", "metric", *[F.round(c, 6).alias(c) for c in ("median", "mean", "lo", "hi")])
 

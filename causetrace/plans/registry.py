@@ -135,7 +135,15 @@ def first_seen(spark, d) -> DataFrame:
 
 def deployments(spark, d) -> DataFrame:
     """Every sign-up is a deployment."""
-    e = table(spark, d, "events").where("event_type = 'signup'")
+    return _deployments(table(spark, d, "events").where("event_type = 'signup'"))
+
+
+def major_releases(spark, d) -> DataFrame:
+    """Deployments of a value over 90 change what is normal."""
+    return _deployments(table(spark, d, "events").where("event_type = 'signup' and value > 90"))
+
+
+def _deployments(e: DataFrame) -> DataFrame:
     return e.select(entity().alias("entity"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.concat(F.lit("release "), F.col("event_id").cast("string")).alias("description"), F.lit("deployment").alias("type"))
 
 
@@ -191,5 +199,6 @@ DAG = EDGES.replace("WHERE strength > 0.05)", "WHERE strength > 0.05 AND cause <
 GRAPH = EDGES + NODES + SEEN
 CLOSED = ", closure AS (SELECT incident_id, cause AS src, effect AS dst FROM edges UNION SELECT c.incident_id, c.src, e.effect FROM closure c JOIN edges e ON c.incident_id = e.incident_id AND c.dst = e.cause)"
 DEPLOY = "deployments AS (SELECT 'e' || (user_id // 75) AS entity, ts, 'release ' || event_id AS description, 'deployment' AS type FROM events WHERE event_type = 'signup')"
+MAJOR = DEPLOY.replace("'signup')", "'signup' AND value > 90)")
 TOPOLOGY = """topology AS (SELECT h.n_name AS src, t.n_name AS dst, count(*) AS weight, avg(floor(l_extendedprice)) / 1000 AS avg_latency_ms FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation h ON c_nationkey = h.n_nationkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation t ON s_nationkey = t.n_nationkey WHERE h.n_name <> t.n_name GROUP BY 1, 2)"""

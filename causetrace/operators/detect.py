@@ -80,6 +80,37 @@ def reconstruction_error(df: DataFrame, model: ReconstructionModel) -> DataFrame
     return scored.select("entity", F.col("z.metric").alias("metric"), "ts", F.col("z.score").alias("score"))
 
 
+def fit_entity_models(normal: DataFrame, metrics: list[str], window: int = 12, stride: int = 5, latent: int = 32) -> DataFrame:
+    """D1, a model for each entity: ``entity, mean, components`` of its own training windows. An entity without a complete window has none.
+
+    One entity's windows are one group; models stay distributed.
+    """
+
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf.sort_values("ts")["x"].to_list())
+        train = x[: max(1, int(len(x) * 0.8))]
+        mean = train.mean(axis=0)
+        parts = np.linalg.svd(train - mean, full_matrices=False)[2][: min(latent, x.shape[1] - 1)]
+        return pd.DataFrame({"entity": [key[0]], "mean": [mean], "components": [list(parts)]})
+
+    return wide_windows(normal, metrics, window, stride).groupBy("entity").applyInPandas(one, "entity string, mean array<double>, components array<array<double>>")
+
+
+def entity_reconstruction_error(df: DataFrame, models: DataFrame, metrics: list[str], window: int = 12) -> DataFrame:
+    """D2 with the models of ``fit_entity_models``: ``entity, metric, ts, score``. Entities without a model have no rows."""
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return left[["entity", "ts"]].iloc[:0].assign(metric="", score=0.0)
+        mean, parts = np.array(right["mean"].iloc[0]), np.vstack(right["components"].iloc[0])
+        m = np.vstack(left["x"].to_list()) - mean
+        e = ((m - m @ parts.T @ parts) ** 2).reshape(len(m), len(metrics), window).mean(axis=2)
+        return pd.DataFrame({"entity": key[0], "metric": np.tile(metrics, len(m)), "ts": np.repeat(left["ts"].to_numpy(), len(metrics)), "score": e.ravel()})
+
+    kind = df.schema["ts"].dataType.simpleString()
+    return wide_windows(df, metrics, window).groupBy("entity").cogroup(models.groupBy("entity")).applyInPandas(one, f"entity string, metric string, ts {kind}, score double")
+
+
 def calibrate_thresholds(scores: DataFrame, pct: float = 99.0) -> DataFrame:
     """D3: ``threshold`` of each metric: a percentile of its scores on validation data."""
     return scores.groupBy(*KEYS).agg(F.percentile("score", F.lit(pct / 100)).alias("threshold"))

@@ -38,13 +38,13 @@ def diagnose(series: DataFrame, incidents: DataFrame, events: DataFrame, topolog
 
 
 def run_pipeline(normal: DataFrame, incident: DataFrame, metrics: list[str], events: DataFrame, window: int = 12) -> dict[str, DataFrame]:
-    """Scaling, reconstruction model, thresholds, ensemble scores, incident summary, diagnosis and report. Tables are ``entity, metric, ts, value``."""
+    """Scaling, a reconstruction model for each entity, thresholds, ensemble scores, incident summary, diagnosis and report. Tables are ``entity, metric, ts, value``."""
     bounds = prepare.fit_minmax(normal)
     a = settled(prepare.apply_minmax(normal, bounds), "normal")
     b = settled(prepare.apply_minmax(prepare.fill_incident(incident), bounds), "incident")
-    model = detect.fit_reconstruction_model(a, metrics, window)
-    thresholds = detect.calibrate_thresholds(detect.reconstruction_error(a, model))
-    reconstruction = detect.flag_scores(detect.reconstruction_error(b, model), thresholds)
+    models = settled(detect.fit_entity_models(a, metrics, window), "models")
+    error = lambda df: detect.entity_reconstruction_error(df, models, metrics, window)
+    reconstruction = detect.flag_scores(error(b), detect.calibrate_thresholds(error(a)))
     statistical = detect.statistical_scores(b, detect.fit_baselines(a))
     scores = detect.ensemble_scores(reconstruction, statistical, detect.temporal_scores(b), "weighted")
     scores = settled(scores.withColumn("score", F.col("ensemble")))

@@ -78,6 +78,9 @@ def test_reconstruction_error(spark):
     for i in range(len(x)):
         for k, m in enumerate(("a", "b")):
             assert abs(got[m, T0 + dt.timedelta(minutes=5 * (i + window - 1))] - want[i, k]) < 1e-9
+    both = df.unionByName(frame(spark, {m: 100 * v for m, v in cols.items()}, "other"))
+    own = detect.entity_reconstruction_error(both, detect.fit_entity_models(df, ["a", "b"], window, 1, latent), ["a", "b"], window).collect()
+    assert len(own) == len(got) and all(abs(r.score - got[r.metric, r.ts]) < 1e-9 for r in own)
     due = spark.createDataFrame([("e", T0 + dt.timedelta(minutes=100), True)], "entity string, deployed timestamp_ntz, due boolean")
     again, thresholds = detect.rebaseline_model(df, due, ["a", "b"], window, 1, latent)
     assert np.array(again.components).shape == (latent, 2 * window) and thresholds.count() == 2

@@ -8,7 +8,7 @@ from causetrace.functions.shared import new_path
 from causetrace.operators import causal, graph, rank
 from causetrace.plans.diagnose import diagnose, run_pipeline
 from causetrace.plans.queries_prepare import METRICS
-from causetrace.plans.registry import CLOSED, DEPLOY, EDGES, GRAPH, INCIDENTS, NODES, SEEN, SERIES, STAT, TOPOLOGY, deployments, first_seen, incidents, lagged_edges, nodes, parts, query, series, table, traces
+from causetrace.plans.registry import CLOSED, DEPLOY, EDGES, GRAPH, INCIDENTS, NODES, SEEN, SERIES, TOPOLOGY, deployments, first_seen, incidents, lagged_edges, nodes, parts, query, series, table, traces
 from causetrace.sources import events as ev
 from causetrace.sources import sinks
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from causetrace.functions.shared import new_path
 from causetrace.operators import detect
-from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, PARTS, S, STAT, filled, incidents, major_releases, parts, query, samples, scored
+from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, S, STAT, filled, incidents, major_releases, parts, query, scored
 from causetrace.plans.queries_prepare import METRICS
 
 _SPIKE = """d0 AS (SELECT *, value - lag(value) OVER (PARTITION BY entity, metric ORDER BY ts) AS r FROM filled), d1 AS (SELECT *, CASE WHEN count(r) OVER f >= 3 THEN stddev_samp(r) OVER f END AS sd FROM d0 WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING)),

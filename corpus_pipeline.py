@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from causetrace.llm import decontam, line_dedup, sentencepieces, simhash, toxicity
 from causetrace.llm.common import stage, table
@@ -13,7 +12,7 @@ from causetrace.llm.queries import piece_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression-distance classifier does not call toxic (score below 0.5), all columns as they were."""
+    """Documents that the compression-distance classifier scores below 0.7, all columns as they were."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 

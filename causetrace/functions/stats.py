@@ -63,50 +63,6 @@ def unit_root_p(tau: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    beta, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
-    if rank < x.shape[1]:
-        raise np.linalg.LinAlgError("singular")
-    return beta, float(((y - x @ beta) ** 2).sum()), np.linalg.inv(x.T @ x)
-
-
-def adf_p(series: np.ndarray) -> float:
-    """Unit-root test with a constant; the lag has the least AIC on a common sample, then the test uses its own sample."""
-    y = np.asarray(series, dtype=float)
-    n = len(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if most < 0 or np.ptp(y) == 0:
-        raise ValueError("too short or constant")
-    dy = np.diff(y)
-
-    def design(lag: int, start: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(start, len(dy))
-        return np.column_stack([y[rows], *[dy[rows - i] for i in range(1, lag + 1)], np.ones(len(rows))]), dy[rows]
-
-    def aic(lag: int) -> float:
-        x, d = design(lag, most)
-        _, ssr, _ = _fit(x, d)
-        m = len(d)
-        return m * (math.log(2 * math.pi * ssr / m) + 1) + 2 * x.shape[1]
-
-    lag = min(range(most + 1), key=aic)
-    x, d = design(lag, lag)
-    beta, ssr, inverse = _fit(x, d)
-    return unit_root_p(beta[0] / math.sqrt(ssr / (len(d) - x.shape[1]) * inverse[0, 0]))
-
-
-def residual(gram: np.ndarray, y: int, on: list[int]) -> float:
-    """Sum of squares left of variable ``y`` after regression on ``on``, from centred or raw cross products."""
-    scale = np.sqrt(np.diag(gram))
-    if (scale[[y, *on]] == 0).any():
-        raise np.linalg.LinAlgError("constant")
-    g = gram / np.outer(scale, scale)
-    a = g[np.ix_(on, on)]
-    if np.linalg.cond(a) > 1e12:
-        raise np.linalg.LinAlgError("singular")
-    return float((g[y, y] - g[y, on] @ np.linalg.solve(a, g[y, on])) * scale[y] ** 2)
-
-
 def partial_correlation(corr: np.ndarray, i: int, j: int, given: tuple[int, ...]) -> float:
     at = [i, j, *given]
     p = np.linalg.pinv(corr[np.ix_(at, at)])

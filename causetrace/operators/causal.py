@@ -10,46 +10,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.functions import stats
-
-#: Metrics of an incident that one group tests as effects.
-EFFECTS = 16
+from causetrace.operators import lagged
 
 
 def make_stationary(series: DataFrame) -> DataFrame:
     """``incident_id, metric, ts, value``, differenced at most twice until the unit-root test rejects at 5 %.
 
-    The second difference isn't tested again; leading nulls go. A series that can't be tested is left out. One metric of
-    one incident is one group; its length is that of the incident's window.
+    The second difference isn't tested again; leading nulls go. A series that can't be tested is left out. Tests use sums alone; how often a
+    series is differenced is joined to its rows. ``series`` is read three times: store it first if it is costly.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        for _ in range(2):
-            try:
-                p = stats.adf_p(pdf["value"].dropna().to_numpy())
-            except (ValueError, np.linalg.LinAlgError, ZeroDivisionError):
-                return pdf.iloc[:0]
-            if p < 0.05:
-                break
-            pdf = pdf.assign(value=pdf["value"].diff())
-        return pdf.dropna(subset=["value"])
-
     rows = series.select("incident_id", "metric", "ts", F.col("value").cast("double").alias("value"))
-    return rows.groupBy("incident_id", "metric").applyInPandas(one, rows.schema)
+    key = ["incident_id", "metric"]
+    w = Window.partitionBy(*key).orderBy("ts")
+    steps = rows.select(*key, "ts", "value", (F.col("value") - F.lag("value").over(w)).alias("d1"), (F.col("value") - 2 * F.lag("value").over(w) + F.lag("value", 2).over(w)).alias("d2"))
+    # both tests in one pass: the series and its first difference side by side
+    tried = steps.select(*key, "ts", F.inline(F.array(F.struct(F.lit(0).alias("times"), "value"), F.struct(F.lit(1).alias("times"), F.col("d1").alias("value")))))
+    told = lagged.unit_root_tests(tried, (*key, "times")).groupBy(*key).agg(*[F.max(F.when(F.col("times") == k, F.col("p_value"))).alias(f"p{k}") for k in (0, 1)])
+    times = F.when(F.col("p0") < 0.05, 0).when(F.col("p0").isNotNull() & (F.col("p1") < 0.05), 1).when(F.col("p0").isNotNull() & F.col("p1").isNotNull(), 2)
+    placed = steps.join(told.select(*key, times.alias("times")).where("times is not null"), key)
+    value = F.when(F.col("times") == 0, F.col("value")).when(F.col("times") == 1, F.col("d1")).otherwise(F.col("d2"))
+    return placed.select(*key, "ts", value.alias("value")).where("value is not null")
 
 
 def adf_report(series: DataFrame) -> DataFrame:
     """``p_value, stationary`` (p < 0.05) of each metric; null where the test isn't possible."""
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            p = stats.adf_p(pdf.sort_values("ts")["value"].dropna().to_numpy())
-        except (ValueError, np.linalg.LinAlgError, ZeroDivisionError):
-            p = None
-        return pd.DataFrame([(*key, p, None if p is None else bool(p < 0.05))], columns=["incident_id", "metric", "p_value", "stationary"])
-
-    rows = series.select("incident_id", "metric", "ts", "value")
-    return rows.groupBy("incident_id", "metric").applyInPandas(one, "incident_id string, metric string, p_value double, stationary boolean")
+    names = series.select("incident_id", "metric").distinct()
+    tested = names.join(lagged.unit_root_tests(series), ["incident_id", "metric"], "left")
+    return tested.select("incident_id", "metric", "p_value", (F.col("p_value") < 0.05).alias("stationary"))
 
 
 def _pairs(series: DataFrame) -> DataFrame:
@@ -62,56 +49,15 @@ def _pairs(series: DataFrame) -> DataFrame:
     return x.join(y, ["incident_id", "ts"]).where("cause <> effect").withColumn("i", at)
 
 
-def _lag_test(x: np.ndarray, y: np.ndarray, max_lag: int) -> tuple[float, int | None]:
-    """(smallest p, its lag order) of the F-tests of x's lags in a regression of y; (1, None) where the algebra fails."""
-    best, at = 1.0, None
-    n = len(y)
-    try:
-        for lag in range(1, max_lag + 1):
-            v = np.column_stack([y[lag:], *[y[lag - k : n - k] for k in range(1, lag + 1)], *[x[lag - k : n - k] for k in range(1, lag + 1)], np.ones(n - lag)])
-            g = v.T @ v
-            own = stats.residual(g, 0, [*range(1, lag + 1), 2 * lag + 1])
-            joint = stats.residual(g, 0, [*range(1, 2 * lag + 2)])
-            df = n - lag - (2 * lag + 1)
-            p = stats.f_tail((own - joint) / joint / lag * df, lag, df)
-            if p < best:
-                best, at = p, lag
-    except (np.linalg.LinAlgError, ZeroDivisionError, FloatingPointError, ValueError):
-        return 1.0, None
-    return best, at
-
-
 def granger(series: DataFrame, max_lag: int = 10, alpha: float = 0.05, stationary: bool = True, rounded: bool = True) -> DataFrame:
     """Significant ordered pairs: ``incident_id, cause, effect, p_value, optimal_lag, strength``.
 
     For each lag order the F-test of the cause's lags; the smallest p wins, the first on ties. Pairs with fewer than
-    3·max_lag common rows, and pairs that a numerical failure stops, are left out. An incident's series come together once for every
-    ``EFFECTS`` of its metrics, and each such group tests all causes of its effects; a series is as long as its incident's window.
+    3·max_lag common rows, and pairs that a numerical failure stops, are left out. Series are added up in Spark; the tests see sums for each lag (``lagged``).
     """
-    ready = make_stationary(series) if stationary else series.select("incident_id", "metric", "ts", F.col("value").cast("double").alias("value"))
-    ready = ready.where("value is not null")
-    names = ready.select("incident_id", "metric").distinct()
-    place = F.row_number().over(Window.partitionBy("incident_id").orderBy("metric")) - 1
-    named = names.select("incident_id", "metric", F.floor(place / EFFECTS).cast("int").alias("own"))
-    parts = named.groupBy("incident_id").agg((F.max("own") + 1).alias("parts"))
-    placed = ready.join(named, ["incident_id", "metric"]).join(parts, "incident_id")
-    placed = placed.select("incident_id", "metric", "ts", "value", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="ts", columns="metric", values="value", aggfunc="last").sort_index()
-        values = {m: wide[m].to_numpy() - np.nanmean(wide[m].to_numpy()) for m in wide.columns}
-        rows = []
-        for effect in sorted(pdf.loc[pdf["own"] == key[1], "metric"].unique()):
-            for cause in values:
-                both = np.isfinite(values[cause]) & np.isfinite(values[effect])
-                if cause == effect or both.sum() < 3 * max_lag:
-                    continue
-                best, at = _lag_test(values[cause][both], values[effect][both], max_lag)
-                if at is not None and best < alpha:
-                    rows.append((key[0], cause, effect, best, at, round(1 - best, 6) if rounded else 1 - best))
-        return pd.DataFrame(rows, columns=["incident_id", "cause", "effect", "p_value", "optimal_lag", "strength"])
-
-    return placed.groupBy("incident_id", "part").applyInPandas(one, "incident_id string, cause string, effect string, p_value double, optimal_lag int, strength double")
+    sums = lagged.pair_sums(make_stationary(series) if stationary else series, max_lag, 3 * max_lag)
+    strength = 1 - F.col("p_value")
+    return lagged.lag_tests(sums, max_lag, alpha).withColumn("strength", F.round(strength, 6) if rounded else strength)
 
 
 def granger_raw(series: DataFrame, max_lag: int = 10, alpha: float = 0.05) -> DataFrame:

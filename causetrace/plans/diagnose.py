@@ -19,7 +19,7 @@ def diagnose(series: DataFrame, incidents: DataFrame, events: DataFrame, topolog
     if prune not in ("before", "after"):
         raise ValueError("prune is before or after")
     incidents = settled(incidents, "incidents")  # used by every step below
-    active = series.join(incidents.select("incident_id", "metric"), ["incident_id", "metric"], "left_semi")
+    active = settled(series.join(incidents.select("incident_id", "metric"), ["incident_id", "metric"], "left_semi"), "active")
     pairs = causal.granger(active, max_lag, alpha).withColumnRenamed("optimal_lag", "lag")
     nodes, edges = graph.build_causal_graph(incidents, pairs)
     if topology is not None and prune == "before":

@@ -141,12 +141,6 @@ def test_lagged_cause_is_found(spark):
     df = spark.createDataFrame(rows, "incident_id string, metric string, ts timestamp_ntz, value double")
     got = {(r.cause, r.effect): r for r in causal.granger(df, 3).collect()}
     assert got["A", "B"].p_value < 1e-10
-    together, causal.EFFECTS = causal.EFFECTS, 1  # an effect in each group gives the same
-    try:
-        cut = {(r.cause, r.effect): r for r in causal.granger(df, 3).collect()}
-    finally:
-        causal.EFFECTS = together
-    assert cut == got
 
 
 def test_structure_of_a_chain(spark):
@@ -165,7 +159,4 @@ def test_distribution_tails():
     assert stats.t_two_sided(2.2281, 10) == pytest.approx(0.05, abs=1e-5)
     assert stats.normal_two_sided(1.959964) == pytest.approx(0.05, abs=1e-6)
     assert stats.unit_root_p(-2.86) == pytest.approx(0.05, abs=2e-3)
-    rng = np.random.default_rng(4)
-    assert stats.adf_p(rng.normal(size=300)) < 0.01
-    assert stats.adf_p(np.cumsum(rng.normal(size=300))) > 0.05
     assert math.isclose(stats.incomplete_beta(2, 3, 0.4), 0.5248, abs_tol=1e-4)

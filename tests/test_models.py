@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain NumPy."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,67 @@ def test_reconstruction_error(spark):
     assert np.array(again.components).shape == (latent, 2 * window) and thresholds.count() == 2
 
 
+def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    beta, _, rank, _ = np.linalg.lstsq(x, y, rcond=None)
+    if rank < x.shape[1]:
+        raise np.linalg.LinAlgError("singular")
+    return beta, float(((y - x @ beta) ** 2).sum()), np.linalg.inv(x.T @ x)
+
+
+def adf_plain(series: np.ndarray) -> float:
+    """Unit-root test with a constant; the lag has the least AIC on a common sample, then the test uses its own sample."""
+    y = np.asarray(series, dtype=float)
+    n = len(y)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    if most < 0 or np.ptp(y) == 0:
+        raise ValueError("too short or constant")
+    dy = np.diff(y)
+
+    def design(lag: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(start, len(dy))
+        return np.column_stack([y[rows], *[dy[rows - i] for i in range(1, lag + 1)], np.ones(len(rows))]), dy[rows]
+
+    def aic(lag: int) -> float:
+        x, d = design(lag, most)
+        _, ssr, _ = _least_squares(x, d)
+        m = len(d)
+        return m * (math.log(2 * math.pi * ssr / m) + 1) + 2 * x.shape[1]
+
+    lag = min(range(most + 1), key=aic)
+    x, d = design(lag, lag)
+    beta, ssr, inverse = _least_squares(x, d)
+    return stats.unit_root_p(beta[0] / math.sqrt(ssr / (len(d) - x.shape[1]) * inverse[0, 0]))
+
+
+def test_unit_roots_from_sums(spark):
+    """The same p as least squares on the whole series, at several lengths, with nulls, and none where it can't be tested."""
+    rng = np.random.default_rng(9)
+    cols = {f"walk{n}": 1000 + rng.normal(size=n).cumsum() for n in (12, 40, 150, 900)} | {f"noise{n}": 5 * rng.normal(size=n) for n in (9, 33, 400)}
+    cols |= {"wave": np.sin(np.arange(300) / 9) + 0.1 * rng.normal(size=300), "gaps": [None if i % 9 == 2 else v for i, v in enumerate(rng.normal(size=200).cumsum())]}
+    cols |= {"flat": [3.0] * 50, "short": [1.0, 2.0, 4.0], "none": [None] * 8, "line": [float(i) for i in range(60)]}
+    got = {r.metric: r.p_value for r in causal.adf_report(incident(spark, cols)).collect()}
+    assert set(got) == set(cols) and all(got[m] is None for m in ("flat", "short", "none", "line"))
+    for m, p in got.items():
+        if p is not None:
+            assert abs(p - adf_plain(np.array([v for v in cols[m] if v is not None]))) < 1e-9, m
+
+
+def test_differences_until_stationary(spark):
+    """A series that needs two differences gets them, and nulls in it spread as they do in plain differences."""
+    rng = np.random.default_rng(10)
+    cols = {"twice": rng.normal(size=200).cumsum().cumsum(), "once": rng.normal(size=200).cumsum(), "noise": rng.normal(size=200)}
+    cols["once"][[0, 60]] = np.nan
+    given = {m: [None if np.isnan(v) else v for v in vs] for m, vs in cols.items()}
+    rows = causal.make_stationary(incident(spark, given)).collect()
+    for m, vs in cols.items():
+        want = pd.Series(vs)
+        for _ in range({"twice": 2, "once": 1, "noise": 0}[m]):
+            want = want.diff()
+        got = {int((r.ts - T0).total_seconds() // 300): r.value for r in rows if r.metric == m}
+        want = want.dropna().to_dict()
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got), m
+
+
 def test_stationarity(spark):
     rng = np.random.default_rng(3)
     cols = {"noise": rng.normal(size=300), "walk": rng.normal(size=300).cumsum()}

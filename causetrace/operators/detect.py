@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import settled
+from causetrace.operators import moments
 from causetrace.operators.prepare import KEYS, apply_minmax, fit_minmax, to_wide
 
+#: Windows that one group scores.
+SCORED = 4096
+
 
 def _series():
     return Window.partitionBy(*KEYS)
@@ -38,36 +43,42 @@ class ReconstructionModel:
 
 
 def wide_windows(df: DataFrame, metrics: list[str], window: int, stride: int = 1) -> DataFrame:
-    """``entity, ts, k, x``: complete windows over the times that have all metrics, one flat array each (metric by metric)."""
+    """``entity, ts, begin, k, x``: complete windows over the times that have all metrics, from ``begin`` to ``ts``, one flat array each (metric by metric)."""
     # side by side first: one row for each time, so that a value is shuffled once and windows are collected after that
     wide = to_wide(df.where(F.col("metric").isin(metrics)), metrics).dropna(subset=metrics)
     order = Window.partitionBy("entity").orderBy("ts")
     rows = F.collect_list(F.array(*[F.col(f"`{m}`") for m in metrics])).over(order.rowsBetween(-(window - 1), 0))
     place = F.row_number().over(order) - window
-    got = wide.select("entity", "ts", place.alias("__p"), rows.alias("__x")).where((F.col("__p") >= 0) & (F.col("__p") % stride == 0))
+    got = wide.select("entity", "ts", F.lag("ts", window - 1).over(order).alias("begin"), place.alias("__p"), rows.alias("__x")).where((F.col("__p") >= 0) & (F.col("__p") % stride == 0))
     flat = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(metrics) - 1)), lambda m: F.transform("__x", lambda row: row[m])))
-    return got.select("entity", "ts", (F.col("__p") / stride).cast("long").alias("k"), flat.alias("x"))
+    return got.select("entity", "ts", "begin", (F.col("__p") / stride).cast("long").alias("k"), flat.alias("x"))
+
+
+def training_windows(normal: DataFrame, metrics: list[str], window: int = 12, stride: int = 5, validation: float = 0.2) -> DataFrame:
+    """Windows with ``train``: whether one is among the first 1 - ``validation`` of its entity's in time, at least the first. The others are held out for thresholds."""
+    place, n = F.row_number().over(Window.partitionBy("entity").orderBy("ts")), F.count(F.lit(1)).over(Window.partitionBy("entity"))
+    return wide_windows(normal, metrics, window, stride).withColumn("train", place <= F.greatest(F.floor(n * (1 - validation)), F.lit(1)))
 
 
 def fit_reconstruction_model(normal: DataFrame, metrics: list[str], window: int = 12, stride: int = 5, latent: int = 32) -> ReconstructionModel:
-    """Principal components of the training windows (the first 80 % in time), at most ``latent``; only the model reaches the driver."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    """Principal components of the training windows (the first 80 % in time) of all entities given, at most ``latent``; only their moments reach the driver.
 
-    windows = wide_windows(normal, metrics, window, stride)
-    place = F.row_number().over(Window.partitionBy("entity").orderBy("ts"))
-    train = windows.withColumn("__part", place <= F.floor(F.count(F.lit(1)).over(Window.partitionBy("entity")) * 0.8)).where("__part")
+    One pass; each task hands on one state.
+    """
+    rows = training_windows(normal, metrics, window, stride).where("train")
+    total = moments.moment_states(rows).first()
     size = len(metrics) * window
-    mean = train.select(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(size)]).first()
-    centred = train.select(array_to_vector(F.zip_with("x", F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)).alias("x"))
-    k = min(latent, size - 1)
-    model = PCA(k=k, inputCol="x", outputCol="z").fit(centred)
-    return ReconstructionModel(metrics, window, [float(m) for m in mean], model.pc.toArray().T.tolist())
+    if total is None:
+        return ReconstructionModel(metrics, window, [0.0] * size, [])
+    mean = np.array(total["mean"])
+    parts = moments.components(total["n"], mean, np.array(total["scatter"]).reshape(size, size), latent)
+    return ReconstructionModel(metrics, window, mean.tolist(), parts.tolist())
 
 
 def reconstruction_error(df: DataFrame, model: ReconstructionModel) -> DataFrame:
     """``entity, metric, ts, score``: mean squared error of each metric over each window, labelled with the window's end."""
-    mean, parts, metrics, window = np.array(model.mean), np.array(model.components), model.metrics, model.window
+    mean, metrics, window = np.array(model.mean), model.metrics, model.window
+    parts = np.array(model.components).reshape(-1, len(mean))
 
     @F.pandas_udf("array<double>")
     def errors(x: pd.Series) -> pd.Series:
@@ -81,34 +92,39 @@ def reconstruction_error(df: DataFrame, model: ReconstructionModel) -> DataFrame
 
 
 def fit_entity_models(normal: DataFrame, metrics: list[str], window: int = 12, stride: int = 5, latent: int = 32) -> DataFrame:
-    """D1, a model for each entity: ``entity, mean, components`` of its own training windows. An entity without a complete window has none.
-
-    One entity's windows are one group; models stay distributed.
-    """
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf.sort_values("ts")["x"].to_list())
-        train = x[: max(1, int(len(x) * 0.8))]
-        mean = train.mean(axis=0)
-        parts = np.linalg.svd(train - mean, full_matrices=False)[2][: min(latent, x.shape[1] - 1)]
-        return pd.DataFrame({"entity": [key[0]], "mean": [mean], "components": [list(parts)]})
-
-    return wide_windows(normal, metrics, window, stride).groupBy("entity").applyInPandas(one, "entity string, mean array<double>, components array<array<double>>")
+    """D1, a model for each entity: ``entity, mean, components`` of its own training windows, from their moments. An entity without a complete window has none; models stay distributed."""
+    rows = training_windows(normal, metrics, window, stride).where("train")
+    return moments.models(moments.moment_states(rows, "entity"), latent)
 
 
-def entity_reconstruction_error(df: DataFrame, models: DataFrame, metrics: list[str], window: int = 12) -> DataFrame:
-    """D2 with the models of ``fit_entity_models``: ``entity, metric, ts, score``. Entities without a model have no rows."""
+def window_errors(windows: DataFrame, models: DataFrame, metrics: list[str], window: int = 12) -> DataFrame:
+    """``entity, metric, ts, score`` of ``windows(entity, ts, k, x)`` with the models of their entities, ``SCORED`` windows and one model at a time."""
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return left[["entity", "ts"]].iloc[:0].assign(metric="", score=0.0)
-        mean, parts = np.array(right["mean"].iloc[0]), np.vstack(right["components"].iloc[0])
+        mean = np.array(right["mean"].iloc[0])
+        parts = np.array([list(p) for p in right["components"].iloc[0]]).reshape(-1, len(mean))
         m = np.vstack(left["x"].to_list()) - mean
         e = ((m - m @ parts.T @ parts) ** 2).reshape(len(m), len(metrics), window).mean(axis=2)
         return pd.DataFrame({"entity": key[0], "metric": np.tile(metrics, len(m)), "ts": np.repeat(left["ts"].to_numpy(), len(metrics)), "score": e.ravel()})
 
-    kind = df.schema["ts"].dataType.simpleString()
-    return wide_windows(df, metrics, window).groupBy("entity").cogroup(models.groupBy("entity")).applyInPandas(one, f"entity string, metric string, ts {kind}, score double")
+    kind = windows.schema["ts"].dataType.simpleString()
+    left = windows.select("entity", F.floor(F.col("k") / SCORED).alias("chunk"), "ts", "x")
+    # a model goes to each chunk of its entity's windows
+    last = windows.groupBy("entity").agg(F.floor(F.max("k") / SCORED).alias("last"))
+    right = models.join(last, "entity").select("entity", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("chunk"), "mean", "components")
+    return left.groupBy("entity", "chunk").cogroup(right.groupBy("entity", "chunk")).applyInPandas(one, f"entity string, metric string, ts {kind}, score double")
+
+
+def entity_reconstruction_error(df: DataFrame, models: DataFrame, metrics: list[str], window: int = 12) -> DataFrame:
+    """D2 with the models of ``fit_entity_models``: ``entity, metric, ts, score``. Entities without a model have no rows."""
+    return window_errors(wide_windows(df, metrics, window), models, metrics, window)
+
+
+def held_out_errors(normal: DataFrame, models: DataFrame, metrics: list[str], window: int = 12, stride: int = 5) -> DataFrame:
+    """D3's input: errors of the windows that ``fit_entity_models`` held out. An entity with a single window has none, so no threshold."""
+    return window_errors(training_windows(normal, metrics, window, stride).where("not train"), models, metrics, window)
 
 
 def calibrate_thresholds(scores: DataFrame, pct: float = 99.0) -> DataFrame:
@@ -258,9 +274,30 @@ def since_deployment(metrics: DataFrame, due: DataFrame) -> DataFrame:
     return metrics.join(due.where("due").select("entity", "deployed"), "entity").where("ts >= deployed").drop("deployed")
 
 
-def rebaseline_model(metrics: DataFrame, due: DataFrame, names: list[str], window: int = 12, stride: int = 5, latent: int = 32) -> tuple[ReconstructionModel, DataFrame]:
-    """The reconstruction model and its thresholds, refitted on the scaled data since the deployment of the entities that are due."""
+def daily_states(metrics: DataFrame, names: list[str], window: int = 12, stride: int = 5, bucket: str = "day") -> DataFrame:
+    """Moments of each entity's windows by the ``bucket`` (a unit of ``date_trunc``) in which they begin. Kept and appended to, they are all that a refit reads."""
+    rows = wide_windows(metrics, names, window, stride)
+    return moments.moment_states(rows, "entity", bucket=F.date_trunc(bucket, "begin").cast("timestamp_ntz"))
+
+
+def rebaseline_model(metrics: DataFrame, due: DataFrame, states: DataFrame, names: list[str], window: int = 12, stride: int = 5, latent: int = 32, bucket: str = "day") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(models, thresholds, ranges) of each entity that is due, on its scaled data since the deployment.
+
+    A model is a sum of the ``states`` (see ``daily_states``) of the buckets that begin after the deployment, but for the last fifth of them, one at least; the windows of
+    those, read and scored, give the thresholds. Scaling moves the moments, so that states of raw values serve every range. Entities with a single bucket have no model yet.
+    """
     since = since_deployment(metrics, due)
-    scaled = apply_minmax(since, fit_minmax(since))
-    model = fit_reconstruction_model(scaled, names, window, stride, latent)
-    return model, calibrate_thresholds(reconstruction_error(scaled, model))
+    bounds = fit_minmax(since)
+    fresh = states.join(due.where("due").select("entity", "deployed"), "entity").where("bucket >= deployed")
+    order, n = F.row_number().over(Window.partitionBy("entity").orderBy("bucket")), F.count(F.lit(1)).over(Window.partitionBy("entity"))
+    placed = fresh.withColumn("train", order <= n - F.greatest(F.floor(n * 0.2), F.lit(1)))
+    cut = placed.where("not train").groupBy("entity").agg(F.min("bucket").alias("cut"))
+    at = F.sequence(F.lit(0), F.lit(len(names) * window - 1))
+    width = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
+    told = bounds.where(F.col("metric").isin(names)).groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.struct("lo", width.alias("width"))))).alias("b"))
+    each = lambda field: F.transform(at, lambda i: F.element_at("b", F.array(*[F.lit(m) for m in names])[F.floor(i / window).cast("int")])[field])
+    models = moments.models(placed.where("train"), latent, told.select("entity", each("lo").alias("lo"), each("width").alias("width")))
+    models = settled(models, "models")
+    scaled = apply_minmax(since, bounds)
+    held = wide_windows(scaled, names, window, stride).join(cut, "entity").where(F.date_trunc(bucket, "begin") >= F.col("cut"))
+    return models, calibrate_thresholds(window_errors(held, models, names, window)), bounds

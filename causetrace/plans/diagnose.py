@@ -37,18 +37,22 @@ def diagnose(series: DataFrame, incidents: DataFrame, events: DataFrame, topolog
     return {"ranked": ranked, "nodes": nodes, "edges": edges, "correlations": correlations}
 
 
-def run_pipeline(normal: DataFrame, incident: DataFrame, metrics: list[str], events: DataFrame, window: int = 12) -> dict[str, DataFrame]:
-    """Scaling, a reconstruction model for each entity, thresholds, ensemble scores, incident summary, diagnosis and report. Tables are ``entity, metric, ts, value``."""
+def run_pipeline(normal: DataFrame, incident: DataFrame, metrics: list[str], events: DataFrame, window: int = 12, rule: str = "reconstruction", topology: DataFrame | None = None, max_lag: int = 10, alpha: float = 0.05) -> dict[str, DataFrame]:
+    """Scaling, a reconstruction model for each entity, thresholds, ensemble scores, incident summary, diagnosis and report. Tables are ``entity, metric, ts, value``.
+
+    A model is fitted to the first 80 % of the normal windows, its thresholds are percentiles of its errors on the others. ``rule`` is D15's.
+    """
     bounds = prepare.fit_minmax(normal)
     a = settled(prepare.apply_minmax(normal, bounds), "normal")
     b = settled(prepare.apply_minmax(prepare.fill_incident(incident), bounds), "incident")
     models = settled(detect.fit_entity_models(a, metrics, window), "models")
     error = lambda df: detect.entity_reconstruction_error(df, models, metrics, window)
-    reconstruction = detect.flag_scores(error(b), detect.calibrate_thresholds(error(a)))
+    thresholds = detect.calibrate_thresholds(detect.held_out_errors(a, models, metrics, window))
+    reconstruction = detect.flag_scores(error(b), thresholds)
     statistical = detect.statistical_scores(b, detect.fit_baselines(a))
-    scores = detect.ensemble_scores(reconstruction, statistical, detect.temporal_scores(b), "weighted")
+    scores = detect.ensemble_scores(reconstruction, statistical, detect.temporal_scores(b), rule)
     scores = settled(scores.withColumn("score", F.col("ensemble")))
     incidents = detect.summarise_incident(scores)
     series = b.select(F.col("entity").alias("incident_id"), "metric", "ts", "value")
-    out = diagnose(series, incidents, events)
-    return out | {"scores": scores, "incidents": incidents, "reports": rank.markdown_report(out["ranked"])}
+    out = diagnose(series, incidents, events, topology, max_lag, alpha)
+    return out | {"scores": scores, "thresholds": thresholds, "incidents": incidents, "reports": rank.markdown_report(out["ranked"])}

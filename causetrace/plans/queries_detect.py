@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causetrace.functions.shared import new_path
+from causetrace.functions.shared import new_path, settled
 from causetrace.operators import detect
-from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, S, STAT, filled, incidents, major_releases, parts, query, scored
+from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, S, STAT, filled, incidents, major_releases, parts, query, scored, settled_filled
 from causetrace.plans.queries_prepare import METRICS
 
 _SPIKE = """d0 AS (SELECT *, value - lag(value) OVER (PARTITION BY entity, metric ORDER BY ts) AS r FROM filled), d1 AS (SELECT *, CASE WHEN count(r) OVER f >= 3 THEN stddev_samp(r) OVER f END AS sd FROM d0 WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING)),
@@ -154,6 +154,17 @@ def d20_rebaseline(spark, d):
     return base.join(bounds, ["entity", "metric"]).select("entity", "metric", *[F.round(c, 6).alias(c) for c in ("median", "mean", "lo", "hi")])
 
 
+@query()
+def d20_rebaseline_model(spark, d):
+    """Models of the services that are due, refitted from kept daily states: how many directions each has, and the thresholds from the windows held out."""
+    rows = settled_filled(spark, d)
+    due = detect.rebaseline_due(major_releases(spark, d), F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    states = settled(detect.daily_states(rows, METRICS, stride=1), "states")
+    models, thresholds, _ = detect.rebaseline_model(rows, due, states, METRICS, stride=1)
+    known = models.select("entity", F.size("components").alias("components"))
+    return thresholds.join(known, "entity").select("entity", "metric", "components", F.round("threshold", 6).alias("threshold"))
+
+
 def _drained(spark, stream, mode):
     """A stream over the files that are there, run to its end; state, offsets and results lie in the shared folder, results as Parquet."""
     out = new_path(spark, "stream")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from causetrace.functions import stats
-from causetrace.operators import causal, detect, graph, prepare, quality
+from causetrace.operators import causal, detect, graph, moments, prepare, quality
 from causetrace.plans.diagnose import diagnose, run_pipeline
 from causetrace.sources import events as ev
 from causetrace.sources import sinks
@@ -82,9 +82,81 @@ def test_reconstruction_error(spark):
     both = df.unionByName(frame(spark, {m: 100 * v for m, v in cols.items()}, "other"))
     own = detect.entity_reconstruction_error(both, detect.fit_entity_models(df, ["a", "b"], window, 1, latent), ["a", "b"], window).collect()
     assert len(own) == len(got) and all(abs(r.score - got[r.metric, r.ts]) < 1e-9 for r in own)
-    due = spark.createDataFrame([("e", T0 + dt.timedelta(minutes=100), True)], "entity string, deployed timestamp_ntz, due boolean")
-    again, thresholds = detect.rebaseline_model(df, due, ["a", "b"], window, 1, latent)
-    assert np.array(again.components).shape == (latent, 2 * window) and thresholds.count() == 2
+
+
+def svd_model(x, latent):
+    mean = x.mean(axis=0)
+    return mean, np.linalg.svd(x - mean, full_matrices=False)[2][:latent]
+
+
+def window_matrix(cols, window, stride=1):
+    ms = sorted(cols)
+    n = len(cols[ms[0]])
+    return np.array([np.concatenate([cols[m][i : i + window] for m in ms]) for i in range(0, n - window + 1, stride)])
+
+
+def test_states_add_up(spark):
+    """Moments of parts in any cut and order merge into those of the whole; few rows span few directions."""
+    rng = np.random.default_rng(11)
+    x = 50 + rng.normal(size=(97, 6)) @ rng.normal(size=(6, 6))
+    parts = [p for p in np.split(x, [1, 2, 40, 41, 90]) if len(p)]
+    state = [(len(p), p.mean(axis=0), (p - p.mean(axis=0)).T @ (p - p.mean(axis=0))) for p in parts]
+    n, mean, scatter = moments.merged(*(np.array(z) for z in zip(*state[::-1], strict=True)))
+    assert n == 97 and np.allclose(mean, x.mean(axis=0), atol=1e-12) and np.allclose(scatter, (x - mean).T @ (x - mean), rtol=1e-10)
+    few = x[:3]
+    assert moments.components(3, few.mean(axis=0), (few - few.mean(axis=0)).T @ (few - few.mean(axis=0)), 5).shape == (2, 6)
+    df = spark.createDataFrame([("e", i % 4, [float(v) for v in r]) for i, r in enumerate(x)], "entity string, day int, x array<double>").repartition(5)
+    got = moments.merge_states(moments.moment_states(df, "entity", bucket=F.col("day")), ["entity"]).first()
+    assert got["n"] == 97 and np.allclose(got["mean"], mean) and np.allclose(np.reshape(got["scatter"], (6, 6)), scatter)
+
+
+def test_refit_from_states(spark):
+    """The model after a deployment comes from kept states alone and equals that of the scaled windows; thresholds are of held-out windows."""
+    rng = np.random.default_rng(12)
+    n, window, latent = 24 * 12, 4, 3
+    cols = {m: 20 * k + np.sin(np.arange(n) / (5 + k)) * 3 + rng.normal(size=n) for k, m in enumerate("ab", 1)}
+    cols["b"][-60:] += 9 * rng.normal(size=60)  # the last hours are noisier
+    df = frame(spark, cols)
+    states = detect.daily_states(df, ["a", "b"], window, 1, bucket="hour")
+    due = spark.createDataFrame([("e", T0 + dt.timedelta(hours=9, minutes=30), True), ("other", T0, True)], "entity string, deployed timestamp_ntz, due boolean")
+    models, thresholds, bounds = detect.rebaseline_model(df, due, states, ["a", "b"], window, 1, latent, bucket="hour")
+    since = {m: v[9 * 12 + 6 :] for m, v in cols.items()}
+    lo, hi = ({m: f(v) for m, v in since.items()} for f in (min, max))
+    scaled = window_matrix({m: (v - lo[m]) / (hi[m] - lo[m]) for m, v in cols.items()}, window)
+    # windows that begin in hours 10 to 23: 14 buckets, of which the last 2 are held out
+    train, held = scaled[10 * 12 : 22 * 12], scaled[22 * 12 :]
+    mean, p = svd_model(train, latent)
+    got = models.first()
+    assert models.count() == 1 and np.allclose(got.mean, mean, atol=1e-10)
+    assert np.allclose(np.array(got.components).T @ np.array(got.components), p.T @ p, atol=1e-8)
+    e = ((held - mean - (held - mean) @ p.T @ p) ** 2).reshape(len(held), 2, window).mean(axis=2)
+    told = {r.metric: r.threshold for r in thresholds.collect()}
+    assert np.allclose([told["a"], told["b"]], np.percentile(e, 99, axis=0), rtol=1e-8)
+    inside = ((train - mean - (train - mean) @ p.T @ p) ** 2).reshape(len(train), 2, window).mean(axis=2)
+    assert told["b"] > 2 * np.percentile(inside, 99, axis=0)[1]  # thresholds of the training windows would flag every noisy hour
+
+
+def test_pipeline_thresholds_are_held_out(spark):
+    """Errors on windows that the model was fitted to are smaller than those on others; only the latter calibrate."""
+    rng = np.random.default_rng(13)
+    cols = {m: rng.normal(size=160) for m in "abc"}
+    df = frame(spark, cols)
+    models = detect.fit_entity_models(df, ["a", "b", "c"], 4, 1, 8)
+    x = window_matrix(cols, 4)
+    cut = int(len(x) * 0.8)
+    mean, p = svd_model(x[:cut], 8)
+    e = ((x - mean - (x - mean) @ p.T @ p) ** 2).reshape(len(x), 3, 4).mean(axis=2)
+    got = {r.metric: r.threshold for r in detect.calibrate_thresholds(detect.held_out_errors(df, models, ["a", "b", "c"], 4, 1)).collect()}
+    assert np.allclose([got[m] for m in "abc"], np.percentile(e[cut:], 99, axis=0), rtol=1e-8)
+    out = run_pipeline(df, df, ["a", "b", "c"], spark.createDataFrame([], "ts timestamp_ntz, description string, type string"), 4)
+    lo, hi = ({m: f(v) for m, v in cols.items()} for f in (min, max))
+    x = window_matrix({m: (v - lo[m]) / (hi[m] - lo[m]) for m, v in cols.items()}, 4, 5)
+    cut = int(len(x) * 0.8)
+    mean, p = svd_model(x[:cut], min(32, 11, cut - 1))
+    e = ((x - mean - (x - mean) @ p.T @ p) ** 2).reshape(len(x), 3, 4).mean(axis=2)
+    told = {r.metric: r.threshold for r in out["thresholds"].collect()}
+    assert np.allclose([told[m] for m in "abc"], np.percentile(e[cut:], 99, axis=0), rtol=1e-8)
+    assert not np.allclose([told[m] for m in "abc"], np.percentile(e[:cut], 99, axis=0), rtol=0.05)
 
 
 def _least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from causetrace.functions.shared import new_path, settled
 from causetrace.operators import detect
-from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, S, STAT, filled, incidents, major_releases, parts, query, scored, settled_filled
+from causetrace.plans.registry import BASE, FILLED, INCIDENTS, MAJOR, S, STAT, entity, filled, incidents, major_releases, parts, query, scored, settled_filled
 from causetrace.plans.queries_prepare import METRICS
+from causetrace.streaming.damping import stream_dampen_alerts, use_rocksdb
+from causetrace.streaming.twins import stream_log_counts
 
 _SPIKE = """d0 AS (SELECT *, value - lag(value) OVER (PARTITION BY entity, metric ORDER BY ts) AS r FROM filled), d1 AS (SELECT *, CASE WHEN count(r) OVER f >= 3 THEN stddev_samp(r) OVER f END AS sd FROM d0 WINDOW f AS (PARTITION BY entity, metric ORDER BY ts ROWS 11 PRECEDING)),
 d2 AS (SELECT *, first_value(sd IGNORE NULLS) OVER (PARTITION BY entity, metric ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s2 FROM d1),
@@ -166,16 +168,20 @@ def d20_rebaseline_model(spark, d):
 
 
 def _drained(spark, stream, mode):
-    """A stream over the files that are there, run to its end; state, offsets and results lie in the shared folder, results as Parquet."""
-    out = new_path(spark, "stream")
+    """A stream over the files that are there, run to its end; state, offsets and results lie in the shared folder.
 
-    def keep(batch, number):  # in complete mode each batch is the whole result
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+    Each batch has a folder of its own, which a repeated batch writes again; in complete mode the last batch is the whole result.
+    """
+    out, batches = new_path(spark, "stream"), []
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batches.append(number)
 
     q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", new_path(spark, "offsets")).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.schema(stream.schema)
-    return rows.parquet(out) if mode == "complete" else rows.option("basePath", out).parquet(out).select(*stream.columns)
+    return rows.parquet(f"{out}/batch={batches[-1]}") if mode == "complete" else rows.option("basePath", out).parquet(out).select(*stream.columns)
 
 
 def _events_stream(spark, d):
@@ -183,15 +189,25 @@ def _events_stream(spark, d):
     return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-@query(f"""WITH {S} SELECT entity, time_bucket(INTERVAL '6 hours', ts) AS ts, count(*) FILTER (metric = 'error') AS log_error_count, count(*) FILTER (metric = 'view') AS log_warn_count, count(*) FILTER (metric NOT IN ('error', 'view')) AS log_info_count, count(*) AS log_total_volume FROM s GROUP BY 1, 2""")
-def t1_stream_log_counts(spark, d):
-    """In complete mode, so that the newest bins show as well."""
-    from causetrace.plans.registry import entity
-    from causetrace.streaming.twins import stream_log_counts
+_T1 = f"""WITH {S} SELECT entity, time_bucket(INTERVAL '6 hours', ts) AS ts, count(*) FILTER (metric = 'error') AS log_error_count, count(*) FILTER (metric = 'view') AS log_warn_count, count(*) FILTER (metric NOT IN ('error', 'view')) AS log_info_count, count(*) AS log_total_volume FROM s GROUP BY 1, 2"""
+
 
+def _log_counts(spark, d, mode):
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "WARN").otherwise("INFO")
     rows = _events_stream(spark, d).select(entity().alias("entity"), "ts", level.alias("level"))
-    return _drained(spark, stream_log_counts(rows, "6 hours"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _drained(spark, stream_log_counts(rows, "6 hours"), mode).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_T1)
+def t1_stream_log_counts(spark, d):
+    """In complete mode, so that the newest bins show as well."""
+    return _log_counts(spark, d, "complete")
+
+
+@query(f"SELECT * FROM ({_T1}) WHERE ts + INTERVAL '6 hours' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '10 minutes' FROM events)")
+def t1_stream_final_counts(spark, d):
+    """In append mode: the bins that the watermark has passed, once each."""
+    return _log_counts(spark, d, "append")
 
 
 _T2 = """o AS (SELECT 'e' || (user_id // 75) AS entity, event_type AS metric, ts, value > 40 AS is_anomaly, row_number() OVER (PARTITION BY user_id // 75, event_type ORDER BY ts, event_id) - 1 AS pos FROM events),
@@ -200,10 +216,22 @@ UNION ALL SELECT f.entity, f.metric, f.pos, CASE WHEN s.wait > 0 OR NOT f.is_ano
 s.wait = 0 AND f.is_anomaly AND s.run + 1 >= 3 FROM steps s JOIN o f ON f.entity = s.entity AND f.metric = s.metric AND f.pos = s.pos + 1)"""
 
 
-@query(f"WITH RECURSIVE {_T2} SELECT entity, metric, ts FROM o JOIN steps USING (entity, metric, pos) WHERE hard")
+_T2_ALERTS = f"WITH RECURSIVE {_T2} SELECT entity, metric, ts FROM o JOIN steps USING (entity, metric, pos) WHERE hard"
+
+
+def _damped(spark, d, delay):
+    use_rocksdb(spark)
+    rows = _events_stream(spark, d).select(entity().alias("entity"), F.col("event_type").alias("metric"), "ts", F.col("event_id").alias("seq"), (F.col("value") > 40).alias("is_anomaly"))
+    return _drained(spark, stream_dampen_alerts(rows, delay=delay), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(_T2_ALERTS)
 def t2_stream_dampen_alerts(spark, d):
-    from causetrace.plans.registry import entity
-    from causetrace.streaming.twins import stream_dampen_alerts
+    """Without a delay the watermark passes every row."""
+    return _damped(spark, d, "0 seconds")
+
 
-    rows = _events_stream(spark, d).select(entity().alias("entity"), F.col("event_type").alias("metric"), "ts", (F.col("value") > 40).alias("is_anomaly"))
-    return _drained(spark, stream_dampen_alerts(rows), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+@query(f"SELECT * FROM ({_T2_ALERTS}) WHERE ts < (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '12 hours' + INTERVAL '1 millisecond' FROM events)")
+def t2_stream_final_alerts(spark, d):
+    """With a delay of half a day: the alerts that no later row can change."""
+    return _damped(spark, d, "12 hours")

@@ -1,46 +1,17 @@
-"""Streaming level counts (T1) and alert damping."""
+"""Streaming level counts (T1); alert damping (T2) is in ``damping``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from causetrace.sources.logs import COUNTS, level_counts
 
 
 def stream_log_counts(logs: DataFrame, step: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
-    """Counts of each level per entity and bin, once the watermark has passed the bin. Empty bins appear on reading (S7), not in the stream."""
+    """Counts of each level per entity and bin. In append mode a bin appears once, when the watermark has passed its end, and its state goes; later rows of it are dropped and
+    counted in the query's progress (``damping.late_rows``). Empty bins appear on reading (S7), not in the stream."""
     timed = logs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     counts = timed.groupBy("entity", F.window("ts", step)).agg(*level_counts())
     total = F.col(COUNTS[0]) + F.col(COUNTS[1]) + F.col(COUNTS[2])
     return counts.select("entity", F.col("window.start").alias("ts"), *COUNTS[:3], total.alias(COUNTS[3]))
-
-
-def stream_dampen_alerts(flags: DataFrame, required: int = 3, cooldown: int = 6) -> DataFrame:
-    """Hard alerts ``entity, metric, ts`` of a stream of ``entity, metric, ts, is_anomaly`` that comes in order; the two counters are the state.
-
-    Within a micro-batch a series' rows are sorted by time; only its two counters are kept between batches.
-    """
-
-    def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        streak, wait = state.get if state.exists else (0, 0)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        alerts = []
-        for ts, flag in zip(rows["ts"], rows["is_anomaly"], strict=True):
-            if wait > 0:
-                streak, wait = 0, wait - 1
-                continue
-            streak = streak + 1 if flag else 0
-            if streak >= required:
-                alerts.append((*key, ts))
-                streak, wait = 0, cooldown
-        state.update((streak, wait))
-        yield pd.DataFrame(alerts, columns=["entity", "metric", "ts"])
-
-    rows = flags.select("entity", "metric", F.col("ts").cast("timestamp").alias("ts"), "is_anomaly")
-    return rows.groupBy("entity", "metric").applyInPandasWithState(run, "entity string, metric string, ts timestamp", "streak int, wait int", "append", GroupStateTimeout.NoTimeout)

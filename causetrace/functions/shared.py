@@ -33,4 +33,14 @@ def settled(df: DataFrame, tag: str = "rows") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: computed once, and not again when an executor is lost."""
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._settled_path = path
+    return back
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a ``settled`` table that nothing reads any more; other tables are left alone."""
+    path = getattr(df, "_settled_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.functions.shared import settled
+from causetrace.functions.shared import dropped, settled
+from causetrace.operators import condense
 
 
 def build_causal_graph(incidents: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -22,6 +25,7 @@ def closure(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         more = paths.alias("p").join(paths.alias("q"), (F.col("p.incident_id") == F.col("q.incident_id")) & (F.col("p.dst") == F.col("q.src")))
         grown = settled(paths.union(more.select("p.incident_id", "p.src", "q.dst")).distinct())
+        dropped(paths)
         was, n, paths = n, grown.count(), grown
         if n == was:
             return paths
@@ -47,18 +51,29 @@ def reached(links: dict[str, set[str]]) -> dict[str, set[str]]:
     return out
 
 
+def depths(links: dict[str, set[str]], start: str) -> dict[str, int]:
+    """Steps from ``start`` to each node that it reaches by one step or more."""
+    out: dict[str, int] = {}
+    front, depth = {start}, 0
+    while front:
+        depth += 1
+        front = {y for x in front for y in links.get(x, ())} - out.keys()
+        out.update(dict.fromkeys(front, depth))
+    return out
+
+
 def incident_closure(edges: DataFrame) -> DataFrame:
-    """``incident_id, src, dst`` of every causal path. An incident's graph has at most its metrics as nodes, so each
+    """``incident_id, src, dst, depth`` of every causal path, with the fewest steps. An incident's graph has at most its metrics as nodes, so each
     is walked whole in one task, all incidents in parallel after one shuffle."""
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         links: dict[str, set[str]] = {}
         for a, b in zip(pdf["src"], pdf["dst"], strict=True):
             links.setdefault(a, set()).add(b)
-        rows = [(*key, a, b) for a, bs in reached(links).items() for b in sorted(bs)]
-        return pd.DataFrame(rows, columns=["incident_id", "src", "dst"])
+        rows = [(*key, a, b, d) for a in links for b, d in depths(links, a).items()]
+        return pd.DataFrame(rows, columns=["incident_id", "src", "dst", "depth"])
 
-    return _links(edges).groupBy("incident_id").applyInPandas(one, "incident_id string, src string, dst string")
+    return _links(edges).groupBy("incident_id").applyInPandas(one, "incident_id string, src string, dst string, depth int")
 
 
 def _acyclic(edges: list[tuple[bool, float, str, str]]) -> set[tuple[str, str]]:
@@ -101,9 +116,74 @@ def break_cycles(edges: DataFrame, first_seen: DataFrame | None = None) -> DataF
     return now.groupBy("incident_id").applyInPandas(one, edges.schema)
 
 
-def break_cycles_weakest(edges: DataFrame) -> DataFrame:
-    """The same without times: the weakest edge of each strongly connected set goes until none is left."""
-    return break_cycles(edges, None)
+def simple_cycles(links: dict[str, set[str]]) -> Iterator[list[str]]:
+    """Every simple cycle once, from its smallest node on, in order of the sequences of nodes (Johnson's blocking: a node that led nowhere waits until a node on its way is freed)."""
+    far = reached(links)
+    for start in sorted(links):
+        if start not in far[start]:
+            continue
+        # the rest of the cycle is larger than its start and gets back to it
+        inside = {n for n in far[start] if n >= start and start in far.get(n, ())}
+        after = {n: sorted(x for x in links.get(n, ()) if x in inside) for n in inside}
+        path, blocked, waiting = [start], {start}, {n: set() for n in inside}
+        stack, closed = [iter(after[start])], [False]
+        while stack:
+            node = next(stack[-1], None)
+            if node == start:
+                closed[-1] = True
+                yield list(path)
+            elif node is not None and node not in blocked:
+                path.append(node)
+                blocked.add(node)
+                stack.append(iter(after[node]))
+                closed.append(False)
+            elif node is None:
+                last, found = path.pop(), closed.pop()
+                stack.pop()
+                if found:
+                    free = [last]
+                    while free:
+                        n = free.pop()
+                        if n in blocked:
+                            blocked.discard(n)
+                            free += waiting[n]
+                            waiting[n].clear()
+                else:
+                    for n in after[last]:
+                        waiting[n].add(last)
+                if closed:
+                    closed[-1] |= found
+
+
+def _weakest_of_cycles(edges: list[tuple[float, str, str]], most: int) -> set[tuple[str, str]]:
+    """The edges that one pass over the simple cycles of the whole graph drops."""
+    strength = {(a, b): s for s, a, b in edges}
+    links: dict[str, set[str]] = {}
+    for _, a, b in edges:
+        links.setdefault(a, set()).add(b)
+    gone: set[tuple[str, str]] = set()
+    for k, cycle in enumerate(simple_cycles(links)):
+        if k == most:
+            left = [(False, s, a, b) for s, a, b in edges if (a, b) not in gone]
+            return gone | _acyclic(left)
+        steps = [e for e in zip(cycle, [*cycle[1:], cycle[0]], strict=True) if e not in gone]
+        if steps:
+            gone.add(min(steps, key=lambda e: (strength[e], e)))
+    return gone
+
+
+def break_cycles_weakest(edges: DataFrame, most: int = 100_000) -> DataFrame:
+    """Edges without cycles, by one pass over the simple cycles of the input graph, ordered by their nodes from the smallest on: each loses its weakest remaining edge (ties by name),
+    even if an earlier cycle has already broken it.
+
+    Cycles may be exponentially many: after ``most`` of an incident, C5's rule breaks what is left. One incident's graph is one group.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone = _weakest_of_cycles(list(zip(pdf["strength"], pdf["cause"], pdf["effect"], strict=True)), most)
+        return pdf[[(a, b) not in gone for a, b in zip(pdf["cause"], pdf["effect"], strict=True)]]
+
+    return edges.groupBy("incident_id").applyInPandas(one, edges.schema)
 
 
 def temporal_precedence_filter(edges: DataFrame, first_seen: DataFrame) -> DataFrame:
@@ -114,32 +194,21 @@ def temporal_precedence_filter(edges: DataFrame, first_seen: DataFrame) -> DataF
 
 
 def reachability(topology: DataFrame) -> DataFrame:
-    """``src, dst``: services joined by a directed path either way, or the same."""
+    """``src, dst``: services joined by a directed path either way, or the same. All pairs: for large graphs take ``reachability_labels``."""
     known = topology.select(F.explode(F.array("src", "dst")).alias("s")).distinct().select(F.col("s").alias("src"), F.col("s").alias("dst"))
     paths = closure(topology.select(F.lit(0).alias("incident_id"), "src", "dst")).select("src", "dst")
     return paths.union(paths.select("dst", "src")).union(known).distinct()
 
 
-def reachable_pairs(topology: DataFrame, pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Those of the distinct ``pairs(src, dst)`` that a directed path joins, either way.
+def reachable_pairs(topology: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the distinct ``pairs(src, dst)`` that a directed path joins, either way: a search over the condensed graph from the services that occur in ``pairs`` alone."""
+    services, links = condense.condensed(topology)
+    return condense.joined_pairs(services, links, pairs)
 
-    A search from the services that occur in ``pairs`` alone: each round adds the services one call further; services that no pair starts from are
-    never expanded, so nothing of the size of the whole closure is made.
-    """
-    calls = settled(topology.select("src", "dst").where("src <> dst").distinct(), "calls")
-    want = settled(pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "pairs")
-    seen = front = settled(want.select("src", F.col("src").alias("at")).distinct(), "front")
-    for _ in range(max_rounds):
-        step = front.join(calls.select(F.col("src").alias("at"), "dst"), "at").select("src", F.col("dst").alias("at")).distinct()
-        front = settled(step.join(seen, ["src", "at"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = settled(seen.unionByName(front), "seen")
-    else:
-        raise RuntimeError("paths did not settle")
-    hit = want.join(seen.withColumnRenamed("at", "dst"), ["src", "dst"], "left_semi")
-    hit = hit.unionByName(hit.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return pairs.join(hit, ["src", "dst"], "left_semi")
+
+def reachability_labels(topology: DataFrame) -> DataFrame:
+    """C9, linear in the services: ``service, component, level``. Services of one component are joined, others of one level are not, and a path only goes up; ``reachable_pairs`` tells the rest."""
+    return condense.condensed(topology)[0].withColumnRenamed("node", "service")
 
 
 def service_of_metric(metric: Column) -> Column:

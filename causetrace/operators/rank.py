@@ -118,8 +118,9 @@ def upstream_causes(edges: DataFrame) -> DataFrame:
 
 
 def causal_chain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Each metric, then all it reaches, by name."""
-    reach = incident_closure(edges).where("src <> dst").groupBy("incident_id", F.col("src").alias("metric")).agg(F.array_sort(F.collect_set("dst")).alias("rest"))
+    """Each metric, then all it reaches, by the fewest steps to it, then by name."""
+    placed = F.sort_array(F.collect_list(F.struct("depth", "dst")))
+    reach = incident_closure(edges).where("src <> dst").groupBy("incident_id", F.col("src").alias("metric")).agg(F.transform(placed, lambda x: x["dst"]).alias("rest"))
     got = nodes.select("incident_id", "metric").join(reach, ["incident_id", "metric"], "left")
     return got.select("incident_id", "metric", F.concat(F.array("metric"), F.coalesce("rest", F.array().cast("array<string>"))).alias("causal_chain"))
 

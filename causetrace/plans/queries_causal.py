@@ -88,6 +88,40 @@ def c9_reachability(spark, d):
     return graph.reachability(_topology(spark, d))
 
 
+_CALLS = f"""calls AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_quantity <= 8 AND b.l_quantity <= 16),
+links AS (SELECT src, dst FROM calls WHERE src <> dst), path AS (SELECT src, dst FROM links UNION SELECT p.src, l.dst FROM path p JOIN links l ON p.dst = l.src),
+members AS (SELECT n.node, least(n.node, coalesce(min(p.dst), n.node)) AS component FROM (SELECT src AS node FROM calls UNION SELECT dst FROM calls) n LEFT JOIN (SELECT p.src, p.dst FROM path p JOIN path q ON p.src = q.dst AND p.dst = q.src) p ON p.src = n.node GROUP BY n.node)"""
+
+
+def _calls(spark, d):
+    """A part of which an order takes few calls the next part of that order if it takes few of it too: a sparse graph with cycles."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    a = li.where("l_quantity <= 8").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_partkey").alias("src"))
+    b = li.where("l_quantity <= 16").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("dst"))
+    return a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst").distinct()
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, dag AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM links JOIN members a ON a.node = src JOIN members b ON b.node = dst WHERE a.component <> b.component),
+steps AS (SELECT component AS node, 0::BIGINT AS level FROM members UNION SELECT dst, level + 1 FROM steps JOIN dag ON node = src)
+SELECT m.node AS service, m.component, max(level) AS level FROM members m JOIN steps s ON s.node = m.component GROUP BY 1, 2""")
+def c9_reachability_labels(spark, d):
+    return graph.reachability_labels(_calls(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_CALLS}, asked AS (SELECT DISTINCT c_custkey % 97 AS k, o_orderkey, l_partkey AS node FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_partkey IN (SELECT node FROM members) AND l_quantity > 45),
+pairs AS (SELECT DISTINCT a.node AS src, b.node AS dst FROM asked a JOIN asked b ON a.k = b.k AND a.o_orderkey < b.o_orderkey) SELECT src, dst FROM pairs WHERE src = dst OR (src, dst) IN (SELECT (src, dst) FROM path) OR (dst, src) IN (SELECT (src, dst) FROM path)""")
+def c9_reachable_pairs(spark, d):
+    """Which of the parts that lead the large orders of a group of customers reach each other."""
+    from causetrace.functions.shared import settled
+
+    calls = settled(_calls(spark, d), "calls")
+    known = calls.select(F.explode(F.array("src", "dst")).alias("l_partkey")).distinct()
+    first = table(spark, d, "lineitem").where("l_linenumber = 1 and l_quantity > 45").select("l_orderkey", "l_partkey").join(known, "l_partkey")
+    asked = first.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % 97).alias("k"), "o_orderkey", "l_partkey")
+    a, b = (asked.select("k", F.col("o_orderkey").alias(f"o{c}"), F.col("l_partkey").alias(c)) for c in ("src", "dst"))
+    return graph.reachable_pairs(calls, a.join(b, "k").where("osrc < odst").select("src", "dst").distinct())
+
+
 @query("SELECT 'shop_' || s_suppkey || '_load' AS metric, 'shop_' || s_suppkey AS service FROM supplier UNION SELECT DISTINCT replace(c_name, '_', ' '), 'unknown_service' FROM customer")
 def c10_service_of_metric(spark, d):
     shops = table(spark, d, "supplier").select(F.concat_ws("_", F.lit("shop"), "s_suppkey", F.lit("load")).alias("metric"))
@@ -238,7 +272,12 @@ def r9_upstream_causes(spark, d):
     return rank.upstream_causes(lagged_edges(spark, d)).withColumn("upstream_causes", F.array_join("upstream_causes", ","))
 
 
-@query(f"WITH RECURSIVE {GRAPH}{CLOSED} SELECT n.incident_id, n.metric, concat_ws(',', n.metric, string_agg(c.dst, ',' ORDER BY c.dst)) AS causal_chain FROM nodes n LEFT JOIN closure c ON c.incident_id = n.incident_id AND c.src = n.metric AND c.dst <> c.src GROUP BY 1, 2")
+_WALK = """, most AS (SELECT max(n) AS m FROM (SELECT count(*) AS n FROM nodes GROUP BY incident_id)), walk AS (SELECT incident_id, cause AS src, effect AS dst, 1 AS depth FROM edges
+UNION SELECT w.incident_id, w.src, e.effect, w.depth + 1 FROM walk w JOIN edges e ON w.incident_id = e.incident_id AND w.dst = e.cause JOIN most ON w.depth < m),
+reached AS (SELECT incident_id, src, dst, min(depth) AS depth FROM walk WHERE src <> dst GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}{_WALK} SELECT n.incident_id, n.metric, concat_ws(',', n.metric, string_agg(r.dst, ',' ORDER BY r.depth, r.dst)) AS causal_chain FROM nodes n LEFT JOIN reached r ON r.incident_id = n.incident_id AND r.src = n.metric GROUP BY 1, 2")
 def r10_causal_chain(spark, d):
     return rank.causal_chain(nodes(spark, d), lagged_edges(spark, d)).withColumn("causal_chain", F.array_join("causal_chain", ","))
 

@@ -29,7 +29,7 @@ def _range_payloads(spark, d):
     point = F.array(epoch.cast("string"), F.col("value").cast("string"))
     labels = F.create_map(F.lit("__name__"), F.concat(F.lit("svc."), F.col("metric")), F.lit("instance"), F.col("entity"))
     got = e.withColumns({"point": point}).groupBy("entity", "metric", "day").agg(F.collect_list("point").alias("values"))
-    return got.select("entity", F.lit("q").alias("query"), F.array(F.struct(labels.alias("metric"), "values")).alias("result"))
+    return got.select("entity", F.lit("q").alias("query"), F.array(F.struct(labels.alias("metric"), "values")).alias("result"), "day", F.col("metric").alias("__m"))
 
 
 @query(f"""WITH {BINNED.replace("event_type AS metric", "'svc_' || event_type || '_instance_e' || (user_id // 75) AS metric")}, {_OWN_GRID}, {MARKS}, {_LINEAR}
@@ -38,6 +38,38 @@ def s1_range_payload_to_metrics(spark, d):
     return _rounded(payloads.range_payload_to_metrics(_range_payloads(spark, d), STEP))
 
 
+#: What is wrong with the payloads of a few days.
+_BAD = "CASE WHEN day(ts) = 5 THEN 'not valid' WHEN day(ts) = 6 AND metric = 'click' THEN 'failed: overload' WHEN day(ts) = 7 AND metric = 'view' THEN 'empty' WHEN day(ts) = 8 AND metric = 'error' THEN 'no result' END"
+
+
+def _bodies(rows, body):
+    """Texts of payloads, some broken off, failed, empty or without a result; every second day a bare list."""
+    day, metric = F.dayofmonth("day"), F.col("__m")
+    text = F.when(day == 5, F.expr("left(body, length(body) - 3)")).when((day == 6) & (metric == "click"), '{"status": "error", "error": "overload", "Datapoint": 1}').when((day == 7) & (metric == "view"), " ")
+    text = text.when((day == 8) & (metric == "error"), '{"status": "success"}').otherwise(F.col("body"))
+    return rows.withColumn("body", body).withColumn("body", text)
+
+
+def _range_texts(spark, d):
+    p = _range_payloads(spark, d)
+    whole = F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.lit("matrix").alias("resultType"), F.col("result")).alias("data")))
+    return _bodies(p, F.when(F.dayofmonth("day") % 2 == 0, F.to_json("result")).otherwise(whole)).select("entity", "query", "body")
+
+
+_KEPT = BINNED.replace("event_id AS seq FROM events", "event_id AS seq, " + _BAD.replace("metric", "event_type") + " AS bad FROM events").replace("FROM s GROUP", "FROM s WHERE bad IS NULL GROUP")
+
+
+@query(f"""WITH {_KEPT.replace("event_type AS metric", "'svc_' || event_type || '_instance_e' || (user_id // 75) AS metric")}, {_OWN_GRID}, {MARKS}, {_LINEAR} SELECT entity, metric, ts, round(value, 6) AS value FROM filled""")
+def s1_range_payload_text(spark, d):
+    """From JSON texts; broken ones are left out."""
+    return _rounded(payloads.range_payload_to_metrics(payloads.read_range_payloads(_range_texts(spark, d))[0], STEP))
+
+
+@query(f"WITH b AS (SELECT DISTINCT 'e' || (user_id // 75) AS entity, event_type AS metric, ts::DATE AS day, {_BAD.replace('metric', 'event_type')} AS reason FROM events) SELECT entity, reason, count(*) AS payloads FROM b WHERE reason IS NOT NULL GROUP BY 1, 2")
+def s1_rejected_payloads(spark, d):
+    return payloads.read_range_payloads(_range_texts(spark, d))[1].groupBy("entity", "reason").agg(F.count(F.lit(1)).alias("payloads"))
+
+
 @query(f"""WITH {S}, v AS (SELECT entity, metric, var_samp(value) AS v FROM s GROUP BY 1, 2), top AS (SELECT entity, metric FROM v QUALIFY row_number() OVER (PARTITION BY entity ORDER BY v DESC, metric) <= 3),
 binned AS (SELECT entity, metric, time_bucket(INTERVAL '6 hours', ts) AS ts, avg(value) AS value FROM s SEMI JOIN top USING (entity, metric) GROUP BY ALL),
 {GRID.split(", ", 2)[2].split("GROUP BY ALL), ", 1)[1]}, {MARKS} {_EDGEFILL}""")
@@ -47,13 +79,23 @@ def s2_merge_queries(spark, d):
     return _rounded(top)
 
 
-@query(f"""WITH {BINNED.replace("event_type AS metric", "'fleet_svc_metric_' || event_type AS metric")}, {_OWN_GRID}, {MARKS}, {_LINEAR} SELECT entity, metric, ts, round(value, 6) AS value FROM filled""")
-def s3_datapoints_to_metrics(spark, d):
+def _datapoints(spark, d):
     e = samples(spark, d).withColumn("day", F.to_date("ts"))
     point = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Timestamp"), F.col("value").alias("Average"), F.lit(0.0).alias("Sum"))
     rows = e.withColumn("p", point).groupBy("entity", "metric", "day").agg(F.collect_list("p").alias("Datapoints"))
-    rows = rows.select("entity", F.lit("fleet/svc").alias("namespace"), F.array(F.struct(F.lit("type").alias("Name"), F.col("metric").alias("Value"))).alias("dimensions"), "Datapoints")
-    return _rounded(payloads.datapoints_to_metrics(rows, 6 * 3600))
+    return rows.select("entity", F.lit("fleet/svc").alias("namespace"), F.array(F.struct(F.lit("type").alias("Name"), F.col("metric").alias("Value"))).alias("dimensions"), "Datapoints", "day", F.col("metric").alias("__m"))
+
+
+@query(f"""WITH {BINNED.replace("event_type AS metric", "'fleet_svc_metric_' || event_type AS metric")}, {_OWN_GRID}, {MARKS}, {_LINEAR} SELECT entity, metric, ts, round(value, 6) AS value FROM filled""")
+def s3_datapoints_to_metrics(spark, d):
+    return _rounded(payloads.datapoints_to_metrics(_datapoints(spark, d), 6 * 3600))
+
+
+@query(f"""WITH {_KEPT.replace("event_type AS metric", "'fleet_svc_metric_' || event_type AS metric")}, {_OWN_GRID}, {MARKS}, {_LINEAR} SELECT entity, metric, ts, round(value, 6) AS value FROM filled""")
+def s3_datapoints_text(spark, d):
+    """From JSON texts; broken ones are left out."""
+    texts = _bodies(_datapoints(spark, d), F.to_json(F.struct(F.lit("load").alias("Label"), "Datapoints"))).select("entity", "namespace", "dimensions", "body")
+    return _rounded(payloads.datapoints_to_metrics(payloads.read_datapoint_payloads(texts)[0], 6 * 3600))
 
 
 @query(f"WITH {GRID}, {MARKS} {_EDGEFILL}")

@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causetrace.operators.prepare import fill_edges, resample_mean
 
-RANGE_SCHEMA = "entity string, query string, result array<struct<metric: map<string,string>, values: array<array<string>>>>"
-DATAPOINT_SCHEMA = "entity string, namespace string, dimensions array<struct<Name: string, Value: string>>, Datapoints array<struct<Timestamp: string, Average: double, Sum: double>>"
+_RESULT = "array<struct<metric: map<string,string>, values: array<array<string>>>>"
+RANGE_SCHEMA = f"status string, error string, data struct<resultType: string, result: {_RESULT}>, _broken string"
+DATAPOINT_SCHEMA = "Label string, Datapoints array<struct<Timestamp: string, Average: double, Sum: double, Minimum: double, Maximum: double, SampleCount: double>>, _broken string"
+
+
+def _read(texts: DataFrame, body: Column, schema: str, reason: Column, *columns: Column) -> tuple[DataFrame, DataFrame]:
+    """(payloads, rejects) of ``texts``: the columns of what was read, or the row as it came with a ``reason``."""
+    names = [F.col(c) for c in texts.columns]
+    read = texts.withColumn("__j", F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}))
+    read = read.withColumn("__why", F.when(F.col("body").isNull() | (F.trim("body") == ""), "empty").when(F.col("__j").isNull() | F.col("__j._broken").isNotNull(), "not valid").otherwise(reason))
+    kept = [c for c in texts.columns if c != "body"]
+    return read.where("__why is null").select(*kept, *columns), read.where("__why is not null").select(*names, F.col("__why").alias("reason"))
+
+
+def read_range_payloads(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S1's reader: (payloads, rejects) of the JSON texts in ``body`` of ``texts(entity, query, body)``: whole answers of a range query, or their bare list of series.
+
+    Payloads are ``entity, query, result``. A text that is empty, breaks off, has values of other types, reports an error or lacks its result is a reject: the row and its ``reason``. Label order is kept.
+    """
+    bare = F.ltrim("body").startswith("[")
+    body = F.when(bare, F.concat(F.lit('{"status":"success","data":{"result":'), F.col("body"), F.lit("}}"))).otherwise(F.col("body"))
+    failed = F.when(F.coalesce(F.col("__j.status"), F.lit("")) != "success", F.concat(F.lit("failed: "), F.coalesce("__j.error", "__j.status", F.lit("no status"))))
+    reason = failed.when(F.col("__j.data.result").isNull(), "no result")
+    return _read(texts, body, RANGE_SCHEMA, reason, F.col("__j.data.result").alias("result"))
+
+
+def read_datapoint_payloads(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S3's reader: (payloads, rejects) of the JSON texts in ``body`` of ``texts(entity, namespace, dimensions, body)``; payloads have ``Datapoints`` in place of ``body``. Rejects as in ``read_range_payloads``."""
+    reason = F.when(F.col("__j.Datapoints").isNull(), "no result")
+    return _read(texts, F.col("body"), DATAPOINT_SCHEMA, reason, F.col("__j.Datapoints").alias("Datapoints"))
 
 
 def series_name(labels):

@@ -5,13 +5,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from causetrace.functions import stats
-from causetrace.operators import causal, detect, graph, moments, prepare, quality
+from causetrace.operators import causal, condense, detect, graph, moments, prepare, quality
 from causetrace.plans.diagnose import diagnose, run_pipeline
 from causetrace.sources import events as ev
-from causetrace.sources import sinks
+from causetrace.sources import payloads, sinks
 
 T0 = dt.datetime(2024, 1, 1)
 LONG = "entity string, metric string, ts timestamp_ntz, value double"
@@ -347,3 +348,83 @@ def test_events_from_files(spark, tmp_path):
     assert ev.load_events(spark, str(tmp_path / "absent"), as_of).count() == 0
     sinks.write_report(spark.createDataFrame([("i", '{"a":1}')], "incident_id string, report string"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":1}'
+
+
+def brute_reach(edges):
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set())
+    far = graph.reached(links)
+    comp = {n: min([n, *(m for m in far[n] if n in far[m])]) for n in links}
+    level = dict.fromkeys(comp.values(), 0)
+    for _ in level:
+        for a, b in edges:
+            if comp[a] != comp[b]:
+                level[comp[b]] = max(level[comp[b]], level[comp[a]] + 1)
+    return far, comp, level
+
+
+@pytest.mark.parametrize("small", [0, 1_000])
+def test_condensed_graph_answers_every_pair(spark, small):
+    """Components, levels and pairs of a graph with cycles, chains, self calls and repeats, by joins and walked whole."""
+    r = np.random.default_rng(14)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 40, size=(48, 2))]
+    edges += [(100 + i, 101 + i) for i in range(5)] + [(105, 103), (103, 100), (7, 7), (200, 200), (300, 301), (301, 302), (302, 300), edges[0]]
+    services, links = condense.condensed(spark.createDataFrame(edges, "src long, dst long"), small=small)
+    far, comp, level = brute_reach(edges)
+    assert {r.node: (r.component, r.level) for r in services.collect()} == {n: (c, level[c]) for n, c in comp.items()}
+    assert {(r.src, r.dst) for r in links.collect()} == {(comp[a], comp[b]) for a, b in edges if comp[a] != comp[b]}
+    nodes = sorted(comp)
+    pairs = [(a, b) for a in nodes for b in nodes] + [(1, 999)]
+    got = {(r.src, r.dst) for r in condense.joined_pairs(services, links, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {(a, b) for a in nodes for b in nodes if a == b or b in far[a] or a in far[b]}
+
+
+def test_every_simple_cycle_once():
+    """Against a plain search, on graphs dense enough to block nodes."""
+    r = np.random.default_rng(15)
+    for n, m in ((4, 8), (5, 14), (6, 14), (7, 20)):
+        for _ in range(6):
+            links = {}
+            for a, b in r.integers(0, n, size=(m, 2)):
+                if a != b:
+                    links.setdefault(str(a), set()).add(str(b))
+
+            def walk(path, links=links):
+                for x in sorted(links.get(path[-1], ())):
+                    if x == path[0]:
+                        yield path
+                    elif x > path[0] and x not in path:
+                        yield from walk([*path, x])
+
+            assert list(graph.simple_cycles(links)) == [c for s in sorted(links) for c in walk([s])]
+
+
+def test_each_cycle_loses_its_weakest_remaining_edge(spark):
+    rows = [("i", "a", "b", 0.9), ("i", "b", "a", 0.1), ("i", "a", "c", 0.8), ("i", "c", "b", 0.7), ("j", "x", "y", 0.5), ("j", "y", "x", 0.5), ("k", "x", "y", 0.5)]
+    edges = spark.createDataFrame(rows, "incident_id string, cause string, effect string, strength double")
+    kept = sorted((r.incident_id, r.cause, r.effect) for r in graph.break_cycles_weakest(edges).collect())
+    assert kept == [("i", "a", "b"), ("i", "a", "c"), ("j", "y", "x"), ("k", "x", "y")]
+    few = graph.break_cycles_weakest(edges, most=1).collect()  # what is left after one cycle goes by strength
+    links = {}
+    for e in few:
+        links.setdefault((e.incident_id, e.cause), set()).add((e.incident_id, e.effect))
+    assert len(few) == 5 and not any(n in far for n, far in graph.reached(links).items())
+
+
+def test_payload_texts(spark):
+    """Whole answers and bare lists are read with labels in order; everything else is a reject with its reason."""
+    series = '[{"metric": {"zone": "z", "__name__": "up", "a": "1"}, "values": [[1704067200.5, "2"], [1704067260, "NaN"]]}]'
+    bodies = [series, '{"status": "success", "data": {"resultType": "matrix", "result": ' + series + "}}", series[:-4], "", None, "text", '{"status": "error", "error": "no"}', '{"status": "success", "data": {}}', "{}", '[{"metric": 3}]', "[]"]
+    texts = spark.createDataFrame([("e", str(i), b) for i, b in enumerate(bodies)], "entity string, query string, body string")
+    good, bad = payloads.read_range_payloads(texts)
+    got = {r.query: r.result for r in good.collect()}
+    assert set(got) == {"0", "1", "10"} and got["0"] == got["1"] and got["10"] == []
+    samples = payloads.range_payload_samples(good.where("query = '0'")).orderBy("ts").collect()
+    assert [r.metric for r in samples] == ["up_zone_z_a_1"] * 2 and samples[0].value == 2
+    assert {r.query: r.reason for r in bad.collect()} == {"2": "not valid", "3": "empty", "4": "empty", "5": "not valid", "6": "failed: no", "7": "no result", "8": "failed: no status", "9": "not valid"}
+    point = '{"Label": "x", "Datapoints": [{"Timestamp": "2024-01-01T00:00:00Z", "Average": 1.5, "Unit": "Percent"}]}'
+    texts = spark.createDataFrame([("e", "A/B", [], point), ("e", "A/B", [], "{}"), ("e", "A/B", [], point[:-1])], "entity string, namespace string, dimensions array<struct<Name: string, Value: string>>, body string")
+    good, bad = payloads.read_datapoint_payloads(texts)
+    assert [r.Datapoints[0].Average for r in good.collect()] == [1.5] and sorted(r.reason for r in bad.collect()) == ["no result", "not valid"]

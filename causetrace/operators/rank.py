@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causetrace.functions.shared import dropped, settled
 from causetrace.operators.graph import incident_closure
 
+#: Nodes and links of an incident that one group walks.
+GROUPED = 1_000_000
 #: Factor weights of the two rankers, and their share against PageRank.
 WEIGHTS_A = {"causal_outflow": 0.40, "temporal_priority": 0.30, "causal_inflow": 0.20, "anomaly_severity": 0.05, "event_correlation": 0.05}
 WEIGHTS_B = {"causal_outflow": 0.30, "temporal_priority": 0.25, "causal_inflow": 0.15, "anomaly_severity": 0.15, "event_correlation": 0.15}
@@ -43,35 +46,72 @@ def event_factor(correlations: DataFrame) -> DataFrame:
     return correlations.groupBy("incident_id", "metric").agg(F.max("correlation_score").alias("event_correlation"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, weighted: bool = True, rounds: int = 100, tolerance: float = 1e-6, damping: float = DAMPING) -> DataFrame:
-    """``incident_id, metric, pagerank`` on the reversed graph, by power iteration within each incident.
-
-    An incident's graph is small (its metrics), so one shuffle brings it together and all incidents run in parallel.
-    """
+def _grouped_pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, tolerance: float, damping: float) -> DataFrame:
+    """Each incident's graph as one group: lists of links, no matrix."""
 
     def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = sorted(left["metric"])
         if not names:
-            return pd.DataFrame({"incident_id": [], "metric": [], "pagerank": []})
+            return pd.DataFrame({"incident_id": pd.Series(dtype=object), "metric": pd.Series(dtype=object), "pagerank": pd.Series(dtype=float)})
         at, n = {m: k for k, m in enumerate(names)}, len(names)
-        move = np.zeros((n, n))
-        for cause, effect, w in zip(right["cause"], right["effect"], right["w"], strict=True):
-            if cause in at and effect in at:
-                move[at[cause], at[effect]] += w
-        out = move.sum(axis=0)
-        move /= np.where(out > 0, out, 1)
+        links = [(at[c], at[e], w) for c, e, w in zip(right["cause"], right["effect"], right["w"], strict=True) if c in at and e in at]
+        to, of, w = (np.array(x) for x in zip(*links, strict=True)) if links else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        out = np.bincount(of, w, n)
+        share = w / np.where(out > 0, out, 1)[of]
         r = np.full(n, 1 / n)
         for _ in range(rounds):
             was = r
-            r = (1 - damping) / n + damping * (r[out == 0].sum() / n + move @ r)
+            r = (1 - damping) / n + damping * (r[out == 0].sum() / n + np.bincount(to, share * r[of], n))
             if abs(r - was).sum() < n * tolerance:
                 break
         return pd.DataFrame({"incident_id": key[0], "metric": names, "pagerank": r})
 
+    grouped = nodes.groupBy("incident_id").cogroup(edges.groupBy("incident_id"))
+    return grouped.applyInPandas(one, "incident_id string, metric string, pagerank double").where("metric is not null")
+
+
+def _joined_pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, tolerance: float, damping: float) -> DataFrame:
+    """Every round passes ranks along links by a join; rounds are written to the shared folder. An incident stops when its own ranks have settled."""
+    key = ["incident_id", "metric"]
+    known = edges.join(nodes.select("incident_id", F.col("metric").alias("cause")), ["incident_id", "cause"], "left_semi").join(nodes.select("incident_id", F.col("metric").alias("effect")), ["incident_id", "effect"], "left_semi")
+    out = known.groupBy("incident_id", "effect").agg(F.sum("w").alias("out")).where("out > 0")
+    links = settled(known.join(out, ["incident_id", "effect"]).select("incident_id", "cause", F.col("effect").alias("metric"), (F.col("w") / F.col("out")).alias("share")), "links")
+    size = nodes.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
+    loose = links.select(*key).distinct().withColumn("led", F.lit(True))
+    now = settled(nodes.join(size, "incident_id").join(loose, key, "left").select(*key, "n", F.col("led").isNull().alias("loose"), (1 / F.col("n")).alias("r"), F.lit(False).alias("done")), "ranks")
+    old = [now]
+    for _ in range(rounds):
+        gained = links.join(now.where("not done").select(*key, "r"), key).groupBy("incident_id", F.col("cause").alias("metric")).agg(F.sum(F.col("share") * F.col("r")).alias("g"))
+        lost = now.where("not done").groupBy("incident_id").agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("r"))), F.lit(0.0)).alias("lost"))
+        both = now.join(lost, "incident_id", "left").join(gained, key, "left")
+        new = (1 - damping) / F.col("n") + damping * (F.col("lost") / F.col("n") + F.coalesce("g", F.lit(0.0)))
+        then = settled(both.select(*key, "n", "loose", F.when(F.col("done"), F.col("r")).otherwise(new).alias("r"), "done", F.when(F.col("done"), 0.0).otherwise(F.abs(new - F.col("r"))).alias("moved")), "ranks")
+        still = then.where("not done").groupBy("incident_id").agg((F.sum("moved") < F.max("n") * tolerance).alias("stops"))
+        still = settled(still, "stops")
+        for x in old:
+            dropped(x)
+        old = [then, still]
+        now = then.join(still, "incident_id", "left").select(*key, "n", "loose", "r", F.coalesce("stops", F.lit(True)).alias("done"))
+        if still.where("not stops").isEmpty():
+            break
+    return now.select(*key, F.col("r").alias("pagerank"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, weighted: bool = True, rounds: int = 100, tolerance: float = 1e-6, damping: float = DAMPING, grouped: int = GROUPED) -> DataFrame:
+    """``incident_id, metric, pagerank`` on the reversed graph, by power iteration; repeated links add up, links of unknown metrics don't count.
+
+    An incident of at most ``grouped`` nodes and links (any real one: nodes are its metrics) is one group, and all of those run in parallel after one shuffle. Larger graphs, such as those
+    of services, iterate by joins, with the same result.
+    """
     w = F.col("strength").cast("double") if weighted else F.lit(1.0)
-    left = nodes.select("incident_id", "metric").groupBy("incident_id")
-    right = edges.select("incident_id", "cause", "effect", w.alias("w")).groupBy("incident_id")
-    return left.cogroup(right).applyInPandas(one, "incident_id string, metric string, pagerank double").where("metric is not null")
+    left, right = nodes.select("incident_id", "metric"), edges.select("incident_id", "cause", "effect", w.alias("w"))
+    size = left.select("incident_id").unionByName(right.select("incident_id")).groupBy("incident_id").agg(F.count(F.lit(1)).alias("n"))
+    large = settled(size.where(F.col("n") > grouped).select("incident_id"), "large")
+    if large.isEmpty():
+        return _grouped_pagerank(left, right, rounds, tolerance, damping)
+    rest = lambda df, how: df.join(large, "incident_id", how)
+    by_joins = _joined_pagerank(settled(rest(left, "left_semi"), "nodes"), rest(right, "left_semi"), rounds, tolerance, damping)
+    return _grouped_pagerank(rest(left, "left_anti"), rest(right, "left_anti"), rounds, tolerance, damping).unionByName(by_joins)
 
 
 def factors(nodes: DataFrame, edges: DataFrame, first_seen: DataFrame, correlations: DataFrame, ranks: DataFrame) -> DataFrame:

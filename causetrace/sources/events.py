@@ -43,10 +43,14 @@ def load_events(spark: SparkSession, path: str, as_of, max_days_old: int = 7) ->
 def traces_to_topology(traces: DataFrame) -> DataFrame:
     """``src, dst, weight, avg_latency_ms`` from ``traceID, spans, processes``.
 
-    A call is a CHILD_OF reference between spans of two known, different services; the mean is over the child's duration.
+    A call is a CHILD_OF reference between spans of two known, different services; the mean is over the child's duration. A row is a whole trace, so that parents are looked up
+    within it (of equal span ids the first) and only calls are shuffled, added up.
     """
-    spans = traces.where(~F.coalesce(F.col("service").startswith("jaeger-"), F.lit(False)) if "service" in traces.columns else F.lit(True)).select("traceID", "processes", F.explode("spans").alias("s"))
-    named = spans.select("traceID", F.col("s.spanID").alias("span"), F.try_element_at("processes", F.col("s.processID"))["serviceName"].alias("service"), F.col("s.duration").alias("duration"), F.col("s.references").alias("refs"))
-    child = named.select("traceID", F.col("service").alias("dst"), "duration", F.explode("refs").alias("r")).where("r.refType = 'CHILD_OF'").select("traceID", "dst", "duration", F.col("r.spanID").alias("span"))
-    calls = child.join(named.select("traceID", "span", F.col("service").alias("src")), ["traceID", "span"]).where("src <> dst")
+    kept = traces.where(~F.coalesce(F.col("service").startswith("jaeger-"), F.lit(False))) if "service" in traces.columns else traces
+    service = lambda s: F.try_element_at("processes", s["processID"])["serviceName"]
+    # looked up once a trace, below the rows of its spans
+    named = kept.select("spans", F.transform("spans", lambda s: s["spanID"]).alias("ids"), F.transform("spans", service).alias("services"))
+    child = named.select("ids", "services", F.posexplode("spans").alias("at", "s")).select("ids", "services", F.col("services")[F.col("at")].alias("dst"), F.col("s.duration").alias("duration"), F.explode("s.references").alias("r"))
+    parent = F.try_element_at("services", F.nullif(F.array_position("ids", F.col("r.spanID")).cast("int"), F.lit(0)))
+    calls = child.where("r.refType = 'CHILD_OF'").select(parent.alias("src"), "dst", "duration").where("src <> dst")
     return calls.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"), (F.avg("duration") / 1000).alias("avg_latency_ms"))

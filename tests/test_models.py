@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causetrace.functions import stats
-from causetrace.operators import causal, condense, detect, graph, moments, prepare, quality
+from causetrace.operators import causal, condense, detect, graph, moments, prepare, quality, rank
 from causetrace.plans.diagnose import diagnose, run_pipeline
 from causetrace.sources import events as ev
 from causetrace.sources import payloads, sinks
@@ -428,3 +428,47 @@ def test_payload_texts(spark):
     texts = spark.createDataFrame([("e", "A/B", [], point), ("e", "A/B", [], "{}"), ("e", "A/B", [], point[:-1])], "entity string, namespace string, dimensions array<struct<Name: string, Value: string>>, body string")
     good, bad = payloads.read_datapoint_payloads(texts)
     assert [r.Datapoints[0].Average for r in good.collect()] == [1.5] and sorted(r.reason for r in bad.collect()) == ["no result", "not valid"]
+
+
+def dense_pagerank(names, edges, damping=0.85):
+    at, n = {m: k for k, m in enumerate(names)}, len(names)
+    move = np.zeros((n, n))
+    for c, e, w in edges:
+        if c in at and e in at:
+            move[at[c], at[e]] += w
+    out = move.sum(axis=0)
+    move /= np.where(out > 0, out, 1)
+    r = np.full(n, 1 / n)
+    for _ in range(100):
+        was, r = r, (1 - damping) / n + damping * (r[out == 0].sum() / n + move @ r)
+        if abs(r - was).sum() < n * 1e-6:
+            break
+    return dict(zip(names, r, strict=True))
+
+
+@pytest.mark.parametrize("grouped", [0, 20, 1_000_000])
+def test_pagerank_by_groups_and_joins(spark, grouped):
+    """The converged ranks of small and large incidents against a dense matrix: dangling nodes, repeated links, unknown metrics, no links at all."""
+    r = np.random.default_rng(16)
+    nodes, edges = [("lone", "x"), ("pair", "x"), ("pair", "y")], [("pair", "x", "y", 0.5), ("pair", "x", "gone", 0.9), ("none", "a", "b", 0.2)]
+    nodes += [("big", f"m{k}") for k in range(30)]
+    edges += [("big", f"m{a}", f"m{b}", float(w)) for a, b, w in zip(r.integers(0, 30, 70), r.integers(0, 24, 70), r.random(70), strict=True)]
+    n = spark.createDataFrame(nodes, "incident_id string, metric string")
+    e = spark.createDataFrame(edges, "incident_id string, cause string, effect string, strength double")
+    got = {(x.incident_id, x.metric): x.pagerank for x in rank.pagerank(n, e, grouped=grouped).collect()}
+    assert set(got) == set(nodes)
+    for i in ("lone", "pair", "big"):
+        want = dense_pagerank(sorted(m for j, m in nodes if j == i), [(c, f, w) for j, c, f, w in edges if j == i])
+        assert all(abs(got[i, m] - v) < 1e-9 for m, v in want.items()), i
+    plain = {(x.incident_id, x.metric): x.pagerank for x in rank.pagerank(n, e, weighted=False, rounds=3, grouped=grouped).collect()}
+    assert abs(sum(v for (i, _), v in plain.items() if i == "big") - 1) < 1e-9
+
+
+def test_calls_within_a_trace(spark):
+    span = lambda i, p, d, *up: (i, p, d, [("CHILD_OF", u) if u[0] != "~" else ("FOLLOWS_FROM", u[1:]) for u in up])
+    trace = [
+        ("t1", [span("a", "p1", 5), span("b", "p2", 1000, "a"), span("c", "p2", 3000, "a", "b"), span("d", "p9", 7, "a"), span("e", "p3", 8, "~a"), span("f", "p3", 10, "missing")], {"p1": ("web",), "p2": ("db",), "p3": ("mq",)}),
+        ("t2", [span("b", "p1", 2000, "a"), span("a", "p2", 1), span("a", "p1", 1)], {"p1": ("db",), "p2": ("web",)}),
+    ]
+    df = spark.createDataFrame(trace, "traceID string, spans array<struct<spanID: string, processID: string, duration: long, references: array<struct<refType: string, spanID: string>>>>, processes map<string,struct<serviceName: string>>")
+    assert [tuple(r) for r in ev.traces_to_topology(df).collect()] == [("web", "db", 3, 2.0)]

@@ -64,19 +64,21 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     Returns every row of ``docs`` as ``doc_id, keep_id, group_size, kept, text_sha256``: of equal
     texts the one already in the index stays, else the smallest doc_id; ``group_size`` counts rows
     of this batch. Null text counts as empty; rows that repeat a doc_id and text share one decision;
-    a null doc_id is kept only if no row of its group has an id. Other columns are ignored.
+    of rows without an id, one is kept if no row of its text has an id, and none if the index knows the text. Other columns are ignored.
 
-    Digests are staged once; groups are partial aggregates, so a text that a third of all rows
+    Digests are staged once, each row with a number; groups are partial aggregates, so a text that a third of all rows
     share reaches the index as one row, and only the final attribution join meets its copies,
-    as a sort-merge join of two shuffles that adaptive execution splits.
+    as a sort-merge join of two shuffles whose large parts adaptive execution splits (``spark.sql.adaptive.skewJoin``).
     """
-    digests = stage(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "digests")
-    groups = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    known = index.read().select("digest", F.col("keep_id").alias("known_id"))
+    digests = stage(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+    groups = digests.groupBy("digest").agg(F.min("doc_id").alias("smallest"), F.min("row").alias("first"), F.count(F.lit(1)).alias("group_size"))
+    known = index.read().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
+    keep = F.when(F.col("known"), F.col("known_id")).otherwise(F.col("smallest"))
+    # a known text may have no id: then nothing of this batch stays for it
     groups = stage(
         groups.repartition(index.buckets, "digest")
         .join(known.hint("merge"), "digest", "left")
-        .select("digest", F.coalesce("known_id", "keep_id").alias("keep_id"), "group_size"),
+        .select("digest", keep.alias("keep_id"), "group_size", F.when(F.col("known").isNull() & F.col("smallest").isNull(), F.col("first")).alias("only")),
         "groups",
     )
     index.append_new(groups)
@@ -86,7 +88,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
             "doc_id",
             "keep_id",
             "group_size",
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+            F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("row") == F.col("only"), F.lit(False)).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from causetrace.llm.common import map_text
 
-#: Families of languages by code. A language that isn't listed is a family of its own.
+#: Families of languages by code. Others are families of their own, or if they are many, of languages with similar texts.
 FAMILIES = {
     "germanic": ("de", "en", "nl", "sv", "da", "no", "is"),
     "romance": ("es", "fr", "it", "pt", "ro", "ca"),
@@ -20,7 +20,13 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 BITS = 13
-LETTER = re.compile(r"[^\W\d_]")
+#: Unlisted languages up to which each is a family of its own.
+ALONE = 8
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character is of a letter category; digits of any kind, such as fractions and circled or Roman ones, are not."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +84,7 @@ class Model:
     within: dict[tuple[str, str], np.ndarray]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        known = [bool(t and LETTER.search(t)) for t in texts]
+        known = [has_letter(t) for t in texts]
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
         at = [i for i, k in enumerate(known) if k]
         if not at or not self.families:
@@ -107,19 +113,42 @@ class Model:
         return [names[k] for k in win], 1 / (1 + np.exp(-2 * np.clip(weakest[np.arange(len(x)), win], -15, 15)))
 
 
+def grouped(codes: list[str], x: list[tuple], lang: np.ndarray) -> dict[str, str]:
+    """A family for each of the unlisted ``codes``: its own while they are few, else about as many families as each has members, of languages whose mean texts are near.
+
+    So the machines grow with the number of languages to the power of 1.5, not with its square.
+    """
+    if len(codes) <= ALONE:
+        return {c: f"only {c}" for c in codes}
+    means = np.zeros((len(codes), 1 << BITS), dtype=np.float32)
+    for k, c in enumerate(codes):
+        for i in np.flatnonzero(lang == c):
+            means[k, x[i][0]] += x[i][1]
+    means /= np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+    near = means @ means.T
+    size, left, out = math.ceil(math.sqrt(len(codes))), list(range(len(codes))), {}
+    while left:  # the language least like the others, with those most like it
+        seed = min(left, key=lambda k: (float(near[k, left].sum()), k))
+        members = sorted(left, key=lambda k: (k != seed, -float(near[seed, k]), k))[:size]
+        out |= {codes[k]: f"like {codes[seed]}" for k in members}
+        left = [k for k in left if k not in members]
+    return out
+
+
 def train(rows: list[tuple[str, str]]) -> Model:
     """Family machines and, in each family, one machine for every pair of its languages."""
-    rows = [(t, lang) for t, lang in rows if t and LETTER.search(t)]
+    rows = [(t, lang) for t, lang in rows if has_letter(t)]
     langs = sorted({lang for _, lang in rows})
+    x, lang = [grams(t) for t, _ in rows], np.array([c for _, c in rows])
+    family_of = {c: FAMILY_OF[c] for c in langs if c in FAMILY_OF} | grouped([c for c in langs if c not in FAMILY_OF], x, lang)
     families: dict[str, list[str]] = {}
     for code in langs:
-        families.setdefault(FAMILY_OF.get(code, f"only {code}"), []).append(code)
-    x, lang = [grams(t) for t, _ in rows], np.array([c for _, c in rows])
-    family = np.array([FAMILY_OF.get(c, f"only {c}") for _, c in rows])
+        families.setdefault(family_of[code], []).append(code)
+    family = np.array([family_of[c] for _, c in rows])
 
     def duel(of: np.ndarray, a: str, b: str) -> np.ndarray:
         at = np.flatnonzero((of == a) | (of == b))
-        return svm([x[i] for i in at], np.where(of[at] == a, 1.0, -1.0))
+        return svm([x[i] for i in at], np.where(of[at] == a, 1.0, -1.0)).astype(np.float32)
 
     return Model(
         families,
@@ -132,32 +161,29 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, per_language: int = 500, most_texts: int = 20_000, most_chars: int = 30_000_000, longest: int = 100_000) -> Model:
+def fit(docs: DataFrame, per_language: int = 500, most_texts: int = 20_000, most_chars: int = 30_000_000, longest: int = 100_000, most_languages: int = 400) -> Model:
     """Train on a bounded sample outside the held-out fold, in hash order of doc_id: at most ``per_language`` texts of each non-null language,
     fewer if ``most_texts`` or ``most_chars`` would be passed in all; whole texts of at most ``longest`` characters, of rows with a doc_id.
 
-    Every language is learned; more languages than ``most_texts`` are an error. The sample and its sparse rows (about 10 KB a text) are all that reaches
+    Every language is learned; more than ``most_languages`` are an error, as the model (130 MB then) goes to every worker. The sample and its sparse rows (about 10 KB a text) are all that reaches
     the driver. Ids are first thinned by their hash, at a rate that follows from the language's count, so that a common language costs no task more than
-    a few times its sample.
+    a few times its sample. Rows that repeat an id and a text count once; the sample doesn't depend on how the table is stored.
     """
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null and doc_id is not null").where(F.length("text") <= longest).where(~held_out())
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    counts = {r["lang"]: r["__n"] for r in sizes.limit(most_texts + 1).collect()}
-    if len(counts) > most_texts:
-        raise ValueError("more languages than texts to learn from")
-    quota = min(per_language, most_texts // max(1, len(counts)))
+    counts = {r["lang"]: r["__n"] for r in sizes.limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError("too many languages")
+    quota, room = min(per_language, most_texts // max(1, len(counts))), most_chars // max(1, len(counts))
     share = docs.sparkSession.createDataFrame([(c, 1.0 if n <= 8 * quota else 8 * quota / n) for c, n in counts.items()], "lang string, __share double")
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    thin = rows.select("doc_id", "lang", at.alias("__at")).join(F.broadcast(share), "lang").where(F.col("__at") < F.col("__share") * (1 << 40))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("__at", "doc_id"))
-    ids = thin.select("doc_id", "lang", place.alias("__k")).where(F.col("__k") <= quota).select("doc_id", "lang").distinct()
-    sample: dict[str, list] = {}
-    room = {c: most_chars // max(1, len(counts)) for c in counts}
-    for r in rows.join(F.broadcast(ids), ["doc_id", "lang"]).toLocalIterator():
-        room[r["lang"]] -= len(r["text"])
-        if len(sample.setdefault(r["lang"], [])) < quota and (room[r["lang"]] >= 0 or not sample[r["lang"]]):
-            sample[r["lang"]].append((str(r["doc_id"]), r["text"]))
-    return train([(t, code) for code in sorted(sample) for _, t in sorted(sample[code])])
+    thin = rows.select("doc_id", "lang", F.xxhash64("text").alias("__t"), F.length("text").alias("__len"), at.alias("__at")).join(F.broadcast(share), "lang").where(F.col("__at") < F.col("__share") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy("__at", "doc_id", "__t")
+    placed = thin.drop("__share").distinct().select("doc_id", "lang", "__t", F.row_number().over(order).alias("__k"), F.sum("__len").over(order).alias("__sum"))
+    ids = placed.where((F.col("__k") <= quota) & ((F.col("__sum") <= room) | (F.col("__k") == 1))).select("doc_id", "lang", "__t")
+    found = rows.withColumn("__t", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "lang", "__t"]).groupBy("doc_id", "lang", "__t").agg(F.first("text").alias("text"))
+    sample = sorted((r["lang"], str(r["doc_id"]), r["text"]) for r in found.toLocalIterator())
+    return train([(t, code) for code, _, t in sample])
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

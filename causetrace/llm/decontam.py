@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from array import array
+from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
@@ -16,6 +17,8 @@ WINDOW = 10
 #: Broadcast the windows of at most so many bytes of benchmark text at once (five times that in each task); a larger benchmark takes
 #: one scan for each block, with the same result.
 BLOCK_BYTES = 32 << 20
+#: Windows whose items a task remembers.
+TOLD = 4096
 #: Fixed value: bytes that separate words after A-Z are lower-cased (00-2F, 3A-60, 7B-7F become a space).
 FOLD = bytes(b + 32 if 65 <= b <= 90 else (32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b) for b in range(256))
 
@@ -37,9 +40,14 @@ class Index:
     hashes: dict[int, np.ndarray]
     places: dict[int, np.ndarray]
     words: dict[int, set[bytes]]
+    #: Items of the windows that occurred of late, so that one that every item holds is verified once, not at each place.
+    told: dict[bytes, list[int]] = field(default_factory=dict)
+    listed: int = 0
 
     def items(self, n: int, window: bytes) -> list[int]:
         """The items in which the window of ``n`` words occurs: those of its hash, each verified."""
+        if (known := self.told.get(window)) is not None:
+            return known
         h = np.uint64(xxhash.xxh3_64_intdigest(window))
         lo = int(np.searchsorted(self.hashes[n], h))
         out = []
@@ -48,30 +56,40 @@ class Index:
             if self.texts[item][at : at + len(window)] == window:
                 out.append(item)
             lo += 1
+        if out:
+            self.listed += len(out)
+            if len(self.told) >= TOLD or self.listed > 100 * TOLD:
+                self.told.clear()
+                self.listed = len(out)
+            self.told[window] = out
         return out
 
 
 def ngram_index(items: list[tuple], window: int = WINDOW) -> Index:
     """The index of ``items`` (id, text). A null id is never listed, but its windows hit."""
-    texts = [words_of(t) for _, t in items]
-    found: dict[int, tuple[list, list]] = {}
-    for k, words in enumerate(texts):
+    found: dict[int, tuple[array, array]] = {}
+    texts, vocabulary = [], {}
+    for k, (_, text) in enumerate(items):  # one item's words at a time, eight bytes a hash and a place
+        words = words_of(text)
         n, seen, at = min(window, len(words)), set(), 0
-        for i in range(len(words) - n + 1 if n else 0):
+        texts.append(b" ".join(words))
+        if not n:
+            continue
+        hashes, places = found.setdefault(n, (array("Q"), array("q")))
+        vocabulary.setdefault(n, set()).update(words)
+        for i in range(len(words) - n + 1):
             h = xxhash.xxh3_64_intdigest(b" ".join(words[i : i + n]))
             if h not in seen:
                 seen.add(h)
-                hashes, places = found.setdefault(n, ([], []))
                 hashes.append(h)
                 places.append(k << 32 | at)
             at += len(words[i]) + 1
-    hashes, places = {}, {}
+    sorted_hashes, sorted_places = {}, {}
     for n, (h, p) in found.items():
-        h, p = np.array(h, dtype=np.uint64), np.array(p, dtype=np.int64)
+        h, p = np.frombuffer(h, dtype=np.uint64), np.frombuffer(p, dtype=np.int64)
         order = np.argsort(h, kind="stable")
-        hashes[n], places[n] = h[order], p[order]
-    words = {n: {w for ws in texts if min(window, len(ws)) == n for w in ws} for n in hashes}
-    return Index([None if i is None else str(i) for i, _ in items], [b" ".join(ws) for ws in texts], hashes, places, words)
+        sorted_hashes[n], sorted_places[n] = h[order], p[order]
+    return Index([None if i is None else str(i) for i, _ in items], texts, sorted_hashes, sorted_places, vocabulary)
 
 
 def scan(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[int]]:
@@ -194,9 +212,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
     present. Null texts stay null, empty texts empty; repeated rows are treated alike; empty tables are allowed."""
     import pyarrow as pa
 
-    hits = _hits(docs, benchmark, window, block_bytes, tuple(docs.columns))
+    plain = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # any name may come in, those used inside too
+    rows = docs.select(*[c.alias(n) for c, n in zip(columns_of(docs), plain, strict=True)])
+    hits = _hits(rows, benchmark, window, block_bytes, tuple(plain))
     share = F.aggregate(F.zip_with("__starts", "__ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    left = hits.where(share <= drop_share * F.col("__words"))
+    left = hits.where(share <= drop_share * F.col("__words")).select(*plain, "__starts", "__ends")
 
     def cut(batches):
         for batch in batches:
@@ -206,11 +226,9 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, dr
                 old, starts, ends = (part.column(c).to_pylist() for c in (at, part.num_columns - 2, part.num_columns - 1))
                 new = [cut_spans(t, a, b) if a else t for t, a, b in zip(old, starts, ends, strict=True)]
                 cols = [pa.array(new, type=pa.string()) if c == at else part.column(c) for c in range(part.num_columns - 2)]
-                yield pa.RecordBatch.from_arrays(cols, names=docs_columns)
+                yield pa.RecordBatch.from_arrays(cols, names=plain)
 
-    docs_columns = ["text" if c == "text" else f"__c{i}" for i, c in enumerate(docs.columns)]  # plain names inside
-    plain = left.select(*[c.alias(n) for c, n in zip(columns_of(docs), docs_columns, strict=True)], "__starts", "__ends")
-    out = plain.mapInArrow(cut, plain.drop("__starts", "__ends").schema).toDF(*docs.columns)
+    out = left.mapInArrow(cut, rows.schema).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

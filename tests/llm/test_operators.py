@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -597,3 +598,66 @@ def test_lines_of_a_very_long_text(spark):
     df = spark.createDataFrame([(1, "\n".join(lines), 0), (2, "\n".join([*lines, "a line of its own here"]), 0)], "doc_id long, text string, `__gone.x` int")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
     assert got[1].text == "\n".join(lines) and got[2].text == "a line of its own here" and got[2].n_removed == 4000 and "__gone.x" in got[1].asDict()
+
+
+def test_exact_dedup_of_rows_without_ids(spark):
+    """A text that only rows without an id have is kept once, is known from then on, and is counted as any other."""
+    schema = "doc_id long, text string"
+    index = exact_dedup.fresh_index(spark, "nulls")
+    batches = [[(None, "a b"), (None, "a  b"), (None, "a\tb"), (1, "c"), (None, "c")], [(5, "a b"), (6, "a b")], [(3, "a b"), (2, "d"), (None, "d")]]
+    told = [exact_dedup.exact_dedup(spark.createDataFrame(b, schema).repartition(3), index).collect() for b in batches]
+    assert sorted((r.group_size, r.kept, r.keep_id) for r in told[0] if r.group_size == 3) == [(3, False, None), (3, False, None), (3, True, None)]
+    assert sorted((str(r.doc_id), r.kept, r.keep_id) for r in told[0] if r.group_size == 2) == [("1", True, 1), ("None", False, 1)]
+    assert not any(r.kept for r in told[1]) and all(r.keep_id is None for r in told[1])
+    assert {(r.doc_id, r.kept) for r in told[2]} == {(3, False), (2, True), (None, False)}
+    assert index.read().count() == 3
+    index.drop()
+
+
+def test_letters(spark):
+    for text in ("\u00bd \u00b2 \u2460", "\u2167 12", "\u0301", "1_2", "", None, "\u3007"):
+        assert not language.has_letter(text), text
+    for text in ("\u02b0", "\u00aa", "\u4e2d", "1 x", "\u0915"):
+        assert language.has_letter(text), text
+
+
+def test_many_unlisted_languages(spark):
+    """Families of similar languages keep the machines few; every language is still told apart; the sample doesn't depend on the layout of the table."""
+    import random
+
+    r = random.Random(4)
+    alphabets = {f"x{k:02d}": "".join(r.sample("abcdefghijklmnopqrstuvwxyz", 9)) for k in range(20)}
+    rows = [(i * 20 + k, " ".join("".join(r.choices(a, k=r.randrange(2, 8))) for _ in range(30)), c) for i in range(24) for k, (c, a) in enumerate(alphabets.items())]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    assert sum(map(len, model.families.values())) == 20 and max(map(len, model.families.values())) <= 5 and len(model.families) <= 5
+    assert len(model.between) + len(model.within) < 60 and all(w.dtype == "float32" for w in model.within.values())
+    held = {d for d, *_ in rows if zlib.crc32(str(d).encode()) % 3 == 1}
+    got = {r.doc_id: r.lang_pred for r in language.predict(df, model).collect()}
+    assert sum(got[d] == c for d, _, c in rows if d in held) >= 0.9 * sum(d in held for d, *_ in rows)
+    other = language.fit(df.repartition(7, "text"), most_chars=40_000)
+    again = language.fit(df.coalesce(1), most_chars=40_000)
+    assert all((other.within[k] == again.within[k]).all() for k in again.within)
+    with pytest.raises(ValueError):
+        language.fit(df, most_languages=19)
+
+
+def test_decontamination_with_clashing_names(spark):
+    passage = " ".join(f"w{k}" for k in range(12))
+    bench = spark.createDataFrame([(1, passage), (2, passage + " more words here")], "item_id long, text string")
+    names = ["__words", "__s", "__s0", "__i", "__starts", "__ends", "__items", "n_words__", "c0", "a.b", "n_words"]
+    df = spark.createDataFrame([(1, f"before {passage} after and much more text to stay here than there was before it all began", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    for block in (32 << 20, 60):
+        got = decontam.remove_spans(df, bench, block_bytes=block)
+        assert got.columns == df.columns
+        row = got.first()
+        assert row[2:] == tuple(range(len(names))) and passage not in row.text and row.text.startswith("before")
+        assert [r.n_hit for r in decontam.decontaminate(df, bench, block_bytes=block).collect()] == [12]
+
+
+def test_window_of_every_item_is_verified_once():
+    index = decontam.ngram_index([(k, "a b c d e f g h i j k") for k in range(50)])
+    words = decontam.words_of("a b c d e f g h i j k " * 200)
+    spans, found = decontam.scan(words, index)
+    assert len(found) == 50 and len(index.told) == 2 and spans == [(0, 2200)]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.functions import stats
+from causetrace.functions.shared import dropped, settled
 from causetrace.operators import lagged
 
+#: Conditioning sets that one batch of inverses takes, and pairs that one group tests.
+BATCH, PAIRS = 1024, 64
+
 
 def make_stationary(series: DataFrame) -> DataFrame:
     """``incident_id, metric, ts, value``, differenced at most twice until the unit-root test rejects at 5 %.
@@ -89,9 +94,23 @@ def correlation_rows(series: DataFrame) -> DataFrame:
     return x.join(y, ["incident_id", "ts"]).where("a <= b").groupBy("incident_id", "a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
-def pc_edges(names: list[str], corr: np.ndarray, n: int, alpha: float) -> list[tuple[str, str, bool]]:
-    """Stable skeleton by Fisher's z, unshielded colliders, then Meek's first three rules: (cause, effect, directed)."""
-    p = len(names)
+def first_separating(corr: np.ndarray, i: int, j: int, side: list[int], size: int, n: int, alpha: float) -> tuple[int, ...] | None:
+    """The first ``size`` of ``side``, in order, given which i and j pass as independent; inverses are taken a batch at a time."""
+    sets = combinations(side, size)
+    while batch := list(islice(sets, BATCH)):
+        at = np.array([(i, j, *s) for s in batch])
+        p = np.linalg.pinv(corr[at[:, :, None], at[:, None, :]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.clip(-p[:, 0, 1] / np.sqrt(np.abs(p[:, 0, 0] * p[:, 1, 1])), -1, 1)
+        for s, x in zip(batch, r, strict=True):
+            if stats.fisher_z_p(float(x), n, size) > alpha:
+                return s
+    return None
+
+
+def skeleton(corr: np.ndarray, n: int, alpha: float) -> tuple[dict[int, set[int]], dict[tuple[int, int], tuple[int, ...]]]:
+    """(neighbours, separating sets) of a small matrix: the stable search by levels."""
+    p = len(corr)
     adj = {i: set(range(p)) - {i} for i in range(p)}
     apart: dict[tuple[int, int], tuple[int, ...]] = {}
     size = 0
@@ -101,13 +120,19 @@ def pc_edges(names: list[str], corr: np.ndarray, n: int, alpha: float) -> list[t
             if j not in adj[i]:
                 continue
             for side in (frozen[i] - {j}, frozen[j] - {i}):
-                hit = next((s for s in combinations(sorted(side), size) if stats.fisher_z_p(stats.partial_correlation(corr, i, j, s), n, size) > alpha), None)
+                hit = first_separating(corr, i, j, sorted(side), size, n, alpha)
                 if hit is not None:
                     adj[i].discard(j)
                     adj[j].discard(i)
                     apart[i, j] = apart[j, i] = hit
                     break
         size += 1
+    return adj, apart
+
+
+def oriented(names: list[str], adj: dict[int, set[int]], apart: dict[tuple[int, int], tuple[int, ...]]) -> list[tuple[str, str, bool]]:
+    """Unshielded colliders, then Meek's first three rules: (cause, effect, directed)."""
+    p = len(names)
     arrow: set[tuple[int, int]] = set()
     for k in range(p):
         for i, j in combinations(sorted(adj[k]), 2):
@@ -131,23 +156,97 @@ def pc_edges(names: list[str], corr: np.ndarray, n: int, alpha: float) -> list[t
     return [(names[a], names[b], (a, b) in arrow) for a in range(p) for b in sorted(adj[a]) if (a, b) in arrow or loose(a, b)]
 
 
-def pc_structure(series: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """``incident_id, cause, effect, directed``; an undirected edge stands both ways. Fewer than two metrics or ten rows give none.
+def _matrix(names: list[str], a: list[str], b: list[str], r: list[float]) -> np.ndarray:
+    at = {m: k for k, m in enumerate(names)}
+    corr = np.eye(len(names))
+    for x, y, v in zip(a, b, r, strict=True):
+        corr[at[x], at[y]] = corr[at[y], at[x]] = 1.0 if x == y else np.nan_to_num(v)
+    return corr
 
-    Correlations come from one distributed pass; the search works on an incident's small matrix.
-    """
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
-        at = {m: k for k, m in enumerate(names)}
-        corr = np.eye(len(names))
-        for a, b, r in zip(pdf["a"], pdf["b"], pdf["r"], strict=True):
-            corr[at[a], at[b]] = corr[at[b], at[a]] = 1.0 if a == b else np.nan_to_num(r)
-        n = int(pdf["n"].max())
-        rows = pc_edges(names, corr, n, alpha) if len(names) > 1 and n >= 10 else []
-        return pd.DataFrame([(*key, *r) for r in rows], columns=["incident_id", "cause", "effect", "directed"])
+def _wide_skeletons(packed: DataFrame, alpha: float) -> tuple[DataFrame, DataFrame]:
+    """(edges ``incident_id, i, j``, separating sets ``incident_id, i, j, given``) of incidents ``packed(incident_id, names, a, b, r, n)``.
 
-    return correlation_rows(series).groupBy("incident_id").applyInPandas(one, "incident_id string, cause string, effect string, directed boolean")
+    At each level the pairs that are left are rows with their neighbours, ``PAIRS`` of them in a group with the incident's matrix, so that a wide incident spreads over tasks.
+    """
+    key = ["incident_id"]
+    names = F.size("names")
+    edges = packed.select(*key, F.explode(F.sequence(F.lit(0), names - 1)).alias("i"), "names").select(*key, "i", F.explode(F.filter(F.sequence(F.lit(0), names - 1), lambda x: x > F.col("i"))).alias("j"))
+    edges, apart, size = settled(edges, "pairs"), None, 0
+
+    def test(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            m = right.iloc[0]
+            corr = _matrix(list(m["names"]), m["a"], m["b"], m["r"])
+            for i, j, ni, nj, level in zip(left["i"], left["j"], left["ni"], left["nj"], left["size"], strict=True):
+                for side in ([x for x in ni if x != j], [x for x in nj if x != i]):
+                    hit = first_separating(corr, i, j, side, level, int(m["n"]), alpha)
+                    if hit is not None:
+                        rows.append((key_[0], i, j, [int(x) for x in hit]))
+                        break
+        return pd.DataFrame(rows, columns=["incident_id", "i", "j", "given"])
+
+    while True:
+        near = edges.select(*key, F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).groupBy(*key, "i").agg(F.array_sort(F.collect_set("j")).alias("near"))
+        near = settled(near, "neighbours")
+        if near.where(F.size("near") > size).isEmpty():
+            break
+        blocks = edges.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("blocks"))
+        rows = edges.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("i", "j"), F.col("blocks")).cast("int")).drop("blocks")
+        rows = rows.join(near.withColumnRenamed("near", "ni"), [*key, "i"]).join(near.select(*key, F.col("i").alias("j"), F.col("near").alias("nj")), [*key, "j"]).withColumn("size", F.lit(size))
+        matrices = packed.join(blocks, key).select(*packed.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        told = rows.groupBy(*key, "block").cogroup(matrices.groupBy(*key, "block")).applyInPandas(test, "incident_id string, i int, j int, given array<int>")
+        told = settled(told, "apart")
+        left = settled(edges.join(told, [*key, "i", "j"], "left_anti"), "pairs")
+        dropped(edges)
+        edges, apart, size = left, told if apart is None else apart.unionByName(told), size + 1
+    return edges, apart
+
+
+def pc_structure(series: DataFrame, alpha: float = 0.05, grouped: int = 32) -> DataFrame:
+    """``incident_id, cause, effect, directed``; an undirected edge stands both ways. Fewer than two metrics or ten rows give none.
+
+    Correlations come from one distributed pass. The search for an incident of at most ``grouped`` metrics works on its small matrix; the tests of wider ones, which grow with
+    the power of a metric's neighbours, are dealt out pair by pair, level by level, with the same result.
+    """
+    rows = correlation_rows(series)
+    packed = rows.groupBy("incident_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", "b"))))).alias("names"), F.collect_list(F.struct("a", "b", F.coalesce("r", F.lit(0.0)).alias("r"))).alias("x"), F.max("n").alias("n"))
+    packed = packed.where((F.size("names") > 1) & (F.col("n") >= 10)).select("incident_id", "names", F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.r").alias("r"), "n")
+    packed = settled(packed, "correlations")
+    schema = "incident_id string, cause string, effect string, directed boolean"
+
+    def small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for m in pdf.itertuples():
+                names = list(m.names)
+                found = skeleton(_matrix(names, m.a, m.b, m.r), int(m.n), alpha)
+                out += [(m.incident_id, *r) for r in oriented(names, *found)]
+            yield pd.DataFrame(out, columns=["incident_id", "cause", "effect", "directed"])
+
+    got = packed.where(F.size("names") <= grouped).mapInPandas(small, schema)
+    wide = packed.where(F.size("names") > grouped)
+    if wide.isEmpty():
+        return got
+    edges, apart = _wide_skeletons(wide, alpha)
+    sets = apart.groupBy("incident_id").agg(F.collect_list(F.struct("i", "j", "given")).alias("apart"))
+    links = edges.groupBy("incident_id").agg(F.collect_list(F.struct("i", "j")).alias("links"))
+
+    def turn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for m in pdf.itertuples():
+                adj: dict[int, set[int]] = {k: set() for k in range(len(m.names))}
+                for e in m.links:
+                    adj[e["i"]].add(e["j"])
+                    adj[e["j"]].add(e["i"])
+                given = {k: tuple(x["given"]) for x in (m.apart if m.apart is not None else []) for k in ((x["i"], x["j"]), (x["j"], x["i"]))}
+                out += [(m.incident_id, *r) for r in oriented(list(m.names), adj, given)]
+            yield pd.DataFrame(out, columns=["incident_id", "cause", "effect", "directed"])
+
+    joined = wide.select("incident_id", "names").join(links, "incident_id").join(sets, "incident_id", "left")
+    return got.unionByName(joined.mapInPandas(turn, schema))
 
 
 def partial_corr_test(series: DataFrame, x: str, y: str, given: list[str], alpha: float = 0.05) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.functions.shared import settled
-from causetrace.operators import moments
+from causetrace.operators import chunks, moments
 from causetrace.operators.prepare import KEYS, apply_minmax, fit_minmax, to_wide
 
 #: Windows that one group scores.
@@ -174,28 +174,43 @@ def statistical_scores(df: DataFrame, baselines: DataFrame) -> DataFrame:
     return got.withColumn("stat", F.greatest("zscore", "mad_score", "iqr_score")).drop("median", "mad", "mean", "std", "q1", "q3")
 
 
-def spike_score(df: DataFrame, window: int = 12) -> DataFrame:
-    """``spike``: the last change against three rolling standard deviations of changes (three at least), back-filled at the start; 0 where there is no change to judge."""
-    frame = _ordered().rowsBetween(-(window - 1), 0)
-    got = df.withColumn("__r", F.col("value") - F.lag("value").over(_ordered()))
-    got = got.withColumn("__s", F.when(F.count("__r").over(frame) >= 3, F.stddev_samp("__r").over(frame)))
-    got = got.withColumn("__s", F.first("__s", True).over(_ordered().rowsBetween(0, Window.unboundedFollowing)))
+def _pieces(df: DataFrame, window: int, chunk: int | None):
+    """(rows, ordered window): whole series, or chunks of at least ``chunk`` places with the ``window`` rows before each."""
+    if not chunk:
+        return df.withColumn("__halo", F.lit(False)), _ordered()
+    size = max(chunk, window)
+    return chunks.with_halo(chunks.by_place(df, size), size, window), chunks.within()
+
+
+def spike_score(df: DataFrame, window: int = 12, chunk: int | None = None) -> DataFrame:
+    """``spike``: the last change against three rolling standard deviations of changes (three at least), back-filled at the start; 0 where there is no change to judge.
+
+    With ``chunk``, rows have ``pos``, and a series is scored in pieces of so many places: each reads the window before it, and the deviation that back-fills its end is carried in.
+    """
+    got, order = _pieces(df, window, chunk)
+    frame = order.rowsBetween(-(window - 1), 0)
+    got = got.withColumn("__r", F.col("value") - F.lag("value").over(order))
+    got = got.withColumn("__s", F.when(F.count("__r").over(frame) >= 3, F.stddev_samp("__r").over(frame))).where("not __halo")
+    got = chunks.carried(got, after={"__next": F.col("__s")}) if chunk else got.withColumn("__next", F.lit(None).cast("double"))
+    got = got.withColumn("__s", F.coalesce(F.first("__s", True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.col("__next")))
     scale = F.when(F.col("__s") == 0, TINY).otherwise(F.col("__s"))
-    return got.withColumn("spike", F.coalesce(_at_most_one(F.abs("__r") / (3 * scale)), F.lit(0.0))).drop("__r", "__s")
+    return got.withColumn("spike", F.coalesce(_at_most_one(F.abs("__r") / (3 * scale)), F.lit(0.0))).select(*df.columns, "spike")
 
 
-def trend_r2(df: DataFrame, window: int = 12) -> DataFrame:
-    """``trend``: R² of a line through exactly ``window`` values; constant or incomplete windows have 0."""
-    frame = _ordered().rowsBetween(-(window - 1), 0)
-    got = df.withColumn("__p", F.row_number().over(_ordered()).cast("double"))
+def trend_r2(df: DataFrame, window: int = 12, chunk: int | None = None) -> DataFrame:
+    """``trend``: R² of a line through exactly ``window`` values; constant or incomplete windows have 0. ``chunk`` as in ``spike_score``."""
+    got, order = _pieces(df, window, chunk)
+    frame = order.rowsBetween(-(window - 1), 0)
+    got = got.withColumn("__p", F.row_number().over(order).cast("double"))
     r2 = F.regr_r2("value", "__p").over(frame)
     flat = F.max("value").over(frame) == F.min("value").over(frame)
-    return got.withColumn("trend", F.when((F.count("value").over(frame) < window) | flat, 0.0).otherwise(r2)).drop("__p")
+    got = got.withColumn("trend", F.when((F.count("value").over(frame) < window) | flat, 0.0).otherwise(r2))
+    return got.where("not __halo").select(*df.columns, "trend")
 
 
-def temporal_scores(df: DataFrame, window: int = 12) -> DataFrame:
+def temporal_scores(df: DataFrame, window: int = 12, chunk: int | None = None) -> DataFrame:
     """``spike, trend, temporal``."""
-    return trend_r2(spike_score(df, window), window).withColumn("temporal", F.greatest("spike", "trend"))
+    return trend_r2(spike_score(df, window, chunk), window, chunk).withColumn("temporal", F.greatest("spike", "trend"))
 
 
 def agreement_confidence() -> Column:
@@ -225,15 +240,20 @@ def summarise_incident(scores: DataFrame, incident: Column | str = "entity") ->
     return got.where("first_seen is not null")
 
 
-def dampen_alerts(flags: DataFrame, required: int = 3, cooldown: int = 6) -> DataFrame:
+def dampen_alerts(flags: DataFrame, required: int = 3, cooldown: int = 6, chunk_seconds: int | None = None) -> DataFrame:
     """``hard_alert`` for each row of ``flags(entity, metric, ts, is_anomaly)``.
 
     During a cool-down rows are skipped; else flags in a row count up, and the ``required``-th raises an alert and starts
     the cool-down. Only runs of flags matter: the fold walks the runs of a series that are long enough, not its rows.
+    With ``chunk_seconds``, rows are numbered and runs found in spans of that length, each by a task of its own.
     """
-    numbered = flags.withColumn("__p", F.row_number().over(_ordered()))
-    run = numbered.where("is_anomaly").withColumn("__g", F.col("__p") - F.row_number().over(_ordered()))
-    runs = run.groupBy(*KEYS, "__g").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi")).where(F.col("hi") - F.col("lo") + 1 >= required)
+    if chunk_seconds:
+        numbered, runs = chunks.runs(flags, chunk_seconds)
+    else:
+        numbered = flags.withColumn("__p", F.row_number().over(_ordered()))
+        run = numbered.where("is_anomaly").withColumn("__g", F.col("__p") - F.row_number().over(_ordered()))
+        runs = run.groupBy(*KEYS, "__g").agg(F.min("__p").alias("lo"), F.max("__p").alias("hi"))
+    runs = runs.where(F.col("hi") - F.col("lo") + 1 >= required)
     folded = runs.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")))).alias("runs"))
     # within a run that begins at lo with rows up to `free` skipped, alerts fall every required + cooldown rows
     period = required + cooldown
@@ -248,7 +268,7 @@ def dampen_alerts(flags: DataFrame, required: int = 3, cooldown: int = 6) -> Dat
 
     start = F.struct(F.lit(1).cast("long").alias("free"), F.array().cast("array<bigint>").alias("at"))
     alerts = folded.select(*KEYS, F.explode(F.aggregate("runs", start, step)["at"]).alias("__p"), F.lit(True).alias("hard_alert"))
-    return numbered.join(alerts, [*KEYS, "__p"], "left").withColumn("hard_alert", F.coalesce("hard_alert", F.lit(False))).drop("__p")
+    return numbered.join(alerts, [*KEYS, "__p"], "left").select(*flags.columns, F.coalesce("hard_alert", F.lit(False)).alias("hard_alert"))
 
 
 def dampening_stats(dampened: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causetrace.operators import chunks
+
 KEYS = ("entity", "metric")
 
 
@@ -40,16 +42,29 @@ def drop_sparse_metrics(grid: DataFrame, share: float = 0.5) -> DataFrame:
     return grid.join(missing_share(grid).where(F.col("missing") <= share), list(KEYS), "left_semi")
 
 
-def fill_gaps(grid: DataFrame, limit: int | None = 6) -> DataFrame:
-    """Linear interpolation for at most ``limit`` places of a gap, then the value reached; edges take the nearest value, an empty series 0."""
-    before, after = _ordered().rowsBetween(Window.unboundedPreceding, 0), _ordered().rowsBetween(0, Window.unboundedFollowing)
+def fill_gaps(grid: DataFrame, limit: int | None = 6, chunk: int | None = None) -> DataFrame:
+    """Linear interpolation for at most ``limit`` places of a gap, then the value reached; edges take the nearest value, an empty series 0.
+
+    With ``chunk``, a series is filled in pieces of so many places, each by a task of its own, with the known values next to the piece carried in.
+    """
+    known = F.when(F.col("value").isNotNull(), F.struct("value", "pos"))
+    if chunk:
+        rows, order = chunks.carried(chunks.by_place(grid, chunk), {"__b": known}, {"__a": known}), chunks.within("ts")
+    else:
+        nothing = F.lit(None).cast("struct<value:double,pos:bigint>")
+        rows, order = grid.withColumns({"__b": nothing, "__a": nothing}), _ordered()
+    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
     at = F.when(F.col("value").isNotNull(), F.col("pos"))
-    marks = grid.withColumns(
-        {"vp": F.last("value", True).over(before), "pp": F.last(at, True).over(before), "vq": F.first("value", True).over(after), "pq": F.first(at, True).over(after)}
-    )
+    or_carried = lambda c, side, name: F.coalesce(c, F.col(f"{side}.{name}"))
+    marks = rows.withColumns(
+        {
+            "vp": or_carried(F.last("value", True).over(before), "__b", "value"), "pp": or_carried(F.last(at, True).over(before), "__b", "pos"),
+            "vq": or_carried(F.first("value", True).over(after), "__a", "value"), "pq": or_carried(F.first(at, True).over(after), "__a", "pos"),
+        }
+    )
     steps = F.col("pos") - F.col("pp")
     between = F.col("vp") + (F.col("vq") - F.col("vp")) * (F.least(steps, F.lit(limit)) if limit else steps) / (F.col("pq") - F.col("pp"))
-    return marks.withColumn("value", F.coalesce("value", between, "vp", "vq", F.lit(0.0))).drop("vp", "pp", "vq", "pq")
+    return marks.withColumn("value", F.coalesce("value", between, "vp", "vq", F.lit(0.0))).select(*grid.columns)
 
 
 def fill_edges(df: DataFrame, step: str) -> DataFrame:
@@ -68,9 +83,9 @@ def cap_outliers(df: DataFrame, z: float = 5.0) -> DataFrame:
     return df.join(stats, list(KEYS)).withColumn("value", capped).drop("__m", "__s")
 
 
-def clean_and_impute(df: DataFrame, step: str, share: float = 0.5, limit: int = 6, z: float = 5.0) -> DataFrame:
-    """P1 to P5 in order."""
-    return dedupe_keep_last(df).transform(reindex_grid, step).transform(drop_sparse_metrics, share).transform(fill_gaps, limit).transform(cap_outliers, z)
+def clean_and_impute(df: DataFrame, step: str, share: float = 0.5, limit: int = 6, z: float = 5.0, chunk: int | None = None) -> DataFrame:
+    """P1 to P5 in order; ``chunk`` as in ``fill_gaps``."""
+    return dedupe_keep_last(df).transform(reindex_grid, step).transform(drop_sparse_metrics, share).transform(fill_gaps, limit, chunk).transform(cap_outliers, z)
 
 
 def bin_mean(df: DataFrame, step: str) -> DataFrame:

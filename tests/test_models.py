@@ -472,3 +472,47 @@ def test_calls_within_a_trace(spark):
     ]
     df = spark.createDataFrame(trace, "traceID string, spans array<struct<spanID: string, processID: string, duration: long, references: array<struct<refType: string, spanID: string>>>>, processes map<string,struct<serviceName: string>>")
     assert [tuple(r) for r in ev.traces_to_topology(df).collect()] == [("web", "db", 3, 2.0)]
+
+
+def long_series(spark, n=67):
+    r = np.random.default_rng(17)
+    cols = {"a": r.normal(size=n), "flat": np.ones(n), "late": r.normal(size=n), "b": r.normal(size=n).round()}
+    cols = {m: [float(v) for v in vs] for m, vs in cols.items()} | {"none": [None] * n}
+    for m, gone in (("a", [0, 1, 2, 9, 20, 21, 22, 23, 24, 25, 26, 27, 28, 40, 64, 65, 66]), ("late", range(45)), ("b", range(3, n, 4))):
+        for i in gone:
+            cols[m][i] = None
+    return prepare.reindex_grid(frame(spark, cols), "5 minutes").repartition(5)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 13, 500])
+def test_chunked_scans_equal_plain_ones(spark, size):
+    """Filling, spikes, trends and alerts of series cut into pieces of any length."""
+    df = long_series(spark)
+    key = lambda d: sorted(map(str, d.collect()))
+    for limit in (None, 2, 6):
+        assert key(prepare.fill_gaps(df, limit, size)) == key(prepare.fill_gaps(df, limit))
+    close = lambda d, c: {(r.metric, r.ts): r[c] for r in d.collect()}
+    for f, c in ((detect.spike_score, "spike"), (detect.trend_r2, "trend")):
+        got, want = close(f(df, 5, size), c), close(f(df, 5), c)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    flags = df.select("entity", "metric", "ts", (F.col("value") > -0.8).alias("is_anomaly"))
+    for required, cooldown in ((1, 0), (2, 3), (4, 1)):
+        assert key(detect.dampen_alerts(flags, required, cooldown, 300 * size)) == key(detect.dampen_alerts(flags, required, cooldown))
+
+
+def test_wide_structures_equal_grouped_ones(spark, monkeypatch):
+    """Pairs dealt out level by level find the skeleton and the directions of the search on one matrix."""
+    r = np.random.default_rng(18)
+    monkeypatch.setattr(causal, "PAIRS", 4)
+    df = None
+    for name, n in (("i", 9), ("j", 4), ("k", 2)):
+        x = r.normal(size=(120, n))
+        for k in range(2, n):
+            x[:, k] += x[:, r.integers(0, k)] + 0.7 * x[:, r.integers(0, k)]
+        one = incident(spark, {f"m{k}": x[:, k] for k in range(n)}, name)
+        df = one if df is None else df.unionByName(one)
+    key = lambda d: sorted(map(tuple, d.collect()))
+    plain = key(causal.pc_structure(df, 0.05))
+    assert key(causal.pc_structure(df, 0.05, grouped=0)) == plain == key(causal.pc_structure(df, 0.05, grouped=4))
+    assert any(e[3] for e in plain) and len([e for e in plain if e[0] == "i"]) >= 8
+

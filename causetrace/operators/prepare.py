@@ -24,12 +24,22 @@ def dedupe_keep_last(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.withColumn("__k", last).where("__k = 1").drop("__k")
 
 
+#: Places that the grid of one entity may have: 19 years of 5 minutes.
+LONGEST = 2_000_000
+
+
+def times(lo: Column, hi: Column, step: str, longest: int = LONGEST) -> Column:
+    """The times from ``lo`` to ``hi``. More than ``longest`` are an error, not a table: one wrong timestamp would make them."""
+    count, unit = step.split()
+    last = lo + F.expr(f"interval {int(count) * longest} {unit}")
+    return F.when(hi <= last, F.sequence(lo, hi, F.expr(f"interval {step}"))).otherwise(F.raise_error(F.concat(F.lit(f"more than {longest} places from "), lo.cast("string"), F.lit(" to "), hi.cast("string"))))
+
+
 def reindex_grid(df: DataFrame, step: str) -> DataFrame:
-    """Every metric of an entity on the grid from the entity's first to its last time, with its place ``pos``; other times vanish."""
+    """Every metric of an entity on the grid from the entity's first to its last time, with its place ``pos``; other times vanish. A grid of more than ``LONGEST`` places is an error."""
     span = df.groupBy("entity").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     grid = df.select(*KEYS).distinct().join(span, "entity")
-    times = F.sequence("lo", "hi", F.expr(f"interval {step}"))
-    spine = grid.select(*KEYS, F.posexplode(times).alias("pos", "ts"))
+    spine = grid.select(*KEYS, F.posexplode(times(F.col("lo"), F.col("hi"), step)).alias("pos", "ts"))
     return spine.join(df.select(*KEYS, "ts", "value"), [*KEYS, "ts"], "left").select(*KEYS, "ts", F.col("pos").cast("long").alias("pos"), "value")
 
 
@@ -97,7 +107,7 @@ def resample_mean(df: DataFrame, step: str, interpolate: bool = False) -> DataFr
     """Means on a continuous grid of each series; with ``interpolate``, inner gaps are filled linearly."""
     means = bin_mean(df, step)
     span = means.groupBy(*KEYS).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    spine = span.select(*KEYS, F.posexplode(F.sequence("lo", "hi", F.expr(f"interval {step}"))).alias("pos", "ts"))
+    spine = span.select(*KEYS, F.posexplode(times(F.col("lo"), F.col("hi"), step)).alias("pos", "ts"))
     grid = spine.join(means, [*KEYS, "ts"], "left")
     return (fill_gaps(grid, None) if interpolate else grid).select(*KEYS, "ts", "value")
 

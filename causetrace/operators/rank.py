@@ -32,13 +32,20 @@ def degree_scores(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return got.select("incident_id", "metric", (F.col("o") / most("o")).alias("causal_outflow"), (1 - F.col("i") / most("i")).alias("causal_inflow"))
 
 
+def _seconds() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("first_seen").cast("timestamp_ntz")) / 1e6
+
+
+def _priority() -> Column:
+    """From the first to the last ``t`` of an incident, 1 to 0."""
+    lo, hi = F.min("t").over(_incident()), F.max("t").over(_incident())
+    return F.coalesce(1 - (F.col("t") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo), F.lit(0.0))
+
+
 def temporal_priority(first_seen: DataFrame) -> DataFrame:
     """R2: 1 for the first metric of an incident, 0 for the last and for unknown times; equal times all have 1."""
-    t = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("first_seen").cast("timestamp_ntz")) / 1e6
-    got = first_seen.select("incident_id", "metric", t.alias("t"))
-    lo, hi = F.min("t").over(_incident()), F.max("t").over(_incident())
-    share = 1 - (F.col("t") - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
-    return got.withColumn("temporal_priority", F.coalesce(share, F.lit(0.0))).drop("t")
+    got = first_seen.select("incident_id", "metric", _seconds().alias("t"))
+    return got.withColumn("temporal_priority", _priority()).drop("t")
 
 
 def event_factor(correlations: DataFrame) -> DataFrame:
@@ -115,11 +122,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, weighted: bool = True, rounds:
 
 
 def factors(nodes: DataFrame, edges: DataFrame, first_seen: DataFrame, correlations: DataFrame, ranks: DataFrame) -> DataFrame:
-    """R1 to R5 side by side for every node; what is unknown counts 0."""
-    key = ["incident_id", "metric"]
-    got = degree_scores(nodes, edges).join(temporal_priority(first_seen), key, "left")
-    got = got.join(nodes.select(*key, F.col("anomaly_score").alias("anomaly_severity")), key, "left")
-    return got.join(event_factor(correlations), key, "left").join(ranks, key, "left").fillna(0.0)
+    """R1 to R5 side by side for every node; what is unknown counts 0.
+
+    All tables are stacked and added up by metric, partly where they lie, in place of a join for each: one shuffle by metric, and one by incident for its extremes.
+    """
+    kinds = {"node": "boolean", "anomaly_severity": "double", "o": "bigint", "i": "bigint", "t": "double", "event_correlation": "double", "pagerank": "double"}
+
+    def part(df: DataFrame, metric: str | Column = "metric", **given: Column) -> DataFrame:
+        metric = F.col(metric) if isinstance(metric, str) else metric
+        return df.select("incident_id", metric.alias("metric"), *[given.get(k, F.lit(None)).cast(v).alias(k) for k, v in kinds.items()])
+
+    one = F.lit(1)
+    ends = edges.select("incident_id", F.inline(F.array(F.struct(F.col("cause").alias("metric"), one.alias("o"), F.lit(0).alias("i")), F.struct(F.col("effect").alias("metric"), F.lit(0).alias("o"), one.alias("i")))))
+    stacked = part(nodes, node=F.lit(True), anomaly_severity=F.col("anomaly_score")).unionByName(part(ends, o=F.col("o"), i=F.col("i"))).unionByName(part(first_seen, t=_seconds()))
+    stacked = stacked.unionByName(part(correlations, event_correlation=F.col("correlation_score"))).unionByName(part(ranks, pagerank=F.col("pagerank")))
+    got = stacked.groupBy("incident_id", "metric").agg(*[(F.sum(k) if k in ("o", "i") else F.max(k)).alias(k) for k in kinds])
+    most = lambda c: F.greatest(F.max(F.when(F.col("node"), F.col(c))).over(_incident()), F.lit(1))
+    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / most(c)
+    placed = got.select("incident_id", "metric", "node", share("o").alias("causal_outflow"), (1 - share("i")).alias("causal_inflow"), _priority().alias("temporal_priority"), "anomaly_severity", "event_correlation", "pagerank")
+    return placed.where("node").drop("node").fillna(0.0)
 
 
 def heuristic(weights: dict[str, float]) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from causetrace.operators import causal, detect, prepare, quality
+from causetrace.operators import causal, detect, graph, prepare, quality
 from causetrace.plans.queries_causal import _RANKED, _TRUTH, _ranked, _seen_nodes, _truth
-from causetrace.plans.registry import CLOSED, DAG, EDGES, FILLED, GRAPH, GRID, MARKS, S, SERIES, STAT, dag_edges, filled, grid, lagged_edges, nodes, query, samples, scored, series
+from causetrace.plans.registry import CLOSED, DAG, EDGES, FILLED, GRAPH, GRID, MARKS, S, SERIES, STAT, dag_edges, filled, first_seen, grid, lagged_edges, nodes, query, samples, scored, series
 
 _HOURLY = GRID.replace("6 hours", "1 hours")
 _PAIRS = "r AS (SELECT x.entity, x.metric AS a, y.metric AS b, corr(x.value, y.value) AS r FROM filled x JOIN filled y ON x.entity = y.entity AND x.ts = y.ts AND x.metric < y.metric GROUP BY 1, 2, 3)"
@@ -60,6 +60,12 @@ def b6_paths_to_leaves(spark, d):
     return quality.paths_to_leaves(dag_edges(spark, d))
 
 
+@query()
+def b6_paths_of_acyclic_graph(spark, d):
+    """Every edge of the incident, without cycles by C5."""
+    return quality.paths_to_leaves(graph.break_cycles(lagged_edges(spark, d), first_seen(spark, d)))
+
+
 @query(f"WITH {EDGES} SELECT incident_id, cause, effect, round(-log10(p_value + 1e-10), 6) AS weight FROM edges")
 def b7_edge_weight_log_p(spark, d):
     return lagged_edges(spark, d).select("incident_id", "cause", "effect", F.round(quality.edge_weight_log_p(), 6).alias("weight"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causetrace.operators.prepare import times
+
 #: The keys that are probed, first present wins.
 TIME_KEYS = ("timestamp", "time", "@timestamp", "ts", "date")
 LEVEL_KEYS = ("level", "severity", "log.level")
@@ -49,9 +51,10 @@ def level_counts():
 
 
 def bin_log_levels(logs: DataFrame, step: str = "5 minutes") -> DataFrame:
-    """Counts of each level in continuous bins from the first to the last of each entity; empty bins are 0."""
+    """Counts of each level in continuous bins from the first to the last of each entity; empty bins are 0. More bins of an entity than ``prepare.LONGEST`` are an error."""
     counts = logs.where("ts is not null").groupBy("entity", F.window("ts", step)["start"].alias("ts")).agg(*level_counts())
-    spine = counts.groupBy("entity").agg(F.explode(F.sequence(F.min("ts"), F.max("ts"), F.expr(f"interval {step}"))).alias("ts"))
+    span = counts.groupBy("entity").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    spine = span.select("entity", F.explode(times(F.col("lo"), F.col("hi"), step)).alias("ts"))
     full = spine.join(counts, ["entity", "ts"], "left").fillna(0, list(COUNTS[:3]))
     return full.withColumn(COUNTS[3], F.col(COUNTS[0]) + F.col(COUNTS[1]) + F.col(COUNTS[2]))
 

@@ -65,8 +65,9 @@ def test_alert_damping(spark):
 
 
 def test_stream_damping_equals_batch(spark, tmp_path):
-    from causetrace.streaming.twins import stream_dampen_alerts
+    from causetrace.streaming.damping import stream_dampen_alerts, use_rocksdb
 
+    use_rocksdb(spark)
     rng = np.random.default_rng(5)
     flags = (rng.random(90) < 0.6).tolist()
     rows = [("e", "m", at(i), bool(f)) for i, f in enumerate(flags)]
@@ -74,7 +75,7 @@ def test_stream_damping_equals_batch(spark, tmp_path):
     for k in range(3):  # three files, read one after another
         df.where((F.col("ts") >= F.lit(at(30 * k))) & (F.col("ts") < F.lit(at(30 * k + 30)))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream_dampen_alerts(stream, 3, 5).writeStream.format("memory").queryName("damped").trigger(availableNow=True).start()
+    q = stream_dampen_alerts(stream, 3, 5, "0 seconds").writeStream.format("memory").queryName("damped").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.ts - T0).seconds // 60 for r in spark.table("damped").collect()) == fold(flags, 3, 5)
 

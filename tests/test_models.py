@@ -12,7 +12,7 @@ from causetrace.functions import stats
 from causetrace.operators import causal, condense, detect, graph, moments, prepare, quality, rank
 from causetrace.plans.diagnose import diagnose, run_pipeline
 from causetrace.sources import events as ev
-from causetrace.sources import payloads, sinks
+from causetrace.sources import logs, payloads, sinks
 
 T0 = dt.datetime(2024, 1, 1)
 LONG = "entity string, metric string, ts timestamp_ntz, value double"
@@ -516,3 +516,33 @@ def test_wide_structures_equal_grouped_ones(spark, monkeypatch):
     assert key(causal.pc_structure(df, 0.05, grouped=0)) == plain == key(causal.pc_structure(df, 0.05, grouped=4))
     assert any(e[3] for e in plain) and len([e for e in plain if e[0] == "i"]) >= 8
 
+
+def test_factors_in_one_stack_equal_those_one_by_one(spark):
+    """Degrees, priorities, severities, events and ranks, with metrics that only some tables know."""
+    r = np.random.default_rng(19)
+    names = [(i, f"m{k}") for i in "ab" for k in range(6)] + [("c", "m0")]
+    nodes = spark.createDataFrame([(*n, float(r.random()) if k % 4 else None) for k, n in enumerate(names)], "incident_id string, metric string, anomaly_score double")
+    edges = [(i, f"m{a}", f"m{b}") for i in "ab" for a, b in r.integers(0, 8, size=(9, 2))]
+    edges = spark.createDataFrame(edges, "incident_id string, cause string, effect string")
+    seen = spark.createDataFrame([(i, m, T0 + dt.timedelta(minutes=int(r.integers(0, 90))) if k % 3 else None) for k, (i, m) in enumerate([*names, ("a", "m7")])], "incident_id string, metric string, first_seen timestamp_ntz")
+    found = spark.createDataFrame([(i, m, float(r.random())) for i, m in names[::2] * 3] + [("z", "m0", 0.4)], "incident_id string, metric string, correlation_score double")
+    ranks = spark.createDataFrame([(i, m, float(r.random())) for i, m in names[1:]], "incident_id string, metric string, pagerank double")
+    got = {(x.incident_id, x.metric): x for x in rank.factors(nodes, edges, seen, found, ranks).collect()}
+    assert set(got) == set(names)
+    parts = [(rank.degree_scores(nodes, edges), ["causal_outflow", "causal_inflow"]), (rank.temporal_priority(seen), ["temporal_priority"]), (nodes.withColumnRenamed("anomaly_score", "anomaly_severity"), ["anomaly_severity"]), (rank.event_factor(found), ["event_correlation"]), (ranks, ["pagerank"])]
+    for df, columns in parts:
+        told = {(x.incident_id, x.metric): x for x in df.collect()}
+        for key, row in got.items():
+            for c in columns:
+                assert abs(row[c] - ((told[key][c] or 0.0) if key in told else 0.0)) < 1e-12, (key, c)
+
+
+def test_a_wrong_timestamp_is_an_error(spark):
+    rows = [("e", "a", T0, 1.0), ("e", "a", dt.datetime(2124, 1, 1), 1.0)]
+    with pytest.raises(Exception, match="more than"):
+        prepare.reindex_grid(spark.createDataFrame(rows, LONG), "1 minutes").collect()
+    lines = spark.createDataFrame([("e", t, "INFO") for _, _, t, _ in rows], "entity string, ts timestamp_ntz, level string")
+    with pytest.raises(Exception, match="more than"):
+        logs.bin_log_levels(lines, "1 minutes").collect()
+    assert prepare.reindex_grid(spark.createDataFrame(rows, LONG), "30 days").count() == 1218
+

@@ -11,13 +11,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causetrace.llm.common import fresh, map_text
+from causetrace.llm.common import fresh, map_text, stage, unstage
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: Words of a window.
 WINDOW_WORDS = 16
 #: Bytes of each trained dictionary; of the ordinary text behind both (together within the compressor's chain of 2 MB); and of the samples that the dictionary builder gets.
 DICTIONARY, BACKGROUND, SAMPLE = 32 << 10, (2 << 20) - (128 << 10), 400
+#: Folds of the labelled texts: each is measured with dictionaries made from the others.
+FOLDS = 3
 #: The dictionary builder's segment and d-mer lengths: runs of 8 bytes that recur in many samples, in segments of 16.
 SEGMENT, DMER = 16, 8
 
@@ -81,22 +83,28 @@ def features(gains: list[int], least: int) -> list[float]:
     return [1.0, math.log1p(hits), math.log1p(losses), 10 * hits / n, 10 * losses / n, math.log1p(max([0, *gains])), max(-5.0, min(5.0, sum(gains) / n))]
 
 
+def _made(parts: list[list[str]]) -> Model:
+    """A model without weights: a dictionary of each class, and ordinary text that stands, the same, behind both, so that what is common costs both alike."""
+    made = [_dictionary(x) for x in parts]
+    size, background = min(map(len, made)), b"".join(w for t in parts[0] for w in windows(t))[:BACKGROUND]
+    return Model(made[1][-size:], made[0][-size:], background, 1, [])
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
     """Dictionaries, the threshold on a window's gain, and weights, from labelled texts.
 
-    Two thirds of each class train its dictionary; some of the ordinary ones stand, the same, behind both dictionaries, so that what
-    is common costs both alike. The last third calibrates: the threshold that best separates its texts, and a logistic
-    regression, in which the classes weigh the same, from the gains of a text to its score. Distinct texts count once.
+    All texts of a class train its dictionary. What calibrates are the gains that a text has with dictionaries made without it, in ``FOLDS`` folds: the threshold that best separates
+    them, and a logistic regression, in which the classes weigh the same, from the gains of a text to its score. Distinct texts count once.
     """
-    of = [sorted({t for t, y in rows if y == k}, key=lambda t: hash_of(t)) for k in (0, 1)]
-    n = [len(x) for x in of]
-    if not n[0] or not n[1]:  # nothing to tell apart
-        return Model(b" ", b" ", b" ", 1, [-3.0 if n[0] else 3.0 if n[1] else 0.0, 0, 0, 0, 0, 0, 0])
-    fit, rest = [x[: max(1, 2 * len(x) // 3)] for x in of], [x[2 * len(x) // 3 :] for x in of]
-    made = [_dictionary(x) for x in fit]
-    size, background = min(map(len, made)), b"".join(w for t in fit[0] for w in windows(t))[:BACKGROUND]
-    model = Model(made[1][-size:], made[0][-size:], background, 1, [])
-    gains = [list(map(model.measure(), x)) for x in rest]
+    of = [sorted({t for t, y in rows if y == k}, key=hash_of) for k in (0, 1)]
+    if not of[0] or not of[1]:  # nothing to tell apart
+        return Model(b" ", b" ", b" ", 1, [-3.0 if of[0] else 3.0 if of[1] else 0.0, 0, 0, 0, 0, 0, 0])
+    gains: list[list] = [[], []]
+    for f in range(FOLDS):
+        # a class of one text has no text left without it
+        measure = _made([[t for i, t in enumerate(x) if i % FOLDS != f] or x for x in of]).measure()
+        for k in (0, 1):
+            gains[k] += [measure(t) for i, t in enumerate(of[k]) if i % FOLDS == f]
     y = np.repeat([0.0, 1.0], [len(g) for g in gains])
     each, best = np.where(y == 1, 0.5 / len(gains[1]), 0.5 / len(gains[0])), None
     for least in range(1, 9):
@@ -106,7 +114,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
         loss = -(np.log(np.maximum(np.where(y == 1, p, 1 - p), 1e-9)) * each).sum()
         if best is None or loss < best[0]:
             best = (loss, least, weights.tolist())
-    return Model(model.toxic, model.ordinary, background, best[1], best[2])
+    model = _made(of)
+    return Model(model.toxic, model.ordinary, model.background, best[1], best[2])
 
 
 def hash_of(text: str) -> bytes:
@@ -131,24 +140,30 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1500), max_chars: int = 10_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = (3000, 1500), max_chars: int = 10_000_000, longest: int = 100_000) -> Model:
     """Train on a bounded sample of the labelled rows outside the held-out fold.
 
-    The sample takes, in the order of a hash of doc_id, at most ``per_class`` ordinary and toxic texts, and
-    stops within each class at ``max_chars`` characters in total; whole texts only. Rows with a null text or label are not used.
+    The sample takes, in the order of a hash of doc_id, at most ``per_class`` ordinary and toxic texts, whole texts of at most ``longest`` characters, and passes over those with which
+    a class would exceed ``max_chars`` characters. Rows with a null text or label are not used; of rows that repeat an id, the text that sorts first is, with the larger label.
     """
-    # a label's rows are joined once for each doc_id; repeated labels agree on the larger
-    y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__y"))
-    chosen = []
+    y = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__y")).where(~held_out())
+    at = F.xxhash64("doc_id").alias("__at")
+    ids = None
     for k in (0, 1):
-        ids = y.where(F.col("__y") == k).where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k])
-        rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[k])
-        room = max_chars
-        for r in rows.toLocalIterator():
-            room -= len(r["text"])
-            if room < 0:
-                break
-            chosen.append((r["text"], k))
+        some = y.where(F.col("__y") == k).select("doc_id", "__y", at).orderBy("__at", "doc_id").limit(per_class[k])
+        ids = some if ids is None else ids.unionByName(some)
+    texts = docs.select("doc_id", "text").where("text is not null").where(F.length("text") <= longest)
+    rows = stage(texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "__y", "__at").agg(F.min("text").alias("text")), "labelled")
+    room, wanted = [max_chars, max_chars], []
+    for r in sorted(rows.select("__at", "doc_id", "__y", F.length("text").alias("n")).collect()):
+        if r["n"] <= room[r["__y"]]:
+            room[r["__y"]] -= r["n"]
+            wanted.append((r["doc_id"],))
+    chosen = []
+    if wanted:
+        kept = docs.sparkSession.createDataFrame(wanted, rows.select("doc_id").schema)
+        chosen = [(r["text"], r["__y"]) for r in rows.join(F.broadcast(kept), "doc_id").toLocalIterator()]
+    unstage(rows)
     return train(chosen)
 
 

@@ -661,3 +661,29 @@ def test_window_of_every_item_is_verified_once():
     words = decontam.words_of("a b c d e f g h i j k " * 200)
     spans, found = decontam.scan(words, index)
     assert len(found) == 50 and len(index.told) == 2 and spans == [(0, 2200)]
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """A text that exceeds the room is passed over, not the end of its class; repeated rows count once; the held-out fold is never learned."""
+    words = "plain words of no harm stand here".split()
+    rows = [(i, " ".join(words * 4) + f" {i}") for i in range(60)] + [(100 + i, "you utter zork and grumf go away " * 3 + str(i)) for i in range(60)]
+    rows += [(200, "zork grumf " * 400), (201, "plain " * 400), (3, "another text of the same id"), (7, None)] + rows[:3]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lab = spark.createDataFrame([(i, int(100 <= i <= 200)) for i, _ in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    seen = []
+    was, toxicity.train = toxicity.train, seen.append
+    try:
+        toxicity.fit(df, lab, longest=3000, max_chars=2500)
+        toxicity.fit(df, lab, per_class=(5, 4))
+    finally:
+        toxicity.train = was
+    for got in seen:
+        assert len(got) == len(set(got)) and {k for _, k in got} == {0, 1}
+        ids = {i for i, t in rows if (t, 0) in got or (t, 1) in got}
+        assert not any(zlib.crc32(str(i).encode()) % 5 == 0 for i in ids if i < 100 and i != 3)
+    assert all(sum(len(t) for t, k in seen[0] if k == c) <= 2500 for c in (0, 1)) and sum(k for _, k in seen[0]) > 10
+    assert [sum(k == c for _, k in seen[1]) for c in (0, 1)] == [5, 4]
+    model = toxicity.train(seen[0])
+    score = model.scorer()
+    assert score("you utter zork and grumf go away now") > 0.5 > score("plain words of no harm stand here too")
+

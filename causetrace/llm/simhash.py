@@ -101,16 +101,20 @@ def link_fingerprints(nodes: DataFrame, radius: int = 2, pair_limit: int = PAIR_
 
 def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """``doc_id, fp, component_id`` for every row: texts whose fingerprints differ in at most ``radius`` bits are
-    linked, and the component is the smallest doc_id reachable. Empty and null texts share fingerprint zero.
+    linked, and the component is the smallest doc_id reachable. Empty and null texts share fingerprint zero. Rows without
+    an id link like any other; a component in which no row has one has no id either.
 
     Equal fingerprints collapse to one node before any comparison, so copies, however many, cost one row.
     """
     fps = stage(fingerprints(docs, width), "fps")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
+    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("smallest")).select("fp", F.col("fp").alias("node"), "smallest"), "nodes")
     comp = connected_components(link_fingerprints(nodes, radius))
-    named = nodes.join(comp.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = stage(named, "named")
+    placed = nodes.join(comp.hint("merge"), "node", "left").select("fp", F.coalesce("component", "node").alias("c"), "smallest")
+    placed = stage(placed, "placed")
     unstage(nodes)
+    names = placed.groupBy("c").agg(F.min("smallest").alias("component_id"))
+    named = stage(placed.join(names.hint("merge"), "c").select("fp", "component_id"), "named")
+    unstage(placed)
     return fps.join(named.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 

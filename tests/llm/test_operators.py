@@ -687,3 +687,14 @@ def test_toxicity_sample_is_bounded(spark):
     score = model.scorer()
     assert score("you utter zork and grumf go away now") > 0.5 > score("plain words of no harm stand here too")
 
+
+def test_fingerprint_without_id_joins_two_components(spark, monkeypatch):
+    """Fingerprints 0 and 4 bits apart meet through one, two bits from each, that only rows without an id have."""
+    def made(docs, width=3):
+        return docs.select("doc_id", F.col("text").cast("long").alias("fp"))
+
+    monkeypatch.setattr(simhash, "fingerprints", made)
+    df = spark.createDataFrame([(9, "0"), (None, "3"), (None, "3"), (4, "15"), (5, str(7 << 40)), (None, str(1 << 20 | 1 << 50 | 1 << 60))], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_groups(df).collect()), key=str)
+    assert got == sorted([(9, 0, 4), (None, 3, 4), (None, 3, 4), (4, 15, 4), (5, 7 << 40, 5), (None, 1 << 20 | 1 << 50 | 1 << 60, None)], key=str)
+

@@ -17,8 +17,8 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component of every node that has a link.
 
-    ``edges`` holds columns ``a`` and ``b`` (both long, any order, repeats and self links allowed).
-    Returns ``node, component`` where component is the smallest node id of the component; nodes
+    ``edges`` holds columns ``a`` and ``b`` (of one type that has an order: longs, or structs of them; any order, repeats and self links allowed;
+    a link with a null end is none). Returns ``node, component`` where component is the smallest node id of the component; nodes
     without a link to another node are absent. An empty input gives an empty result.
 
     Each round replaces links by links to the smallest neighbour (large-star), then to the smallest

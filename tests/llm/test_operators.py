@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from causetrace.llm import anchors, components, decontam, exact_dedup, language, line_dedup, pii, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
+from causetrace.llm import anchors, buckets, components, decontam, exact_dedup, language, line_dedup, pii, sentencepieces, simhash, suffix_dedup, token_counts, toxicity
 from causetrace.llm.queries import piece_model
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -565,6 +565,39 @@ def test_lines_of_one_template(spark):
     assert 0.99 * want <= got.agg(F.sum("n_removed")).first()[0] <= want
 
 
+def test_small_buckets_are_compared_whole(spark):
+    """Every candidate pair of a bucket of at most FEW members is verified; the rounds go on with the larger ones only."""
+    rng = random.Random(31)
+    rows, keys = [], {}
+    for key in range(20):
+        base = [rng.randrange(10**6) for _ in range(18)]
+        for _ in range(rng.choice((2, 5, buckets.FEW, 3 * buckets.FEW))):
+            m = [v if rng.random() < 0.75 else rng.randrange(10**6) for v in base]
+            keys.setdefault(key, []).append((len(rows), m))
+            rows.append((key, (len(rows), m)))
+    members = spark.createDataFrame(rows, "key long, x struct<id: long, m: array<int>>")
+    pairs, rest = buckets._first(members, 18, 11)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    alike = lambda p, q: sum(u == v for u, v in zip(p, q, strict=True)) >= 11
+    small = {(i, j) for ms in keys.values() if len(ms) <= buckets.FEW for i, p in ms for j, q in ms if i < j and alike(p, q)}
+    every = {(i, j) for ms in keys.values() for i, p in ms for j, q in ms if i < j and alike(p, q)}
+    assert small and small <= got <= every
+    assert {r.key for r in rest.collect()} == {k for k, ms in keys.items() if len(ms) > buckets.FEW}
+
+
+def test_links_join_named_components(spark):
+    """Components that grow by more links equal those of all links at once; repeated links, links within a component and new nodes too."""
+    rng = random.Random(37)
+    link = lambda n: [(rng.randrange(60), rng.randrange(60)) for _ in range(n)]
+    first, more = link(25), [*link(25), (1, 1)]
+    more += more[:5]
+    df = lambda x: spark.createDataFrame(x, "a long, b long")
+    told = lambda c: {r.node: r.component for r in c.collect() if r.node != r.component}
+    grown = buckets._joined(components.connected_components(df(first)), df(more))
+    assert told(grown) == told(components.connected_components(df(first + more)))
+    assert len({r.node for r in grown.collect()}) == grown.count()
+
+
 def test_long_tokens_differ_in_lines(spark):
     """What stands beyond the first 12 characters of a token counts."""
     rows = [(1, "sha 9f86d081884c7d65"), (2, "sha 9f86d081884cffff"), (3, "Donaudampfschifffahrt"), (4, "Donaudampfschiffsmotor"), (5, "202401011200004711"), (6, "202401011200000815")]

@@ -251,5 +251,5 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per document the pseudonymised text, how many values were replaced, and their kinds."""
+    """Per document the pseudonymised text, how many values were replaced, and their kinds; one row for each row of ``docs``, a null text stays null with none replaced."""
     return pseudonymise(docs).select("doc_id", "text", F.size("pii_kinds").cast("long").alias("n_replaced"), F.array_sort(F.array_distinct("pii_kinds")).alias("kinds"))

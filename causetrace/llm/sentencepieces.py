@@ -99,7 +99,10 @@ def encode_decode(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("do
 
 
 def digests(docs: DataFrame, model_file: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per document ``n_tokens, ids_sha256, decoded_sha256`` of ``encode_decode``; the id lists stay inside the task."""
+    """Per document ``n_tokens, ids_sha256, decoded_sha256`` of ``encode_decode``; the id lists stay inside the task.
+
+    One row for each row of ``docs``; a null text counts as empty, columns but ``keep`` go. An empty table gives an empty one.
+    """
 
     def make():
         table = ChunkTable(model_file)

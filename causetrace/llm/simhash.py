@@ -119,7 +119,7 @@ def simhash_groups(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFram
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the operator's result."""
+    """The digest columns of the operator's result: one row for each row of ``docs``, those that repeat included; see ``simhash_groups`` for nulls and ties."""
     return simhash_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

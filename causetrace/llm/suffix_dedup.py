@@ -217,5 +217,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, q: int = GRAM) -> Dat
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The digest columns of the operator's result."""
+    """The digest columns of the operator's result: one row for each row of ``docs``; see ``without_repeats`` for nulls and repeats."""
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

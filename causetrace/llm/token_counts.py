@@ -219,7 +219,7 @@ def transducer(model_file: str) -> CountTransducer:
 def token_counts(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFrame:
     """Per document ``doc_id, n_bytes, n_tokens, over_limit`` (n_tokens > limit), without added tokens.
 
-    A null text counts as empty (0 tokens). Rows stay where they are: no shuffle. A text is read
+    A null text counts as empty (0 tokens); rows that repeat are counted each, an empty table gives an empty one. Rows stay where they are: no shuffle. A text is read
     in blocks whose state maps compose, so no step is quadratic in its length.
     """
 

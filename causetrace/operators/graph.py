@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.functions.shared import dropped, settled
@@ -228,19 +228,76 @@ def refine_by_topology(edges: DataFrame, topology: DataFrame, cause_service: Col
     return got.where("__ka is null or __kb is null or __path").select(*edges.columns)
 
 
-def correlate_events(first_seen: DataFrame, events: DataFrame, max_lag_hours: int = 24) -> DataFrame:
-    """Events in the ``max_lag_hours`` before a metric's first anomaly, closer ones scoring higher.
+def _matched(first_seen: DataFrame, events: DataFrame) -> list[str]:
+    """Keys that an event and an anomaly must share, where both tables have them."""
+    return [c for c in ("entity",) if c in events.columns and c in first_seen.columns]
+
+
+def _bucket(t: Column, hours: float) -> Column:
+    return F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t) / (hours * 3600))
+
+
+def _hours() -> Column:
+    return F.timestamp_diff("MICROSECOND", F.col("event_time"), F.col("anomaly_time")) / 3.6e9
+
+
+def _told() -> list[Column]:
+    return [F.round("h", 3).alias("delta_hours"), F.round(1 / (1 + F.col("h")), 6).alias("correlation_score")]
+
+
+def event_lists(first_seen: DataFrame, events: DataFrame, max_lag_hours: int = 24) -> DataFrame:
+    """C12 without copies: the events in the ``max_lag_hours`` before each distinct time of a first anomaly, ``anomaly_time, event_description, event_time, event_type, delta_hours, correlation_score``.
 
-    A range join on equal keys: times fall into buckets as wide as the lag, and an event stands in its own and the next one.
+    All metrics that were first seen at one time have the same events, so anomalies on a grid of times cost no more than its times. A range join on equal keys: a time stands in every
+    part, a 24th of the lag wide, that it looks back on, an event in its own.
     """
-    width = max_lag_hours * 3600
-    bucket = lambda t: F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t) / width)
+    keys, width = _matched(first_seen, events), max_lag_hours / 24
     kind = F.coalesce("type", F.lit("unknown")) if "type" in events.columns else F.lit("unknown")
-    keys = [c for c in ("entity",) if c in events.columns and c in first_seen.columns]
-    right = events.select(*keys, F.col("description").alias("event_description"), F.col("ts").alias("event_time"), kind.alias("event_type"))
-    b = bucket(F.col("event_time"))
-    right = right.withColumn("__b", F.explode(F.array(b, b + 1)))
-    left = first_seen.select("incident_id", *keys, "metric", F.col("first_seen").alias("anomaly_time")).withColumn("__b", bucket(F.col("anomaly_time")))
-    hours = F.timestamp_diff("MICROSECOND", F.col("event_time"), F.col("anomaly_time")) / 3.6e9
-    got = left.join(right, [*keys, "__b"]).withColumn("h", hours).where((F.col("h") > 0) & (F.col("h") <= max_lag_hours))
-    return got.select("incident_id", "metric", "event_description", "event_time", "event_type", "anomaly_time", F.round("h", 3).alias("delta_hours"), F.round(1 / (1 + F.col("h")), 6).alias("correlation_score"))
+    right = events.select(*keys, F.col("description").alias("event_description"), F.col("ts").alias("event_time"), kind.alias("event_type")).withColumn("__b", _bucket(F.col("event_time"), width))
+    b = _bucket(F.col("first_seen"), width)
+    left = first_seen.where("first_seen is not null").select(*keys, F.col("first_seen").alias("anomaly_time"), b.alias("__b")).distinct()
+    left = left.withColumn("__b", F.explode(F.sequence(F.col("__b") - 24, "__b")))
+    got = left.join(right, [*keys, "__b"]).withColumn("h", _hours()).where((F.col("h") > 0) & (F.col("h") <= max_lag_hours))
+    return got.select(*keys, "anomaly_time", "event_description", "event_time", "event_type", *_told())
+
+
+def correlate_events(first_seen: DataFrame, events: DataFrame, max_lag_hours: int = 24, shares: int = 64) -> DataFrame:
+    """Events in the ``max_lag_hours`` before a metric's first anomaly, closer ones scoring higher.
+
+    All pairs, so rows grow with anomalies times events. The list of a time is dealt out in ``shares`` parts, each with the anomalies of that time, so that no task holds a whole time.
+    ``closest_events``, ``leading_events`` and ``event_lists`` tell the best, the first few and all without a row for each pair.
+    """
+    keys = _matched(first_seen, events)
+    parts = 4 * int(first_seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*keys, "anomaly_time", "__s"]
+    lists = event_lists(first_seen, events, max_lag_hours).withColumn("__s", F.pmod(F.xxhash64("event_description", "event_time"), F.lit(shares)).cast("int")).repartition(parts, *by)
+    seen = first_seen.where("first_seen is not null").select("incident_id", *keys, "metric", F.col("first_seen").alias("anomaly_time"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("__s"))
+    got = lists.join(seen.repartition(parts, *by).hint("shuffle_hash"), by)
+    return got.select("incident_id", "metric", "event_description", "event_time", "event_type", "anomaly_time", "delta_hours", "correlation_score")
+
+
+def closest_events(first_seen: DataFrame, events: DataFrame, max_lag_hours: int = 24) -> DataFrame:
+    """``incident_id, metric, event_time, anomaly_time, delta_hours, correlation_score`` of the last event in the ``max_lag_hours`` before each first anomaly: C12's best score, linear in both tables.
+
+    Distinct times of anomalies and events are sorted together in buckets as wide as the lag, an event in its own and the next one.
+    """
+    keys = _matched(first_seen, events)
+    t = first_seen.where("first_seen is not null").select(*keys, F.col("first_seen").alias("t")).distinct()
+    e = events.where("ts is not null").select(*keys, F.col("ts").alias("t")).distinct()
+    b = _bucket(F.col("t"), max_lag_hours)
+    marks = t.select(*keys, "t", b.alias("__b"), F.lit(0).alias("event")).unionByName(e.select(*keys, "t", F.explode(F.array(b, b + 1)).alias("__b"), F.lit(1).alias("event")))
+    # at one time the anomaly comes first: an event must be earlier
+    w = Window.partitionBy(*keys, "__b").orderBy("t", "event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = marks.withColumn("event_time", F.last(F.when(F.col("event") == 1, F.col("t")), True).over(w)).where("event = 0").select(*keys, F.col("t").alias("anomaly_time"), "event_time")
+    last = last.withColumn("h", _hours()).where(F.col("h") <= max_lag_hours)
+    seen = first_seen.select("incident_id", *keys, "metric", F.col("first_seen").alias("anomaly_time"))
+    return seen.join(last, [*keys, "anomaly_time"]).select("incident_id", "metric", "event_time", "anomaly_time", *_told())
+
+
+def leading_events(first_seen: DataFrame, events: DataFrame, k: int = 5, max_lag_hours: int = 24) -> DataFrame:
+    """Those of ``correlate_events`` that can be among the ``k`` of a metric or an incident with the best score, then first by description: the ``k`` of each time."""
+    keys = _matched(first_seen, events)
+    w = Window.partitionBy(*keys, "anomaly_time").orderBy(F.desc("correlation_score"), "event_description")
+    best = event_lists(first_seen, events, max_lag_hours).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k)
+    got = first_seen.select("incident_id", *keys, "metric", F.col("first_seen").alias("anomaly_time")).join(best, [*keys, "anomaly_time"])
+    return got.select("incident_id", "metric", "event_description", "event_time", "event_type", "anomaly_time", "delta_hours", "correlation_score")

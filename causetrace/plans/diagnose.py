@@ -27,7 +27,8 @@ def diagnose(series: DataFrame, incidents: DataFrame, events: DataFrame, topolog
     edges = settled(graph.break_cycles(edges, incidents))
     correlations = graph.correlate_events(incidents, events)
     ranks = rank.pagerank(nodes, edges)
-    scored = rank.factors(nodes, edges, incidents, correlations, ranks)
+    # the best correlation of a metric is that of its closest event
+    scored = rank.factors(nodes, edges, incidents, graph.closest_events(incidents, events), ranks)
     scored = scored.withColumn("composite_score", rank.composite_score_a())
     ranked = rank.rank_candidates(scored).withColumn("confidence", rank.confidence_label(F.col("composite_score")))
     if topology is not None and prune == "after":

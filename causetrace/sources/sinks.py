@@ -15,7 +15,7 @@ def report_documents(ranked: DataFrame, edges: DataFrame, events: DataFrame, fir
 
     Fields: incident_id, timestamp (``made``), failure_type and ground_truth (of ``truth``: incident_id, failure_type, root_cause, causal_chain; whatever is
     there), root_causes with the breakdown of their scores, downstream effects and chains, causal_graph (nodes and edges; strength four, p six
-    decimals), event_correlations, anomaly_detection_times. Lists are in order of rank, name or time; what is unknown is an empty list or left out.
+    decimals), event_correlations, anomaly_detection_times. Where many metrics share their events, let ``events`` hold ``metric, anomaly_time, n_events`` in place of a row for each pair, beside the lists of ``write_event_lists``. Lists are in order of rank, name or time; what is unknown is an empty list or left out.
     """
     of = "incident_id"
     listed = lambda df, name, *cols: df.groupBy(of).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
@@ -25,7 +25,7 @@ def report_documents(ranked: DataFrame, edges: DataFrame, events: DataFrame, fir
     causes = listed(ranked, "root_causes", "rank", "metric", "composite_score", "confidence", *breakdown, *extra)
     nodes = ranked.groupBy(of).agg(F.array_sort(F.collect_set("metric")).alias("nodes"))
     links = listed(edges, "edges", "cause", "effect", F.round("strength", 4).alias("strength"), "lag", F.round("p_value", 6).alias("p_value"))
-    told = [c for c in ("metric", "event_time", "event_description", "event_type", "anomaly_time", "delta_hours", "correlation_score") if c in events.columns]
+    told = [c for c in ("metric", "event_time", "event_description", "event_type", "anomaly_time", "delta_hours", "correlation_score", "n_events") if c in events.columns]
     rows = causes.join(nodes, of).join(links, of, "left").join(listed(events, "event_correlations", *told), of, "left")
     none = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c)
     fields = [F.col(of)]
@@ -48,6 +48,12 @@ def write_report(documents: DataFrame, path: str) -> None:
     documents.select(F.col("report").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_event_lists(lists: DataFrame, path: str) -> None:
+    """C12's ``event_lists`` as gzipped JSON lines, once for each time of an anomaly; documents refer to them by ``anomaly_time``."""
+    times = {c: F.col(c).cast("string") for c in ("anomaly_time", "event_time")}
+    lists.withColumns(times).write.mode("overwrite").option("compression", "gzip").json(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """A flat CSV export; arrays and maps become JSON text."""
     flat = [F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in ("array", "map", "struct") else F.col(c) for c in rows.columns]

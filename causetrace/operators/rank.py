@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causetrace.functions.shared import dropped, settled
+from causetrace.functions.text import fixed
 from causetrace.operators.graph import incident_closure
 
 #: Nodes and links of an incident that one group walks.
@@ -231,15 +232,15 @@ def markdown_report(ranked: DataFrame) -> DataFrame:
 
     An incident of which all candidates are null (left join upstream) gets a fixed sentence.
     """
-    pct = F.format_string("%.1f%%", F.least(F.col("c.composite_score") * 100, F.lit(100.0)))
+    pct = F.concat(fixed(F.least(F.col("c.composite_score") * 100, F.lit(100.0)), 1), F.lit("%"))
     sorted_rows = F.array_sort(F.collect_list(F.when(F.col("metric").isNotNull(), F.struct("rank", "metric", "composite_score", "confidence", "causal_outflow", "temporal_priority", "causal_inflow", "event_correlation", "downstream_effects"))))
     got = ranked.groupBy("incident_id").agg(sorted_rows.alias("all")).withColumn("c", F.try_element_at("all", F.lit(1)))
     effects = F.coalesce("c.downstream_effects", F.array().cast("array<string>"))
     chain = F.when(F.size(effects) == 0, "It shows no downstream effect.").when(F.size(effects) == 1, F.concat(F.lit("It affects `"), effects[0], F.lit("`."))).otherwise(
         F.concat(F.lit("It affects "), F.size(effects).cast("string"), F.lit(" metrics: "), F.array_join(effects, ", "), F.lit("."))
     )
-    line = lambda label, c: F.format_string(f"- {label}: %.2f", F.col(f"c.{c}"))
-    others = F.transform(F.slice("all", 2, 3), lambda x: F.format_string("- `%s`: %.1f%%", x["metric"], F.least(x["composite_score"] * 100, F.lit(100.0))))
+    line = lambda label, c: F.concat(F.lit(f"- {label}: "), fixed(F.col(f"c.{c}"), 2))
+    others = F.transform(F.slice("all", 2, 3), lambda x: F.concat(F.lit("- `"), x["metric"], F.lit("`: "), fixed(F.least(x["composite_score"] * 100, F.lit(100.0)), 1), F.lit("%")))
     text = F.concat_ws(
         "\n",
         F.lit("# Incident report"),

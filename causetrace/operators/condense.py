@@ -1,15 +1,19 @@
-"""Strongly connected components and levels of large call graphs, by joins (behind C9, C11)."""
+"""Strongly connected components and levels of large call graphs, part by part (behind C9, C11)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causetrace.functions.shared import dropped, settled
 
-#: Edges up to which a graph is walked whole in one task: some tens of megabytes, in place of many small rounds. Results are the same.
+#: Edges up to which a graph, or a weakly connected part of one, is walked whole in one task: some tens of megabytes, in place of many small rounds. Results are the same.
 SMALL = 200_000
+#: Asked rows of a part, and targets, that one task answers at once.
+ASKED, TARGETS = 50_000, 4_096
 #: Rounds of trimming before colours are tried: chains are trimmed from both ends, and a long one by the outer rounds.
 TRIMS = 3
 
@@ -110,13 +114,36 @@ def walked(edges: list[tuple]) -> list[tuple]:
     return [(n, c, level[c]) for n, c in out.items()]
 
 
-def _walked_whole(edges: DataFrame) -> DataFrame:
+def _walked_whole(edges: DataFrame, *by: Column) -> DataFrame:
+    """``node, component, level, part`` of graphs that are groups ``by``; a part is named after the smallest node of its group."""
     kind = edges.schema["src"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(walked(list(zip(pdf["src"], pdf["dst"], strict=True))), columns=["node", "component", "level"])
+        got = pd.DataFrame(walked(list(zip(pdf["src"], pdf["dst"], strict=True))), columns=["node", "component", "level"])
+        return got.assign(part=got["node"].min())
 
-    return edges.select("src", "dst", F.lit(True).alias("all")).groupBy("all").applyInPandas(one, f"node {kind}, component {kind}, level bigint")
+    return edges.groupBy(*by).applyInPandas(one, f"node {kind}, component {kind}, level bigint, part {kind}")
+
+
+def weak_parts(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``node, part``, staged: the smallest node that links join a node to, whichever way they go (alternating large and small stars; rounds grow with the logarithm of a part)."""
+    every = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    now = settled(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    was = mark(now)
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = settled(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        led = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = led.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(led.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        then = settled(small, "stars")
+        dropped(large)
+        dropped(now)
+        now, seen, was = then, was, mark(then)
+        if was == seen:
+            return settled(every.join(now.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", F.coalesce("part", "node").alias("part")), "parts")
+    raise RuntimeError("parts did not settle")
 
 
 def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
@@ -153,18 +180,8 @@ def _linked(edges: DataFrame, members: DataFrame) -> DataFrame:
     return settled(both.select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct(), "links")
 
 
-def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(services, links): ``node, component, level`` of every node, and the distinct ``src, dst`` between components, staged.
-
-    ``level`` is the longest path to a component. A path from one component to another goes up in level, so that equal components are joined, other
-    components of one level are not, and a search for the rest never looks beyond the level of its target.
-    """
-    edges = settled(edges.select("src", "dst").distinct(), "edges")
-    if edges.count() <= small:
-        services = settled(_walked_whole(edges), "services")
-        return services, _linked(edges, services)
-    members = settled(strong_components(edges, max_rounds), "members")
-    links = _linked(edges, members)
+def _levels(links: DataFrame, members: DataFrame, max_rounds: int) -> DataFrame:
+    """``node, level`` of every component: round by round those that nothing left over links to."""
     left, open_ = links, settled(members.select(F.col("component").alias("node")).distinct(), "open")
     levels = None
     for level in range(max_rounds):
@@ -172,37 +189,163 @@ def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) ->
         here = settled(open_.join(blocked, "node", "left_anti").select("node", F.lit(level).cast("long").alias("level")), "level")
         levels = here if levels is None else settled(levels.unionByName(here), "levels")
         if blocked.isEmpty():
-            break
+            return levels
         left = settled(left.join(here.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "left")
         open_ = blocked
-    else:
-        raise RuntimeError("levels did not settle")
-    return settled(members.join(levels.select(F.col("node").alias("component"), "level"), "component").select("node", "component", "level"), "services"), links
+    raise RuntimeError("levels did not settle")
 
 
-def joined_pairs(services: DataFrame, links: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Those of the distinct ``pairs(src, dst)`` that a directed path joins, either way, told from ``condensed``'s tables.
+def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(services, links): ``node, component, level, part`` of every node, and the distinct ``src, dst`` between components, staged.
 
-    Members of one component are joined. For the others the search starts at the component of lower level, and a front stops below the highest level that its start asks for.
+    ``level`` is the longest path to a component. A path from one component to another goes up in level, so that equal components are joined, other
+    components of one level are not, and a search for the rest never looks beyond the level of its target. No path leaves a ``part``.
+
+    A graph of more than ``small`` edges is split into weakly connected parts. Those of at most ``small`` edges are walked whole, each in one task, tiny ones
+    together; larger ones go by joins.
     """
-    of = lambda c: services.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("level").alias(f"l{c}"))
-    told = settled(pairs.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst"), "pairs")
-    up = F.col("lsrc") < F.col("ldst")
-    low, high = F.when(up, F.col("csrc")).otherwise(F.col("cdst")), F.when(up, F.col("cdst")).otherwise(F.col("csrc"))
-    asked = told.where("csrc <> cdst and lsrc <> ldst").select(low.alias("low"), high.alias("high"), F.greatest("lsrc", "ldst").alias("top")).distinct()
-    asked = settled(asked, "asked")
-    starts = asked.groupBy("low").agg(F.max("top").alias("top"))
-    level = services.select(F.col("component").alias("at"), "level").distinct()
-    seen = front = settled(starts.select("low", F.col("low").alias("at"), "top"), "front")
+    edges = settled(edges.select("src", "dst").distinct(), "edges")
+    if edges.count() <= small:
+        services = settled(_walked_whole(edges, F.lit(True)), "services")
+        return services, _linked(edges, services)
+    parts = weak_parts(edges)
+    named = edges.join(parts.withColumnRenamed("node", "src"), "src")
+    named = settled(named.join(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part").select("src", "dst", "part", "n"), "named")
+    few = named.where(F.col("n") <= small)
+    alone = F.when(F.col("n") > small // 16, F.col("part"))
+    shards = 1 + few.count() // max(small // 16, 1)
+    services = settled(_walked_whole(few.select("src", "dst", alone.alias("alone"), F.when(alone.isNull(), F.pmod(F.xxhash64("part"), F.lit(shards))).alias("shard")), F.col("alone"), F.col("shard")), "services")
+    rest = settled(named.where(F.col("n") > small).select("src", "dst"), "large")
+    dropped(named)
+    if not rest.isEmpty():
+        members = settled(strong_components(rest, max_rounds), "members")
+        levels = _levels(_linked(rest, members), members, max_rounds)
+        by_joins = members.join(levels.select(F.col("node").alias("component"), "level"), "component").join(parts, "node").select("node", "component", "level", "part")
+        services = settled(services.unionByName(by_joins), "services")
+    return services, _linked(edges, services)
+
+
+def reaching(links: Iterable[tuple], targets: list) -> dict:
+    """Which ``targets`` each node reaches or is, as the bits of an integer; ``links`` (source, destination) come with the highest sources first."""
+    bit = {t: 1 << i for i, t in enumerate(targets)}
+    far = dict(bit)
+    for a, b in links:
+        if b in far:
+            far[a] = far.get(a, 0) | far[b]
+    return far
+
+
+def _bits(n: int) -> Iterator[int]:
+    while n:
+        low = n & -n
+        yield low.bit_length() - 1
+        n ^= low
+
+
+def _placed(services: DataFrame, links: DataFrame) -> DataFrame:
+    """``src, dst`` with the ``level`` of the source and the ``part`` of both."""
+    return links.join(services.where("node = component").select(F.col("node").alias("src"), "level", "part"), "src").select("part", "level", "src", "dst")
+
+
+def _told_in_parts(placed: DataFrame, asked: DataFrame, of: list[str], one: Callable[[list[tuple], pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``one(links, rows)`` for each part with its ``asked`` rows; rows of a part that are many are dealt out by ``of``, with the part's links beside each share."""
+    shares = asked.groupBy("part").agg((1 + F.floor(F.count(F.lit(1)) / ASKED)).cast("int").alias("shares"))
+    rows = asked.join(shares, "part").withColumn("share", F.pmod(F.xxhash64(*of), "shares").cast("int")).drop("shares")
+    beside = placed.join(shares, "part").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+
+    def told(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("level", ascending=False)
+        return one(list(zip(left["src"], left["dst"], strict=True)), right)
+
+    return beside.groupBy("part", "share").cogroup(rows.groupBy("part", "share")).applyInPandas(told, schema)
+
+
+def _oversized(placed: DataFrame, small: int) -> DataFrame:
+    """The parts of more than ``small`` links."""
+    return settled(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("part"), "oversized")
+
+
+def _searched(services: DataFrame, links: DataFrame, asked: DataFrame, max_rounds: int) -> DataFrame:
+    """Those of the distinct ``low, high, top`` of which the first component reaches the second, searched by joins from all first ones at once; a front stops below the level ``top``. Each visit is written once."""
+    level = services.where("node = component").select(F.col("node").alias("at"), "level")
+    steps = settled(links.join(level.select(F.col("at").alias("dst"), "level"), "dst").select(F.col("src").alias("at"), "dst", "level"), "steps")
+    front = settled(asked.groupBy("low").agg(F.max("top").alias("top")).select("low", F.col("low").alias("at"), "top"), "front")
+    seen = front
     for _ in range(max_rounds):
-        step = front.join(links.select(F.col("src").alias("at"), "dst"), "at").select("low", F.col("dst").alias("at"), "top").distinct()
-        step = step.join(level, "at").where("level <= top").select("low", "at", "top")
+        step = front.join(steps, "at").where("level <= top").select("low", F.col("dst").alias("at"), "top").distinct()
         front = settled(step.join(seen, ["low", "at"], "left_anti"), "front")
         if front.isEmpty():
-            break
-        seen = settled(seen.unionByName(front), "seen")
-    else:
-        raise RuntimeError("paths did not settle")
-    hit = asked.select("low", "high").join(seen.select("low", F.col("at").alias("high")), ["low", "high"], "left_semi").withColumn("hit", F.lit(True))
-    found = told.withColumns({"low": low, "high": high}).join(hit, ["low", "high"], "left")
+            return asked.join(seen.select("low", F.col("at").alias("high")), ["low", "high"], "left_semi").select("low", "high")
+        seen = seen.unionByName(front)
+    raise RuntimeError("paths did not settle")
+
+
+def joined_pairs(services: DataFrame, links: DataFrame, pairs: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> DataFrame:
+    """Those of the distinct ``pairs(src, dst)`` that a directed path joins, either way, told from ``condensed``'s tables.
+
+    Members of one component are joined, those of different parts or of one level are not. The rest is told part by part: one task passes the bits of what is asked for up a part of
+    at most ``small`` links. In larger ones a search by joins starts at the component of lower level, and a front stops below the highest level that its start asks for.
+    """
+    of = lambda c: services.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("level").alias(f"l{c}"), F.col("part").alias(f"p{c}"))
+    told = pairs.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("psrc = pdst and (csrc = cdst or lsrc <> ldst)")
+    told = settled(told, "pairs")
+    up = F.col("lsrc") < F.col("ldst")
+    low, high = F.when(up, F.col("csrc")).otherwise(F.col("cdst")), F.when(up, F.col("cdst")).otherwise(F.col("csrc"))
+    asked = told.where("csrc <> cdst").select(low.alias("low"), high.alias("high"), F.greatest("lsrc", "ldst").alias("top"), F.col("psrc").alias("part")).distinct()
+    asked, placed = settled(asked, "asked"), settled(_placed(services, links), "placed")
+    large = _oversized(placed, small)
+
+    def one(calls: list[tuple], rows: pd.DataFrame) -> pd.DataFrame:
+        ends, hits = sorted(set(rows["high"])), []
+        for k in range(0, len(ends), TARGETS):
+            block = ends[k : k + TARGETS]
+            at, far = {t: i for i, t in enumerate(block)}, reaching(calls, block)
+            hits += [(a, b) for a, b in zip(rows["low"], rows["high"], strict=True) if b in at and far.get(a, 0) >> at[b] & 1]
+        return pd.DataFrame(hits, columns=["low", "high"])
+
+    kind = services.schema["node"].dataType.simpleString()
+    fits = lambda df: df.join(large, "part", "left_anti")
+    hit = _told_in_parts(fits(placed), fits(asked), ["high"], one, f"low {kind}, high {kind}")
+    if not large.isEmpty():
+        hit = hit.unionByName(_searched(services, placed.join(large, "part", "left_semi").select("src", "dst"), asked.join(large, "part", "left_semi").drop("part"), max_rounds))
+    found = told.withColumns({"low": low, "high": high}).join(hit.withColumn("hit", F.lit(True)), ["low", "high"], "left")
     return found.where("csrc = cdst or hit").select("src", "dst")
+
+
+def joined_in_groups(services: DataFrame, links: DataFrame, asked: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> DataFrame:
+    """Distinct ``src, dst`` that a directed path joins, either way, of which a row of ``asked(group, at, node)`` with ``src`` has a smaller ``at`` than one of its group with ``dst``.
+
+    Only what is joined becomes a row: a task holds the links of a part of at most ``small`` and the asked rows of some groups there. In larger parts all pairs of a group are asked of ``joined_pairs``.
+    """
+    rows = asked.where("group is not null and at is not null").groupBy("group", "node").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    rows = settled(rows.join(services, "node").select("group", "node", "lo", "hi", "component", "part"), "asked")
+    placed = settled(_placed(services, links), "placed")
+    large = _oversized(placed, small)
+
+    def one(calls: list[tuple], rows: pd.DataFrame) -> pd.DataFrame:
+        groups: dict = {}
+        for g, *row in zip(rows["group"], rows["component"], rows["node"], rows["lo"], rows["hi"], strict=True):
+            groups.setdefault(g, {}).setdefault(row[0], []).append(row[1:])
+        ends, out = sorted(set(rows["component"])), []
+        for k in range(0, len(ends), TARGETS):
+            block = ends[k : k + TARGETS]
+            at, far = {t: i for i, t in enumerate(block)}, reaching(calls, block)
+            for members in groups.values():
+                mask = sum(1 << at[c] for c in members if c in at)
+                for c, starts in members.items():
+                    for i in _bits(far.get(c, 0) & mask):
+                        above = members[block[i]]
+                        for a, lo, hi in starts:
+                            out.append((a, [b for b, _, late in above if lo < late]))
+                            if block[i] != c:
+                                out += [(b, [a]) for b, early, _ in above if early < hi]
+        return pd.DataFrame([x for x in out if x[1]], columns=["src", "dst"])
+
+    kind = services.schema["node"].dataType.simpleString()
+    fits = lambda df: df.join(large, "part", "left_anti")
+    found = _told_in_parts(fits(placed), fits(rows), ["group"], one, f"src {kind}, dst array<{kind}>").select("src", F.explode("dst").alias("dst"))
+    if not large.isEmpty():
+        rest = settled(rows.join(large, "part", "left_semi"), "large")
+        b = rest.select("group", "part", F.col("node").alias("dst"), F.col("hi").alias("late"))
+        found = found.unionByName(joined_pairs(services, links, rest.join(b, ["group", "part"]).where("lo < late").select(F.col("node").alias("src"), "dst"), max_rounds, small))
+    return found.distinct()

@@ -206,9 +206,15 @@ def reachable_pairs(topology: DataFrame, pairs: DataFrame) -> DataFrame:
     return condense.joined_pairs(services, links, pairs)
 
 
+def reachable_in_groups(topology: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct ``src, dst`` that a directed path joins, either way, where ``asked(group, at, service)`` has ``src`` before ``dst`` in one group; pairs that no path joins never become rows."""
+    services, links = condense.condensed(topology)
+    return condense.joined_in_groups(services, links, asked.select("group", "at", F.col("service").alias("node")))
+
+
 def reachability_labels(topology: DataFrame) -> DataFrame:
     """C9, linear in the services: ``service, component, level``. Services of one component are joined, others of one level are not, and a path only goes up; ``reachable_pairs`` tells the rest."""
-    return condense.condensed(topology)[0].withColumnRenamed("node", "service")
+    return condense.condensed(topology)[0].select(F.col("node").alias("service"), "component", "level")
 
 
 def service_of_metric(metric: Column) -> Column:

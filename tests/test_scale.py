@@ -87,3 +87,39 @@ def test_report_rounds_exact_halves_to_even(spark):
     text = rank.markdown_report(ranked.withColumn("downstream_effects", F.array().cast("array<string>"))).first().report
     for part in (f"{0.2345 * 100:.1f}%", "outflow: 0.12", "priority: 0.62", "inflow: 0.28", "correlation: 0.38", "`n`: 16.2%"):
         assert part in text
+
+
+def test_graphs_split_into_parts_by_size(spark):
+    """Weakly connected parts walked whole, packed together or searched by joins, with the same components, levels and joined pairs."""
+    from causetrace.operators import condense
+
+    r = np.random.default_rng(21)
+    edges = [(1000 * g + int(a), 1000 * g + int(b)) for g, n in enumerate((3, 40, 12, 60)) for a, b in r.integers(0, 16, size=(n // 2, 2))]
+    edges += [(9000 + i, 9001 + i) for i in range(6)] + [(9100, 9100)]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set())
+    far = graph.reached(links)
+    near = {n: {n} for n in links}
+    while True:
+        grown = {n: near[n].union(*(near[x] for x in near[n]), *(links[x] for x in near[n]), *({y for y in links if x in links[y]} for x in near[n])) for n in links}
+        if grown == near:
+            break
+        near = grown
+    asked = [(int(g), int(at), sorted(links)[int(n)]) for g, at, n in zip(r.integers(0, 3, 90), r.integers(0, 50, 90), r.integers(0, len(links), 90))] + [(None, 1, 9000), (0, None, 9001)]
+    want = {(a, b) for g, i, a in asked for h, j, b in asked if None not in (g, i, j) and g == h and i < j and (a == b or b in far[a] or a in far[b])}
+    pairs = [(a, b) for a in links for b in links]
+    joined = {(a, b) for a, b in pairs if a == b or b in far[a] or a in far[b]}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {x.node: x.part for x in condense.weak_parts(df).collect()} == {n: min(m) for n, m in near.items()}
+    components = None
+    for small in (1000, 24, 0):
+        services, between = condense.condensed(df, small=small)
+        told = {x.node: (x.component, x.level) for x in services.collect()}
+        assert components in (None, told) and len(told) == services.count() == len(links)
+        components = told
+        got = condense.joined_in_groups(services, between, spark.createDataFrame(asked, "group long, at long, node long"), small=small).collect()
+        assert {(x.src, x.dst) for x in got} == want and len(got) == len(want)
+        got = condense.joined_pairs(services, between, spark.createDataFrame(pairs, "src long, dst long"), small=small).collect()
+        assert {(x.src, x.dst) for x in got} == joined and len(got) == len(joined)

@@ -1,4 +1,4 @@
-"""Components of items that meet in MinHash buckets: one leader first, then drawn ones while they find links."""
+"""Components of items that meet in MinHash buckets: one leader first, then every candidate that is still apart."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from causetrace.llm.components import connected_components
 
 #: Members of a group whose pairs are all compared.
 FEW = 8
+#: Members of a group that meet all others of it in one task, and pairs that are verified at once.
+SHARE, SLICE = 1024, 1_000_000
 
 
 def band_keys(m: Column, bands: int, rows: int) -> list[Column]:
@@ -27,21 +29,42 @@ def _alike(p: str, q: str, values: int, agree: int) -> Column:
     return _agreement(p, q, values) >= agree
 
 
-def _drawn(parts: DataFrame, seen: DataFrame, values: int, agree: int, salt: int) -> DataFrame:
-    """Candidates ``a, b`` of different components: each member of buckets of ``parts(key, x, c)`` meets three of each, drawn by a hash of ``salt``, and
-    is paired with the one that it agrees with most and that isn't ``seen`` yet; one pair a member."""
-    draw = lambda k: F.struct(F.xxhash64("x.id", "key", F.lit(k)).alias("r"), F.col("x.id").alias("id"), F.col("x.m").alias("m"), F.col("c").alias("c"))
-    leaders = parts.groupBy("key").agg(F.min(draw(salt)).alias("l0"), F.max(draw(salt)).alias("l1"), F.min(draw(salt + 1)).alias("l2"), F.count(F.lit(1)).alias("n"))
-    leaders = stage(leaders.where("n > 1").select("key", F.array("l0", "l1", "l2").alias("ls")), "leaders")
-    met = parts.join(leaders.hint("merge"), "key").select("x", "c", F.explode("ls").alias("l")).where("c <> l.c").where(_alike("x", "l", values, agree))
-    met = met.select(F.col("x.id").alias("p"), F.col("l.id").alias("q"), _agreement("x", "l", values).alias("n")).distinct()
-    met = met.select("p", "q", "n", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).join(seen.hint("merge"), ["a", "b"], "left_anti")
-    best = met.groupBy("p").agg(F.max(F.struct("n", "q")).alias("q"))
-    pairs = stage(best.select(F.least("p", "q.q").alias("a"), F.greatest("p", "q.q").alias("b")).distinct(), "drawn")
-    unstage(leaders)
+def _rarest(lines: DataFrame, values: int, k: int) -> DataFrame:
+    """``id, v``: the ``k`` of each line's values that the fewest of ``lines(id, m, c)`` have, ties by the value, so that all lines have one order. Of two lines that agree in more than ``values - k`` values, one is among the ``k`` of both."""
+    each = lines.select("id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("m")[i]) for i in range(values)])).alias("v"))
+    often = stage(each.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "often")
+    placed = each.join(often.hint("merge"), "v").groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "v"))), 1, k).alias("first"))
+    rarest = stage(placed.select("id", F.explode("first").alias("t")).select("id", "t.v"), "rarest")
+    unstage(often)
+    return rarest
+
+
+def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int) -> DataFrame:
+    """Every pair ``a, b`` of different components among the lines of ``apart(key, x, c)`` that agrees in at least ``agree`` values and isn't ``seen``, with the number ``n`` of these values.
+
+    Lines meet where they share one of their rarest values: no such pair shares none. A value that many lines have is dealt out, so that no task holds more than ``SHARE`` times its lines.
+    """
+    lines = stage(apart.groupBy("x.id").agg(F.first("x.m").alias("m"), F.first("c").alias("c")), "lines")
+    rarest = _rarest(lines, values, values - agree + 1)
+    shares = rarest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", (1 + F.floor(F.col("n") / SHARE)).cast("int").alias("shares"))
+    met = stage(rarest.join(shares.hint("merge"), "v").join(lines.hint("merge"), "id").select("v", "shares", F.struct("id", "m", "c").alias("x")), "met")
+    p = met.select("v", F.pmod(F.xxhash64("x.id"), "shares").cast("int").alias("share"), F.col("x").alias("p"))
+    q = met.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("q"))
+    alike = (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & _alike("p", "q", values, agree)
+    pairs = p.join(q.hint("merge"), ["v", "share"]).where(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), _agreement("p", "q", values).alias("n")).distinct()
+    pairs = stage(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "left")
+    for x in (lines, rarest, met):
+        unstage(x)
     return pairs
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The ``pairs(a, b)`` whose ends are in different components."""
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")).hint("merge")
+    told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return stage(told.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "between")
+
+
 def _pairs_of_few(members: DataFrame, key: str, values: int, agree: int) -> DataFrame:
     """Candidates ``a, b`` within groups of ``members(key, x)``; a group has at most ``FEW`` members."""
     met = members.groupBy(key).agg(F.collect_list("x").alias("all")).select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
@@ -90,35 +113,37 @@ def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
     return rest
 
 
-def verified_components(members: DataFrame, values: int, bands: int, agree: int, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, least_yield: float = 0.001) -> DataFrame:
+def verified_components(members: DataFrame, values: int, agree: int, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, most: int = SLICE) -> DataFrame:
     """``node, component`` over the verified links of ``members(key, x)``, ``x`` a struct of ``id`` and ``values`` MinHash values ``m``.
 
     A pair of a bucket is a candidate if it agrees in at least ``agree`` values; ``verify(pairs a, b)`` gives the staged links among
     candidates. All pairs of a bucket of at most ``FEW`` members are compared. In a larger one each member meets the smallest
     identity, and those that share a rare value with it: lines of one template agree in the values of the template, near copies in rare ones too.
-    Where a bucket then still holds several components, rounds follow: each member meets three of its bucket, and three of each part
-    of it that shares a second band, drawn anew each round, and is compared with the likeliest of them in another component. Rounds end when one adds
-    less than ``least_yield`` of all links. So work grows with the members, not with the square of a
-    group that stays apart (lines of one template); the price is that a link within such a group may not be drawn.
+    Of the buckets that then still hold several components, every candidate between two of them is verified: first the likeliest of each
+    member, then what is still apart, at most about ``most`` at once. So no link of a candidate is lost, and groups that have become one cost nothing; candidates within
+    a group that stays apart (lines of one template) may grow with its square.
     """
     seen, rest = _first(members, values, agree)
     found = verify(seen)
     links = found if links is None else stage(links.unionByName(found), "links")
-    comp, n, salt = stage(connected_components(links), "components"), links.count(), 0
-    while True:
-        # a bucket that has become one component stays one
-        before, rest = rest, _apart(rest.select("key", "x"), comp)
-        unstage(before)
-        parts = rest.select(F.explode(F.array(*[F.xxhash64("key", k) for k in band_keys(F.col("x.m"), bands, values // bands)])).alias("key"), "x", "c")
-        pairs = _drawn(parts, seen, values, agree, salt)
-        found = None if pairs.isEmpty() else verify(pairs)
-        more = 0 if found is None else found.count()
-        if more:
-            before, comp, n = comp, _joined(comp, found), n + more
+    comp = stage(connected_components(links), "components")
+    apart = _apart(rest, comp)
+    pairs = _left_over(apart, seen, values, agree)
+    ends = [pairs.select(F.col(a).alias("p"), F.struct("n", F.col(b).alias("q")).alias("t")) for a, b in (("a", "b"), ("b", "a"))]
+    likeliest = ends[0].unionByName(ends[1]).groupBy("p").agg(F.max("t").alias("t")).select(F.least("p", "t.q").alias("a"), F.greatest("p", "t.q").alias("b")).distinct()
+    likeliest = stage(likeliest, "likeliest")
+    left, part = pairs.join(likeliest.hint("merge"), ["a", "b"], "left_anti").select("a", "b"), likeliest
+    while not part.isEmpty():
+        found = verify(part)
+        if not found.isEmpty():
+            before, comp = comp, _joined(comp, found)
             unstage(before)
-        if more <= least_yield * n:
-            break
-        seen, salt = stage(seen.unionByName(pairs), "seen"), salt + 2
-    for x in (pairs, seen, links, rest):
+        before, between = left, _between(left, comp)
+        unstage(before)
+        slices = 1 + between.count() // most
+        at = F.pmod(F.xxhash64("a", "b", F.lit(slices)), F.lit(slices))
+        part, left = stage(between.where(at == 0), "part"), stage(between.where(at != 0), "left")
+        unstage(between)
+    for x in (pairs, likeliest, seen, links, rest, apart, left):
         unstage(x)
     return comp

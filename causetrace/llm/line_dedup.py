@@ -87,7 +87,7 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[D
     # the lines that meet another one anywhere
     wanted = members.select("x.id.h1", "x.id.h2").distinct()
     texts = stage(distinct.join(wanted.hint("merge"), ["h1", "h2"]).select(F.struct("h1", "h2").alias("id"), "line"), "texts")
-    comp = verified_components(members, BANDS * ROWS, BANDS, AGREE, lambda pairs: _verified(pairs, texts, similarity))
+    comp = verified_components(members, BANDS * ROWS, AGREE, lambda pairs: _verified(pairs, texts, similarity))
     for x in (members, texts):
         unstage(x)
     return distinct, comp

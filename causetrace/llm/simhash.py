@@ -154,7 +154,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 2, simil
     wanted = nodes.join(wanted.hint("merge"), "id").select("id", "k.*")
     texts = stage(keyed.select(*key, "text").join(wanted.hint("merge"), key).select("id", "text").dropDuplicates(["id"]), "texts")
     verify = lambda pairs: _verified(pairs, texts, width, similarity)
-    comp = verified_components(members, BANDS * ROWS, BANDS, AGREE, verify, verify(close))
+    comp = verified_components(members, BANDS * ROWS, AGREE, verify, verify(close))
     named = stage(told.select(*key, "id").join(comp.withColumnRenamed("node", "id").hint("merge"), "id", "left").select(*key, F.coalesce("component", "id").alias("comp")), "named")
     first = named.groupBy("comp").agg(F.min(F.struct(*key)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("comp", "first")
     gone = stage(named.join(first.hint("merge"), "comp").where(F.struct(*key) != F.col("first")).select(*key).distinct(), "gone")

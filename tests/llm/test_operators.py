@@ -731,3 +731,29 @@ def test_fingerprint_without_id_joins_two_components(spark, monkeypatch):
     got = sorted(((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_groups(df).collect()), key=str)
     assert got == sorted([(9, 0, 4), (None, 3, 4), (None, 3, 4), (4, 15, 4), (5, 7 << 40, 5), (None, 1 << 20 | 1 << 50 | 1 << 60, None)], key=str)
 
+
+
+@pytest.mark.parametrize("most", [60, 10**6])
+def test_no_candidate_of_a_large_bucket_is_lost(spark, monkeypatch, most):
+    """One bucket of lines whose values are all common, so that neither its leader nor a rare value nor a few draws find their links; against all pairs."""
+    monkeypatch.setattr(buckets, "SHARE", 100)
+    rng = random.Random(41)
+    lines = [[rng.randrange(4) for _ in range(18)] for _ in range(600)]
+    agree = lambda p, q: sum(u == v for u, v in zip(lines[p], lines[q], strict=True))
+    near = [(a, b) for a in range(600) for b in range(a + 1, 600) if agree(a, b) >= 11]
+    parent, find = union_find(600)
+    for a, b in near:
+        if (a + b) % 3:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert sum((a + b) % 3 > 0 for a, b in near) > 100
+    members = spark.createDataFrame([(1, (k, m)) for k, m in enumerate(lines)], "key long, x struct<id: long, m: array<int>>")
+    asked = []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return buckets.stage(pairs.where("(a + b) % 3 > 0"), "links")
+
+    got = {r.node: r.component for r in buckets.verified_components(members, 18, 11, verify, most=most).collect()}
+    assert all(got.get(k, k) == find(k) for k in range(600))
+    assert len(asked) == len(set(asked)) and set(asked) <= set(near)

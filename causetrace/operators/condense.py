@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -14,7 +16,7 @@ from causetrace.functions.shared import dropped, settled
 SMALL = 200_000
 #: Asked rows of a part, and targets, that one task answers at once.
 ASKED, TARGETS = 50_000, 4_096
-#: Rounds of trimming before colours are tried: chains are trimmed from both ends, and a long one by the outer rounds.
+#: Rounds of trimming, at least, before colours are tried: chains are trimmed from both ends, and a long one by the outer rounds.
 TRIMS = 3
 
 
@@ -27,17 +29,16 @@ def _among(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges of nodes that have one in and one out: others are in no cycle."""
+def _trimmed(edges: DataFrame, small: int) -> tuple[DataFrame, int]:
+    """Edges of nodes that have one in and one out, as others are in no cycle, and their number: as long as a tenth goes at a time, or until ``small`` are left."""
     n = edges.count()
-    for _ in range(TRIMS):
+    for k in itertools.count(1):
         core = edges.select(F.col("src").alias("node")).distinct().intersect(edges.select(F.col("dst").alias("node")).distinct())
         less = settled(_among(edges, core), "trimmed")
         dropped(edges)
         was, n, edges = n, less.count(), less
-        if n == was or not n:
-            break
-    return edges
+        if n == was or n <= small or (k >= TRIMS and n > 0.9 * was):
+            return edges, n
 
 
 def _coloured(edges: DataFrame, max_rounds: int) -> DataFrame:
@@ -146,18 +147,21 @@ def weak_parts(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("parts did not settle")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def strong_components(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> DataFrame:
     """``node, component`` of every node of ``edges(src, dst)``: the smallest of the nodes that it reaches and that reach it.
 
     Nodes without callers or calls are trimmed; then each node takes the smallest node that reaches it as its colour, and the nodes
-    that reach the node of their colour form a component and go; the rest starts again. Rounds grow with the longest path, tables only shrink.
+    that reach the node of their colour form a component and go; the rest starts again. Tables only shrink, and what is left of at most ``small`` edges is walked in one task;
+    rounds grow with the longest of the shortest paths in what is more.
     """
     every = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     left = settled(edges.select("src", "dst").where("src <> dst").distinct(), "calls")
     found = None
     for _ in range(max_rounds):
-        left = _trimmed(left)
-        if left.isEmpty():
+        left, n = _trimmed(left, small)
+        if n <= small:
+            whole = settled(_walked_whole(left, F.lit(True)).select("node", F.col("component").alias("colour")), "component")
+            found = whole if found is None else settled(found.unionByName(whole), "found")
             break
         colours = settled(_coloured(left, max_rounds), "coloured")
         told = settled(_back_to_roots(left, colours, max_rounds), "component")
@@ -168,8 +172,6 @@ def strong_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         left = rest
     else:
         raise RuntimeError("components did not settle")
-    if found is None:
-        return every.select("node", F.col("node").alias("component"))
     return every.join(found, "node", "left").select("node", F.coalesce("colour", "node").alias("component"))
 
 
@@ -180,19 +182,47 @@ def _linked(edges: DataFrame, members: DataFrame) -> DataFrame:
     return settled(both.select(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).distinct(), "links")
 
 
-def _levels(links: DataFrame, members: DataFrame, max_rounds: int) -> DataFrame:
-    """``node, level`` of every component: round by round those that nothing left over links to."""
+def _levels(links: DataFrame, members: DataFrame, max_rounds: int, small: int) -> DataFrame:
+    """``node, level`` of every component, in rounds from both ends of the acyclic ``links``.
+
+    What nothing left over links to has the round as its level. What links to nothing waits, as it holds up no other level, and is told at the end from those that
+    link to it, last round first. The core has long paths before and behind each of its nodes; of at most ``small`` links, it is walked in one task.
+    """
     left, open_ = links, settled(members.select(F.col("component").alias("node")).distinct(), "open")
-    levels = None
-    for level in range(max_rounds):
-        blocked = settled(open_.join(left.select(F.col("dst").alias("node")), "node", "left_semi"), "blocked")
-        here = settled(open_.join(blocked, "node", "left_anti").select("node", F.lit(level).cast("long").alias("level")), "level")
-        levels = here if levels is None else settled(levels.unionByName(here), "levels")
-        if blocked.isEmpty():
-            return levels
-        left = settled(left.join(here.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst"), "left")
-        open_ = blocked
-    raise RuntimeError("levels did not settle")
+    parts, waiting = [], []
+    for at in range(max_rounds):
+        if left.count() <= small:
+            break
+        ends = left.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("out")))))
+        ends = ends.groupBy("node").agg(F.max("out").alias("calls"), (1 - F.min("out")).alias("called"))
+        told = settled(open_.join(ends, "node", "left").select("node", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("called", F.lit(0)).alias("called")), "told")
+        parts.append(told.where("called = 0").select("node", F.lit(at).cast("long").alias("level")))
+        waiting.append(told.where("called = 1 and calls = 0").select("node", F.lit(at).alias("at")))
+        open_ = told.where("called = 1 and calls = 1").select("node")
+        before, left = left, settled(_among(left, open_), "left")
+        if at:
+            dropped(before)
+    else:
+        raise RuntimeError("levels did not settle")
+    core = settled(_walked_whole(left, F.lit(True)).select("node", (F.col("level") + at).alias("level")), "core")
+    parts += [core, open_.join(core, "node", "left_anti").select("node", F.lit(at).cast("long").alias("level"))]
+    levels = settled(functools.reduce(DataFrame.unionByName, parts), "levels")
+    if waiting:
+        late = functools.reduce(DataFrame.unionByName, waiting).withColumnRenamed("node", "dst")
+        into = settled(links.join(late, "dst").join(levels.withColumnRenamed("node", "src"), "src", "left"), "into")
+        known = into.where("level is not null").groupBy("dst").agg(F.max("level").alias("level"))
+        # all but the links between those that wait is told at once
+        known, between = settled(known, "known"), settled(into.where("level is null").select("src", "dst", "at"), "between")
+        come = None
+        for k in reversed(range(len(waiting))):
+            here = waiting[k].select("node").join(known.withColumnRenamed("dst", "node"), "node", "left")
+            if come is not None:
+                more = between.where(F.col("at") == k).join(come.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("level").alias("more"))
+                here = here.join(more, "node", "left").select("node", F.greatest("level", "more").alias("level"))
+            here = settled(here.select("node", (F.col("level") + 1).alias("level")), "level")
+            come = here if come is None else come.unionByName(here)
+        levels = settled(levels.unionByName(come), "levels")
+    return levels
 
 
 def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
@@ -202,7 +232,7 @@ def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) ->
     components of one level are not, and a search for the rest never looks beyond the level of its target. No path leaves a ``part``.
 
     A graph of more than ``small`` edges is split into weakly connected parts. Those of at most ``small`` edges are walked whole, each in one task, tiny ones
-    together; larger ones go by joins.
+    together; larger ones go by joins, down to a core of at most ``small`` edges.
     """
     edges = settled(edges.select("src", "dst").distinct(), "edges")
     if edges.count() <= small:
@@ -218,8 +248,8 @@ def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) ->
     rest = settled(named.where(F.col("n") > small).select("src", "dst"), "large")
     dropped(named)
     if not rest.isEmpty():
-        members = settled(strong_components(rest, max_rounds), "members")
-        levels = _levels(_linked(rest, members), members, max_rounds)
+        members = settled(strong_components(rest, max_rounds, small), "members")
+        levels = _levels(_linked(rest, members), members, max_rounds, small)
         by_joins = members.join(levels.select(F.col("node").alias("component"), "level"), "component").join(parts, "node").select("node", "component", "level", "part")
         services = settled(services.unionByName(by_joins), "services")
     return services, _linked(edges, services)

@@ -123,3 +123,15 @@ def test_graphs_split_into_parts_by_size(spark):
         assert {(x.src, x.dst) for x in got} == want and len(got) == len(want)
         got = condense.joined_pairs(services, between, spark.createDataFrame(pairs, "src long, dst long"), small=small).collect()
         assert {(x.src, x.dst) for x in got} == joined and len(got) == len(joined)
+
+
+def test_levels_in_fewer_rounds_than_levels(spark):
+    """A part of more than ``small`` edges whose longest path is longer than the rounds allowed: rounds from both ends leave a core that is walked."""
+    from causetrace.operators import condense
+
+    r = np.random.default_rng(25)
+    edges = [(k, k + 1) for k in range(30)] + [(30, 28), (5, 5)]
+    edges += [(1000 + 10 * i + k, 1001 + 10 * i + k) for i in range(60) for k in range(3)] + [(1003 + 10 * i, int(r.integers(0, 4))) for i in range(60)]
+    edges += [(int(r.integers(8, 31)), 5000 + 10 * i) for i in range(40)] + [(5000 + 10 * i + k, 5001 + 10 * i + k) for i in range(40) for k in range(i % 4)] + [(1000 + 10 * i, 5000 + 10 * i) for i in range(20)]
+    services, _ = condense.condensed(spark.createDataFrame(edges, "src long, dst long"), max_rounds=15, small=50)
+    assert sorted((x.node, x.component, x.level) for x in services.collect()) == sorted(condense.walked(edges))

@@ -39,19 +39,35 @@ def _rarest(lines: DataFrame, values: int, k: int) -> DataFrame:
     return rarest
 
 
-def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int) -> DataFrame:
+def _within(p: str, q: str, similarity: float) -> Column:
+    """False only for two lines whose sets can't have a Jaccard similarity of ``similarity``: each bit that one set has and the other lacks is an element that the other lacks."""
+    lacks = lambda x, y: F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
+    size = lambda x: F.col(f"{x}.size")
+    return (size(p) - lacks(p, q) >= similarity * (size(q) + lacks(p, q))) & (size(q) - lacks(q, p) >= similarity * (size(p) + lacks(q, p)))
+
+
+def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int, sketch: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """Every pair ``a, b`` of different components among the lines of ``apart(key, x, c)`` that agrees in at least ``agree`` values and isn't ``seen``, with the number ``n`` of these values.
 
-    Lines meet where they share one of their rarest values: no such pair shares none. A value that many lines have is dealt out, so that no task holds more than ``SHARE`` times its lines.
+    Lines meet where they share one of their rarest values, and are a pair at the first that they share: no such pair shares none. A value that many lines have is dealt out, so that no task holds more than ``SHARE`` times
+    its lines. With ``sketch``, pairs whose sets can't be of that ``similarity`` don't become rows.
     """
     lines = stage(apart.groupBy("x.id").agg(F.first("x.m").alias("m"), F.first("c").alias("c")), "lines")
     rarest = _rarest(lines, values, values - agree + 1)
     shares = rarest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", (1 + F.floor(F.col("n") / SHARE)).cast("int").alias("shares"))
-    met = stage(rarest.join(shares.hint("merge"), "v").join(lines.hint("merge"), "id").select("v", "shares", F.struct("id", "m", "c").alias("x")), "met")
+    placed = rarest.join(shares.hint("merge"), "v")
+    told = lines.join(rarest.groupBy("id").agg(F.collect_list("v").alias("first")).hint("merge"), "id")
+    if sketch is not None:
+        told = told.join(sketch(placed.select("id").distinct()).hint("merge"), "id")
+    rest = [c for c in told.columns if c != "id"]
+    met = stage(placed.join(told.hint("merge"), "id").select("v", "shares", F.struct("id", *rest).alias("x")), "met")
     p = met.select("v", F.pmod(F.xxhash64("x.id"), "shares").cast("int").alias("share"), F.col("x").alias("p"))
     q = met.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("q"))
-    alike = (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & _alike("p", "q", values, agree)
-    pairs = p.join(q.hint("merge"), ["v", "share"]).where(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), _agreement("p", "q", values).alias("n")).distinct()
+    once = F.col("v") == F.array_min(F.array_intersect("p.first", "q.first"))
+    alike = (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & _alike("p", "q", values, agree) & once
+    if sketch is not None:
+        alike &= _within("p", "q", similarity)
+    pairs = p.join(q.hint("merge"), ["v", "share"]).where(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), _agreement("p", "q", values).alias("n"))
     pairs = stage(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "left")
     for x in (lines, rarest, met):
         unstage(x)
@@ -72,22 +88,29 @@ def _pairs_of_few(members: DataFrame, key: str, values: int, agree: int) -> Data
 
 
 def _first(members: DataFrame, values: int, agree: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates ``a, b``, and ``key, x`` of the buckets of more than ``FEW`` members. Candidates are all of small buckets, and of larger ones each member with the smallest of the smallest identities of its buckets that it
-    is a candidate with, and with the members that share a rare value with it: one that at most ``FEW`` members of large buckets have."""
-    leaders = stage(members.groupBy("key").agg(F.min("x").alias("l"), F.count(F.lit(1)).alias("n")), "leaders")
-    led = stage(members.join(leaders.hint("merge"), "key").select("key", "x", F.when(F.col("n") > FEW, F.col("l")).alias("l")), "led")
-    unstage(leaders)
-    small, large = led.where("l is null"), led.where("l is not null")
-    heads = large.where("x.id <> l.id").where(_alike("x", "l", values, agree)).groupBy(F.col("x.id").alias("b")).agg(F.min("l.id").alias("a")).select("a", "b")
+    """Candidates ``a, b``, and ``key, x`` of the buckets of more than ``FEW`` members. Candidates are all of small buckets, and of larger ones each member with the leader of one of its buckets, of those that it
+    is a candidate with the one that has the most common values, and with the members that share a rare value with it: one that at most ``FEW`` members of large buckets have."""
+    sizes = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    led = stage(members.join(sizes.hint("merge"), "key").select("key", "x", (F.col("n") > FEW).alias("many")), "led")
+    unstage(sizes)
+    small, large = led.where("not many"), led.where("many")
     big = stage(large.select("x").groupBy("x.id").agg(F.first("x").alias("x")).select("x"), "big")
     single = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("x.m")[i]) for i in range(values)])).alias("v")
-    rare = big.select(single).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, FEW)).select("v")
+    often = stage(big.select(single).groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    # the line whose values the most lines have leads: most of a template are near it
+    weight = big.select(F.col("x.id").alias("id"), single).join(often.hint("merge"), "v").groupBy("id").agg(F.sum("n").alias("w"))
+    weighed = stage(large.join(weight.hint("merge"), F.col("x.id") == F.col("id")).select("key", "x", "w"), "weighed")
+    leaders = weighed.groupBy("key").agg(F.max(F.struct("w", "x")).alias("l"))
+    heads = weighed.join(leaders.hint("merge"), "key").select("x", F.col("l.w").alias("w"), F.col("l.x").alias("l"))
+    heads = heads.where("x.id <> l.id").where(_alike("x", "l", values, agree)).groupBy("x.id").agg(F.max(F.struct("w", "l.id")).alias("l"))
+    heads = heads.select(F.least("id", "l.id").alias("a"), F.greatest("id", "l.id").alias("b"))
+    rare = often.where(F.col("n") <= FEW).select("v")
     rare = stage(rare, "rare")
     sharing = big.select(single, "x").join(rare.hint("merge"), "v")
     pairs = heads.unionByName(_pairs_of_few(small, "key", values, agree)).unionByName(_pairs_of_few(sharing, "v", values, agree))
     pairs = stage(pairs.distinct(), "pairs")
     rest = stage(large.select("key", "x"), "rest")
-    for x in (led, big, rare):
+    for x in (led, big, often, weighed, rare):
         unstage(x)
     return pairs, rest
 
@@ -113,22 +136,22 @@ def _apart(members: DataFrame, comp: DataFrame) -> DataFrame:
     return rest
 
 
-def verified_components(members: DataFrame, values: int, agree: int, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, most: int = SLICE) -> DataFrame:
+def verified_components(members: DataFrame, values: int, agree: int, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, most: int = SLICE, sketch: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """``node, component`` over the verified links of ``members(key, x)``, ``x`` a struct of ``id`` and ``values`` MinHash values ``m``.
 
     A pair of a bucket is a candidate if it agrees in at least ``agree`` values; ``verify(pairs a, b)`` gives the staged links among
-    candidates. All pairs of a bucket of at most ``FEW`` members are compared. In a larger one each member meets the smallest
-    identity, and those that share a rare value with it: lines of one template agree in the values of the template, near copies in rare ones too.
+    candidates. All pairs of a bucket of at most ``FEW`` members are compared. In a larger one each member meets a leader,
+    the line with the most common values, and those that share a rare value with it: lines of one template agree in the values of the template, near copies in rare ones too.
     Of the buckets that then still hold several components, every candidate between two of them is verified: first the likeliest of each
     member, then what is still apart, at most about ``most`` at once. So no link of a candidate is lost, and groups that have become one cost nothing; candidates within
-    a group that stays apart (lines of one template) may grow with its square.
+    a group that stays apart (lines of one template) may grow with its square. ``sketch(ids)`` gives ``id, size, bits`` of sets: with it, candidates that can't be of ``similarity`` are told before they become rows.
     """
     seen, rest = _first(members, values, agree)
     found = verify(seen)
     links = found if links is None else stage(links.unionByName(found), "links")
     comp = stage(connected_components(links), "components")
     apart = _apart(rest, comp)
-    pairs = _left_over(apart, seen, values, agree)
+    pairs = _left_over(apart, seen, values, agree, sketch, similarity)
     ends = [pairs.select(F.col(a).alias("p"), F.struct("n", F.col(b).alias("q")).alias("t")) for a, b in (("a", "b"), ("b", "a"))]
     likeliest = ends[0].unionByName(ends[1]).groupBy("p").agg(F.max("t").alias("t")).select(F.least("p", "t.q").alias("a"), F.greatest("p", "t.q").alias("b")).distinct()
     likeliest = stage(likeliest, "likeliest")

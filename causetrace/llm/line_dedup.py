@@ -13,6 +13,8 @@ SHINGLE, BANDS, ROWS = 12, 6, 3
 SIMILARITY = 0.8
 #: MinHash values (of 18) that a candidate pair must agree in; one of similarity 0.8 does with probability 0.984.
 AGREE = 11
+#: Numbers of 64 bits that sketch a line's shingles.
+WORDS = 64
 #: One mask for each value, evenly spread, as shingles are hashed once: multiples of 2^64 over the golden ratio, read as signed numbers.
 MASKS = [(k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for k in range(1, BANDS * ROWS + 1)]
 
@@ -68,6 +70,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return stage(counts.where(F.col("common") >= similarity * F.col("all")).select(node("a"), node("b")), "links")
 
 
+def _sketched(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, size, bits`` of the lines ``ids``: how many different shingles they have, and ``WORDS`` numbers of 64 bits in which each shingle sets one."""
+    each = texts.join(ids.hint("merge"), "id").select("id", _written("line").alias("w")).select("id", "w", F.explode(_places("w")).alias("at"))
+    each = each.select("id", _shingle("w", F.col("at")).alias("s")).distinct()
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))")
+    words = each.groupBy("id", F.pmod("s", F.lit(WORDS)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
+    of = words.groupBy("id").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("of"))
+    zero = F.lit(0).cast("long")
+    return of.select("id", "size", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.element_at("of", k), zero)).alias("bits"))
+
+
 def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(distinct lines ``h1, h2, copies, line``, ``node, component`` of the linked ones).
 
@@ -87,7 +100,7 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[D
     # the lines that meet another one anywhere
     wanted = members.select("x.id.h1", "x.id.h2").distinct()
     texts = stage(distinct.join(wanted.hint("merge"), ["h1", "h2"]).select(F.struct("h1", "h2").alias("id"), "line"), "texts")
-    comp = verified_components(members, BANDS * ROWS, AGREE, lambda pairs: _verified(pairs, texts, similarity))
+    comp = verified_components(members, BANDS * ROWS, AGREE, lambda pairs: _verified(pairs, texts, similarity), sketch=lambda ids: _sketched(ids, texts), similarity=similarity)
     for x in (members, texts):
         unstage(x)
     return distinct, comp

@@ -757,3 +757,28 @@ def test_no_candidate_of_a_large_bucket_is_lost(spark, monkeypatch, most):
     got = {r.node: r.component for r in buckets.verified_components(members, 18, 11, verify, most=most).collect()}
     assert all(got.get(k, k) == find(k) for k in range(600))
     assert len(asked) == len(set(asked)) and set(asked) <= set(near)
+
+
+def test_candidates_that_cannot_be_alike_are_no_rows(spark):
+    """Lines of one template that stay apart: each candidate is a row once, none that the sketches rule out is, and all links are still among them."""
+    rng = random.Random(41)
+    frame, lines = words(rng, 60).split(), []
+    for k in range(60):
+        own = list(frame)
+        for at in rng.sample(range(len(frame)), 2 + k % 7):
+            own[at] = words(rng, 1)
+        lines.append(" ".join(own).lower())
+    sets = [{x[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    m = [[(min(zlib.crc32(f"{i} {s}".encode()) for s in x) >> 3) % 4 for i in range(18)] for x in sets]
+    df = spark.createDataFrame([(0, (k, m[k]), k) for k in range(60)], "key long, x struct<id: long, m: array<int>>, c long")
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    seen = spark.createDataFrame([], "a long, b long")
+    alike = {(a, b) for b in range(60) for a in range(b) if sum(u == v for u, v in zip(m[a], m[b], strict=True)) >= 11}
+    plain = [(r.a, r.b) for r in buckets._left_over(df, seen, 18, 11).collect()]
+    told = [(r.a, r.b) for r in buckets._left_over(df, seen, 18, 11, lambda ids: line_dedup._sketched(ids, texts), 0.8).collect()]
+    assert sorted(plain) == sorted(alike)
+    assert len(told) == len(set(told)) and {p for p in alike if sim(*p) >= 0.8} <= set(told) <= alike
+    assert not any(sim(*p) < 0.7 for p in told) and len(told) < len(alike)
+    sizes = {r.id: r["size"] for r in line_dedup._sketched(texts.select("id"), texts).collect()}
+    assert sizes == {k: len(x) for k, x in enumerate(sets)}

@@ -41,9 +41,8 @@ def _rarest(lines: DataFrame, values: int, k: int) -> DataFrame:
 
 def _within(p: str, q: str, similarity: float) -> Column:
     """False only for two lines whose sets can't have a Jaccard similarity of ``similarity``: each bit that one set has and the other lacks is an element that the other lacks."""
-    lacks = lambda x, y: F.aggregate(F.zip_with(f"{x}.bits", f"{y}.bits", lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda n, k: n + k)
-    size = lambda x: F.col(f"{x}.size")
-    return (size(p) - lacks(p, q) >= similarity * (size(q) + lacks(p, q))) & (size(q) - lacks(q, p) >= similarity * (size(p) + lacks(q, p)))
+    differ = F.aggregate(F.zip_with(f"{p}.bits", f"{q}.bits", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    return differ <= (F.col(f"{p}.size") + F.col(f"{q}.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int, sketch: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
@@ -67,6 +66,9 @@ def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int, sketc
     alike = (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & _alike("p", "q", values, agree) & once
     if sketch is not None:
         alike &= _within("p", "q", similarity)
+    # into many parts: little to read, but much to compare
+    parts = 4 * int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p, q = p.repartition(parts, "v", "share"), q.repartition(parts, "v", "share")
     pairs = p.join(q.hint("merge"), ["v", "share"]).where(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), _agreement("p", "q", values).alias("n"))
     pairs = stage(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "left")
     for x in (lines, rarest, met):

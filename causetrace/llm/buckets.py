@@ -12,6 +12,8 @@ from causetrace.llm.components import connected_components
 
 #: Members of a group whose pairs are all compared.
 FEW = 8
+#: Candidates that are drawn first for each line of the largest group, and how many times as many each time after.
+DRAWN, MORE = 64, 8
 #: Members of a group that meet all others of it in one task, and pairs that are verified at once.
 SHARE, SLICE = 1024, 1_000_000
 
@@ -40,38 +42,74 @@ def _rarest(lines: DataFrame, values: int, k: int) -> DataFrame:
 
 
 def _within(p: str, q: str, similarity: float) -> Column:
-    """False only for two lines whose sets can't have a Jaccard similarity of ``similarity``: each bit that one set has and the other lacks is an element that the other lacks."""
-    differ = F.aggregate(F.zip_with(f"{p}.bits", f"{q}.bits", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, k: n + k)
+    """False only for two lines whose sets can't have a Jaccard similarity of ``similarity``: each mark that one set has and the other lacks is of an element that the other lacks."""
+    differ = F.size(f"{p}.marks") + F.size(f"{q}.marks") - 2 * F.size(F.array_intersect(f"{p}.marks", f"{q}.marks"))
     return differ <= (F.col(f"{p}.size") + F.col(f"{q}.size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int, sketch: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
-    """Every pair ``a, b`` of different components among the lines of ``apart(key, x, c)`` that agrees in at least ``agree`` values and isn't ``seen``, with the number ``n`` of these values.
-
-    Lines meet where they share one of their rarest values, and are a pair at the first that they share: no such pair shares none. A value that many lines have is dealt out, so that no task holds more than ``SHARE`` times
-    its lines. With ``sketch``, pairs whose sets can't be of that ``similarity`` don't become rows.
-    """
-    lines = stage(apart.groupBy("x.id").agg(F.first("x.m").alias("m"), F.first("c").alias("c")), "lines")
+def _placed(apart: DataFrame, values: int, agree: int, sketch: Callable[[DataFrame], DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+    """``id, v`` and ``id, m, first`` (with ``sketch`` also ``size, marks``) of the lines of ``apart(key, x, c)``: the values at which they meet others, and what they are compared by."""
+    lines = stage(apart.groupBy("x.id").agg(F.first("x.m").alias("m")), "lines")
     rarest = _rarest(lines, values, values - agree + 1)
-    shares = rarest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v", (1 + F.floor(F.col("n") / SHARE)).cast("int").alias("shares"))
-    placed = rarest.join(shares.hint("merge"), "v")
     told = lines.join(rarest.groupBy("id").agg(F.collect_list("v").alias("first")).hint("merge"), "id")
     if sketch is not None:
-        told = told.join(sketch(placed.select("id").distinct()).hint("merge"), "id")
+        shared = rarest.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v")
+        told = told.join(sketch(rarest.join(shared.hint("merge"), "v").select("id").distinct()).hint("merge"), "id")
+    told = stage(told, "told")
+    unstage(lines)
+    return rarest, told
+
+
+def _meeting(rarest: DataFrame, comp: DataFrame) -> DataFrame:
+    """``id, c, v, n`` of the lines that meet one of another component ``c`` at ``v``, which ``n`` lines have; ``comp(node, component)`` names the joined ones."""
+    named = rarest.join(comp.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").select("id", "v", F.coalesce("component", "id").alias("c"))
+    named = stage(named, "named")
+    several = named.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("v", "n")
+    meeting = stage(named.join(several.hint("merge"), "v"), "meeting")
+    unstage(named)
+    return meeting
+
+
+def _told(meeting: DataFrame, told: DataFrame, seen: DataFrame, values: int, agree: int, similarity: float | None, one_in: int = 1, but: int = 0) -> DataFrame:
+    """Every pair ``a, b`` of different components that agrees in at least ``agree`` values, isn't ``seen`` and is among those drawn: one pair in ``one_in``, without the one in ``but`` that was drawn before.
+
+    Lines meet where they share one of their rarest values, and are a pair at the first that they share. A value that many lines have is dealt out, so that no task holds more than ``SHARE`` times
+    its lines. With ``similarity``, pairs whose sets can't be of it don't become rows.
+    """
     rest = [c for c in told.columns if c != "id"]
-    met = stage(placed.join(told.hint("merge"), "id").select("v", "shares", F.struct("id", *rest).alias("x")), "met")
+    shares = (1 + F.floor(F.col("n") / SHARE)).cast("int")
+    met = stage(meeting.withColumn("shares", shares).join(told.hint("merge"), "id").select("v", "shares", F.struct("id", "c", *rest).alias("x")), "met")
     p = met.select("v", F.pmod(F.xxhash64("x.id"), "shares").cast("int").alias("share"), F.col("x").alias("p"))
     q = met.select("v", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("x").alias("q"))
-    once = F.col("v") == F.array_min(F.array_intersect("p.first", "q.first"))
-    alike = (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c")) & _alike("p", "q", values, agree) & once
-    if sketch is not None:
+    alike = (F.col("p.id") < F.col("q.id")) & (F.col("p.c") != F.col("q.c"))
+    draw = F.xxhash64(F.lit(11), "p.id", "q.id")
+    if one_in > 1:
+        alike &= F.pmod(draw, F.lit(one_in)) == 0
+    if but:
+        alike &= F.pmod(draw, F.lit(but)) != 0
+    # the lambda also keeps this condition out of the join's generated method, which would be too long for the JVM to compile
+    before = F.exists("p.first", lambda f: (f < F.col("v")) & F.array_contains("q.first", f))
+    alike &= _alike("p", "q", values, agree) & ~before
+    if similarity is not None:
         alike &= _within("p", "q", similarity)
     # into many parts: little to read, but much to compare
-    parts = 4 * int(apart.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p, q = p.repartition(parts, "v", "share"), q.repartition(parts, "v", "share")
-    pairs = p.join(q.hint("merge"), ["v", "share"]).where(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), _agreement("p", "q", values).alias("n"))
+    pairs = p.join(q.hint("merge"), ["v", "share"]).where(alike).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
     pairs = stage(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "left")
-    for x in (lines, rarest, met):
+    unstage(met)
+    return pairs
+
+
+def _left_over(apart: DataFrame, seen: DataFrame, values: int, agree: int, sketch: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
+    """Every pair ``a, b`` of different components among the lines of ``apart(key, x, c)`` that agrees in at least ``agree`` values and isn't ``seen``; no such pair shares none of its lines' rarest values.
+
+    With ``sketch``, pairs whose sets can't be of that ``similarity`` don't become rows.
+    """
+    rarest, told = _placed(apart, values, agree, sketch)
+    meeting = _meeting(rarest, apart.select(F.col("x.id").alias("node"), F.col("c").alias("component")).distinct())
+    pairs = _told(meeting, told, seen, values, agree, None if sketch is None else similarity)
+    for x in (rarest, told, meeting):
         unstage(x)
     return pairs
 
@@ -144,31 +182,59 @@ def verified_components(members: DataFrame, values: int, agree: int, verify: Cal
     A pair of a bucket is a candidate if it agrees in at least ``agree`` values; ``verify(pairs a, b)`` gives the staged links among
     candidates. All pairs of a bucket of at most ``FEW`` members are compared. In a larger one each member meets a leader,
     the line with the most common values, and those that share a rare value with it: lines of one template agree in the values of the template, near copies in rare ones too.
-    Of the buckets that then still hold several components, every candidate between two of them is verified: first the likeliest of each
-    member, then what is still apart, at most about ``most`` at once. So no link of a candidate is lost, and groups that have become one cost nothing; candidates within
-    a group that stays apart (lines of one template) may grow with its square. ``sketch(ids)`` gives ``id, size, bits`` of sets: with it, candidates that can't be of ``similarity`` are told before they become rows.
+    Of the buckets that then still hold several components, every candidate between two of them is verified (see ``_rest_joined``). So no link of a candidate is lost. ``sketch(ids)`` gives
+    ``id, size, marks`` of sets: with it, candidates that can't be of ``similarity`` are told before they become rows.
     """
     seen, rest = _first(members, values, agree)
     found = verify(seen)
     links = found if links is None else stage(links.unionByName(found), "links")
     comp = stage(connected_components(links), "components")
     apart = _apart(rest, comp)
-    pairs = _left_over(apart, seen, values, agree, sketch, similarity)
-    ends = [pairs.select(F.col(a).alias("p"), F.struct("n", F.col(b).alias("q")).alias("t")) for a, b in (("a", "b"), ("b", "a"))]
-    likeliest = ends[0].unionByName(ends[1]).groupBy("p").agg(F.max("t").alias("t")).select(F.least("p", "t.q").alias("a"), F.greatest("p", "t.q").alias("b")).distinct()
-    likeliest = stage(likeliest, "likeliest")
-    left, part = pairs.join(likeliest.hint("merge"), ["a", "b"], "left_anti").select("a", "b"), likeliest
-    while not part.isEmpty():
-        found = verify(part)
-        if not found.isEmpty():
-            before, comp = comp, _joined(comp, found)
-            unstage(before)
-        before, between = left, _between(left, comp)
-        unstage(before)
-        slices = 1 + between.count() // most
-        at = F.pmod(F.xxhash64("a", "b", F.lit(slices)), F.lit(slices))
-        part, left = stage(between.where(at == 0), "part"), stage(between.where(at != 0), "left")
-        unstage(between)
-    for x in (pairs, likeliest, seen, links, rest, apart, left):
+    comp = _rest_joined(apart, seen, comp, values, agree, verify, most, sketch, similarity)
+    for x in (seen, links, rest, apart):
         unstage(x)
     return comp
+
+
+def _rest_joined(apart: DataFrame, seen: DataFrame, comp: DataFrame, values: int, agree: int, verify: Callable[[DataFrame], DataFrame], most: int, sketch: Callable[[DataFrame], DataFrame] | None, similarity: float) -> DataFrame:
+    """``comp`` after the verified links of all candidates between components of ``apart(key, x, c)``.
+
+    A group in which all are linked has a link for each pair. So candidates are drawn at random, first few for each line of the largest group, then ``MORE`` times as many each time, at last all,
+    and components grow in between: of links of which one in ``MORE`` was drawn before, no more than ``MORE`` for each line are expected to be left between components, whatever the group's size.
+    Rows are verified about ``most`` at once.
+    """
+    if apart.isEmpty():
+        return comp
+    rarest, told = _placed(apart, values, agree, sketch)
+    one_in = but = 0
+    while but != 1:
+        meeting = _meeting(rarest, comp)
+        n, lines = meeting.agg(F.max("n"), F.count_distinct("id")).first()
+        if not lines:
+            unstage(meeting)
+            break
+        if not but:
+            one_in = 1
+            while n > DRAWN * one_in:
+                one_in *= MORE
+        left = _told(meeting, told, seen, values, agree, None if sketch is None else similarity, one_in, but)
+        unstage(meeting)
+        drawn = count = left.count()
+        while count:
+            slices = 1 + count // most
+            at = F.pmod(F.xxhash64("a", "b", F.lit(slices)), F.lit(slices))
+            part, later = (left, None) if slices == 1 else (stage(left.where(at == 0), "part"), left.where(at != 0))
+            found = verify(part)
+            if not found.isEmpty():
+                before, comp = comp, _joined(comp, found)
+                unstage(before)
+            unstage(found)
+            before, left = left, None if later is None else _between(later, comp)
+            count = 0 if left is None else left.count()
+            for x in (part, before):
+                unstage(x)
+        # all at once if few are expected
+        but, one_in = one_in, 1 if drawn * one_in <= MORE * lines else one_in // MORE
+    unstage(rarest)
+    unstage(told)
+    return comp

@@ -13,8 +13,8 @@ SHINGLE, BANDS, ROWS = 12, 6, 3
 SIMILARITY = 0.8
 #: MinHash values (of 18) that a candidate pair must agree in; one of similarity 0.8 does with probability 0.984.
 AGREE = 11
-#: Numbers of 64 bits that sketch a line's shingles.
-WORDS = 64
+#: Bits of a shingle's hash that sketch it: a line has at most 2^16 such marks.
+MARK = 16
 #: One mask for each value, evenly spread, as shingles are hashed once: multiples of 2^64 over the golden ratio, read as signed numbers.
 MASKS = [(k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63 for k in range(1, BANDS * ROWS + 1)]
 
@@ -52,6 +52,16 @@ def _signatures(texts: DataFrame) -> DataFrame:
     return each.groupBy("h1", "h2").agg(*minima).select("h1", "h2", values.alias("m"))
 
 
+def _set(w: str) -> Column:
+    """The hashes of the different shingles of a written line."""
+    return F.array_distinct(F.transform(_places(w), lambda at: _shingle(w, at)))
+
+
+def _once(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with more columns, each computed once a row: a later filter on them is not merged into their making."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in made.items()]))))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets of all shingles have an exact Jaccard similarity of at least ``similarity``.
 
@@ -71,14 +81,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _sketched(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id, size, bits`` of the lines ``ids``: how many different shingles they have, and ``WORDS`` numbers of 64 bits in which each shingle sets one."""
-    each = texts.join(ids.hint("merge"), "id").select("id", _written("line").alias("w")).select("id", "w", F.explode(_places("w")).alias("at"))
-    each = each.select("id", _shingle("w", F.col("at")).alias("s")).distinct()
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))")
-    words = each.groupBy("id", F.pmod("s", F.lit(WORDS)).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.bit_or(bit).alias("bits"))
-    of = words.groupBy("id").agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("of"))
-    zero = F.lit(0).cast("long")
-    return of.select("id", "size", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.coalesce(F.element_at("of", k), zero)).alias("bits"))
+    """``id, size, marks`` of the lines ``ids``: how many different shingles they have, and the different values of ``MARK`` bits of their hashes."""
+    each = _once(texts.join(ids.hint("merge"), "id"), w=_written("line")).select("id", "w")
+    each = _once(each, s=_set("w")).select("id", "s")
+    return each.select("id", F.size("s").alias("size"), F.array_distinct(F.transform("s", lambda x: x.bitwiseAND(F.lit((1 << MARK) - 1)).cast("int"))).alias("marks"))
 
 
 def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:

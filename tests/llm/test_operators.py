@@ -782,3 +782,31 @@ def test_candidates_that_cannot_be_alike_are_no_rows(spark):
     assert not any(sim(*p) < 0.7 for p in told) and len(told) < len(alike)
     sizes = {r.id: r["size"] for r in line_dedup._sketched(texts.select("id"), texts).collect()}
     assert sizes == {k: len(x) for k, x in enumerate(sets)}
+
+
+def test_a_linked_group_makes_few_rows(spark, monkeypatch):
+    """A group whose lines are nearly all linked with each other: rows left over grow with its lines, not with their pairs, and no link is lost."""
+    monkeypatch.setattr(buckets, "DRAWN", 8, raising=False)
+    n, made, plain = 300, [], buckets.stage
+
+    def stage(df, tag="stage"):
+        out = plain(df, tag)
+        if tag == "left":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(buckets, "stage", stage)
+    near = lambda a, b: (a + b) % 3 > 0 or (a, b) == (0, 3)
+    parent, find = union_find(n + 1)
+    for b in range(n):
+        for a in range(b):
+            if near(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    # line n is a candidate of all, linked with none
+    rows = [(1, (k, list(range(14)) + [100 + 4 * k + i for i in range(4)])) for k in range(n + 1)]
+    members = spark.createDataFrame(rows, "key long, x struct<id: long, m: array<int>>")
+    verify = lambda pairs: plain(pairs.where(f"((a + b) % 3 > 0 or (a = 0 and b = 3)) and b < {n}"), "links")
+    got = {r.node: r.component for r in buckets.verified_components(members, 18, 11, verify).collect()}
+    assert all(got.get(k, k) == find(k) for k in range(n + 1))
+    assert sum(made) <= 20 * n

@@ -65,19 +65,15 @@ def _once(rows: DataFrame, **made: Column) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets of all shingles have an exact Jaccard similarity of at least ``similarity``.
 
-    Both lines of a pair meet in one partition, dealt by pair into many small parts; their shingles are told apart and counted there, without another shuffle.
+    Both lines of a pair meet in one row, dealt by pair into many small parts; the sets are made and compared there, without another shuffle.
     """
     of = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"l{c}")).hint("merge")
-    pair = ["a1", "a2", "b1", "b2"]
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select(*[F.col(f"{c[0]}.h{c[1]}").alias(c) for c in pair], "la", "lb")
-    both = both.repartition(4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pair)
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), _written(w).alias("w")) for k, w in ((1, "la"), (2, "lb"))])
-    each = both.select(*pair, F.explode(sides).alias("x")).select(*pair, "x.side", "x.w")
-    each = each.select(*pair, "side", "w", F.explode(_places("w")).alias("at")).select(*pair, "side", _shingle("w", F.col("at")).alias("s"))
-    told = each.groupBy(*pair, "s").agg(F.bit_or("side").alias("sides"))
-    counts = told.groupBy(*pair).agg(F.count(F.when(F.col("sides") == 3, 1)).alias("common"), F.count(F.lit(1)).alias("all"))
-    node = lambda c: F.struct(F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2")).alias(c)
-    return stage(counts.where(F.col("common") >= similarity * F.col("all")).select(node("a"), node("b")), "links")
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "la", "lb")
+    both = both.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    both = _once(both, wa=_written("la"), wb=_written("lb")).select("a", "b", "wa", "wb")
+    both = _once(both, sa=_set("wa"), sb=_set("wb")).select("a", "b", "sa", "sb")
+    counts = _once(both, common=F.size(F.array_intersect("sa", "sb")), both=F.size("sa") + F.size("sb")).select("a", "b", "common", "both")
+    return stage(counts.where(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("a", "b"), "links")
 
 
 def _sketched(ids: DataFrame, texts: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from causetrace.functions.shared import dropped, settled
 SMALL = 200_000
 #: Asked rows of a part, and targets, that one task answers at once.
 ASKED, TARGETS = 50_000, 4_096
+#: Rows of a join that makes shortcuts through large parts, as a multiple of their links.
+JOINED = 8
 #: Rounds of trimming, at least, before colours are tried: chains are trimmed from both ends, and a long one by the outer rounds.
 TRIMS = 3
 
@@ -295,18 +297,37 @@ def _oversized(placed: DataFrame, small: int) -> DataFrame:
     return settled(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("part"), "oversized")
 
 
-def _searched(services: DataFrame, links: DataFrame, asked: DataFrame, max_rounds: int) -> DataFrame:
-    """Those of the distinct ``low, high, top`` of which the first component reaches the second, searched by joins from all first ones at once; a front stops below the level ``top``. Each visit is written once."""
+def _shortcuts(links: DataFrame) -> tuple[DataFrame, bool]:
+    """``src, dst`` of the paths of up to 1, 2, 4 ... of the acyclic ``links``, as far as a join makes no more rows than a few times the links, and whether these are all paths."""
+    now, n = links, links.count()
+    most = JOINED * n
+    while True:
+        outs, ins = (now.groupBy(F.col(c).alias("at")).agg(F.count(F.lit(1)).alias(f"n{c}")) for c in ("src", "dst"))
+        rows = outs.join(ins, "at").agg(F.sum(F.col("nsrc") * F.col("ndst"))).first()[0] or 0
+        if rows == 0 or rows > most:
+            return now, rows == 0
+        more = now.select("src", F.col("dst").alias("at")).join(now.select(F.col("src").alias("at"), "dst"), "at").select("src", "dst")
+        grown = settled(now.unionByName(more).distinct(), "shortcuts")
+        if now is not links:
+            dropped(now)
+        was, n, now = n, grown.count(), grown
+        if n == was:
+            return now, True
+
+
+def _visited(services: DataFrame, links: DataFrame, starts: DataFrame, max_rounds: int) -> DataFrame:
+    """``low, at``: the components that each of the distinct ``starts(low, top)`` reaches, or is, up to the level ``top``, searched by joins from all starts at once along shortcuts. Each visit is written once."""
     level = services.where("node = component").select(F.col("node").alias("at"), "level")
-    steps = settled(links.join(level.select(F.col("at").alias("dst"), "level"), "dst").select(F.col("src").alias("at"), "dst", "level"), "steps")
-    front = settled(asked.groupBy("low").agg(F.max("top").alias("top")).select("low", F.col("low").alias("at"), "top"), "front")
+    short, whole = _shortcuts(links)
+    steps = settled(short.join(level.select(F.col("at").alias("dst"), "level"), "dst").select(F.col("src").alias("at"), "dst", "level"), "steps")
+    front = settled(starts.select("low", F.col("low").alias("at"), "top"), "front")
     seen = front
     for _ in range(max_rounds):
         step = front.join(steps, "at").where("level <= top").select("low", F.col("dst").alias("at"), "top").distinct()
-        front = settled(step.join(seen, ["low", "at"], "left_anti"), "front")
-        if front.isEmpty():
-            return asked.join(seen.select("low", F.col("at").alias("high")), ["low", "high"], "left_semi").select("low", "high")
+        front = settled(step if whole else step.join(seen, ["low", "at"], "left_anti"), "front")
         seen = seen.unionByName(front)
+        if whole or front.isEmpty():
+            return seen.select("low", "at")
     raise RuntimeError("paths did not settle")
 
 
@@ -314,7 +335,7 @@ def joined_pairs(services: DataFrame, links: DataFrame, pairs: DataFrame, max_ro
     """Those of the distinct ``pairs(src, dst)`` that a directed path joins, either way, told from ``condensed``'s tables.
 
     Members of one component are joined, those of different parts or of one level are not. The rest is told part by part: one task passes the bits of what is asked for up a part of
-    at most ``small`` links. In larger ones a search by joins starts at the component of lower level, and a front stops below the highest level that its start asks for.
+    at most ``small`` links. In larger ones a search by joins starts at the component of lower level, and a front stops at the highest level that its start asks for.
     """
     of = lambda c: services.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"), F.col("level").alias(f"l{c}"), F.col("part").alias(f"p{c}"))
     told = pairs.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("psrc = pdst and (csrc = cdst or lsrc <> ldst)")
@@ -337,7 +358,9 @@ def joined_pairs(services: DataFrame, links: DataFrame, pairs: DataFrame, max_ro
     fits = lambda df: df.join(large, "part", "left_anti")
     hit = _told_in_parts(fits(placed), fits(asked), ["high"], one, f"low {kind}, high {kind}")
     if not large.isEmpty():
-        hit = hit.unionByName(_searched(services, placed.join(large, "part", "left_semi").select("src", "dst"), asked.join(large, "part", "left_semi").drop("part"), max_rounds))
+        rest = asked.join(large, "part", "left_semi")
+        seen = _visited(services, settled(placed.join(large, "part", "left_semi").select("src", "dst"), "large"), rest.groupBy("low").agg(F.max("top").alias("top")), max_rounds)
+        hit = hit.unionByName(rest.join(seen.withColumnRenamed("at", "high"), ["low", "high"], "left_semi").select("low", "high"))
     found = told.withColumns({"low": low, "high": high}).join(hit.withColumn("hit", F.lit(True)), ["low", "high"], "left")
     return found.where("csrc = cdst or hit").select("src", "dst")
 
@@ -345,10 +368,11 @@ def joined_pairs(services: DataFrame, links: DataFrame, pairs: DataFrame, max_ro
 def joined_in_groups(services: DataFrame, links: DataFrame, asked: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> DataFrame:
     """Distinct ``src, dst`` that a directed path joins, either way, of which a row of ``asked(group, at, node)`` with ``src`` has a smaller ``at`` than one of its group with ``dst``.
 
-    Only what is joined becomes a row: a task holds the links of a part of at most ``small`` and the asked rows of some groups there. In larger parts all pairs of a group are asked of ``joined_pairs``.
+    Only what is joined becomes a row: a task holds the links of a part of at most ``small`` and the asked rows of some groups there. In larger parts
+    a search by joins starts at every asked component, and what it visits meets the groups of both.
     """
     rows = asked.where("group is not null and at is not null").groupBy("group", "node").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    rows = settled(rows.join(services, "node").select("group", "node", "lo", "hi", "component", "part"), "asked")
+    rows = settled(rows.join(services, "node").select("group", "node", "lo", "hi", "component", "level", "part"), "asked")
     placed = settled(_placed(services, links), "placed")
     large = _oversized(placed, small)
 
@@ -376,6 +400,14 @@ def joined_in_groups(services: DataFrame, links: DataFrame, asked: DataFrame, ma
     found = _told_in_parts(fits(placed), fits(rows), ["group"], one, f"src {kind}, dst array<{kind}>").select("src", F.explode("dst").alias("dst"))
     if not large.isEmpty():
         rest = settled(rows.join(large, "part", "left_semi"), "large")
-        b = rest.select("group", "part", F.col("node").alias("dst"), F.col("hi").alias("late"))
-        found = found.unionByName(joined_pairs(services, links, rest.join(b, ["group", "part"]).where("lo < late").select(F.col("node").alias("src"), "dst"), max_rounds, small))
+        top = rest.groupBy("group", "part").agg(F.max("level").alias("top"))
+        starts = rest.join(top, ["group", "part"]).groupBy(F.col("component").alias("low")).agg(F.max("top").alias("top"))
+        seen = _visited(services, settled(placed.join(large, "part", "left_semi").select("src", "dst"), "large"), starts, max_rounds)
+        of = lambda c: rest.select("group", F.col("component").alias(c)).distinct()
+        met = seen.join(of("at").select("at").distinct(), "at", "left_semi").join(of("low"), "low").join(of("at"), ["group", "at"], "left_semi")
+        a = rest.select("group", F.col("component").alias("low"), F.col("node").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+        b = rest.select("group", F.col("component").alias("at"), F.col("node").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
+        up = F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.expr("alo < bhi").alias("ok"))
+        back = F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.expr("low <> at and blo < ahi").alias("ok"))
+        found = found.unionByName(met.join(a, ["group", "low"]).join(b, ["group", "at"]).select(F.inline(F.array(up, back))).where("ok").select("src", "dst"))
     return found.distinct()

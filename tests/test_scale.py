@@ -135,3 +135,24 @@ def test_levels_in_fewer_rounds_than_levels(spark):
     edges += [(int(r.integers(8, 31)), 5000 + 10 * i) for i in range(40)] + [(5000 + 10 * i + k, 5001 + 10 * i + k) for i in range(40) for k in range(i % 4)] + [(1000 + 10 * i, 5000 + 10 * i) for i in range(20)]
     services, _ = condense.condensed(spark.createDataFrame(edges, "src long, dst long"), max_rounds=15, small=50)
     assert sorted((x.node, x.component, x.level) for x in services.collect()) == sorted(condense.walked(edges))
+
+
+def test_groups_of_a_large_part_make_no_pairs(spark, monkeypatch):
+    """Many asked nodes of one group in a part of more than ``small`` links: what is written grows with links and joined pairs, not with the pairs of the group; a long path takes few rounds."""
+    from causetrace.operators import condense
+
+    edges = [(10 * i + k, 10 * i + k + 1) for i in range(600) for k in range(i % 3)] + [(10 * i + i % 3, 9_000) for i in range(600)] + [(9_000 + k, 9_001 + k) for k in range(16)]
+    asked = [(0, i, 10 * i) for i in range(600)] + [(0, 700, 9_016), (0, 300, 9_008), (1, 5, 9_016), (1, 4, 9_001), (1, 6, 9_001), (2, 1, 9_012)]
+    want = {(10 * i, 9_016) for i in range(600)} | {(10 * i, 9_008) for i in range(300)} | {(9_008, 10 * i) for i in range(301, 600)} | {(9_008, 9_016), (9_001, 9_016), (9_016, 9_001), (9_001, 9_001)}
+    services, links = condense.condensed(spark.createDataFrame(edges, "src long, dst long"))
+    rows, settled = [], condense.settled
+
+    def counted(df, tag="rows"):
+        back = settled(df, tag)
+        rows.append(back.count())
+        return back
+
+    monkeypatch.setattr(condense, "settled", counted)
+    got = condense.joined_in_groups(services, links, spark.createDataFrame(asked, "group long, at long, node long"), max_rounds=10, small=0).collect()
+    assert {(x.src, x.dst) for x in got} == want and len(got) == len(want)
+    assert sum(rows) < 60 * (len(edges) + len(asked)) and max(rows) < 20 * len(edges)

@@ -227,14 +227,14 @@ def _levels(links: DataFrame, members: DataFrame, max_rounds: int, small: int) -
     return levels
 
 
-def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL, levels: bool = True) -> tuple[DataFrame, DataFrame]:
     """(services, links): ``node, component, level, part`` of every node, and the distinct ``src, dst`` between components, staged.
 
     ``level`` is the longest path to a component. A path from one component to another goes up in level, so that equal components are joined, other
     components of one level are not, and a search for the rest never looks beyond the level of its target. No path leaves a ``part``.
 
     A graph of more than ``small`` edges is split into weakly connected parts. Those of at most ``small`` edges are walked whole, each in one task, tiny ones
-    together; larger ones go by joins, down to a core of at most ``small`` edges.
+    together; larger ones go by joins, down to a core of at most ``small`` edges. Without ``levels`` these have none, which ``joined_in_groups`` does not need.
     """
     edges = settled(edges.select("src", "dst").distinct(), "edges")
     if edges.count() <= small:
@@ -251,8 +251,13 @@ def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL) ->
     dropped(named)
     if not rest.isEmpty():
         members = settled(strong_components(rest, max_rounds, small), "members")
-        levels = _levels(_linked(rest, members), members, max_rounds, small)
-        by_joins = members.join(levels.select(F.col("node").alias("component"), "level"), "component").join(parts, "node").select("node", "component", "level", "part")
+        members = members.join(parts, "node")
+        if levels:
+            told = _levels(_linked(rest, members), members, max_rounds, small)
+            members = members.join(told.select(F.col("node").alias("component"), "level"), "component")
+        else:
+            members = members.withColumn("level", F.lit(None).cast("long"))
+        by_joins = members.select("node", "component", "level", "part")
         services = settled(services.unionByName(by_joins), "services")
     return services, _linked(edges, services)
 
@@ -293,8 +298,8 @@ def _told_in_parts(placed: DataFrame, asked: DataFrame, of: list[str], one: Call
 
 
 def _oversized(placed: DataFrame, small: int) -> DataFrame:
-    """The parts of more than ``small`` links."""
-    return settled(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > small).select("part"), "oversized")
+    """The parts of more than ``small`` links, or without levels."""
+    return settled(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("levels")).where((F.col("n") > small) | (F.col("levels") < F.col("n"))).select("part"), "oversized")
 
 
 def _shortcuts(links: DataFrame) -> tuple[DataFrame, bool]:
@@ -316,14 +321,16 @@ def _shortcuts(links: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _visited(services: DataFrame, links: DataFrame, starts: DataFrame, max_rounds: int) -> DataFrame:
-    """``low, at``: the components that each of the distinct ``starts(low, top)`` reaches, or is, up to the level ``top``, searched by joins from all starts at once along shortcuts. Each visit is written once."""
+    """``low, at``: the components that each of the distinct ``starts(low, top)`` reaches, or is, up to the level ``top`` if there is one, searched by joins from all starts at once along shortcuts. Each visit is written once."""
     level = services.where("node = component").select(F.col("node").alias("at"), "level")
     short, whole = _shortcuts(links)
     steps = settled(short.join(level.select(F.col("at").alias("dst"), "level"), "dst").select(F.col("src").alias("at"), "dst", "level"), "steps")
+    if short is not links:
+        dropped(short)
     front = settled(starts.select("low", F.col("low").alias("at"), "top"), "front")
     seen = front
     for _ in range(max_rounds):
-        step = front.join(steps, "at").where("level <= top").select("low", F.col("dst").alias("at"), "top").distinct()
+        step = front.join(steps, "at").where("coalesce(level <= top, true)").select("low", F.col("dst").alias("at"), "top").distinct()
         front = settled(step if whole else step.join(seen, ["low", "at"], "left_anti"), "front")
         seen = seen.unionByName(front)
         if whole or front.isEmpty():

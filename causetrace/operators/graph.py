@@ -208,7 +208,7 @@ def reachable_pairs(topology: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def reachable_in_groups(topology: DataFrame, asked: DataFrame) -> DataFrame:
     """The distinct ``src, dst`` that a directed path joins, either way, where ``asked(group, at, service)`` has ``src`` before ``dst`` in one group; pairs that no path joins never become rows."""
-    services, links = condense.condensed(topology)
+    services, links = condense.condensed(topology, levels=False)
     return condense.joined_in_groups(services, links, asked.select("group", "at", F.col("service").alias("node")))
 
 

@@ -156,3 +156,22 @@ def test_groups_of_a_large_part_make_no_pairs(spark, monkeypatch):
     got = condense.joined_in_groups(services, links, spark.createDataFrame(asked, "group long, at long, node long"), max_rounds=10, small=0).collect()
     assert {(x.src, x.dst) for x in got} == want and len(got) == len(want)
     assert sum(rows) < 60 * (len(edges) + len(asked)) and max(rows) < 20 * len(edges)
+
+
+def test_groups_of_large_parts_without_levels(spark):
+    """Parts that went by joins have no levels: those with few links between components too, and those that are one component."""
+    from causetrace.operators import condense
+
+    r = np.random.default_rng(31)
+    edges = [(k, (k + 1) % 8) for k in range(8)] + [(7, 40), (40, 41), (50, 51), (51, 3), (7, 3)] + [(100 + k, 100 + (k + 1) % 8) for k in range(8)] + [(200 + k, 201 + k) for k in range(8)] + [(300, 301), (301, 302)]
+    links = {}
+    for a, b in edges:
+        links.setdefault(a, set()).add(b)
+        links.setdefault(b, set())
+    far = graph.reached(links)
+    asked = [(int(g), int(at), sorted(links)[int(n)]) for g, at, n in zip(r.integers(0, 3, 90), r.integers(0, 50, 90), r.integers(0, len(links), 90))]
+    want = {(a, b) for g, i, a in asked for h, j, b in asked if g == h and i < j and (a == b or b in far[a] or a in far[b])}
+    services, between = condense.condensed(spark.createDataFrame(edges, "src long, dst long"), small=6, levels=False)
+    assert {x.node for x in services.where("level is null").collect()} == {n for n in links if n < 300}
+    got = condense.joined_in_groups(services, between, spark.createDataFrame(asked, "group long, at long, node long"), small=6).collect()
+    assert {(x.src, x.dst) for x in got} == want and len(got) == len(want)

@@ -251,13 +251,12 @@ def condensed(edges: DataFrame, max_rounds: int = 10_000, small: int = SMALL, le
     dropped(named)
     if not rest.isEmpty():
         members = settled(strong_components(rest, max_rounds, small), "members")
-        members = members.join(parts, "node")
         if levels:
             told = _levels(_linked(rest, members), members, max_rounds, small)
-            members = members.join(told.select(F.col("node").alias("component"), "level"), "component")
+            by_joins = members.join(told.select(F.col("node").alias("component"), "level"), "component")
         else:
-            members = members.withColumn("level", F.lit(None).cast("long"))
-        by_joins = members.select("node", "component", "level", "part")
+            by_joins = members.withColumn("level", F.lit(None).cast("long"))
+        by_joins = by_joins.join(parts, "node").select("node", "component", "level", "part")
         services = settled(services.unionByName(by_joins), "services")
     return services, _linked(edges, services)
 
